@@ -15,3 +15,161 @@ SELECT run_id, n_files, CAST(strlen(payload) AS BIGINT) AS n_bytes, payload,
        CAST(NULL AS VARCHAR) AS error_kind, CAST(NULL AS VARCHAR) AS error_message
 FROM g
 """
+
+# --------------------------------------------------------------------------
+# helpers for writing the SQL
+# --------------------------------------------------------------------------
+from ..profiles import WHITESPACE_CHARS  # noqa: E402
+
+WS_SQL = "||".join(f"chr({ord(c)})" for c in WHITESPACE_CHARS)
+DOC_PATH = "('/data/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt')"
+# A Latin-1 string whose code points, read as bytes, form valid UTF-8.
+UTF8_AS_LATIN1 = (r"(?:[\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]"
+                  r"|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]"
+                  r"|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}"
+                  r"|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2})*")
+LATIN1_BYTES_AS_UTF8 = ("try(decode(from_hex(list_aggr(list_transform(string_split(text, ''), "
+                        "lambda x: lpad(to_hex(unicode(x)), 2, '0')), 'string_agg', ''))))")
+
+ORACLE["nul_sniff"] = """
+SELECT doc_id,
+       CAST(strlen(text) * (8200 // strlen(text) + 1) + CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END AS BIGINT) AS n_bytes,
+       CAST(CASE doc_id % 4 WHEN 0 THEN 10 WHEN 1 THEN 8191 WHEN 2 THEN 8192 ELSE -1 END AS INTEGER) AS nul_offset,
+       doc_id % 4 IN (0, 1) AS is_binary
+FROM documents
+"""
+
+ORACLE["blank_filter"] = f"""
+WITH t AS (
+  SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '   ' WHEN 1 THEN chr(9) || chr(10) WHEN 2 THEN chr(160)
+                 WHEN 3 THEN chr(12288) || chr(12288) ELSE chr(12288) || text || ' ' || chr(10) END AS t
+  FROM documents)
+SELECT doc_id, trim(t, {WS_SQL}) = '' AS is_blank, trim(t, {WS_SQL}) AS trimmed,
+       CAST(length(trim(t, {WS_SQL})) AS BIGINT) AS n_chars
+FROM t
+"""
+
+ORACLE["utf8_strict"] = f"""
+SELECT doc_id,
+       CASE WHEN doc_id % 10 = 0 THEN NULL ELSE text END AS text,
+       CASE WHEN doc_id % 10 = 0 THEN 'IoError' END AS error_kind,
+       CASE WHEN doc_id % 10 = 0 THEN 'Failed to read file ''' || {DOC_PATH} || ''': stream did not contain valid UTF-8' END
+         AS error_message
+FROM documents
+"""
+
+ORACLE["lossy_text"] = """
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || chr(65533) ELSE text END AS text FROM documents
+"""
+
+ORACLE["bom_decode"] = """
+SELECT doc_id,
+       CASE doc_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' WHEN 2 THEN 'utf-16be'
+                       WHEN 3 THEN 'utf-32le' ELSE 'utf-32be' END AS encoding,
+       text,
+       CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'BinaryFile' END AS strict_kind
+FROM documents
+"""
+
+# UTF-16BE bytes read as UTF-16LE: every unit byte-swapped; invalid when a swapped
+# unit is an unpaired surrogate (low byte D8-DB not followed by DC-DF, or DC-DF alone).
+ORACLE["utf16_guess"] = """
+WITH d AS (
+  SELECT doc_id, text,
+         regexp_replace(regexp_replace(text, '[\\x{D8}-\\x{DB}][\\x{DC}-\\x{DF}]', '', 'g'),
+                        '[^\\x{D8}-\\x{DF}]', '', 'g') = '' AS le_ok
+  FROM documents)
+SELECT doc_id,
+       CASE doc_id % 3 WHEN 0 THEN 'utf-16le' WHEN 1 THEN CASE WHEN le_ok THEN 'utf-16le' ELSE 'utf-16be' END
+            ELSE 'binary' END AS encoding,
+       CASE doc_id % 3 WHEN 0 THEN text
+            WHEN 1 THEN CASE WHEN le_ok THEN list_aggr(list_transform(string_split(text, ''),
+                 lambda x: chr((unicode(x) % 256) * 256 + unicode(x) // 256)), 'string_agg', '') ELSE text END
+            ELSE NULL END AS text,
+       'BinaryFile' AS strict_kind
+FROM d
+"""
+
+ORACLE["latin1_fallback"] = f"""
+WITH d AS (SELECT doc_id, text, regexp_full_match(text, '{UTF8_AS_LATIN1}') AS u8 FROM documents)
+SELECT doc_id,
+       CASE WHEN u8 THEN 'utf-8' ELSE 'iso-8859-1' END AS encoding,
+       CASE WHEN u8 THEN {LATIN1_BYTES_AS_UTF8} ELSE text END AS text,
+       CASE WHEN u8 THEN NULL ELSE 'IoError' END AS strict_kind
+FROM d
+"""
+
+ORACLE["size_gate"] = f"""
+SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes,
+       CASE WHEN strlen(text) > 8192 THEN 'fileTooLarge' END AS error_kind,
+       CASE WHEN strlen(text) > 8192 THEN 'File too large (' || CAST(strlen(text) // 1024 // 1024 AS VARCHAR)
+            || 'MB): ' || CAST(doc_id AS VARCHAR) || '.txt' END AS error_message
+FROM documents
+"""
+
+ORACLE["output_gate"] = """
+WITH g AS (SELECT source AS run_id, string_agg(text, chr(10) ORDER BY doc_id) AS p FROM documents GROUP BY source)
+SELECT run_id, CAST(strlen(p) AS BIGINT) AS n_bytes,
+       CASE WHEN strlen(p) <= 131072 THEN p END AS payload,
+       CASE WHEN strlen(p) > 131072 THEN 'outputTooLarge' END AS error_kind,
+       CASE WHEN strlen(p) > 131072 THEN 'Output too large (' || CAST(strlen(p) // 1024 // 1024 AS VARCHAR)
+            || 'MB) for clipboard' END AS error_message
+FROM g
+"""
+
+ORACLE["payload_status"] = f"""
+WITH g AS (
+  SELECT source AS run_id, count(*) AS n_files, count(*) FILTER (WHERE doc_id % 97 = 0) AS n_failed,
+         min(doc_id) FILTER (WHERE doc_id % 97 = 0) AS bad,
+         string_agg(text, chr(10) ORDER BY doc_id) AS p
+  FROM documents GROUP BY source)
+SELECT run_id, n_files, n_failed,
+       CAST(CASE WHEN n_failed = 0 THEN strlen(p) ELSE 0 END AS BIGINT) AS n_bytes,
+       CASE WHEN n_failed = 0 THEN p END AS payload,
+       CASE WHEN n_failed > 0 THEN 'FileNotFound' END AS error_kind,
+       CASE WHEN n_failed > 0 THEN 'File not found: /data/' || run_id || '/' || CAST(bad AS VARCHAR) || '.txt' END
+         AS error_message
+FROM g
+"""
+
+ORACLE["last_success_wins"] = """
+WITH g AS (
+  SELECT conv_id, count(*) AS n_files, count(*) FILTER (WHERE turn % 3 = 2) AS n_failed,
+         max_by(text, turn) FILTER (WHERE turn % 3 <> 2) AS payload,
+         max(turn) FILTER (WHERE turn % 3 <> 2) AS t
+  FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS run_id, payload, CAST(strlen(payload) AS BIGINT) AS n_bytes, n_files, n_failed,
+       'Copied ' || CAST(strlen(payload) AS VARCHAR) || ' bytes from /conv/' || CAST(conv_id AS VARCHAR) || '/'
+         || CAST(t AS VARCHAR) || '.txt to clipboard' AS summary,
+       CAST(NULL AS VARCHAR) AS error_kind
+FROM g
+"""
+
+ORACLE["selection_cardinality"] = """
+SELECT conv_id, role, count(*) AS n_items,
+       CASE WHEN count(*) > 1 THEN 'Please select only one file' END AS message
+FROM conversations GROUP BY conv_id, role
+"""
+
+ORACLE["inline_union"] = """
+WITH g AS (
+  SELECT conv_id, count(*) AS n_files, string_agg(text, chr(10) ORDER BY turn) AS payload,
+         min_by(CASE WHEN role = 'system' THEN 'stdin'
+                     ELSE '/conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.txt' END, turn) AS fp
+  FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS run_id, n_files, CAST(strlen(payload) AS BIGINT) AS n_bytes, payload,
+       'Copied ' || CAST(strlen(payload) AS VARCHAR) || ' bytes from '
+         || CASE WHEN n_files = 1 THEN fp ELSE CAST(n_files AS VARCHAR) || ' files' END || ' to clipboard' AS summary
+FROM g
+"""
+
+ORACLE["outcome_rollup"] = f"""
+WITH d AS (SELECT doc_id, regexp_full_match(text, '{UTF8_AS_LATIN1}') AS u8 FROM documents),
+o AS (
+  SELECT 'strict' AS profile,
+         CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN CASE WHEN u8 THEN 'ok' ELSE 'IoError' END
+              ELSE 'BinaryFile' END AS kind FROM d
+  UNION ALL
+  SELECT 'lenient', CASE WHEN doc_id % 4 = 3 THEN 'binaryFile' ELSE 'ok' END FROM d)
+SELECT profile, 'text' AS route, kind, count(*) AS n FROM o GROUP BY profile, kind
+"""

@@ -32,3 +32,231 @@ def payload_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "payload_by_source": payload_by_source,
 }
+
+
+# ----------------------------------------------------------------------------
+# Shared input rules
+# ----------------------------------------------------------------------------
+from ..functions.decode import has_nul_in_window, lossy_utf8  # noqa: E402
+from ..functions.text import is_blank, utrim  # noqa: E402
+from ..operators.payload import outcome_rollup  # noqa: E402
+from ..operators.validate import selection_status, validation_error  # noqa: E402
+from ..profiles import LENIENT, STRICT  # noqa: E402
+from ..sources.manifest import split_inline  # noqa: E402
+
+
+def _bin(hexstr: str):
+    return F.unhex(F.lit(hexstr))
+
+
+def _utf32le(text):
+    return F.unhex(F.regexp_replace(F.hex(F.encode(text, "UTF-32")), "(..)(..)(..)(..)", "$4$3$2$1"))
+
+
+def _docs_as_files(spark, sf_dir, content=None):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "source", "text", doc_path().alias("path"),
+                       (content if content is not None else F.encode("text", "UTF-8")).alias("content"))
+
+
+def _kind(err="error"):
+    return F.col(f"{err}.kind")
+
+
+# ----------------------------------------------------------------------------
+# P7, P8, D1-D10
+# ----------------------------------------------------------------------------
+def nul_sniff(spark, sf_dir):
+    """NUL spliced at byte 10, 8191 or 8192 (doc_id % 4) into text repeated past 8200 bytes."""
+    docs = table(spark, sf_dir, "documents")
+    k = F.expr("8200 div octet_length(text) + 1")
+    rep = F.encode(F.expr("repeat(text, 8200 div octet_length(text) + 1)"), "UTF-8")
+    off = (F.when(F.col("doc_id") % 4 == 0, F.lit(10)).when(F.col("doc_id") % 4 == 1, F.lit(8191))
+           .when(F.col("doc_id") % 4 == 2, F.lit(8192)))
+    d = docs.select("doc_id", rep.alias("rep"), off.alias("off"))
+    content = F.when(F.col("off").isNull(), F.col("rep")).otherwise(
+        F.concat(F.substring("rep", F.lit(1), F.col("off")), _bin("00"),
+                 F.substring("rep", F.col("off") + 1, F.lit(2147483647))))
+    _ = k
+    d = d.withColumn("content", content)
+    return d.select("doc_id", F.octet_length("content").cast("bigint").alias("n_bytes"),
+                    F.coalesce(F.col("off"), F.lit(-1)).cast("int").alias("nul_offset"),
+                    has_nul_in_window(F.col("content")).alias("is_binary"))
+
+
+def blank_filter(spark, sf_dir):
+    """Texts replaced by Unicode blanks by doc_id % 5; the rest padded with blanks."""
+    docs = table(spark, sf_dir, "documents")
+    m = F.col("doc_id") % 5
+    t = (F.when(m == 0, F.lit("   ")).when(m == 1, F.lit("\t\n")).when(m == 2, F.lit("\u00a0"))
+         .when(m == 3, F.lit("\u3000\u3000")).otherwise(F.concat(F.lit("\u3000"), F.col("text"), F.lit(" \n"))))
+    d = docs.select("doc_id", t.alias("t"))
+    return d.select("doc_id", is_blank("t").alias("is_blank"), utrim("t").alias("trimmed"),
+                    F.char_length(utrim("t")).cast("bigint").alias("n_chars"))
+
+
+def _bad_utf8_content():
+    return F.when(F.col("doc_id") % 10 == 0, F.concat(F.encode("text", "UTF-8"), _bin("FF"))) \
+        .otherwise(F.encode("text", "UTF-8"))
+
+
+def utf8_strict(spark, sf_dir):
+    """Byte FF appended when doc_id % 10 = 0 -> IoError under strict."""
+    d = decode_text(_docs_as_files(spark, sf_dir, _bad_utf8_content()).drop("text"), STRICT)
+    return d.select("doc_id", "text", *_err_cols(d))
+
+
+def lossy_text(spark, sf_dir):
+    """Helper output read lossily: invalid bytes become U+FFFD."""
+    d = _docs_as_files(spark, sf_dir, _bad_utf8_content())
+    return d.select("doc_id", lossy_utf8(F.col("content")).alias("text"))
+
+
+def bom_decode(spark, sf_dir):
+    """BOM + UTF-16LE/BE or UTF-32LE/BE by doc_id % 5 (0 = plain UTF-8)."""
+    m = F.col("doc_id") % 5
+    t = F.col("text")
+    content = (F.when(m == 1, F.concat(_bin("FFFE"), F.encode(t, "UTF-16LE")))
+               .when(m == 2, F.concat(_bin("FEFF"), F.encode(t, "UTF-16BE")))
+               .when(m == 3, F.concat(_bin("FFFE0000"), _utf32le(t)))
+               .when(m == 4, F.concat(_bin("0000FEFF"), F.encode(t, "UTF-32")))
+               .otherwise(F.encode(t, "UTF-8")))
+    files = _docs_as_files(spark, sf_dir, content).drop("text")
+    len_ = decode_text(files, LENIENT, drop_content=False)
+    st = decode_text(len_.select("doc_id", "path", "content", F.col("text").alias("l_text"),
+                                 F.col("encoding").alias("l_enc")), STRICT)
+    return st.select("doc_id", F.col("l_enc").alias("encoding"), F.col("l_text").alias("text"),
+                     _kind().alias("strict_kind"))
+
+
+def utf16_guess(spark, sf_dir):
+    """UTF-16 without BOM (LE tried first, then BE); odd length -> binary."""
+    m = F.col("doc_id") % 3
+    t = F.col("text")
+    content = (F.when(m == 0, F.encode(t, "UTF-16LE")).when(m == 1, F.encode(t, "UTF-16BE"))
+               .otherwise(F.concat(F.encode(t, "UTF-16LE"), _bin("41"))))
+    files = _docs_as_files(spark, sf_dir, content).drop("text")
+    len_ = decode_text(files, LENIENT, drop_content=False)
+    st = decode_text(len_.select("doc_id", "path", "content", F.col("text").alias("l_text"),
+                                 F.col("encoding").alias("l_enc")), STRICT)
+    return st.select("doc_id", F.col("l_enc").alias("encoding"), F.col("l_text").alias("text"),
+                     _kind().alias("strict_kind"))
+
+
+def latin1_fallback(spark, sf_dir):
+    """ISO-8859-1 bytes: UTF-8 when valid (pure ASCII), else Latin-1; strict -> IoError."""
+    files = _docs_as_files(spark, sf_dir, F.encode("text", "ISO-8859-1")).drop("text")
+    len_ = decode_text(files, LENIENT, drop_content=False)
+    st = decode_text(len_.select("doc_id", "path", "content", F.col("text").alias("l_text"),
+                                 F.col("encoding").alias("l_enc")), STRICT)
+    return st.select("doc_id", F.col("l_enc").alias("encoding"), F.col("l_text").alias("text"),
+                     _kind().alias("strict_kind"))
+
+
+# ----------------------------------------------------------------------------
+# P6, P9, P12, A4, A5, A8, S3
+# ----------------------------------------------------------------------------
+SIZE_GATE_BYTES = 8192
+OUTPUT_GATE_BYTES = 131072
+
+
+def size_gate(spark, sf_dir):
+    """Input size limit as a parameter (8 KiB here; 50 MiB in the lenient profile)."""
+    d = _docs_as_files(spark, sf_dir).select(
+        "doc_id", "path", F.lit(True).alias("exists"), F.lit(False).alias("is_dir"),
+        F.lit(True).alias("link_target_exists"), F.lit(True).alias("readable"),
+        F.octet_length("text").cast("bigint").alias("length"))
+    e = validation_error(LENIENT.with_(max_file_bytes=SIZE_GATE_BYTES))
+    d = d.withColumn("error", e)
+    return d.select("doc_id", F.col("length").alias("n_bytes"), *_err_cols(d))
+
+
+def output_gate(spark, sf_dir):
+    """Output limit checked on the measured size before concatenating (128 KiB here)."""
+    d = decode_text(_docs_as_files(spark, sf_dir).drop("text")
+                    .select(F.col("source").alias("run_id"), F.col("doc_id").alias("ord"), "path", "content"),
+                    STRICT)
+    out = build_payload(d, LENIENT.with_(max_output_bytes=OUTPUT_GATE_BYTES), "fail_fast")
+    return out.select("run_id", "n_bytes", "payload", *_err_cols(out))
+
+
+def payload_status(spark, sf_dir):
+    """A4: documents with doc_id % 97 = 0 are missing; the first failure by id decides each source."""
+    docs = _docs_as_files(spark, sf_dir).drop("text")
+    inv = docs.where(F.col("doc_id") % 97 != 0).select("path", F.lit(True).alias("exists"))
+    e = docs.join(inv, "path", "left").withColumn("verr", validation_error(STRICT))
+    d = decode_text(e, STRICT)
+    d = d.withColumn("error", F.coalesce(F.col("verr"), F.col("error"))) \
+         .withColumn("text", F.when(F.col("verr").isNull(), F.col("text")))
+    d = d.select(F.col("source").alias("run_id"), F.col("doc_id").alias("ord"), "path", "text", "error")
+    out = build_payload(d, STRICT, "fail_fast")
+    return out.select("run_id", "n_files", "n_failed", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
+                      "payload", *_err_cols(out))
+
+
+def _conv_entries(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("ord"), "role", "text",
+                       F.concat(F.lit("/conv/"), F.col("conv_id").cast("string"), F.lit("/"),
+                                F.col("turn").cast("string"), F.lit(".txt")).alias("path"))
+
+
+def last_success_wins(spark, sf_dir):
+    """A5: every entry tried; turn % 3 = 2 is binary; the last success per conversation wins."""
+    c = _conv_entries(spark, sf_dir)
+    content = F.when(F.col("ord") % 3 == 2, F.concat(_bin("00"), F.encode("text", "UTF-8"))) \
+        .otherwise(F.encode("text", "UTF-8"))
+    d = decode_text(c.select("run_id", "ord", "path", content.alias("content")), STRICT)
+    out = build_payload(d, STRICT, "last_wins")
+    return out.select("run_id", "payload", "n_bytes", "n_files", "n_failed", "summary",
+                      _kind().alias("error_kind"))
+
+
+def selection_cardinality(spark, sf_dir):
+    """A selection is one (conversation, role); more than one item is refused."""
+    conv = table(spark, sf_dir, "conversations")
+    return selection_status(conv, ["conv_id", "role"]).select("conv_id", "role", "n_items", "message")
+
+
+def inline_union(spark, sf_dir):
+    """S3, O1: 'system' turns arrive inline ('-'), the rest as files; order kept by turn."""
+    c = _conv_entries(spark, sf_dir)
+    m = c.select("run_id", "ord", F.when(F.col("role") == "system", F.lit("-")).otherwise(F.col("path")).alias("path"),
+                 F.when(F.col("role") == "system", F.col("text")).alias("inline_text"),
+                 F.lit(None).cast("string").alias("declared_type"), F.encode("text", "UTF-8").alias("content"))
+    inline, files = split_inline(m)
+    fd = decode_text(files, STRICT).select("run_id", "ord", "path", "text", "error")
+    il = inline.select("run_id", "ord", "path", F.col("inline_text").alias("text"),
+                       F.lit(None).cast("struct<kind:string,path:string,message:string>").alias("error"))
+    out = build_payload(fd.unionByName(il), STRICT, "fail_fast")
+    return out.select("run_id", "n_files", "n_bytes", "payload", "summary")
+
+
+def outcome_rollup_q(spark, sf_dir):
+    """Outcome counts by profile, route and error kind over a mixed-encoding corpus."""
+    m = F.col("doc_id") % 4
+    t = F.col("text")
+    content = (F.when(m == 0, F.encode(t, "UTF-8")).when(m == 1, F.encode(t, "ISO-8859-1"))
+               .when(m == 2, F.encode(t, "UTF-16LE")).otherwise(F.concat(_bin("00"), F.encode(t, "UTF-16LE"))))
+    files = _docs_as_files(spark, sf_dir, content).drop("text").withColumn("route", F.lit("text"))
+    s = decode_text(files, STRICT).withColumn("profile", F.lit("strict"))
+    l_ = decode_text(files, LENIENT).withColumn("profile", F.lit("lenient"))
+    return outcome_rollup(s.unionByName(l_), keys=("profile", "route")).select("profile", "route", "kind", "n")
+
+
+QUERIES.update({
+    "nul_sniff": nul_sniff,
+    "blank_filter": blank_filter,
+    "utf8_strict": utf8_strict,
+    "lossy_text": lossy_text,
+    "bom_decode": bom_decode,
+    "utf16_guess": utf16_guess,
+    "latin1_fallback": latin1_fallback,
+    "size_gate": size_gate,
+    "output_gate": output_gate,
+    "payload_status": payload_status,
+    "last_success_wins": last_success_wins,
+    "selection_cardinality": selection_cardinality,
+    "inline_union": inline_union,
+    "outcome_rollup": outcome_rollup_q,
+})
