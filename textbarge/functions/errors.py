@@ -40,6 +40,7 @@ LENIENT_KINDS = ("fileNotFound", "permissionDenied", "binaryFile", "fileTooLarge
 # Operating-system and codec texts that the strict tool passes through.
 IO_INVALID_UTF8 = "stream did not contain valid UTF-8"
 IO_IS_DIRECTORY = "Is a directory (os error 21)"
+IO_PERMISSION_DENIED = "Permission denied (os error 13)"
 # Messages of the desktop front end (not error kinds).
 NO_FILE_SELECTED = "No file selected"
 SELECT_ONE_FILE = "Please select only one file"

@@ -31,9 +31,12 @@ def to_local_path(path) -> Column:
 
 
 def url_path(path) -> Column:
-    """Drop ?query and #fragment from URLs (a plain path keeps those characters)."""
+    """Path component of a URL: no scheme, authority, ?query or #fragment
+    (a plain path keeps those characters)."""
     p = col(path)
-    return F.when(scheme(p) != "", F.regexp_replace(p, r"[?#].*$", "")).otherwise(p)
+    no_q = F.regexp_replace(p, r"[?#].*$", "")
+    return (F.when(scheme(p) != "", F.regexp_replace(no_q, r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?", ""))
+            .otherwise(p))
 
 
 def extension(path) -> Column:
@@ -61,7 +64,7 @@ def route_from_extension(ext, profile: Profile | str) -> Column:
 def route(path, profile: Profile | str, declared_type=None) -> Column:
     """R5 + R6: declared type first under lenient, extension otherwise."""
     p = get_profile(profile)
-    by_ext = route_from_extension(extension(url_path(path)), p)
+    by_ext = route_from_extension(extension(url_path(path) if p.use_declared_type else col(path)), p)
     if p.use_declared_type and declared_type is not None:
         return F.coalesce(route_from_type(declared_type), by_ext)
     return by_ext

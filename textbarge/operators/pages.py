@@ -52,12 +52,16 @@ def _s(c) -> Column:
 
 
 # --------------------------------------------------------------------------- G1
-def expand_pages(facts: DataFrame, cap: int | None = None) -> DataFrame:
-    """One row per expected page ``0 .. min(n, cap)-1``; nothing for n <= 0."""
-    n = F.col("page_count")
+def expand_pages(facts: DataFrame, cap: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per expected page ``0 .. min(n, cap)-1``; nothing for n <= 0.
+
+    ``explode`` is a generator: rows stream out of the task, so a document with
+    many pages is not held in memory; the following join spreads them by page.
+    """
+    n = F.col("page_count").cast("int")
     m = F.least(n, F.lit(cap)) if cap is not None else n
     return (facts.where(m > 0)
-            .select("path", F.explode(F.sequence(F.lit(0), m - 1)).alias("page_idx")))
+            .select("path", *keep, F.explode(F.sequence(F.lit(0), m - 1)).alias("page_idx")))
 
 
 def attach_pages(expanded: DataFrame, pages: DataFrame) -> DataFrame:

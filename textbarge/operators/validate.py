@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.errors import IO_IS_DIRECTORY, lenient_error, null_error, strict_error
+from ..functions.errors import IO_IS_DIRECTORY, IO_PERMISSION_DENIED, lenient_error, null_error, strict_error
 from ..functions.route import is_local
 from ..profiles import Profile, get_profile
 
@@ -50,13 +50,22 @@ def validation_error(profile: Profile | str, path: str = "path", lookup: str = "
     return e.otherwise(null_error())
 
 
-def open_error(profile: Profile | str, path: str = "path") -> Column:
-    """Strict text route: what opening and reading the file reports before decoding."""
+def open_error(profile: Profile | str, path: str = "path", route: str = "text") -> Column:
+    """Strict: what opening the file reports before any decoding / parsing.
+
+    Text route: unreadable -> PermissionDenied, directory -> IoError.
+    PDF / image routes: the parser's open fails -> ExtractionError with the OS text.
+    """
     p = get_profile(profile)
     if p.name != "strict":
         return null_error()
-    return (F.when(F.col("readable") == F.lit(False), strict_error("PermissionDenied", path))
-            .when(F.col("is_dir") == F.lit(True), strict_error("IoError", path, F.lit(IO_IS_DIRECTORY)))
+    if route == "text":
+        return (F.when(F.col("readable") == F.lit(False), strict_error("PermissionDenied", path))
+                .when(F.col("is_dir") == F.lit(True), strict_error("IoError", path, F.lit(IO_IS_DIRECTORY)))
+                .otherwise(null_error()))
+    return (F.when(F.col("is_dir") == F.lit(True), strict_error("ExtractionError", path, F.lit(IO_IS_DIRECTORY)))
+            .when(F.col("readable") == F.lit(False),
+                  strict_error("ExtractionError", path, F.lit(IO_PERMISSION_DENIED)))
             .otherwise(null_error()))
 
 

@@ -173,3 +173,318 @@ o AS (
   SELECT 'lenient', CASE WHEN doc_id % 4 = 3 THEN 'binaryFile' ELSE 'ok' END FROM d)
 SELECT profile, 'text' AS route, kind, count(*) AS n FROM o GROUP BY profile, kind
 """
+
+# --------------------------------------------------------------------------
+# page assembly
+# --------------------------------------------------------------------------
+from ..profiles import LENIENT_PAGE_SEPARATOR, STRICT_PAGE_SEPARATOR  # noqa: E402
+
+CONV_PATH = "('/conv/' || CAST(conv_id AS VARCHAR) || '.pdf')"
+PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _sep_sql(fmt: str) -> str:
+    pre, post = fmt.split("{n}")
+    return f"'{pre}' || CAST(turn + 1 AS VARCHAR) || '{post}'"
+
+
+ORACLE["pages_embedded"] = f"""
+WITH p AS (
+  SELECT conv_id, turn, (turn % 7 = 4 AND conv_id % 2 = 0) AS bad,
+         CASE WHEN turn % 7 = 4 AND conv_id % 2 = 0 THEN NULL
+              WHEN turn < conv_id % 3 OR turn % 5 = 3 THEN '' ELSE text END AS emb
+  FROM conversations),
+s AS (SELECT conv_id, turn, emb,
+             coalesce(bool_or(emb <> '') OVER (PARTITION BY conv_id ORDER BY turn {PRIOR}), false) AS prior
+      FROM p),
+l AS (SELECT conv_id, turn, emb,
+             coalesce(bool_or(emb <> '') OVER (PARTITION BY conv_id ORDER BY turn {PRIOR}), false) AS prior
+      FROM p WHERE NOT bad),
+st AS (SELECT conv_id, string_agg(CASE WHEN prior THEN chr(10) ELSE '' END || emb, '' ORDER BY turn) AS t
+       FROM s GROUP BY conv_id),
+lt AS (SELECT conv_id, string_agg(CASE WHEN prior THEN chr(10) ELSE '' END || emb, '' ORDER BY turn) AS t
+       FROM l GROUP BY conv_id),
+fb AS (SELECT conv_id, min(turn) FILTER (WHERE bad) AS fbad FROM p GROUP BY conv_id)
+SELECT fb.conv_id,
+       CASE WHEN fbad IS NULL THEN coalesce(st.t, '') END AS strict_text,
+       CASE WHEN fbad IS NOT NULL THEN 'Failed to extract text from ''/conv/' || CAST(fb.conv_id AS VARCHAR)
+            || '.pdf'': Failed to extract page ' || CAST(fbad + 1 AS VARCHAR) || ': unsupported font encoding' END
+         AS strict_error,
+       coalesce(lt.t, '') AS lenient_text,
+       CAST(NULL AS VARCHAR) AS lenient_error
+FROM fb LEFT JOIN st ON st.conv_id = fb.conv_id LEFT JOIN lt ON lt.conv_id = fb.conv_id
+"""
+
+
+def _ocr_sql(profile: str, cap: int | None) -> str:
+    sep = _sep_sql(STRICT_PAGE_SEPARATOR if profile == "strict" else LENIENT_PAGE_SEPARATOR)
+    capf = f"WHERE turn < {cap}" if cap else ""
+    failed = ("(turn % 4 = 3 AND conv_id % 3 = 0)" if profile == "strict"
+              else "((turn % 4 = 3 AND conv_id % 3 = 0) OR (turn % 4 = 1 AND conv_id % 5 = 1))")
+    return f"""
+WITH n AS (SELECT conv_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id),
+p AS (
+  SELECT conv_id, turn,
+         CASE WHEN turn < conv_id % 3 THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines,
+         {failed} AS failed
+  FROM conversations {capf}),
+q AS (SELECT *, coalesce(bool_or(NOT failed AND len(lines) > 0)
+                         OVER (PARTITION BY conv_id ORDER BY turn {PRIOR}), false) AS prior FROM p),
+r AS (SELECT *, list_concat(CASE WHEN prior THEN ['', {sep}, ''] ELSE []::VARCHAR[] END, lines) AS piece FROM q),
+g AS (
+  SELECT conv_id, count(*) AS n_pages, count(*) FILTER (WHERE failed) AS n_failed,
+         string_agg(CASE WHEN NOT failed AND len(piece) > 0 THEN array_to_string(piece, chr(10)) END,
+                    chr(10) ORDER BY turn) AS core,
+         string_agg(CASE WHEN failed THEN 'Warning: OCR failed on page ' || CAST(turn + 1 AS VARCHAR)
+                         || ': recognition failed' END, chr(10) ORDER BY turn) AS warns,
+         string_agg(CASE WHEN failed THEN CAST(turn + 1 AS VARCHAR) END, ', ' ORDER BY turn) AS failed_pages
+  FROM r GROUP BY conv_id)
+SELECT g.*, n.n FROM g JOIN n USING (conv_id)
+"""
+
+
+ORACLE["pages_ocr_strict"] = f"""
+WITH x AS ({_ocr_sql("strict", None)})
+SELECT conv_id,
+       CASE WHEN n_failed = 0 AND trim(coalesce(core, ''), {WS_SQL}) <> '' THEN core || chr(10) END AS text,
+       CASE WHEN n_failed > 0 THEN 'Failed to extract text from ''' || {CONV_PATH} || ''': OCR failed: '
+                 || trim(warns || chr(10) || 'Error: ' || CAST(n_failed AS VARCHAR) || ' of ' || CAST(n AS VARCHAR)
+                 || ' pages had errors', {WS_SQL})
+            WHEN trim(coalesce(core, ''), {WS_SQL}) = '' THEN 'Failed to extract text from ''' || {CONV_PATH}
+                 || ''': OCR failed: Error: No text recognized in PDF (all pages were blank or unreadable)' END
+         AS error_message,
+       CAST(n_pages AS BIGINT) AS n_pages, CAST(n_failed AS BIGINT) AS n_failed
+FROM x
+"""
+
+ORACLE["pages_ocr_lenient"] = f"""
+WITH x AS ({_ocr_sql("lenient", 4)})
+SELECT conv_id,
+       CASE WHEN trim(coalesce(core, ''), {WS_SQL}) <> '' THEN
+            trim(core, {WS_SQL})
+            || CASE WHEN n_failed > 0 THEN chr(10) || chr(10) || '[Warning: Failed to process pages: '
+                    || failed_pages || ']' ELSE '' END
+            || CASE WHEN n > 4 THEN chr(10) || chr(10) || '[Warning: PDF truncated. Processed 4 of '
+                    || CAST(n AS VARCHAR) || ' pages]' ELSE '' END END AS text,
+       CASE WHEN trim(coalesce(core, ''), {WS_SQL}) = '' THEN 'No text recognized in PDF' END AS error_message,
+       CAST(n_pages AS BIGINT) AS n_pages, CAST(n_failed AS BIGINT) AS n_failed, failed_pages
+FROM x
+"""
+
+ORACLE["embedded_or_ocr"] = f"""
+WITH d AS (
+  SELECT doc_id, '/data/' || source || '/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path, documents.text AS text,
+         b.text AS btext
+  FROM documents LEFT JOIN benchmark b ON b.item_id * 3 = documents.doc_id)
+SELECT doc_id,
+       CASE WHEN doc_id % 3 <> 0 THEN 'embedded' WHEN btext IS NOT NULL THEN 'ocr' END AS strict_source,
+       CASE WHEN doc_id % 3 <> 0 THEN text WHEN btext IS NOT NULL THEN btext || chr(10) END AS strict_text,
+       CASE WHEN doc_id % 3 = 0 AND btext IS NULL THEN 'Failed to extract text from ''' || path
+            || ''': OCR failed: Warning: Could not access page 1' || chr(10) || 'Error: 1 of 1 pages had errors' END
+         AS strict_error,
+       CASE WHEN doc_id % 3 <> 0 THEN 'embedded' WHEN btext IS NOT NULL THEN 'ocr' END AS lenient_source,
+       CASE WHEN doc_id % 3 <> 0 THEN text WHEN btext IS NOT NULL THEN trim(btext, {WS_SQL}) END AS lenient_text,
+       CASE WHEN doc_id % 3 = 0 AND btext IS NULL THEN 'No text recognized in PDF' END AS lenient_error
+FROM d
+"""
+
+ORACLE["page_failures"] = """
+WITH f AS (SELECT conv_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id),
+e AS (SELECT conv_id, unnest(range(0, n)) AS page_idx FROM f),
+p AS (SELECT conv_id, turn, turn % 4 = 3 AS err, turn % 7 = 6 AS slow,
+             CASE WHEN turn % 6 = 5 THEN 5000.0::DOUBLE ELSE 612.0::DOUBLE END AS w,
+             CASE WHEN turn % 6 = 5 THEN 5000.0::DOUBLE ELSE 792.0::DOUBLE END AS h
+      FROM conversations WHERE turn % 5 <> 4),
+j AS (SELECT e.conv_id, e.page_idx, p.turn IS NOT NULL AS has, err, slow,
+             CAST(trunc(w * (150.0::DOUBLE / 72.0::DOUBLE)) AS BIGINT)
+               * CAST(trunc(h * (150.0::DOUBLE / 72.0::DOUBLE)) AS BIGINT) AS px
+      FROM e LEFT JOIN p ON p.conv_id = e.conv_id AND p.turn = e.page_idx)
+SELECT conv_id, CAST(page_idx + 1 AS INTEGER) AS page_no,
+       CASE WHEN NOT has THEN 'access' WHEN err THEN 'recognize' ELSE 'ok' END AS strict_status,
+       CASE WHEN NOT has THEN 'access' WHEN px > 50000000 THEN 'render' WHEN slow THEN 'timeout'
+            WHEN err THEN 'recognize' ELSE 'ok' END AS lenient_status,
+       CASE WHEN NOT has THEN 'Warning: Could not access page ' || CAST(page_idx + 1 AS VARCHAR)
+            WHEN err THEN 'Warning: OCR failed on page ' || CAST(page_idx + 1 AS VARCHAR) || ': recognition failed'
+       END AS strict_warning
+FROM j
+"""
+
+ORACLE["page_expand"] = """
+WITH f AS (SELECT conv_id, max(turn) + 1 + conv_id % 2 AS n FROM conversations GROUP BY conv_id),
+e AS (SELECT conv_id, unnest(range(0, n)) AS page_idx FROM f)
+SELECT e.conv_id, CAST(e.page_idx AS INTEGER) AS page_idx, CAST(e.page_idx + 1 AS INTEGER) AS page_no,
+       c.turn IS NOT NULL AS has_result
+FROM e LEFT JOIN (SELECT conv_id, turn FROM conversations WHERE turn % 5 <> 4) c
+  ON c.conv_id = e.conv_id AND c.turn = e.page_idx
+"""
+
+ORACLE["page_timeout"] = """
+SELECT event_id, CAST(floor(value * 1000) AS BIGINT) AS elapsed_ms,
+       CASE WHEN floor(value * 1000) <= 60000 THEN event_type END AS text,
+       CASE WHEN floor(value * 1000) > 60000 THEN 'ocrTimeout' END AS error_kind,
+       CASE WHEN floor(value * 1000) > 60000 THEN 'OCR timed out: ' || CAST(event_id AS VARCHAR) || '.png' END
+         AS error_message
+FROM events
+"""
+
+ORACLE["raster_gate"] = """
+WITH d AS (
+  SELECT p_partkey,
+         CAST(trunc(p_size * 61.2::DOUBLE * (150.0::DOUBLE / 72.0::DOUBLE)) AS INTEGER) AS width_px,
+         CAST(trunc(p_size * 79.2::DOUBLE * (150.0::DOUBLE / 72.0::DOUBLE)) AS INTEGER) AS height_px
+  FROM part)
+SELECT p_partkey, width_px, height_px, CAST(width_px AS BIGINT) * height_px AS pixels,
+       CAST(width_px AS BIGINT) * height_px // 1000000 AS megapixels,
+       CASE WHEN CAST(width_px AS BIGINT) * height_px > 50000000 THEN 'imageTooLarge' END AS error_kind,
+       CASE WHEN CAST(width_px AS BIGINT) * height_px > 50000000 THEN 'Image too large ('
+            || CAST(CAST(width_px AS BIGINT) * height_px // 1000000 AS VARCHAR) || 'MP): '
+            || CAST(p_partkey AS VARCHAR) || '.png' END AS error_message
+FROM d
+"""
+
+# --------------------------------------------------------------------------
+# validation, routing, errors, lookups
+# --------------------------------------------------------------------------
+ORACLE["doc_facts_gate"] = """
+WITH d AS (SELECT o_orderkey AS k, '/orders/' || CAST(o_orderkey AS VARCHAR) || '.pdf' AS path,
+                  CAST(o_orderkey AS VARCHAR) || '.pdf' AS name FROM orders)
+SELECT k AS o_orderkey,
+       CASE WHEN k % 17 = 0 THEN 'FileNotFound' WHEN k % 11 = 0 OR k % 7 = 0 OR k % 5 = 0 THEN 'ExtractionError' END
+         AS strict_kind,
+       CASE WHEN k % 17 = 0 THEN 'File not found: ' || path
+            WHEN k % 11 = 0 THEN 'Failed to extract text from ''' || path || ''': Is a directory (os error 21)'
+            WHEN k % 7 = 0 THEN 'Failed to extract text from ''' || path || ''': Permission denied (os error 13)'
+            WHEN k % 5 = 0 THEN 'Failed to extract text from ''' || path || ''': bad xref table' END AS strict_message,
+       CASE WHEN k % 17 = 0 THEN 'fileNotFound' WHEN k % 11 = 0 THEN 'isDirectory' WHEN k % 13 = 0 THEN 'fileNotFound'
+            WHEN k % 7 = 0 THEN 'permissionDenied' WHEN (k % 23) * 3000000 > 52428800 THEN 'fileTooLarge'
+            WHEN k % 5 = 0 OR k % 3 = 0 OR k % 19 = 0 THEN 'extractionFailed' END AS lenient_kind,
+       CASE WHEN k % 17 = 0 THEN 'File not found: ' || name WHEN k % 11 = 0 THEN 'Cannot copy directory: ' || name
+            WHEN k % 13 = 0 THEN 'File not found: ' || name WHEN k % 7 = 0 THEN 'Permission denied: ' || name
+            WHEN (k % 23) * 3000000 > 52428800 THEN 'File too large (' || CAST((k % 23) * 3000000 // 1024 // 1024 AS VARCHAR)
+                 || 'MB): ' || name
+            WHEN k % 5 = 0 THEN 'Could not open PDF' WHEN k % 3 = 0 THEN 'PDF is password-protected'
+            WHEN k % 19 = 0 THEN 'PDF has no pages' END AS lenient_message
+FROM d
+"""
+
+
+def _error_messages_sql() -> str:
+    name = "(s_name || '.txt')"
+    p = "path"
+    det = "detail"
+    cases = [
+        f"'File not found: ' || {p}", f"'Permission denied: ' || {p}", f"'Cannot read binary file: ' || {p}",
+        f"'Failed to extract text from ''' || {p} || ''': ' || {det}", f"'Failed to read file ''' || {p} || ''': ' || {det}",
+        f"'Clipboard error: ' || {det}", "'No files specified'",
+        f"'File not found: ' || {name}", f"'Permission denied: ' || {name}", f"'Binary file: ' || {name}",
+        f"'File too large (' || CAST(s_suppkey * 3145728 // 1024 // 1024 AS VARCHAR) || 'MB): ' || {name}",
+        "'Output too large (' || CAST(s_suppkey * 3145728 // 1024 // 1024 AS VARCHAR) || 'MB) for clipboard'",
+        f"'Image too large (' || CAST((s_suppkey + 4000) * (s_suppkey + 3000) // 1000000 AS VARCHAR) || 'MP): ' || {name}",
+        f"'Cannot copy directory: ' || {name}", f"'Not a local file: ' || {p}", det, f"'OCR timed out: ' || {name}",
+    ]
+    kinds = ["FileNotFound", "PermissionDenied", "BinaryFile", "ExtractionError", "IoError", "ClipboardError",
+             "NoFilesSpecified", "fileNotFound", "permissionDenied", "binaryFile", "fileTooLarge", "outputTooLarge",
+             "imageTooLarge", "isDirectory", "notFileURL", "extractionFailed", "ocrTimeout"]
+    kc = " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(kinds))
+    mc = " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(cases))
+    note = "CASE WHEN length(m) > 100 THEN left(m, 97) || '...' ELSE m END"
+    return f"""
+WITH s AS (
+  SELECT s_suppkey, s_name, CAST(s_suppkey % 17 AS INTEGER) AS idx,
+         '/srv/' || CAST(s_nationkey AS VARCHAR) || '/' || s_name || '.txt' AS path,
+         trim(repeat(s_name || ' ', CAST(1 + s_suppkey % 6 AS INTEGER))) AS detail
+  FROM supplier),
+m AS (SELECT s_suppkey, idx, CASE idx {kc} END AS kind, CASE idx {mc} END AS m FROM s)
+SELECT s_suppkey, CASE WHEN idx < 7 THEN 'strict' ELSE 'lenient' END AS profile, kind, m AS message,
+       {note} AS notification,
+       CASE WHEN idx < 7 THEN {note} END AS workflow
+FROM m
+"""
+
+
+ORACLE["error_messages"] = _error_messages_sql()
+
+ORACLE["local_url_check"] = """
+WITH d AS (
+  SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/srv/pages/' || CAST(page_id AS VARCHAR) || '.html'
+                  WHEN 1 THEN 'file:///srv/pages/' || CAST(page_id AS VARCHAR) || '.html' ELSE url END AS path
+  FROM pages),
+s AS (SELECT page_id, path, lower(regexp_extract(path, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS scheme FROM d)
+SELECT page_id, path, scheme, scheme IN ('', 'file') AS is_local,
+       CASE WHEN scheme IN ('', 'file') THEN regexp_replace(path, '^[Ff][Ii][Ll][Ee]:(//[^/]*)?', '') END AS lookup_path,
+       CASE WHEN scheme NOT IN ('', 'file') THEN 'Not a local file: ' || path END AS error_message
+FROM s
+"""
+
+ORACLE["extension_route"] = """
+WITH d AS (
+  SELECT 'page-' || CAST(page_id AS VARCHAR) AS item, url AS path, CAST(NULL AS VARCHAR) AS declared_type FROM pages
+  UNION ALL
+  SELECT 'doc-' || CAST(doc_id AS VARCHAR),
+         '/data/' || source || '/' || CAST(doc_id AS VARCHAR)
+           || CASE doc_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.heif' WHEN 3 THEN '.txt'
+                              WHEN 4 THEN '' ELSE '.tar.gz' END,
+         CASE doc_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'text/plain' END
+  FROM documents),
+u AS (
+  SELECT item, path, declared_type,
+         CASE WHEN regexp_extract(path, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) <> ''
+              THEN regexp_replace(regexp_replace(path, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.\\-]*:(//[^/]*)?', '')
+              ELSE path END AS up
+  FROM d),
+e AS (
+  SELECT item, declared_type,
+         lower(nullif(regexp_extract(path, '[^/]\\.([^./]*)$', 1), '')) AS strict_ext,
+         lower(nullif(regexp_extract(up, '[^/]\\.([^./]*)$', 1), '')) AS lenient_ext
+  FROM u)
+SELECT item, strict_ext, lenient_ext,
+       CASE WHEN strict_ext = 'pdf' THEN 'pdf'
+            WHEN strict_ext IN ('png','jpg','jpeg','tiff','tif','gif','bmp','webp','heic','heif') THEN 'image'
+            ELSE 'text' END AS strict_route,
+       CASE WHEN declared_type = 'application/pdf' THEN 'pdf' WHEN declared_type LIKE 'image/%' THEN 'image'
+            WHEN declared_type LIKE 'text/%' THEN 'text'
+            WHEN lenient_ext = 'pdf' THEN 'pdf'
+            WHEN lenient_ext IN ('png','jpg','jpeg','tiff','tif','heic','webp','bmp','gif') THEN 'image'
+            ELSE 'text' END AS lenient_route
+FROM e
+"""
+
+ORACLE["missing_files"] = f"""
+SELECT doc_id, l.doc_id IS NOT NULL AS exists,
+       CASE WHEN l.doc_id IS NULL THEN 'File not found: ' || {DOC_PATH} END AS strict_message,
+       CASE WHEN l.doc_id IS NULL THEN 'File not found: ' || CAST(doc_id AS VARCHAR) || '.txt' END AS lenient_message
+FROM documents LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
+"""
+
+ORACLE["missing_only"] = f"""
+SELECT doc_id, {DOC_PATH} AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+"""
+
+ORACLE["extraction_lookup"] = """
+WITH d AS (SELECT d.doc_id, d.text, l.quality, '/img/' || CAST(d.doc_id AS VARCHAR) || '.png' AS path,
+                  CASE WHEN l.doc_id IS NULL THEN 'No extraction result for this path'
+                       WHEN l.quality = 0 THEN 'low quality scan' END AS msg
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT doc_id, CASE WHEN msg IS NULL THEN text END AS text,
+       CASE WHEN msg IS NOT NULL THEN 'Failed to extract text from ''' || path || ''': ' || msg END AS strict_message,
+       msg AS lenient_message
+FROM d
+"""
+
+ORACLE["top_candidate"] = f"""
+WITH d AS (
+  SELECT doc_id, '/img/' || CAST(doc_id AS VARCHAR) || '.png' AS path,
+         list_filter(list_transform(string_split(CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END, chr(10)),
+                                    lambda l: list_filter(string_split(l, ' '), lambda w: w <> '')[1]),
+                     lambda x: x IS NOT NULL) AS lines
+  FROM documents),
+t AS (SELECT doc_id, path, lines, array_to_string(lines, chr(10)) AS j FROM d)
+SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines,
+       CASE WHEN trim(CASE WHEN len(lines) > 0 THEN j || chr(10) ELSE '' END, {WS_SQL}) <> ''
+            THEN CASE WHEN len(lines) > 0 THEN j || chr(10) ELSE '' END END AS strict_text,
+       CASE WHEN trim(CASE WHEN len(lines) > 0 THEN j || chr(10) ELSE '' END, {WS_SQL}) = ''
+            THEN 'Failed to extract text from ''' || path || ''': Image contains no recognizable text' END AS strict_error,
+       CASE WHEN trim(j, {WS_SQL}) <> '' THEN j END AS lenient_text,
+       CASE WHEN trim(j, {WS_SQL}) = '' THEN 'No text recognized in image' END AS lenient_error
+FROM t
+"""

@@ -260,3 +260,325 @@ QUERIES.update({
     "inline_union": inline_union,
     "outcome_rollup": outcome_rollup_q,
 })
+
+
+# ----------------------------------------------------------------------------
+# Page assembly: G1-G17, A6, A7, M1, P10, P11, P13-P16
+# ----------------------------------------------------------------------------
+from ..functions.errors import lenient_error, strict_error  # noqa: E402
+from ..functions.raster import pixels, raster_px, too_many_pixels  # noqa: E402
+from ..functions.text import megapixels  # noqa: E402
+from ..functions.route import extension, is_local, route, scheme, to_local_path, url_path  # noqa: E402
+from ..functions.text import last_line_message, notification, page_no  # noqa: E402
+from ..operators.pages import (assemble_embedded, assemble_image, assemble_ocr, attach_pages,  # noqa: E402
+                               classify_pages, embedded_or_ocr, expand_pages, pdf_gate, strict_warning,
+                               top_candidates)
+from ..operators.validate import missing_paths, open_error  # noqa: E402
+from ..sources.extraction import lookup_extraction  # noqa: E402
+from .tables import conv_path  # noqa: E402
+
+OCR_PAGE_CAP = 4
+
+
+def _conv_facts(conv, extra=None):
+    pc = F.max("turn") + 1 + (extra if extra is not None else F.lit(0))
+    return (conv.groupBy("conv_id").agg(pc.cast("int").alias("page_count"))
+            .select("conv_id", conv_path().alias("path"), F.lit(None).cast("string").alias("open_error"),
+                    F.lit(False).alias("locked"), "page_count"))
+
+
+def pages_embedded(spark, sf_dir):
+    """Conversations as PDFs, turn = page; leading and some later pages empty; some pages fail."""
+    conv = table(spark, sf_dir, "conversations")
+    facts = _conv_facts(conv)
+    bad = (F.col("turn") % 7 == 4) & (F.col("conv_id") % 2 == 0)
+    pages = conv.select(conv_path().alias("path"), F.col("turn").cast("int").alias("page_idx"),
+                        F.when(bad, F.lit(None).cast("string"))
+                        .when((F.col("turn") < F.col("conv_id") % 3) | (F.col("turn") % 5 == 3), F.lit(""))
+                        .otherwise(F.col("text")).alias("embedded"),
+                        F.when(bad, F.lit("unsupported font encoding")).alias("error"))
+    s = assemble_embedded(facts, pages, STRICT).select("path", F.col("text").alias("strict_text"),
+                                                        F.col("error.message").alias("strict_error"))
+    l_ = assemble_embedded(facts, pages, LENIENT).select("path", F.col("text").alias("lenient_text"),
+                                                          F.col("error.message").alias("lenient_error"))
+    return facts.select("conv_id", "path").join(s, "path").join(l_, "path").drop("path")
+
+
+def _ocr_pages(conv):
+    failed = (F.col("turn") % 4 == 3) & (F.col("conv_id") % 3 == 0)
+    slow = (F.col("turn") % 4 == 1) & (F.col("conv_id") % 5 == 1)
+    return conv.select(
+        conv_path().alias("path"), F.col("turn").cast("int").alias("page_idx"),
+        F.lit(None).cast("string").alias("embedded"),
+        F.when(F.col("turn") < F.col("conv_id") % 3, F.array().cast("array<string>"))
+         .otherwise(F.split(F.col("text"), "\n")).alias("lines"),
+        F.when(failed, F.lit("recognition failed")).alias("error"),
+        F.when(slow, F.lit(61000)).otherwise(F.lit(1000)).cast("bigint").alias("elapsed_ms"),
+        F.lit(612.0).alias("width_pt"), F.lit(792.0).alias("height_pt"))
+
+
+def pages_ocr_strict(spark, sf_dir):
+    """Strict OCR assembly; failed pages where turn % 4 = 3 (conv_id % 3 = 0)."""
+    conv = table(spark, sf_dir, "conversations")
+    facts = _conv_facts(conv)
+    o = assemble_ocr(facts, _ocr_pages(conv), STRICT)
+    return facts.select("conv_id", "path").join(o, "path").select(
+        "conv_id", "text", F.col("error.message").alias("error_message"), "n_pages", "n_failed")
+
+
+def pages_ocr_lenient(spark, sf_dir):
+    """Lenient OCR assembly with the page cap as a parameter (4)."""
+    conv = table(spark, sf_dir, "conversations")
+    facts = _conv_facts(conv)
+    o = assemble_ocr(facts, _ocr_pages(conv), LENIENT.with_(page_cap=OCR_PAGE_CAP))
+    return facts.select("conv_id", "path").join(o, "path").select(
+        "conv_id", "text", F.col("error.message").alias("error_message"), "n_pages", "n_failed",
+        F.col("failed_list").alias("failed_pages"))
+
+
+def embedded_or_ocr_q(spark, sf_dir):
+    """Single-page PDFs; embedded text blank when doc_id % 3 = 0; OCR text from benchmark."""
+    docs = table(spark, sf_dir, "documents")
+    bench = table(spark, sf_dir, "benchmark")
+    path = doc_path("pdf")
+    facts = docs.select("doc_id", path.alias("path"), F.lit(None).cast("string").alias("open_error"),
+                        F.lit(False).alias("locked"), F.lit(1).alias("page_count"))
+    emb = docs.select(path.alias("path"), F.lit(0).alias("page_idx"),
+                      F.when(F.col("doc_id") % 3 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("embedded"),
+                      F.lit(None).cast("string").alias("error"))
+    ocr = (docs.join(bench.select((F.col("item_id") * 3).alias("doc_id"), F.col("text").alias("btext")), "doc_id")
+           .select(path.alias("path"), F.lit(0).alias("page_idx"), F.array("btext").alias("lines"),
+                   F.lit(None).cast("string").alias("error"), F.lit(100).cast("bigint").alias("elapsed_ms"),
+                   F.lit(612.0).alias("width_pt"), F.lit(792.0).alias("height_pt")))
+    s = embedded_or_ocr(facts, emb, ocr, STRICT).select(
+        "path", F.col("source").alias("strict_source"), F.col("text").alias("strict_text"),
+        F.col("error.message").alias("strict_error"))
+    l_ = embedded_or_ocr(facts, emb, ocr, LENIENT).select(
+        "path", F.col("source").alias("lenient_source"), F.col("text").alias("lenient_text"),
+        F.col("error.message").alias("lenient_error"))
+    return facts.select("doc_id", "path").join(s, "path").join(l_, "path").drop("path")
+
+
+def _failure_pages(conv):
+    big = F.col("turn") % 6 == 5
+    return (conv.where(F.col("turn") % 5 != 4)
+            .select(conv_path().alias("path"), F.col("turn").cast("int").alias("page_idx"),
+                    F.lit(None).cast("string").alias("embedded"), F.split("text", "\n").alias("lines"),
+                    F.when(F.col("turn") % 4 == 3, F.lit("recognition failed")).alias("error"),
+                    F.when(F.col("turn") % 7 == 6, F.lit(61000)).otherwise(F.lit(500)).cast("bigint").alias("elapsed_ms"),
+                    F.when(big, F.lit(5000.0)).otherwise(F.lit(612.0)).alias("width_pt"),
+                    F.when(big, F.lit(5000.0)).otherwise(F.lit(792.0)).alias("height_pt")))
+
+
+def page_failures(spark, sf_dir):
+    """Missing, oversized, slow and failed pages classified, 1-based numbers."""
+    conv = table(spark, sf_dir, "conversations")
+    facts = _conv_facts(conv)
+    pages = _failure_pages(conv)
+    s = classify_pages(facts, pages, STRICT).select(
+        "path", "page_idx", F.col("status").alias("strict_status"), strict_warning().alias("strict_warning"))
+    l_ = classify_pages(facts, pages, LENIENT).select("path", "page_idx", F.col("status").alias("lenient_status"))
+    return (facts.select("conv_id", "path").join(s, "path").join(l_, ["path", "page_idx"])
+            .select("conv_id", page_no(F.col("page_idx")).alias("page_no"), "strict_status", "lenient_status",
+                    "strict_warning"))
+
+
+def page_expand(spark, sf_dir):
+    """G1 O2 O3: pages 0..n-1 per document (n one larger for odd ids), results thinned; gaps visible."""
+    conv = table(spark, sf_dir, "conversations")
+    facts = _conv_facts(conv, extra=F.first(F.col("conv_id") % 2))
+    pages = conv.where(F.col("turn") % 5 != 4).select(conv_path().alias("path"),
+                                                      F.col("turn").cast("int").alias("page_idx"))
+    e = attach_pages(expand_pages(facts, keep=("conv_id",)), pages)
+    return e.select("conv_id", "page_idx", page_no(F.col("page_idx")).alias("page_no"), "has_result")
+
+
+def page_timeout(spark, sf_dir):
+    """Events as images, value = seconds of recognition; over 60 s -> ocrTimeout."""
+    ev = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("/events/"), F.col("event_id").cast("string"), F.lit(".png"))
+    facts = ev.select(path.alias("path"), F.lit(None).cast("string").alias("open_error"),
+                      F.lit(800).alias("width_px"), F.lit(600).alias("height_px"))
+    pages = ev.select(path.alias("path"), F.lit(0).alias("page_idx"), F.array("event_type").alias("lines"),
+                      F.lit(None).cast("string").alias("error"),
+                      F.floor(F.col("value") * 1000).cast("bigint").alias("elapsed_ms"))
+    im = assemble_image(facts, pages, LENIENT)
+    return (ev.select("event_id", path.alias("path"), F.floor(F.col("value") * 1000).cast("bigint").alias("elapsed_ms"))
+            .join(im, "path").select("event_id", "elapsed_ms", "text", *_err_cols(im)))
+
+
+def raster_gate(spark, sf_dir):
+    """Part sizes as page points rendered at 150 DPI; over 50 MP is refused."""
+    part = table(spark, sf_dir, "part")
+    w = raster_px(F.col("p_size") * 61.2)
+    h = raster_px(F.col("p_size") * 79.2)
+    d = part.select("p_partkey", w.alias("width_px"), h.alias("height_px"),
+                    F.concat(F.lit("/parts/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"))
+    err = F.when(too_many_pixels("width_px", "height_px"),
+                 lenient_error("imageTooLarge", "path", width=F.col("width_px"), height=F.col("height_px")))
+    d = d.withColumn("error", err)
+    return d.select("p_partkey", "width_px", "height_px", pixels("width_px", "height_px").alias("pixels"),
+                    megapixels("width_px", "height_px").alias("megapixels"), *_err_cols(d))
+
+
+# ----------------------------------------------------------------------------
+# Validation, routing, errors, lookups: P1-P5, P13-P15, R1-R7, F1-F10, S7
+# ----------------------------------------------------------------------------
+def doc_facts_gate(spark, sf_dir):
+    """Inventory and PDF flags by modulo on order keys; check order per profile."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    d = o.select("o_orderkey",
+                 F.concat(F.lit("/orders/"), k.cast("string"), F.lit(".pdf")).alias("path"),
+                 (k % 17 != 0).alias("exists"), (k % 11 == 0).alias("is_dir"),
+                 (k % 13 != 0).alias("link_target_exists"), (k % 7 != 0).alias("readable"),
+                 ((k % 23) * 3000000).cast("bigint").alias("length"),
+                 F.when(k % 5 == 0, F.lit("bad xref table")).alias("open_error"),
+                 (k % 3 == 0).alias("locked"),
+                 F.when(k % 19 == 0, F.lit(0)).otherwise(1 + k % 9).cast("int").alias("page_count"))
+    d = d.withColumn("lookup_path", F.col("path"))
+    le = F.coalesce(validation_error(LENIENT), F.col("pdf_error"))
+    lt = pdf_gate(d, LENIENT, "embedded").withColumn("e", le)
+    st = pdf_gate(lt.drop("pdf_error"), STRICT, "embedded").withColumn(
+        "s", F.coalesce(validation_error(STRICT), open_error(STRICT, route="pdf"), F.col("pdf_error")))
+    return st.select("o_orderkey", F.col("s.kind").alias("strict_kind"), F.col("s.message").alias("strict_message"),
+                     F.col("e.kind").alias("lenient_kind"), F.col("e.message").alias("lenient_message"))
+
+
+def error_messages(spark, sf_dir):
+    """All 17 error kinds over supplier rows, with notification and workflow texts."""
+    from ..functions.errors import LENIENT_KINDS, STRICT_KINDS
+    sup = table(spark, sf_dir, "supplier")
+    kinds = list(STRICT_KINDS) + list(LENIENT_KINDS)
+    idx = (F.col("s_suppkey") % len(kinds)).cast("int")
+    path = F.concat(F.lit("/srv/"), F.col("s_nationkey").cast("string"), F.lit("/"), F.col("s_name"), F.lit(".txt"))
+    detail = F.trim(F.expr("repeat(concat(s_name, ' '), cast(1 + s_suppkey % 6 as int))"))
+    size = F.col("s_suppkey") * 3145728
+    w, h = F.col("s_suppkey") + 4000, F.col("s_suppkey") + 3000
+    d = sup.select("s_suppkey", idx.alias("idx"), path.alias("path"), detail.alias("detail"))
+    e = None
+    for i, k in enumerate(kinds):
+        if i < len(STRICT_KINDS):
+            v = strict_error(k, "path", F.col("detail"))
+        else:
+            v = lenient_error(k, "path", F.col("detail"), size=size, width=w, height=h)
+        e = F.when(F.col("idx") == i, v) if e is None else e.when(F.col("idx") == i, v)
+    d = d.withColumn("e", e).withColumn("profile", F.when(F.col("idx") < len(STRICT_KINDS), F.lit("strict"))
+                                        .otherwise(F.lit("lenient")))
+    stderr = F.concat(F.lit("Reading file: "), F.col("path"), F.lit("\nError: "), F.col("e.message"))
+    return d.select("s_suppkey", "profile", F.col("e.kind").alias("kind"), F.col("e.message").alias("message"),
+                    notification(F.col("e.message")).alias("notification"),
+                    F.when(F.col("profile") == "strict", notification(last_line_message(stderr))).alias("workflow"))
+
+
+def local_url_check(spark, sf_dir):
+    """Plain paths and file: URLs are local, http(s) URLs are refused (notFileURL)."""
+    pg = table(spark, sf_dir, "pages")
+    m = F.col("page_id") % 3
+    p = (F.when(m == 0, F.concat(F.lit("/srv/pages/"), F.col("page_id").cast("string"), F.lit(".html")))
+         .when(m == 1, F.concat(F.lit("file:///srv/pages/"), F.col("page_id").cast("string"), F.lit(".html")))
+         .otherwise(F.col("url")))
+    d = pg.select("page_id", p.alias("path"))
+    return d.select("page_id", "path", scheme("path").alias("scheme"), is_local("path").alias("is_local"),
+                    F.when(is_local("path"), to_local_path("path")).alias("lookup_path"),
+                    F.when(~is_local("path"), lenient_error("notFileURL", "path").getField("message"))
+                    .alias("error_message"))
+
+
+def extension_route(spark, sf_dir):
+    """Extension and route of page URLs and of documents with synthesized names and types."""
+    pg = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("item"),
+                                              F.col("url").alias("path"),
+                                              F.lit(None).cast("string").alias("declared_type"))
+    m6, m7 = F.col("doc_id") % 6, F.col("doc_id") % 7
+    ext = (F.when(m6 == 0, F.lit(".pdf")).when(m6 == 1, F.lit(".PNG")).when(m6 == 2, F.lit(".heif"))
+           .when(m6 == 3, F.lit(".txt")).when(m6 == 4, F.lit("")).otherwise(F.lit(".tar.gz")))
+    dt = (F.when(m7 == 0, F.lit("application/pdf")).when(m7 == 1, F.lit("image/jpeg"))
+          .when(m7 == 2, F.lit("text/plain")))
+    dc = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("item"),
+        F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"),
+        dt.alias("declared_type"))
+    d = pg.unionByName(dc)
+    return d.select("item", extension("path").alias("strict_ext"), extension(url_path("path")).alias("lenient_ext"),
+                    route("path", STRICT).alias("strict_route"),
+                    route("path", LENIENT, F.col("declared_type")).alias("lenient_route"))
+
+
+def _docs_with_labels(spark, sf_dir):
+    docs = _docs_as_files(spark, sf_dir).drop("content")
+    labels = table(spark, sf_dir, "labels")
+    return docs, labels
+
+
+def missing_files(spark, sf_dir):
+    """Documents LEFT JOIN an inventory of the labelled ones; unknown paths are not found."""
+    docs, labels = _docs_with_labels(spark, sf_dir)
+    inv = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select(
+        "path", F.lit(True).alias("exists"), F.lit(False).alias("is_dir"), F.lit(True).alias("link_target_exists"),
+        F.lit(True).alias("readable"), F.octet_length("text").cast("bigint").alias("length"))
+    d = docs.join(inv, "path", "left")
+    return d.select("doc_id", F.coalesce(F.col("exists"), F.lit(False)).alias("exists"),
+                    validation_error(STRICT).getField("message").alias("strict_message"),
+                    validation_error(LENIENT).getField("message").alias("lenient_message"))
+
+
+def missing_only(spark, sf_dir):
+    """P2, missing only: anti join of the manifest against the inventory."""
+    docs, labels = _docs_with_labels(spark, sf_dir)
+    inv = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("path", F.lit(True).alias("exists"))
+    m = docs.select("doc_id", F.col("path").alias("lookup_path"))
+    return missing_paths(m, inv).select("doc_id", F.col("lookup_path").alias("path"))
+
+
+def extraction_lookup(spark, sf_dir):
+    """Images whose text comes from a results table; low quality = error; no row = error."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    path = F.concat(F.lit("/img/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    res = docs.join(labels, "doc_id").select(path.alias("path"),
+                                             F.when(F.col("quality") == 1, F.col("text")).alias("text"),
+                                             F.when(F.col("quality") == 0, F.lit("low quality scan")).alias("error"))
+    e = docs.select("doc_id", path.alias("path"))
+    s = lookup_extraction(e, res, STRICT).select("doc_id", "text", F.col("error.message").alias("strict_message"))
+    l_ = lookup_extraction(e, res, LENIENT).select("doc_id", F.col("error.message").alias("lenient_message"))
+    return s.join(l_, "doc_id")
+
+
+def top_candidate(spark, sf_dir):
+    """Each line is a text block whose words are candidates; first candidate kept, empty blocks dropped."""
+    docs = table(spark, sf_dir, "documents")
+    t = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text"))
+    blocks = F.transform(F.split(t, "\n"), lambda l: F.filter(F.split(l, " "), lambda w: w != ""))
+    path = F.concat(F.lit("/img/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    pages = docs.select("doc_id", path.alias("path"), F.lit(0).alias("page_idx"),
+                        top_candidates(blocks).alias("lines"), F.lit(None).cast("string").alias("error"),
+                        F.lit(10).cast("bigint").alias("elapsed_ms"))
+    facts = docs.select(path.alias("path"), F.lit(None).cast("string").alias("open_error"),
+                        F.lit(100).alias("width_px"), F.lit(100).alias("height_px"))
+    s = assemble_image(facts, pages, STRICT).select("path", F.col("text").alias("strict_text"),
+                                                    F.col("error.message").alias("strict_error"))
+    l_ = assemble_image(facts, pages, LENIENT).select("path", F.col("text").alias("lenient_text"),
+                                                      F.col("error.message").alias("lenient_error"))
+    return (pages.select("doc_id", "path", F.size("lines").cast("int").alias("n_lines"))
+            .join(s, "path").join(l_, "path").drop("path"))
+
+
+QUERIES.update({
+    "pages_embedded": pages_embedded,
+    "pages_ocr_strict": pages_ocr_strict,
+    "pages_ocr_lenient": pages_ocr_lenient,
+    "embedded_or_ocr": embedded_or_ocr_q,
+    "page_failures": page_failures,
+    "page_expand": page_expand,
+    "page_timeout": page_timeout,
+    "raster_gate": raster_gate,
+    "doc_facts_gate": doc_facts_gate,
+    "error_messages": error_messages,
+    "local_url_check": local_url_check,
+    "extension_route": extension_route,
+    "missing_files": missing_files,
+    "missing_only": missing_only,
+    "extraction_lookup": extraction_lookup,
+    "top_candidate": top_candidate,
+})
