@@ -488,3 +488,31 @@ SELECT doc_id, CAST(len(lines) AS INTEGER) AS n_lines,
        CASE WHEN trim(j, {WS_SQL}) = '' THEN 'No text recognized in image' END AS lenient_error
 FROM t
 """
+
+# --------------------------------------------------------------------------
+# storage round trips
+# --------------------------------------------------------------------------
+ORACLE["publish_readback"] = ORACLE["payload_by_source"]
+
+ORACLE["quarantine_readback"] = """
+SELECT 'IoError' AS kind, count(*) AS n, min(doc_id) AS first_doc_id FROM documents WHERE doc_id % 10 = 0
+"""
+
+ORACLE["scan_and_decode"] = """
+SELECT doc_id,
+       CAST(CASE WHEN doc_id % 7 = 3 THEN -1 WHEN doc_id % 10 = 0 THEN 0 ELSE strlen(text) END AS BIGINT) AS n_bytes,
+       CASE WHEN doc_id % 7 = 3 THEN NULL WHEN doc_id % 10 = 0 THEN '' ELSE text END AS text,
+       CASE WHEN doc_id % 7 = 3 THEN 'FileNotFound' END AS error_kind
+FROM documents
+"""
+
+ORACLE["stream_ingest"] = """
+SELECT source, count(*) FILTER (WHERE doc_id % 13 <> 0) AS n_ok, count(*) FILTER (WHERE doc_id % 13 = 0) AS n_bad,
+       CAST(coalesce(sum(strlen(text)) FILTER (WHERE doc_id % 13 <> 0), 0) AS BIGINT) AS n_bytes
+FROM documents GROUP BY source
+"""
+
+ORACLE["extractor_hook"] = """
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_pages, ltrim(text, chr(10)) AS text
+FROM documents
+"""

@@ -582,3 +582,110 @@ QUERIES.update({
     "extraction_lookup": extraction_lookup,
     "top_candidate": top_candidate,
 })
+
+
+# ----------------------------------------------------------------------------
+# Sources and sinks on storage: S1 S2 S4 S5 S8-S11 D1 U1 U2 X1-X3
+# ----------------------------------------------------------------------------
+from ..session import fresh_dir  # noqa: E402
+from ..sources.extraction import run_extractor  # noqa: E402
+from ..sources.files import attach_content, materialize_files, probe_inventory, scan_files  # noqa: E402
+from ..sources.sinks import publish, quarantine, read_payload, read_quarantine  # noqa: E402
+from ..streaming.ingest import decode_stream, start_ingest  # noqa: E402
+
+
+def _source_payload(spark, sf_dir, profile=STRICT):
+    d = decode_text(_docs_as_files(spark, sf_dir).drop("text")
+                    .select(F.col("source").alias("run_id"), F.col("doc_id").alias("ord"), "path", "content"),
+                    STRICT)
+    return build_payload(d, profile, "fail_fast").select("run_id", "payload", "n_bytes", "n_files", "summary",
+                                                         "error")
+
+
+def publish_readback(spark, sf_dir):
+    """Publish a payload table, overwrite it with another, read back the latest."""
+    target = fresh_dir(spark, "payload")
+    publish(_source_payload(spark, sf_dir, LENIENT.with_(max_output_bytes=1024)), target)
+    publish(_source_payload(spark, sf_dir), target)
+    back = read_payload(spark, target)
+    return back.select("run_id", "n_files", "n_bytes", "payload", "summary", *_err_cols(back))
+
+
+def quarantine_readback(spark, sf_dir):
+    """Failed rows written partitioned by error kind, then counted from storage."""
+    d = decode_text(_docs_as_files(spark, sf_dir, _bad_utf8_content()).drop("text"), STRICT)
+    target = fresh_dir(spark, "quarantine")
+    quarantine(d.select("doc_id", "path", "error"), target)
+    q = read_quarantine(spark, target)
+    return q.groupBy("kind").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                 F.min("doc_id").alias("first_doc_id"))
+
+
+def scan_and_decode(spark, sf_dir):
+    """Documents written as files (every 10th empty, every 7th from 3 absent);
+    the manifest LEFT JOINs a stat inventory and the binaryFile scan, so empty files survive."""
+    root = fresh_dir(spark, "files")
+    docs = table(spark, sf_dir, "documents")
+    rel = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    body = F.when(F.col("doc_id") % 10 == 0, F.lit(bytearray(b""))).otherwise(F.encode("text", "UTF-8"))
+    materialize_files(docs.where(F.col("doc_id") % 7 != 3).select(rel.alias("relpath"), body.alias("content")), root)
+    m = docs.select("doc_id", F.concat(F.lit(root + "/"), rel).alias("path")).withColumn("lookup_path", F.col("path"))
+    inv = probe_inventory(m)
+    e = attach_content(m.join(inv.withColumnRenamed("path", "lookup_path"), "lookup_path", "left"),
+                       scan_files(spark, root, glob="*.txt"))
+    e = e.withColumn("verr", F.coalesce(validation_error(STRICT), open_error(STRICT)))
+    d = decode_text(e, STRICT)
+    d = d.withColumn("error", F.coalesce("verr", "error")).withColumn(
+        "text", F.when(F.col("verr").isNull(), F.col("text")))
+    return d.select("doc_id", F.coalesce(F.col("length"), F.lit(-1)).cast("bigint").alias("n_bytes"), "text",
+                    _kind().alias("error_kind"))
+
+
+def stream_ingest(spark, sf_dir):
+    """The documents table as a file stream (availableNow), decoded by the batch
+    expressions; good rows and failures land in two tables; counted per source."""
+    schema = table(spark, sf_dir, "documents").schema
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    content = F.when(F.col("doc_id") % 13 == 0, F.concat(_bin("00"), F.encode("text", "UTF-8"))) \
+        .otherwise(F.encode("text", "UTF-8"))
+    s = src.select("doc_id", "source", doc_path().alias("path"), content.alias("content"))
+    out, bad, ck = fresh_dir(spark, "stream-out"), fresh_dir(spark, "stream-bad"), fresh_dir(spark, "stream-ck")
+    q = start_ingest(decode_stream(s, STRICT), out, bad, ck)
+    q.awaitTermination()
+    good = spark.read.parquet(out).groupBy("source").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_ok"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
+    fail = spark.read.parquet(bad).groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n_bad"))
+    return good.join(fail, "source", "full").select(
+        "source", F.coalesce("n_ok", F.lit(0)).alias("n_ok"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"),
+        F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
+
+
+def _line_pages(batch):
+    """A trivial extractor: UTF-8 text, one page per line."""
+    import pandas as pd
+    rows = []
+    for path, content in zip(batch["path"], batch["content"]):
+        for i, line in enumerate(bytes(content).decode("utf-8").split("\n")):
+            rows.append((path, i, line))
+    return pd.DataFrame(rows, columns=["path", "page_idx", "embedded"])
+
+
+def extractor_hook(spark, sf_dir):
+    """A user extractor plugged in with mapInPandas; its pages go through G2 assembly."""
+    files = _docs_as_files(spark, sf_dir)
+    pages = run_extractor(files.select("path", "content"), _line_pages)
+    facts = pages.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("page_count")).select(
+        "path", F.lit(None).cast("string").alias("open_error"), F.lit(False).alias("locked"), "page_count")
+    a = assemble_embedded(facts, pages, LENIENT)
+    return (files.select("doc_id", "path").join(facts.select("path", F.col("page_count").alias("n_pages")), "path")
+            .join(a, "path").select("doc_id", "n_pages", "text"))
+
+
+QUERIES.update({
+    "publish_readback": publish_readback,
+    "quarantine_readback": quarantine_readback,
+    "scan_and_decode": scan_and_decode,
+    "stream_ingest": stream_ingest,
+    "extractor_hook": extractor_hook,
+})
