@@ -1,11 +1,16 @@
 """Ordered, size-gated string concatenation per group.
 
 Concatenating a whole group puts that group in one task, so the result size
-is measured first with a partial (map-side combined) aggregate, and only
-groups whose result fits the byte budget are concatenated. A group holding a
-third of all rows costs one small partial-aggregate row per map task in the
-first pass; it is concatenated only if its text is within the budget, and
-otherwise reported with ``fits = false`` and a null text (never truncated).
+is measured first with a partial (map-side combined) aggregate. The
+statistics are joined back to the rows, and one more aggregate concatenates
+only the groups whose result fits the byte budget: for a group over budget
+the concatenation buffer stays empty (its texts are masked to NULL before
+the partial aggregate), so a key holding a third of all rows never gathers
+its text in one task. It is reported with ``fits = false`` and a null text,
+never truncated.
+
+The input is read twice (statistics, body) and the statistics once, so a
+chain of these operators grows the plan linearly, not exponentially.
 """
 
 from __future__ import annotations
@@ -17,6 +22,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import sql_str
 
 
+def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_bytes: int,
+                stats: dict[str, Column] | None = None, where: str | None = None,
+                concat_if: str | None = None) -> DataFrame:
+    """Pass 1: ``keys, n_parts, n_bytes, <stats>, fits, _build`` (partial aggregate)."""
+    t = F.col(text)
+    pick = F.expr(where) if where else F.lit(True)
+    sep_len = len(sep.encode("utf-8"))
+    n = F.count(F.when(pick, t))
+    aggs = [
+        n.alias("n_parts"),
+        (F.coalesce(F.sum(F.when(pick, F.octet_length(t))), F.lit(0)).cast("bigint")
+         + F.greatest(n - 1, F.lit(0)) * F.lit(sep_len)).alias("n_bytes"),
+    ]
+    aggs += [c.alias(k) for k, c in (stats or {}).items()]
+    st = df.groupBy(*keys).agg(*aggs).withColumn("fits", F.col("n_bytes") <= F.lit(budget_bytes))
+    build = F.col("fits") & (F.col("n_parts") > 0)
+    if concat_if:
+        build = build & F.coalesce(F.expr(concat_if), F.lit(False))
+    return st.withColumn("_build", build)
+
+
 def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str, sep: str,
                    budget_bytes: int, out: str = "text", stats: dict[str, Column] | None = None,
                    where: str | None = None, concat_if: str | None = None) -> DataFrame:
@@ -25,29 +51,20 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str,
     ``n_parts``  number of non-null texts,
     ``n_bytes``  UTF-8 bytes of the joined text (separators included),
     ``fits``     n_bytes <= budget_bytes,
-    ``out``      the texts joined by ``sep`` in ``order_by`` order (null if not fits
+    ``out``      the texts joined by ``sep`` in ``order_by`` order (null if not built
                  or no parts); NULL texts are skipped, empty ones keep their separator,
     plus any extra aggregate columns passed in ``stats``.
-    ``where`` optionally restricts which rows are concatenated (a SQL predicate);
-    the statistics then describe the same restricted set. ``concat_if`` is an
-    extra SQL predicate over the statistics: groups failing it are not built.
+    ``where`` restricts which rows are concatenated (a SQL predicate); the
+    statistics then describe the same restricted set. ``concat_if`` is an extra
+    SQL predicate over the statistics: groups failing it are not built.
     """
     keys = list(keys)
-    t = F.col(text)
-    pick = F.expr(where) if where else F.lit(True)
-    sep_len = len(sep.encode("utf-8"))
-    n = F.count(F.when(pick, t))
-    aggs = [
-        n.alias("n_parts"),
-        (F.coalesce(F.sum(F.when(pick, F.octet_length(t))), F.lit(0)).cast("bigint")
-         + F.greatest(n - 1, F.lit(0)) * F.lit(sep_len)).alias("n_bytes"),
-    ]
-    aggs += [c.alias(k) for k, c in (stats or {}).items()]
-    st = df.groupBy(*keys).agg(*aggs).withColumn("fits", F.col("n_bytes") <= F.lit(budget_bytes))
-    cond = "fits AND n_parts > 0" + (f" AND ({concat_if})" if concat_if else "")
-    wanted = st.where(cond).select(*keys)
-    body = df.where(pick) if where else df
-    joined = (body.join(wanted, keys, "left_semi")
-              .groupBy(*keys)
-              .agg(F.expr(f"listagg(`{text}`, {sql_str(sep)}) WITHIN GROUP (ORDER BY {order_by})").alias(out)))
-    return st.join(joined, keys, "left")
+    st = group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if)
+    stat_cols = [c for c in st.columns if c not in keys]
+    body = df.withColumn("_t", F.col(text)).withColumn("_pick", F.expr(where) if where else F.lit(True))
+    body = body.drop(*[c for c in stat_cols if c in body.columns]).join(st, keys, "inner")
+    masked = "CASE WHEN _build AND _pick THEN _t END"
+    agg = body.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in stat_cols if c != "_build"],
+        F.expr(f"listagg({masked}, {sql_str(sep)}) WITHIN GROUP (ORDER BY {order_by})").alias(out))
+    return agg

@@ -128,6 +128,10 @@ def pdf_gate(facts: DataFrame, profile: Profile | str, stage: str = "embedded")
 
 
 # ------------------------------------------------------------------ G2-G4 (embedded)
+def _lead_nl(c: Column) -> Column:
+    return F.char_length(c) - F.char_length(F.ltrim(c, F.lit("\n")))
+
+
 def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
     """Embedded-text pass. Returns ``path, text, error, blank``.
 
@@ -135,7 +139,7 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     the joined text is ``listagg(embedded, '\\n')`` over pages from the first
     non-empty one on. It is built as the full ordered join ``L`` minus its
     ``k`` leading separators, where ``k`` = leading '\\n' of ``L`` minus those
-    of the first non-empty page (known from the same aggregate).
+    of the first non-empty page (known from the same statistics).
     G3 (strict): the first failing page fails the document.
     G4 (lenient): a page without text is skipped.
     ``blank`` marks documents whose text is blank after trimming (G5 decides).
@@ -149,20 +153,18 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
         pg = pg.withColumn("error", F.when(~F.col("has_result"), F.coalesce(F.col("error"), F.lit("page missing")))
                            .otherwise(F.col("error")))
         body = pg.withColumn("piece", F.when(F.col("error").isNull(), F.coalesce(F.col("embedded"), F.lit(""))))
-        where, concat_if = None, "n_failed = 0"
+        concat_if = "n_failed = 0"
     else:
         body = pg.withColumn("piece", F.when(F.col("error").isNull(), F.col("embedded")))
-        where, concat_if = None, None
+        concat_if = None
     first_text = F.min_by(F.col("piece"), F.when(F.col("piece") != "", F.col("page_idx")))
     st = ordered_concat(
-        body, ["path"], "page_idx", "piece", "\n", p.output_budget, out="joined", where=where,
-        concat_if=concat_if,
+        body, ["path"], "page_idx", "piece", "\n", p.output_budget, out="joined", concat_if=concat_if,
         stats={"n_failed": F.count(F.col("error")),
                "first_error": F.min_by(F.struct(F.col("page_idx"), F.col("error")),
                                        F.when(F.col("error").isNotNull(), F.col("page_idx"))),
                "first_text": first_text})
-    lead = lambda c: F.char_length(c) - F.char_length(F.ltrim(c, F.lit("\n")))
-    k = lead(F.col("joined")) - lead(F.col("first_text"))
+    k = _lead_nl(F.col("joined")) - _lead_nl(F.col("first_text"))
     text = (F.when(F.col("first_text").isNull(), F.lit(""))
             .otherwise(F.substring(F.col("joined"), k + 1, 2147483647)))
     path = F.col("path")
@@ -176,12 +178,10 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     else:
         err = F.when(~F.col("fits"), lenient_error("outputTooLarge", path, size=F.col("n_bytes"))).otherwise(null_error())
     built = st.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"))
-    # Documents with no expected pages or failing the PDF gate.
-    gate = gated.select("path", "pdf_error").join(built, "path", "left")
-    out = gate.select("path",
-                      F.when(F.col("pdf_error").isNull(), F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-                      F.coalesce(F.col("pdf_error"), F.col("error")).alias("error"))
-    out = out.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+    # Documents that produce no page rows: failing the PDF gate, or with no pages at all.
+    no_pages = gated.where(F.col("pdf_error").isNotNull() | (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select(
+        "path", F.when(F.col("pdf_error").isNull(), F.lit("")).alias("text"), F.col("pdf_error").alias("error"))
+    out = built.unionByName(no_pages)
     return out.withColumn("blank", F.col("error").isNull() & is_blank(F.col("text")))
 
 
@@ -201,7 +201,7 @@ def classify_pages(facts: DataFrame, pages: DataFrame, profile: Profile | str) -
 
 
 def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
-    """OCR pass over PDF pages. Returns ``path, text, error, n_pages, n_failed, failed_pages``.
+    """OCR pass over PDF pages. Returns ``path, text, error, n_pages, n_failed, failed_list``.
 
     G6/G7: before page i (i > 0) the lines '', separator(i+1), '' are added when
     an earlier successful page produced a line, i.e. ``i > f`` with ``f`` the
@@ -209,57 +209,57 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     G8: strict prints every line followed by '\\n'; lenient joins with '\\n' and trims.
     G9 (strict): any failed page fails the document. G10/G12 (lenient): warnings.
     G13: blank result is an error (strict only when no page failed).
+    Statistics (partial aggregate) are joined back to the pages; one final
+    aggregate builds the text and the failure list, each only when it fits.
     """
     p = get_profile(profile)
     gated = pdf_gate(facts, p, "ocr")
-    ok_docs = gated.where(F.col("pdf_error").isNull())
-    pg = classify_pages(ok_docs, pages, p)
+    pg = classify_pages(gated.where(F.col("pdf_error").isNull()), pages, p)
     good = F.col("status") == "ok"
-    has_lines = good & (F.size(F.coalesce(F.col("lines"), F.array())) > 0)
-    stats = pg.groupBy("path").agg(
+    lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
+    has_lines = good & (F.size(lines) > 0)
+    sep_len = len(p.page_separator.encode()) + 16
+    if p.name == "strict":
+        warn, wsep = strict_warning(), "\n"
+    else:
+        warn, wsep = _s(page_no(F.col("page_idx"))), ", "
+    pg = pg.withColumn("warn", F.when(~good, warn))
+    budget = F.lit(p.output_budget)
+    stats = (pg.groupBy("path").agg(
         F.count(F.lit(1)).alias("n_seen"),
         F.count(F.when(~good, F.lit(1))).alias("n_failed"),
         F.min(F.when(has_lines, F.col("page_idx"))).alias("f"),
-        F.sum(F.when(good, F.octet_length(F.array_join(F.coalesce(F.col("lines"), F.array()), "\n"))
-                     + F.lit(len(p.page_separator.encode()) + 16))).alias("est_bytes"))
-    need = "n_failed = 0" if p.name == "strict" else None
-    want = stats.where(F.coalesce(F.col("est_bytes"), F.lit(0)) <= F.lit(p.output_budget))
-    if need:
-        want = want.where(need)
-    want = want.where(F.col("f").isNotNull()).select("path", "f")
+        F.coalesce(F.sum(F.when(good, F.octet_length(F.array_join(lines, "\n")) + F.lit(sep_len))),
+                   F.lit(0)).alias("est_bytes"),
+        F.coalesce(F.sum(F.octet_length(F.col("warn")) + F.lit(len(wsep))), F.lit(0)).alias("warn_bytes"))
+        .withColumn("build_core", F.col("f").isNotNull() & (F.col("est_bytes") <= budget)
+                    & ((F.col("n_failed") == 0) if p.name == "strict" else F.lit(True)))
+        .withColumn("build_warn", (F.col("n_failed") > 0) & (F.col("warn_bytes") <= budget)))
     piece_arr = F.concat(F.when(F.col("page_idx") > F.col("f"), _sep_lines(p, F.col("page_idx")))
-                         .otherwise(F.array().cast("array<string>")),
-                         F.coalesce(F.col("lines"), F.array().cast("array<string>")))
-    body = (pg.where(good)
-            .join(want, "path", "inner")
-            .where(F.col("page_idx") >= F.col("f"))
-            .withColumn("piece", F.when(F.size(piece_arr) > 0, F.array_join(piece_arr, "\n"))))
-    joined = body.groupBy("path").agg(
-        F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx)").alias("core"))
-    # Failed page numbers (lenient, capped pages) or warning lines (strict).
-    failed = pg.where(~good)
-    if p.name == "strict":
-        fl = ordered_concat(failed.withColumn("w", strict_warning()), ["path"], "page_idx", "w", "\n",
-                            p.output_budget, out="failed_list")
-    else:
-        fl = ordered_concat(failed.withColumn("w", _s(page_no(F.col("page_idx")))), ["path"], "page_idx", "w",
-                            ", ", p.output_budget, out="failed_list")
-    res = (gated.select("path", "page_count", "pdf_error")
-           .join(stats, "path", "left").join(want.select("path", F.lit(True).alias("built")), "path", "left")
-           .join(joined, "path", "left").join(fl.select("path", "failed_list"), "path", "left"))
-    n_failed = F.coalesce(F.col("n_failed"), F.lit(0))
+                         .otherwise(F.array().cast("array<string>")), lines)
+    body = (pg.join(stats, "path", "inner")
+            .withColumn("piece", F.when(F.col("build_core") & good & (F.col("page_idx") >= F.col("f"))
+                                        & (F.size(piece_arr) > 0), F.array_join(piece_arr, "\n")))
+            .withColumn("warn", F.when(F.col("build_warn"), F.col("warn"))))
+    stat_cols = ["n_seen", "n_failed", "est_bytes", "warn_bytes", "build_core", "build_warn"]
+    res = body.groupBy("path").agg(
+        *[F.first(c).alias(c) for c in stat_cols],
+        F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx)").alias("core"),
+        F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)").alias("failed_list"))
+    res = res.join(gated.select("path", "page_count"), "path", "inner")
+    n_failed = F.col("n_failed")
     path = F.col("path")
     core = F.col("core")
-    too_big = F.coalesce(F.col("est_bytes"), F.lit(0)) > F.lit(p.output_budget)
+    too_big = (~F.col("build_core") & (F.col("est_bytes") > budget)) | \
+        ((n_failed > 0) & ~F.col("build_warn"))
     if p.name == "strict":
         stderr = (F.when(n_failed > 0, F.concat(F.col("failed_list"), F.lit("\nError: "), _s(n_failed), F.lit(" of "),
                                                  _s(F.col("page_count")), F.lit(" pages had errors")))
                   .otherwise(F.lit(STRICT_PDF_BLANK)))
         blank = core.isNull() | is_blank(core)
-        err = (F.when(F.col("pdf_error").isNotNull(), F.col("pdf_error"))
-               .when((n_failed > 0) | blank & ~too_big,
+        err = (F.when(too_big, strict_error("ClipboardError", path, F.lit("document text exceeds the engine limit")))
+               .when((n_failed > 0) | blank,
                      strict_error("ExtractionError", path, F.concat(F.lit("OCR failed: "), utrim(stderr))))
-               .when(too_big, strict_error("ClipboardError", path, F.lit("document text exceeds the engine limit")))
                .otherwise(null_error()))
         text = F.concat(core, F.lit("\n"))
     else:
@@ -270,15 +270,18 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
                              F.concat(F.lit("\n\n[Warning: PDF truncated. Processed "), F.lit(str(p.page_cap)),
                                       F.lit(" of "), _s(F.col("page_count")), F.lit(" pages]")))
                       .otherwise(F.lit("")))
-        err = (F.when(F.col("pdf_error").isNotNull(), F.col("pdf_error"))
-               .when(too_big, lenient_error("outputTooLarge", path, size=F.col("est_bytes")))
+        err = (F.when(too_big, lenient_error("outputTooLarge", path, size=F.col("est_bytes")))
                .when(trimmed == "", lenient_error("extractionFailed", path, F.lit(LENIENT_PDF_BLANK)))
                .otherwise(null_error()))
         text = F.concat(trimmed, warn_failed, warn_trunc)
-    return res.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"),
-                      F.coalesce(F.col("n_seen"), F.lit(0)).cast("bigint").alias("n_pages"),
-                      n_failed.cast("bigint").alias("n_failed"),
-                      F.col("failed_list"))
+    built = res.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"),
+                       F.col("n_seen").cast("bigint").alias("n_pages"), n_failed.cast("bigint").alias("n_failed"),
+                       F.col("failed_list"))
+    refused = gated.where(F.col("pdf_error").isNotNull()).select(
+        "path", F.lit(None).cast("string").alias("text"), F.col("pdf_error").alias("error"),
+        F.lit(0).cast("bigint").alias("n_pages"), F.lit(0).cast("bigint").alias("n_failed"),
+        F.lit(None).cast("string").alias("failed_list"))
+    return built.unionByName(refused)
 
 
 # ------------------------------------------------------------------------ images
@@ -314,28 +317,29 @@ def assemble_image(facts: DataFrame, pages: DataFrame, profile: Profile | str) -
 # -------------------------------------------------------------------------- G5
 def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: DataFrame | None,
                     profile: Profile | str, ocr_available: bool = True) -> DataFrame:
-    """Embedded text unless blank; then OCR (only for the blank documents).
+    """Embedded text unless blank; then OCR, run only for the blank documents.
 
     Returns ``path, text, error, source`` with source 'embedded', 'ocr' or NULL.
     """
     p = get_profile(profile)
     emb = assemble_embedded(facts, embedded_pages, p)
-    blank = emb.where(F.col("blank")).select("path")
-    keep = emb.where(~F.col("blank") | F.col("error").isNotNull()).select(
-        "path", "text", "error", F.when(F.col("error").isNull(), F.lit("embedded")).alias("source"))
     path = F.col("path")
     if p.name == "strict" and not ocr_available:
-        rest = blank.select("path", F.lit(None).cast("string").alias("text"),
-                            strict_error("ExtractionError", path, F.lit(STRICT_NO_EXTRACTABLE_TEXT)).alias("error"),
-                            F.lit(None).cast("string").alias("source"))
-        return keep.unionByName(rest)
-    f2 = facts.join(blank, "path", "left_semi")
-    pg2 = ocr_pages.join(blank, "path", "left_semi")
-    o = assemble_ocr(f2, pg2, p)
+        e = F.when(F.col("blank"), strict_error("ExtractionError", path, F.lit(STRICT_NO_EXTRACTABLE_TEXT))) \
+            .otherwise(F.col("error"))
+        return emb.select("path", F.when(~F.col("blank"), F.col("text")).alias("text"), e.alias("error"),
+                          F.when(~F.col("blank") & F.col("error").isNull(), F.lit("embedded")).alias("source"))
+    blank = emb.where(F.col("blank")).select("path")
+    o = assemble_ocr(facts.join(blank, "path", "left_semi"), ocr_pages.join(blank, "path", "left_semi"), p)
     if p.name == "strict":
         # The tool re-checks the helper's text: blank -> error (unreachable when the helper succeeded).
         o = o.withColumn("error", F.when(F.col("error").isNull() & is_blank(F.col("text")), strict_error(
             "ExtractionError", path, F.lit("PDF contains no recognizable text (OCR found nothing)")))
             .otherwise(F.col("error")))
-    rest = o.select("path", "text", "error", F.when(F.col("error").isNull(), F.lit("ocr")).alias("source"))
-    return keep.unionByName(rest)
+    j = emb.join(o.select("path", F.col("text").alias("o_text"), F.col("error").alias("o_error")), "path", "left")
+    use_ocr = F.col("blank")
+    return j.select("path",
+                    F.when(use_ocr, F.col("o_text")).otherwise(F.col("text")).alias("text"),
+                    F.when(use_ocr, F.col("o_error")).otherwise(F.col("error")).alias("error"),
+                    F.when(use_ocr & F.col("o_error").isNull(), F.lit("ocr"))
+                    .when(~use_ocr & F.col("error").isNull(), F.lit("embedded")).alias("source"))

@@ -516,3 +516,18 @@ ORACLE["extractor_hook"] = """
 SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_pages, ltrim(text, chr(10)) AS text
 FROM documents
 """
+
+ORACLE["mixed_manifest"] = """
+WITH g AS (
+  SELECT source AS run_id, count(*) AS n_files, count(*) FILTER (WHERE doc_id % 29 = 0) AS n_failed,
+         min(doc_id) FILTER (WHERE doc_id % 29 = 0) AS bad,
+         string_agg(CASE WHEN doc_id % 5 = 1 THEN text || chr(10) ELSE text END, chr(10) ORDER BY doc_id) AS p
+  FROM documents GROUP BY source)
+SELECT run_id, n_files, n_failed,
+       CAST(CASE WHEN n_failed = 0 THEN strlen(p) ELSE 0 END AS BIGINT) AS n_bytes,
+       CASE WHEN n_failed = 0 THEN p END AS payload,
+       CASE WHEN n_failed > 0 THEN 'FileNotFound' END AS error_kind,
+       CASE WHEN n_failed > 0 THEN 'File not found: /data/' || run_id || '/' || CAST(bad AS VARCHAR)
+            || CASE bad % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.txt' END END AS error_message
+FROM g
+"""

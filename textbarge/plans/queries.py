@@ -689,3 +689,44 @@ QUERIES.update({
     "stream_ingest": stream_ingest,
     "extractor_hook": extractor_hook,
 })
+
+
+# ----------------------------------------------------------------------------
+# End to end: E1 lifecycle over a mixed manifest
+# ----------------------------------------------------------------------------
+from .job import JobInputs, run_job  # noqa: E402
+
+
+def mixed_manifest(spark, sf_dir):
+    """S1-S7, P2, R6, D2, G5, A1-A4 together: each source is one run; its documents are
+    PDFs (doc_id % 5 = 0), PNGs (doc_id % 5 = 1) or text files, every 29th is missing."""
+    docs = table(spark, sf_dir, "documents")
+    m5 = F.col("doc_id") % 5
+    ext = F.when(m5 == 0, F.lit("pdf")).when(m5 == 1, F.lit("png")).otherwise(F.lit("txt"))
+    path = F.concat(F.lit("/data/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    d = docs.select("doc_id", "text", "source", path.alias("path"), m5.alias("m5"))
+    manifest = d.select(F.col("source").alias("run_id"), F.col("doc_id").alias("ord"), "path",
+                        F.lit(None).cast("string").alias("inline_text"), F.lit(None).cast("string").alias("declared_type"))
+    inventory = d.where(F.col("doc_id") % 29 != 0).select(
+        "path", F.lit(True).alias("exists"), F.lit(False).alias("is_dir"), F.lit(True).alias("link_target_exists"),
+        F.lit(True).alias("readable"), F.octet_length("text").cast("bigint").alias("length"))
+    files = d.where(F.col("m5") > 1).select("path", F.encode("text", "UTF-8").alias("content"))
+    pdf = d.where(F.col("m5") == 0)
+    inp = JobInputs(
+        manifest=manifest, inventory=inventory, files=files,
+        pdf_facts=pdf.select("path", F.lit(None).cast("string").alias("open_error"), F.lit(False).alias("locked"),
+                             F.lit(1).alias("page_count")),
+        pdf_pages=pdf.select("path", F.lit(0).alias("page_idx"), F.col("text").alias("embedded"),
+                             F.lit(None).cast("string").alias("error")),
+        ocr_pages=d.where(F.col("m5") == 1).select(
+            "path", F.lit(0).alias("page_idx"), F.array("text").alias("lines"),
+            F.lit(None).cast("string").alias("error"), F.lit(5).cast("bigint").alias("elapsed_ms"),
+            F.lit(612.0).alias("width_pt"), F.lit(792.0).alias("height_pt")),
+        image_facts=d.where(F.col("m5") == 1).select("path", F.lit(None).cast("string").alias("open_error"),
+                                                     F.lit(640).alias("width_px"), F.lit(480).alias("height_px")))
+    _, out = run_job(inp, STRICT, "fail_fast")
+    return out.select("run_id", "n_files", "n_failed", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
+                      "payload", *_err_cols(out))
+
+
+QUERIES["mixed_manifest"] = mixed_manifest
