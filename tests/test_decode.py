@@ -96,3 +96,30 @@ def test_lossy(spark):
     from textbarge.functions.decode import lossy_utf8
     df = spark.createDataFrame([(bytearray(b"ab\xff"),)], "c binary")
     assert df.select(lossy_utf8(F.col("c")).alias("t")).first().t == "ab�"
+
+
+def test_random_utf32_validity_matches_python(spark):
+    import random
+    from textbarge.functions.decode import utf32_ok
+    rnd = random.Random(5)
+    vals = [0x41, 0xE9, 0xD800, 0xDFFF, 0x10FFFF, 0x110000, 0x1F600, 0xFFFFFFFF, 0x0A, 0x00, 0xDC00, 0x10000]
+    rows = []
+    for i in range(300):
+        v = [rnd.choice(vals) for _ in range(rnd.randint(0, 5))]
+        le = b"".join(x.to_bytes(4, "little") for x in v)
+        if rnd.random() < 0.1:
+            le += b"\x41"
+        rows.append((i, bytearray(le), bytearray(b"".join(x.to_bytes(4, "big") for x in v))))
+    df = spark.createDataFrame(rows, "i int, le binary, be binary")
+    got = {r.i: (r.a, r.b) for r in df.select("i", utf32_ok("le", True).alias("a"),
+                                               utf32_ok("be", False).alias("b")).collect()}
+
+    def ok(b, codec):
+        try:
+            b.decode(codec)
+            return True
+        except UnicodeDecodeError:
+            return False
+
+    for i, le, be in rows:
+        assert got[i] == (ok(bytes(le), "utf-32-le"), ok(bytes(be), "utf-32-be")), (i, bytes(le).hex())

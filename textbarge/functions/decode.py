@@ -23,39 +23,46 @@ def has_nul_in_window(content) -> Column:
     return F.contains(F.substring(col(content), 1, BINARY_SNIFF_BYTES), _nul())
 
 
-def _units16(content) -> Column:
-    return F.regexp_replace(F.hex(col(content)), "(....)", "$1 ")
-
-
-def _units32(content) -> Column:
-    return F.regexp_replace(F.hex(col(content)), "(........)", "$1 ")
+def _latin1(content) -> Column:
+    """Bytes as a string of code points 0-255 (one char per byte; never fails)."""
+    return F.decode(col(content), "ISO-8859-1")
 
 
 def utf16_ok(content, little_endian: bool) -> Column:
-    """Even length and no unpaired surrogate in the given byte order."""
+    """Even length and no unpaired surrogate in the given byte order.
+
+    Works on the ISO-8859-1 view of the bytes (one char per byte): with no byte
+    in D8-DF at all the input is valid at once (short-circuit); otherwise the
+    high byte of every code unit is kept (a string of half the length) and a
+    high surrogate must be followed, and a low one preceded, by its partner.
+    Searching for one bad unit is linear and needs no deep regex recursion.
+    """
     c = col(content)
-    u = _units16(c)
-    if little_endian:
-        bad = u.rlike(r"..D[89AB] (?!..D[C-F])") | u.rlike(r"(?<!..D[89AB] )..D[C-F] ")
-    else:
-        bad = u.rlike(r"(?:^| )D[89AB].. (?!D[C-F]..)") | u.rlike(r"(?<!D[89AB].. )(?<![0-9A-F])D[C-F].. ")
-    return ((F.octet_length(c) % 2) == 0) & ~bad
+    s = _latin1(c)
+    hi = F.regexp_replace(s, "(?s)(.)(.)", "$2" if little_endian else "$1")
+    bad = hi.rlike("[\\x{D8}-\\x{DB}](?![\\x{DC}-\\x{DF}])") | hi.rlike("(?<![\\x{D8}-\\x{DB}])[\\x{DC}-\\x{DF}]")
+    return ((F.octet_length(c) % 2) == 0) & (~s.rlike("[\\x{D8}-\\x{DF}]") | ~bad)
 
 
 def utf32_ok(content, little_endian: bool) -> Column:
-    """Length a multiple of 4; every unit <= U+10FFFF and not a surrogate."""
+    """Length a multiple of 4; every unit <= U+10FFFF and not a surrogate.
+
+    One pass over the ISO-8859-1 view: each valid 4-byte unit is replaced by
+    nothing, any other aligned 4-byte group is kept (a fallback capture group),
+    so the input is valid exactly when nothing is left.
+    """
     c = col(content)
-    w = _units32(c)
-    if little_endian:
-        bad = w.rlike(r"(?:^| )(?:......(?!00)..|....(?!0[0-9A-F]|10)..[0-9A-F]{2}|..D[89A-F]0000) ")
-    else:
-        bad = w.rlike(r"(?:^| )(?:(?!00)..|00(?!0[0-9A-F]|10)..|0000D[89A-F]..).*? ")
-    return ((F.octet_length(c) % 4) == 0) & ~bad
+    if little_endian:   # bytes b0 b1 b2 b3, value b3b2b1b0
+        unit = "(?:.(?:[^\\x{D8}-\\x{DF}]\\x{00}|.[\\x{01}-\\x{10}])\\x{00})"
+    else:               # bytes b0 b1 b2 b3, value b0b1b2b3
+        unit = "(?:\\x{00}(?:\\x{00}[^\\x{D8}-\\x{DF}]|[\\x{01}-\\x{10}].).)"
+    rest = F.regexp_replace(_latin1(c), "(?s)" + unit + "|(....)", "$1")
+    return ((F.octet_length(c) % 4) == 0) & (rest == F.lit(""))
 
 
 def _swap32(content) -> Column:
     """Reverse every 4-byte group: UTF-32LE bytes -> UTF-32BE bytes."""
-    return F.unhex(F.regexp_replace(F.hex(col(content)), "(..)(..)(..)(..)", "$4$3$2$1"))
+    return F.encode(F.regexp_replace(_latin1(content), "(?s)(.)(.)(.)(.)", "$4$3$2$1"), "ISO-8859-1")
 
 
 def _bom(content, n: int) -> Column:

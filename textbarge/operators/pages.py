@@ -316,13 +316,20 @@ def assemble_image(facts: DataFrame, pages: DataFrame, profile: Profile | str) -
 
 # -------------------------------------------------------------------------- G5
 def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: DataFrame | None,
-                    profile: Profile | str, ocr_available: bool = True) -> DataFrame:
+                    profile: Profile | str, ocr_available: bool = True, materialize: bool = True) -> DataFrame:
     """Embedded text unless blank; then OCR, run only for the blank documents.
 
+    The embedded result feeds two consumers (the blank-document filter and the
+    final choice); with ``materialize`` it is checkpointed once under
+    ``spark.checkpoint.dir`` instead of assembling every document's pages twice.
     Returns ``path, text, error, source`` with source 'embedded', 'ocr' or NULL.
     """
     p = get_profile(profile)
     emb = assemble_embedded(facts, embedded_pages, p)
+    if materialize and ocr_available:
+        from ..session import shared_dir
+        shared_dir(emb.sparkSession)
+        emb = emb.checkpoint(eager=True)
     path = F.col("path")
     if p.name == "strict" and not ocr_available:
         e = F.when(F.col("blank"), strict_error("ExtractionError", path, F.lit(STRICT_NO_EXTRACTABLE_TEXT))) \

@@ -50,7 +50,8 @@ def _bin(hexstr: str):
 
 
 def _utf32le(text):
-    return F.unhex(F.regexp_replace(F.hex(F.encode(text, "UTF-32")), "(..)(..)(..)(..)", "$4$3$2$1"))
+    from ..functions.decode import _swap32
+    return _swap32(F.encode(text, "UTF-32"))
 
 
 def _docs_as_files(spark, sf_dir, content=None):

@@ -8,8 +8,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Tables whose rows carry whole texts: per-row decoding work is heavy.
+TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cores when the scan yields fewer splits than
+    the default parallelism (one big unsplittable file). On a cluster reading
+    many files the scan already has more splits and nothing is added."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def doc_path(ext: str = "txt") -> Column:
