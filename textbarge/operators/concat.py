@@ -43,6 +43,28 @@ def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_
     return st.withColumn("_build", build)
 
 
+# Statistics rows are small and of bounded width (keys, counts, one short error
+# struct), so a bound on their number is a bound on the broadcast size.
+MAX_BROADCAST_GROUPS = 50_000
+
+
+def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join per-group statistics (one row per group) to the rows of each group.
+
+    The statistics are checkpointed under ``spark.checkpoint.dir`` (cutting the
+    plan and surviving executor loss) and counted: with at most
+    ``MAX_BROADCAST_GROUPS`` groups they are broadcast, so the rows are not
+    shuffled by key at all (a few huge groups stay spread over the map tasks);
+    beyond that it is a shuffle join, where AQE splits a hot key's partition.
+    """
+    from ..session import shared_dir
+    shared_dir(stats.sparkSession)
+    st = stats.checkpoint(eager=True)
+    if st.count() <= MAX_BROADCAST_GROUPS:
+        st = F.broadcast(st)
+    return rows.join(st, list(keys), "inner")
+
+
 def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str, sep: str,
                    budget_bytes: int, out: str = "text", stats: dict[str, Column] | None = None,
                    where: str | None = None, concat_if: str | None = None) -> DataFrame:
@@ -62,7 +84,7 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str,
     st = group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if)
     stat_cols = [c for c in st.columns if c not in keys]
     body = df.withColumn("_t", F.col(text)).withColumn("_pick", F.expr(where) if where else F.lit(True))
-    body = body.drop(*[c for c in stat_cols if c in body.columns]).join(st, keys, "inner")
+    body = attach_group_stats(body.drop(*[c for c in stat_cols if c in body.columns]), st, keys)
     masked = "CASE WHEN _build AND _pick THEN _t END"
     agg = body.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in stat_cols if c != "_build"],

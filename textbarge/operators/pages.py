@@ -20,7 +20,7 @@ from ..functions.errors import lenient_error, null_error, strict_error
 from ..functions.raster import raster_px, too_many_pixels
 from ..functions.text import is_blank, page_no, utrim
 from ..profiles import Profile, get_profile
-from .concat import ordered_concat
+from .concat import attach_group_stats, ordered_concat
 
 # Texts of the PDF / image extraction steps.
 STRICT_NO_EXTRACTABLE_TEXT = "PDF contains no extractable text"
@@ -139,7 +139,7 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     the joined text is ``listagg(embedded, '\\n')`` over pages from the first
     non-empty one on. It is built as the full ordered join ``L`` minus its
     ``k`` leading separators, where ``k`` = leading '\\n' of ``L`` minus those
-    of the first non-empty page (known from the same statistics).
+    of the first non-empty page (a number kept in the statistics).
     G3 (strict): the first failing page fails the document.
     G4 (lenient): a page without text is skipped.
     ``blank`` marks documents whose text is blank after trimming (G5 decides).
@@ -157,15 +157,15 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     else:
         body = pg.withColumn("piece", F.when(F.col("error").isNull(), F.col("embedded")))
         concat_if = None
-    first_text = F.min_by(F.col("piece"), F.when(F.col("piece") != "", F.col("page_idx")))
+    first_lead = F.min_by(_lead_nl(F.col("piece")), F.when(F.col("piece") != "", F.col("page_idx")))
     st = ordered_concat(
         body, ["path"], "page_idx", "piece", "\n", p.output_budget, out="joined", concat_if=concat_if,
         stats={"n_failed": F.count(F.col("error")),
                "first_error": F.min_by(F.struct(F.col("page_idx"), F.col("error")),
                                        F.when(F.col("error").isNotNull(), F.col("page_idx"))),
-               "first_text": first_text})
-    k = _lead_nl(F.col("joined")) - _lead_nl(F.col("first_text"))
-    text = (F.when(F.col("first_text").isNull(), F.lit(""))
+               "first_lead": first_lead})
+    k = _lead_nl(F.col("joined")) - F.col("first_lead")
+    text = (F.when(F.col("first_lead").isNull(), F.lit(""))
             .otherwise(F.substring(F.col("joined"), k + 1, 2147483647)))
     path = F.col("path")
     if p.name == "strict":
@@ -237,7 +237,7 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
         .withColumn("build_warn", (F.col("n_failed") > 0) & (F.col("warn_bytes") <= budget)))
     piece_arr = F.concat(F.when(F.col("page_idx") > F.col("f"), _sep_lines(p, F.col("page_idx")))
                          .otherwise(F.array().cast("array<string>")), lines)
-    body = (pg.join(stats, "path", "inner")
+    body = (attach_group_stats(pg, stats, ["path"])
             .withColumn("piece", F.when(F.col("build_core") & good & (F.col("page_idx") >= F.col("f"))
                                         & (F.size(piece_arr) > 0), F.array_join(piece_arr, "\n")))
             .withColumn("warn", F.when(F.col("build_warn"), F.col("warn"))))
