@@ -12,8 +12,8 @@ from .profiles import LENIENT, STRICT, Profile, get_profile  # noqa: F401
 from .sources.extraction import lookup_extraction, read_page_results, run_extractor  # noqa: F401
 from .sources.files import attach_content, materialize_files, probe_inventory, scan_files  # noqa: F401
 from .sources.manifest import manifest_from_paths, read_manifest, split_inline, with_lookup_path  # noqa: F401
-from .sources.sinks import publish, quarantine, read_payload, read_quarantine  # noqa: F401
-from .streaming.ingest import decode_stream, latest_per_target, start_ingest  # noqa: F401
+from .sources.sinks import publish, publish_file, quarantine, read_payload, read_quarantine  # noqa: F401
+from .streaming.ingest import decode_stream, latest_per_target, start_ingest, start_latest  # noqa: F401
 
 
 def route_entries(df, profile, path="path", declared_type="declared_type"):

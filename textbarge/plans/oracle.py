@@ -531,3 +531,44 @@ SELECT run_id, n_files, n_failed,
             || CASE bad % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.txt' END END AS error_message
 FROM g
 """
+
+ORACLE["stream_latest"] = """
+SELECT CAST(conv_id AS VARCHAR) AS run_id, max_by(text, turn) AS payload, max(turn) AS last_ord, count(*) AS n_ok
+FROM conversations WHERE turn % 3 <> 2 GROUP BY conv_id
+"""
+
+ORACLE["single_selection"] = f"""
+WITH s AS (
+  SELECT CAST(conv_id AS VARCHAR) || '/' || role AS run_id, count(*) AS n_files,
+         min_by(CASE WHEN turn % 5 = 4 THEN ' ' || chr(10) ELSE text END, turn) AS t,
+         min_by('/conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.txt', turn) AS p
+  FROM conversations GROUP BY conv_id, role)
+SELECT run_id,
+       CASE WHEN n_files = 1 AND trim(t, {WS_SQL}) <> '' THEN t END AS payload,
+       CAST(CASE WHEN n_files = 1 AND trim(t, {WS_SQL}) <> '' THEN strlen(t) ELSE 0 END AS BIGINT) AS n_bytes,
+       n_files,
+       CASE WHEN n_files > 1 THEN 'Please select only one file'
+            WHEN trim(t, {WS_SQL}) = '' THEN 'File is empty' END AS message,
+       CASE WHEN n_files = 1 AND trim(t, {WS_SQL}) <> '' THEN 'Copied contents to clipboard' END AS summary
+FROM s
+"""
+
+ORACLE["empty_runs"] = """
+WITH g AS (
+  SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS p FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS run_id,
+       CASE WHEN conv_id % 10 = 0 THEN 0 ELSE n END AS n_files,
+       CAST(CASE WHEN conv_id % 10 = 0 THEN 0 ELSE strlen(p) END AS BIGINT) AS n_bytes,
+       CASE WHEN conv_id % 10 = 0 THEN 'NoFilesSpecified' END AS error_kind,
+       CASE WHEN conv_id % 10 = 0 THEN 'No files specified' END AS error_message
+FROM g
+"""
+
+ORACLE["pdf_without_ocr"] = """
+SELECT doc_id, source,
+       CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'embedded' END AS text_from,
+       CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS text,
+       CASE WHEN doc_id % 3 = 0 THEN 'Failed to extract text from ''/data/' || source || '/' || CAST(doc_id AS VARCHAR)
+            || '.pdf'': PDF contains no extractable text' END AS error_message
+FROM documents
+"""

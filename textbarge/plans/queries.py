@@ -731,3 +731,71 @@ def mixed_manifest(spark, sf_dir):
 
 
 QUERIES["mixed_manifest"] = mixed_manifest
+
+
+# ----------------------------------------------------------------------------
+# More policies: X2 (streaming), single selection, empty runs, no OCR
+# ----------------------------------------------------------------------------
+from ..streaming.ingest import start_latest  # noqa: E402
+
+
+def stream_latest(spark, sf_dir):
+    """Conversation turns arrive as a stream; per conversation the last successful
+    turn (turn % 3 = 2 is binary) is kept in streaming state and republished."""
+    schema = table(spark, sf_dir, "conversations").schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    content = F.when(F.col("turn") % 3 == 2, F.concat(_bin("00"), F.encode("text", "UTF-8"))) \
+        .otherwise(F.encode("text", "UTF-8"))
+    s = src.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("ord"),
+                   F.concat(F.lit("/conv/"), F.col("conv_id").cast("string"), F.lit("/"),
+                            F.col("turn").cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+    out, ck = fresh_dir(spark, "latest-out"), fresh_dir(spark, "latest-ck")
+    q = start_latest(decode_stream(s, STRICT), "run_id", "ord", out, ck)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("run_id", "payload", F.col("ord").alias("last_ord"), "n_ok")
+
+
+def single_selection(spark, sf_dir):
+    """P8 P9 P12 (desktop front end): each (conversation, role) is a selection of its turns
+    as files; more than one item is refused, a blank file is 'File is empty'."""
+    c = _conv_entries(spark, sf_dir)
+    sel = F.concat(F.col("run_id"), F.lit("/"), F.col("role"))
+    t = F.when(F.col("ord") % 5 == 4, F.lit(" \n")).otherwise(F.col("text"))
+    d = decode_text(c.select(sel.alias("run_id"), "ord", "path", F.encode(t, "UTF-8").alias("content")), LENIENT)
+    out = build_payload(d, LENIENT, "single")
+    return out.select("run_id", "payload", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "n_files",
+                      F.col("error.message").alias("message"), "summary")
+
+
+def empty_runs(spark, sf_dir):
+    """Every conversation is a run, but runs with conv_id % 10 = 0 list no files."""
+    c = _conv_entries(spark, sf_dir)
+    runs = c.select("run_id").distinct()
+    m = c.where(F.col("run_id").cast("bigint") % 10 != 0)
+    d = decode_text(m.select("run_id", "ord", "path", F.encode("text", "UTF-8").alias("content")), STRICT)
+    out = build_payload(d, STRICT, "fail_fast", runs=runs)
+    return out.select("run_id", "n_files", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
+                      _kind().alias("error_kind"), F.col("error.message").alias("error_message"))
+
+
+def pdf_without_ocr(spark, sf_dir):
+    """Single-page PDFs whose embedded text is blank (doc_id % 3 = 0) when no
+    recognizer is available: the strict tool reports 'PDF contains no extractable text'."""
+    docs = table(spark, sf_dir, "documents")
+    path = doc_path("pdf")
+    facts = docs.select(path.alias("path"), F.lit(None).cast("string").alias("open_error"),
+                        F.lit(False).alias("locked"), F.lit(1).alias("page_count"))
+    emb = docs.select(path.alias("path"), F.lit(0).alias("page_idx"),
+                      F.when(F.col("doc_id") % 3 == 0, F.lit("　")).otherwise(F.col("text")).alias("embedded"),
+                      F.lit(None).cast("string").alias("error"))
+    r = embedded_or_ocr(facts, emb, None, STRICT, ocr_available=False).withColumnRenamed("source", "text_from")
+    return docs.select("doc_id", "source", path.alias("path")).join(r, "path").select(
+        "doc_id", "source", "text_from", "text", F.col("error.message").alias("error_message"))
+
+
+QUERIES.update({
+    "stream_latest": stream_latest,
+    "single_selection": single_selection,
+    "empty_runs": empty_runs,
+    "pdf_without_ocr": pdf_without_ocr,
+})

@@ -35,3 +35,16 @@ def quarantine(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def publish_file(decoded: DataFrame, path: str) -> DataFrame:
+    """Publish one decoded file's text per run and return its UTF-8 byte length.
+
+    ``decoded`` has ``run_id, ord, path, text, error``; the run's single entry
+    (lowest ``ord``) is published; runs whose entry failed keep their error.
+    """
+    from ..operators.payload import build_payload
+    p = build_payload(decoded, "strict", "fail_fast").select("run_id", "payload", "n_bytes", "n_files",
+                                                                "summary", "error")
+    publish(p.where(F.col("error").isNull()), path)
+    return p.select("run_id", "n_bytes", "error")

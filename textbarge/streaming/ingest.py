@@ -44,3 +44,26 @@ def latest_per_target(decoded: DataFrame, target: str, seq: str) -> DataFrame:
     """X2 (batch form): last write wins per target, as ``max_by`` (partial aggregate)."""
     return decoded.groupBy(target).agg(F.max_by(F.struct(*[c for c in decoded.columns if c != target]),
                                                 F.col(seq)).alias("latest")).select(target, "latest.*")
+
+
+def start_latest(decoded: DataFrame, target: str, seq: str, out_dir: str, checkpoint: str,
+                 available_now: bool = True) -> StreamingQuery:
+    """Last successful write wins per target, as a stateful streaming aggregate.
+
+    State holds one row per target (``max_by`` over ``seq`` of the successful
+    rows); ``complete`` mode re-emits the whole latest table each micro-batch,
+    which replaces the published table, so a replayed batch is harmless.
+    """
+    ok = decoded.where(F.col("error").isNull())
+    latest = ok.groupBy(target).agg(
+        F.max_by(F.col("text"), F.col(seq)).alias("payload"),
+        F.max(F.col(seq)).alias(seq),
+        F.count(F.lit(1)).alias("n_ok"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out_dir)
+
+    w = (latest.writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
