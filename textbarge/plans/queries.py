@@ -799,3 +799,31 @@ QUERIES.update({
     "empty_runs": empty_runs,
     "pdf_without_ocr": pdf_without_ocr,
 })
+
+
+def stream_files(spark, sf_dir):
+    """X1 X3 on a drop folder: documents written as files (every 13th binary), picked up by a
+    binaryFile file stream, decoded (lenient) and split into payload and quarantine tables."""
+    from ..streaming.ingest import file_stream
+    root = fresh_dir(spark, "drop")
+    docs = table(spark, sf_dir, "documents")
+    rel = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    utf8 = F.encode("text", "UTF-8")
+    # Binary files: a NUL prefix that makes the length odd, so neither UTF-16 byte order fits.
+    odd = F.when(F.octet_length("text") % 2 == 0, F.concat(_bin("00"), utf8)).otherwise(F.concat(_bin("0000"), utf8))
+    body = F.when(F.col("doc_id") % 13 == 0, odd).otherwise(utf8)
+    materialize_files(docs.select(rel.alias("relpath"), body.alias("content")), root)
+    s = file_stream(spark, root, glob="*.txt", max_bytes=LENIENT.max_file_bytes)
+    s = s.select("path", "content",
+                 F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("source"))
+    out, bad, ck = fresh_dir(spark, "drop-out"), fresh_dir(spark, "drop-bad"), fresh_dir(spark, "drop-ck")
+    start_ingest(decode_stream(s, LENIENT), out, bad, ck).awaitTermination()
+    good = spark.read.parquet(out).groupBy("source").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_ok"), F.sum(F.octet_length("text")).cast("bigint").alias("n_bytes"))
+    fail = spark.read.parquet(bad).groupBy("source").agg(F.count(F.lit(1)).cast("bigint").alias("n_bad"))
+    return good.join(fail, "source", "full").select(
+        "source", F.coalesce("n_ok", F.lit(0)).alias("n_ok"), F.coalesce("n_bad", F.lit(0)).alias("n_bad"),
+        F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"))
+
+
+QUERIES["stream_files"] = stream_files

@@ -34,9 +34,11 @@ WHITESPACE_CHARS = (
 # ---------------------------------------------------------------------------
 
 # Engine bound, not a rule of the source tool: the largest single string we
-# let one task assemble. Spark cannot hold a value above 2 GiB at all, so a
-# bigger result is reported as an error instead of crashing a task.
-DEFAULT_ASSEMBLY_BUDGET_BYTES = 1024 * 1024 * 1024
+# let one task assemble (its parts, their sort and the result are all held by
+# that task). Spark cannot hold a value above 2 GiB at all; rows of a few
+# hundred MB already strain shuffles and writers, so a bigger result is
+# reported as an error instead of stalling a task. Adjust with Profile.with_().
+DEFAULT_ASSEMBLY_BUDGET_BYTES = 256 * 1024 * 1024
 
 
 @dataclass(frozen=True)

@@ -15,6 +15,24 @@ from ..operators.decode import decode_text
 from ..profiles import Profile, get_profile
 
 
+def file_stream(spark: SparkSession, root: str, glob: str | None = None,
+                max_bytes: int | None = None) -> DataFrame:
+    """X1 source: files appearing under ``root`` (a drop folder), with their bytes.
+
+    Same schema as the batch scan; paths normalized; the size gate is a filter
+    on ``length``. Like the batch source, a zero-length file produces no row.
+    """
+    from .. import schemas
+    from ..sources.files import normalize_path
+    r = spark.readStream.format("binaryFile").schema(schemas.FILES).option("recursiveFileLookup", "true")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    df = r.load(root)
+    if max_bytes is not None:
+        df = df.where(F.col("length") <= F.lit(max_bytes))
+    return df.withColumn("path", normalize_path("path"))
+
+
 def decode_stream(stream: DataFrame, profile: Profile | str, content: str = "content") -> DataFrame:
     """Validate + decode each arriving row with the batch expressions."""
     return decode_text(stream, get_profile(profile), content=content)
