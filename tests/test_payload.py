@@ -68,3 +68,32 @@ def test_ordered_concat_budget(spark):
     got = {r.k: r for r in ordered_concat(df, ["k"], "o", "t", ",", 15).collect()}
     assert got["k"].text is None and got["k"].fits is False and got["k"].n_bytes == 19
     assert got["j"].text == "a," and got["j"].n_parts == 2
+
+
+def test_hot_key_is_split_not_gathered(spark, monkeypatch):
+    """A key with 60% of the rows, shuffle-join branch forced: AQE splits its partition,
+    the group is measured, found over budget and never concatenated."""
+    import textbarge.operators.concat as C
+    monkeypatch.setattr(C, "MAX_BROADCAST_GROUPS", 0)
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 100000).select(
+            F.when(F.col("id") % 10 < 6, F.lit("hot")).otherwise((F.col("id") % 500).cast("string")).alias("k"),
+            F.col("id").alias("o"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
+        res = C.ordered_concat(df, ["k"], "o", "t", ",", 50_000)
+        rows = {r.k: r for r in res.collect()}
+        assert rows["hot"].fits is False and rows["hot"].text is None and rows["hot"].n_parts == 60000
+        assert rows["7"].text.startswith("t7,t507,t1007")
+        assert "skew=true" in res._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

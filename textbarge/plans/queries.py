@@ -70,7 +70,6 @@ def _kind(err="error"):
 def nul_sniff(spark, sf_dir):
     """NUL spliced at byte 10, 8191 or 8192 (doc_id % 4) into text repeated past 8200 bytes."""
     docs = table(spark, sf_dir, "documents")
-    k = F.expr("8200 div octet_length(text) + 1")
     rep = F.encode(F.expr("repeat(text, 8200 div octet_length(text) + 1)"), "UTF-8")
     off = (F.when(F.col("doc_id") % 4 == 0, F.lit(10)).when(F.col("doc_id") % 4 == 1, F.lit(8191))
            .when(F.col("doc_id") % 4 == 2, F.lit(8192)))
@@ -78,7 +77,6 @@ def nul_sniff(spark, sf_dir):
     content = F.when(F.col("off").isNull(), F.col("rep")).otherwise(
         F.concat(F.substring("rep", F.lit(1), F.col("off")), _bin("00"),
                  F.substring("rep", F.col("off") + 1, F.lit(2147483647))))
-    _ = k
     d = d.withColumn("content", content)
     return d.select("doc_id", F.octet_length("content").cast("bigint").alias("n_bytes"),
                     F.coalesce(F.col("off"), F.lit(-1)).cast("int").alias("nul_offset"),
