@@ -8,35 +8,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import basename, col, megabytes, megapixels
+from .text import basename, col, fmt, megabytes, megapixels
 
 # ---------------------------------------------------------------------------
-# Error kinds and their display formats.
-# strict (command-line tool), 7 kinds:
-#   FileNotFound      "File not found: {path}"
-#   PermissionDenied  "Permission denied: {path}"
-#   BinaryFile        "Cannot read binary file: {path}"
-#   ExtractionError   "Failed to extract text from '{path}': {message}"
-#   IoError           "Failed to read file '{path}': {message}"
-#   ClipboardError    "Clipboard error: {message}"
-#   NoFilesSpecified  "No files specified"
-# lenient (desktop library), 10 kinds, {name} = last path component:
-#   fileNotFound      "File not found: {name}"
-#   permissionDenied  "Permission denied: {name}"
-#   binaryFile        "Binary file: {name}"
-#   fileTooLarge      "File too large ({size MB}MB): {name}"
-#   outputTooLarge    "Output too large ({size MB}MB) for clipboard"
-#   imageTooLarge     "Image too large ({w*h MP}MP): {name}"
-#   isDirectory       "Cannot copy directory: {name}"
-#   notFileURL        "Not a local file: {url}"
-#   extractionFailed  "{message}"
-#   ocrTimeout        "OCR timed out: {name}"
+# Error kinds and their display texts.
+# strict (command-line tool), 7 kinds; {path} as given, {detail} from the cause.
+STRICT_MESSAGES = {
+    "FileNotFound": "File not found: {path}",
+    "PermissionDenied": "Permission denied: {path}",
+    "BinaryFile": "Cannot read binary file: {path}",
+    "ExtractionError": "Failed to extract text from '{path}': {detail}",
+    "IoError": "Failed to read file '{path}': {detail}",
+    "ClipboardError": "Clipboard error: {detail}",
+    "NoFilesSpecified": "No files specified",
+}
+# lenient (desktop library), 10 kinds; {name} = last path component,
+# {mb} = size / 1024 / 1024, {mp} = width * height / 1000000 (integers).
+LENIENT_MESSAGES = {
+    "fileNotFound": "File not found: {name}",
+    "permissionDenied": "Permission denied: {name}",
+    "binaryFile": "Binary file: {name}",
+    "fileTooLarge": "File too large ({mb}MB): {name}",
+    "outputTooLarge": "Output too large ({mb}MB) for clipboard",
+    "imageTooLarge": "Image too large ({mp}MP): {name}",
+    "isDirectory": "Cannot copy directory: {name}",
+    "notFileURL": "Not a local file: {path}",
+    "extractionFailed": "{detail}",
+    "ocrTimeout": "OCR timed out: {name}",
+}
 # ---------------------------------------------------------------------------
-STRICT_KINDS = ("FileNotFound", "PermissionDenied", "BinaryFile", "ExtractionError",
-                "IoError", "ClipboardError", "NoFilesSpecified")
-LENIENT_KINDS = ("fileNotFound", "permissionDenied", "binaryFile", "fileTooLarge",
-                 "outputTooLarge", "imageTooLarge", "isDirectory", "notFileURL",
-                 "extractionFailed", "ocrTimeout")
+STRICT_KINDS = tuple(STRICT_MESSAGES)
+LENIENT_KINDS = tuple(LENIENT_MESSAGES)
 # Operating-system and codec texts that the strict tool passes through.
 IO_INVALID_UTF8 = "stream did not contain valid UTF-8"
 IO_IS_DIRECTORY = "Is a directory (os error 21)"
@@ -46,6 +48,8 @@ NO_FILE_SELECTED = "No file selected"
 SELECT_ONE_FILE = "Please select only one file"
 FILE_IS_EMPTY = "File is empty"
 SUMMARY_FORMAT = "Copied {bytes} bytes from {what} to clipboard"
+SUMMARY_MANY = "{n} files"
+COPIED_CONTENTS = "Copied contents to clipboard"
 
 
 def make_error(kind: str, path, message) -> Column:
@@ -59,58 +63,27 @@ def null_error() -> Column:
 
 def strict_error(kind: str, path, detail=None) -> Column:
     p = col(path)
-    d = col(detail) if detail is not None else None
-    if kind == "FileNotFound":
-        m = F.concat(F.lit("File not found: "), p)
-    elif kind == "PermissionDenied":
-        m = F.concat(F.lit("Permission denied: "), p)
-    elif kind == "BinaryFile":
-        m = F.concat(F.lit("Cannot read binary file: "), p)
-    elif kind == "ExtractionError":
-        m = F.concat(F.lit("Failed to extract text from '"), p, F.lit("': "), d)
-    elif kind == "IoError":
-        m = F.concat(F.lit("Failed to read file '"), p, F.lit("': "), d)
-    elif kind == "ClipboardError":
-        m = F.concat(F.lit("Clipboard error: "), d)
-    elif kind == "NoFilesSpecified":
-        m = F.lit("No files specified")
-    else:
-        raise ValueError(kind)
-    return make_error(kind, p, m)
+    parts = {"path": p}
+    if detail is not None:
+        parts["detail"] = col(detail)
+    return make_error(kind, p, fmt(STRICT_MESSAGES[kind], **parts))
 
 
 def lenient_error(kind: str, path, detail=None, size=None, width=None, height=None) -> Column:
     p = col(path)
-    name = basename(p)
-    if kind == "fileNotFound":
-        m = F.concat(F.lit("File not found: "), name)
-    elif kind == "permissionDenied":
-        m = F.concat(F.lit("Permission denied: "), name)
-    elif kind == "binaryFile":
-        m = F.concat(F.lit("Binary file: "), name)
-    elif kind == "fileTooLarge":
-        m = F.concat(F.lit("File too large ("), megabytes(size).cast("string"), F.lit("MB): "), name)
-    elif kind == "outputTooLarge":
-        m = F.concat(F.lit("Output too large ("), megabytes(size).cast("string"), F.lit("MB) for clipboard"))
-    elif kind == "imageTooLarge":
-        m = F.concat(F.lit("Image too large ("), megapixels(width, height).cast("string"), F.lit("MP): "), name)
-    elif kind == "isDirectory":
-        m = F.concat(F.lit("Cannot copy directory: "), name)
-    elif kind == "notFileURL":
-        m = F.concat(F.lit("Not a local file: "), p)
-    elif kind == "extractionFailed":
-        m = col(detail)
-    elif kind == "ocrTimeout":
-        m = F.concat(F.lit("OCR timed out: "), name)
-    else:
-        raise ValueError(kind)
-    return make_error(kind, p, m)
+    parts = {"path": p, "name": basename(p)}
+    if detail is not None:
+        parts["detail"] = col(detail)
+    if size is not None:
+        parts["mb"] = megabytes(size)
+    if width is not None and height is not None:
+        parts["mp"] = megapixels(width, height)
+    return make_error(kind, p, fmt(LENIENT_MESSAGES[kind], **parts))
 
 
 def summary(n_bytes, n_files, first_path) -> Column:
     """'Copied B bytes from X to clipboard'; X = path, 'stdin' or 'N files'."""
     what = (F.when(col(n_files) == 1,
                    F.when(col(first_path) == "-", F.lit("stdin")).otherwise(col(first_path)))
-            .otherwise(F.concat(col(n_files).cast("string"), F.lit(" files"))))
-    return F.concat(F.lit("Copied "), col(n_bytes).cast("string"), F.lit(" bytes from "), what,
-                    F.lit(" to clipboard"))
+            .otherwise(fmt(SUMMARY_MANY, n=n_files)))
+    return fmt(SUMMARY_FORMAT, bytes=n_bytes, what=what)

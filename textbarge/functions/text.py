@@ -54,6 +54,23 @@ def page_no(page_idx) -> Column:
     return (col(page_idx) + 1).cast("int")
 
 
+def fmt(template: str, **parts) -> Column:
+    """A message column from a fixed template: ``{name}`` is replaced by the
+    column (or string) given for ``name``; everything else is literal text."""
+    import re
+    pieces = []
+    pos = 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            pieces.append(F.lit(template[pos:m.start()]))
+        v = parts[m.group(1)]
+        pieces.append(F.lit(v) if isinstance(v, str) else col(v).cast("string"))
+        pos = m.end()
+    if pos < len(template):
+        pieces.append(F.lit(template[pos:]))
+    return pieces[0] if len(pieces) == 1 else F.concat(*pieces)
+
+
 def sql_str(s: str) -> str:
     """A Spark SQL string literal for ``s``."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import lenient_error, null_error, strict_error
 from ..functions.raster import raster_px, too_many_pixels
-from ..functions.text import is_blank, page_no, utrim
+from ..functions.text import fmt, is_blank, page_no, utrim
 from ..profiles import Profile, get_profile
 from .concat import attach_group_stats, ordered_concat
 
@@ -35,6 +35,9 @@ STRICT_WARN_RENDER = "Warning: Could not render page {n}"
 STRICT_WARN_OCR = "Warning: OCR failed on page {n}: {error}"
 STRICT_IMAGE_LOAD = "Error: Could not load image: {path}"
 STRICT_IMAGE_OCR = "Error: OCR failed: {error}"
+STRICT_OCR_FAILED = "OCR failed: {stderr}"
+STRICT_OCR_EMPTY = "PDF contains no recognizable text (OCR found nothing)"
+ENGINE_LIMIT = "document text exceeds the engine limit"
 STRICT_PAGE_EXTRACT = "Failed to extract page {n}: {error}"
 LENIENT_OPEN_FAILED = "Could not open PDF"
 LENIENT_LOCKED = "PDF is password-protected"
@@ -89,13 +92,12 @@ def page_status(profile: Profile | str) -> Column:
 
 
 def strict_warning(status="status", page_idx="page_idx", error="error") -> Column:
-    n = _s(page_no(F.col(page_idx)))
+    n = page_no(F.col(page_idx))
     st = F.col(status)
-    return (F.when(st == "access", F.concat(F.lit("Warning: Could not access page "), n))
-            .when(st == "render", F.concat(F.lit("Warning: Could not render page "), n))
+    return (F.when(st == "access", fmt(STRICT_WARN_ACCESS, n=n))
+            .when(st == "render", fmt(STRICT_WARN_RENDER, n=n))
             .when(st.isin("recognize", "timeout"),
-                  F.concat(F.lit("Warning: OCR failed on page "), n, F.lit(": "),
-                           F.coalesce(F.col(error), F.lit("timed out")))))
+                  fmt(STRICT_WARN_OCR, n=n, error=F.coalesce(F.col(error), F.lit("timed out")))))
 
 
 # ------------------------------------------------------------------- PDF checks
@@ -116,10 +118,8 @@ def pdf_gate(facts: DataFrame, profile: Profile | str, stage: str = "embedded")
         e = F.when(F.col("open_error").isNotNull(),
                    strict_error("ExtractionError", path, F.col("open_error"))).otherwise(null_error())
     else:
-        ocr = lambda m: strict_error("ExtractionError", path, F.concat(F.lit("OCR failed: "), m))
-        e = (F.when(F.col("open_error").isNotNull(),
-                    ocr(F.concat(F.lit("Error: Could not open PDF: "), path,
-                                 F.lit("\nThe file may be corrupted or inaccessible."))))
+        ocr = lambda m: strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=m))
+        e = (F.when(F.col("open_error").isNotNull(), ocr(fmt(STRICT_OPEN_FAILED, path=path)))
              .when(F.col("locked"), ocr(F.lit(STRICT_LOCKED)))
              .when(F.col("page_count") <= 0, ocr(F.lit(STRICT_NO_PAGES)))
              .otherwise(null_error()))
@@ -170,9 +170,9 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     if p.name == "strict":
         fe = F.col("first_error")
         err = (F.when(F.col("n_failed") > 0, strict_error(
-            "ExtractionError", path, F.concat(F.lit("Failed to extract page "), _s(page_no(fe.getField("page_idx"))),
-                                              F.lit(": "), fe.getField("error"))))
-               .when(~F.col("fits"), strict_error("ClipboardError", path, F.lit("document text exceeds the engine limit")))
+            "ExtractionError", path, fmt(STRICT_PAGE_EXTRACT, n=page_no(fe.getField("page_idx")),
+                                         error=fe.getField("error"))))
+               .when(~F.col("fits"), strict_error("ClipboardError", path, F.lit(ENGINE_LIMIT)))
                .otherwise(null_error()))
     else:
         err = F.when(~F.col("fits"), lenient_error("outputTooLarge", path, size=F.col("n_bytes"))).otherwise(null_error())
@@ -252,22 +252,21 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     too_big = (~F.col("build_core") & (F.col("est_bytes") > budget)) | \
         ((n_failed > 0) & ~F.col("build_warn"))
     if p.name == "strict":
-        stderr = (F.when(n_failed > 0, F.concat(F.col("failed_list"), F.lit("\nError: "), _s(n_failed), F.lit(" of "),
-                                                 _s(F.col("page_count")), F.lit(" pages had errors")))
+        stderr = (F.when(n_failed > 0, F.concat(F.col("failed_list"), F.lit("\n"),
+                                                 fmt(STRICT_PAGES_HAD_ERRORS, k=n_failed, n=F.col("page_count"))))
                   .otherwise(F.lit(STRICT_PDF_BLANK)))
         blank = core.isNull() | is_blank(core)
-        err = (F.when(too_big, strict_error("ClipboardError", path, F.lit("document text exceeds the engine limit")))
+        err = (F.when(too_big, strict_error("ClipboardError", path, F.lit(ENGINE_LIMIT)))
                .when((n_failed > 0) | blank,
-                     strict_error("ExtractionError", path, F.concat(F.lit("OCR failed: "), utrim(stderr))))
+                     strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=utrim(stderr))))
                .otherwise(null_error()))
         text = F.concat(core, F.lit("\n"))
     else:
         trimmed = utrim(F.coalesce(core, F.lit("")))
-        warn_failed = F.when(n_failed > 0, F.concat(F.lit("\n\n[Warning: Failed to process pages: "),
-                                                     F.col("failed_list"), F.lit("]"))).otherwise(F.lit(""))
+        warn_failed = F.when(n_failed > 0, fmt(LENIENT_FAILED_PAGES, pages=F.col("failed_list"))) \
+            .otherwise(F.lit(""))
         warn_trunc = (F.when(F.col("page_count") > F.lit(p.page_cap),
-                             F.concat(F.lit("\n\n[Warning: PDF truncated. Processed "), F.lit(str(p.page_cap)),
-                                      F.lit(" of "), _s(F.col("page_count")), F.lit(" pages]")))
+                             fmt(LENIENT_TRUNCATED, cap=str(p.page_cap), n=F.col("page_count")))
                       .otherwise(F.lit("")))
         err = (F.when(too_big, lenient_error("outputTooLarge", path, size=F.col("est_bytes")))
                .when(trimmed == "", lenient_error("extractionFailed", path, F.lit(LENIENT_PDF_BLANK)))
@@ -294,11 +293,10 @@ def assemble_image(facts: DataFrame, pages: DataFrame, profile: Profile | str) -
     lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
     joined = F.array_join(lines, "\n")
     if p.name == "strict":
-        ocr = lambda m: strict_error("ExtractionError", path, F.concat(F.lit("OCR failed: "), m))
+        ocr = lambda m: strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=m))
         text = F.when(F.size(lines) > 0, F.concat(joined, F.lit("\n"))).otherwise(F.lit(""))
-        err = (F.when(F.col("open_error").isNotNull(),
-                      ocr(F.concat(F.lit("Error: Could not load image: "), path)))
-               .when(F.col("ocr_error").isNotNull(), ocr(F.concat(F.lit("Error: OCR failed: "), F.col("ocr_error"))))
+        err = (F.when(F.col("open_error").isNotNull(), ocr(fmt(STRICT_IMAGE_LOAD, path=path)))
+               .when(F.col("ocr_error").isNotNull(), ocr(fmt(STRICT_IMAGE_OCR, error=F.col("ocr_error"))))
                .when(is_blank(text), strict_error("ExtractionError", path, F.lit(STRICT_IMAGE_BLANK)))
                .otherwise(null_error()))
     else:
@@ -340,7 +338,7 @@ def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: Data
     if p.name == "strict":
         # The tool re-checks the helper's text: blank -> error (unreachable when the helper succeeded).
         o = o.withColumn("error", F.when(F.col("error").isNull() & is_blank(F.col("text")), strict_error(
-            "ExtractionError", path, F.lit("PDF contains no recognizable text (OCR found nothing)")))
+            "ExtractionError", path, F.lit(STRICT_OCR_EMPTY)))
             .otherwise(F.col("error")))
     j = emb.join(o.select("path", F.col("text").alias("o_text"), F.col("error").alias("o_error")), "path", "left")
     use_ocr = F.col("blank")

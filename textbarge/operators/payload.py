@@ -18,13 +18,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.errors import (FILE_IS_EMPTY, NO_FILE_SELECTED, SELECT_ONE_FILE, lenient_error,
-                                make_error, null_error, strict_error, summary)
-from ..functions.text import is_blank
+from ..functions.errors import (COPIED_CONTENTS, FILE_IS_EMPTY, NO_FILE_SELECTED, SELECT_ONE_FILE,
+                                lenient_error, make_error, null_error, strict_error, summary)
+from ..functions.text import fmt, is_blank
 from ..profiles import Profile, get_profile
 from .concat import ordered_concat
 
 _ERR_T = "struct<kind:string,path:string,message:string>"
+# Engine limit text (not a rule of the source tool).
+PAYLOAD_OVER_LIMIT = "payload of {n} bytes exceeds the {limit}-byte limit"
 
 
 def _first_error():
@@ -34,9 +36,8 @@ def _first_error():
 def _budget_error(profile: Profile, n_bytes) -> "F.Column":
     if profile.max_output_bytes is not None and profile.max_output_bytes <= profile.assembly_budget_bytes:
         return lenient_error("outputTooLarge", F.lit(""), size=n_bytes)
-    return strict_error("ClipboardError", F.lit(""), F.concat(
-        F.lit("payload of "), n_bytes.cast("string"),
-        F.lit(f" bytes exceeds the {profile.output_budget}-byte limit")))
+    return strict_error("ClipboardError", F.lit(""),
+                        fmt(PAYLOAD_OVER_LIMIT, n=n_bytes, limit=str(profile.output_budget)))
 
 
 def build_payload(entries: DataFrame, profile: Profile | str = "strict", policy: str = "fail_fast",
@@ -126,7 +127,7 @@ def _single(entries: DataFrame, p: Profile) -> DataFrame:
                     F.when(F.col("error").isNull(), text).alias("payload"),
                     F.when(F.col("error").isNull(), nb).alias("n_bytes"),
                     "n_files", "n_failed",
-                    F.when(F.col("error").isNull(), F.lit("Copied contents to clipboard")).alias("summary"),
+                    F.when(F.col("error").isNull(), F.lit(COPIED_CONTENTS)).alias("summary"),
                     "error"))
 
 
