@@ -50,6 +50,8 @@ FILE_IS_EMPTY = "File is empty"
 SUMMARY_FORMAT = "Copied {bytes} bytes from {what} to clipboard"
 SUMMARY_MANY = "{n} files"
 COPIED_CONTENTS = "Copied contents to clipboard"
+# The workflow loop: a non-regular file is skipped with this notice.
+NOT_A_FILE = "Not a file: {path}"
 
 
 def make_error(kind: str, path, message) -> Column:

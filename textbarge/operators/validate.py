@@ -79,3 +79,20 @@ def selection_status(df: DataFrame, keys: list[str]) -> DataFrame:
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
             .withColumn("message", F.when(F.col("n_items") == 0, F.lit(NO_FILE_SELECTED))
                         .when(F.col("n_items") > 1, F.lit(SELECT_ONE_FILE))))
+
+
+def workflow_notice(path: str = "path", error: str = "error") -> Column:
+    """P3 (workflow), F5, F6: what the per-file loop shows for one entry.
+
+    A path that is not a regular file is skipped ('Not a file: p'); otherwise
+    the command-line tool runs: success -> 'Copied contents to clipboard', an
+    error -> the last line of its stderr ('Error: <message>') without the
+    'Error: ' prefix, cut to 100 characters.
+    """
+    from ..functions.errors import COPIED_CONTENTS, NOT_A_FILE
+    from ..functions.text import fmt, last_line_message, notification
+    regular = F.coalesce(F.col("exists"), F.lit(False)) & ~F.coalesce(F.col("is_dir"), F.lit(False))
+    stderr = F.concat(F.lit("Error: "), F.col(error).getField("message"))
+    return (F.when(~regular, notification(fmt(NOT_A_FILE, path=F.col(path))))
+            .when(F.col(error).isNull(), F.lit(COPIED_CONTENTS))
+            .otherwise(notification(last_line_message(stderr))))

@@ -579,3 +579,24 @@ SELECT source, count(*) FILTER (WHERE doc_id % 13 <> 0) AS n_ok, count(*) FILTER
        CAST(coalesce(sum(strlen(text)) FILTER (WHERE doc_id % 13 <> 0), 0) AS BIGINT) AS n_bytes
 FROM documents GROUP BY source
 """
+
+ORACLE["workflow_notifications"] = """
+WITH e AS (
+  SELECT conv_id, turn, text,
+         CASE WHEN turn % 2 = 1 THEN '/conv/' || CAST(conv_id AS VARCHAR) || '/' || repeat('deep/', 20)
+                   || CAST(turn AS VARCHAR) || '.txt'
+              ELSE '/conv/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.txt' END AS path
+  FROM conversations),
+n AS (
+  SELECT conv_id, turn, text,
+         CASE WHEN turn % 4 = 3 THEN 'Not a file: ' || path
+              WHEN turn % 3 = 2 THEN 'Cannot read binary file: ' || path END AS m
+  FROM e),
+w AS (SELECT conv_id, max_by(text, turn) FILTER (WHERE turn % 4 <> 3 AND turn % 3 <> 2) AS last_payload
+      FROM conversations GROUP BY conv_id)
+SELECT CAST(n.conv_id AS VARCHAR) AS run_id, turn AS ord,
+       CASE WHEN m IS NULL THEN 'Copied contents to clipboard'
+            WHEN length(m) > 100 THEN left(m, 97) || '...' ELSE m END AS notice,
+       w.last_payload
+FROM n JOIN w ON w.conv_id = n.conv_id
+"""

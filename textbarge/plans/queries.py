@@ -825,3 +825,27 @@ def stream_files(spark, sf_dir):
 
 
 QUERIES["stream_files"] = stream_files
+
+
+def workflow_notifications(spark, sf_dir):
+    """A5 P3 F5 F6 (per-file loop): turns are files; every 4th is a directory (skipped with
+    'Not a file'), turn % 3 = 2 is binary; each entry's notice, and the run's last success."""
+    from ..operators.validate import workflow_notice
+    c = _conv_entries(spark, sf_dir)
+    long_path = F.concat(F.lit("/conv/"), F.col("run_id"), F.lit("/"), F.expr("repeat('deep/', 20)"),
+                         F.col("ord").cast("string"), F.lit(".txt"))
+    e = c.select("run_id", "ord", F.when(F.col("ord") % 2 == 1, long_path).otherwise(F.col("path")).alias("path"),
+                 (F.col("ord") % 4 != 3).alias("exists_file"), "text")
+    e = e.select("run_id", "ord", "path", F.lit(True).alias("exists"), (~F.col("exists_file")).alias("is_dir"),
+                 F.when(F.col("ord") % 3 == 2, F.concat(_bin("00"), F.encode("text", "UTF-8")))
+                 .otherwise(F.encode("text", "UTF-8")).alias("content"))
+    d = decode_text(e, STRICT)
+    d = d.withColumn("error", F.when(F.col("is_dir"), strict_error("IoError", "path", F.lit("Is a directory (os error 21)")))
+                     .otherwise(F.col("error")))
+    notes = d.select("run_id", "ord", workflow_notice().alias("notice"))
+    win = build_payload(d.select("run_id", "ord", "path", "text", "error"), STRICT, "last_wins").select(
+        "run_id", F.col("payload").alias("last_payload"))
+    return notes.join(win, "run_id")
+
+
+QUERIES["workflow_notifications"] = workflow_notifications
