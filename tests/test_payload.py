@@ -97,3 +97,13 @@ def test_hot_key_is_split_not_gathered(spark, monkeypatch):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_single_notices(spark):
+    long_err = ("extractionFailed", "/a.png", "x" * 150)
+    rows = [("url", 0, "https://example.com/file.txt", None,
+             ("notFileURL", "https://example.com/file.txt", "Not a local file: https://example.com/file.txt")),
+            ("long", 0, "/a.png", None, long_err)]
+    got = {r.run_id: r for r in build_payload(_df(spark, rows), LENIENT, "single").collect()}
+    assert got["url"].summary == "Not a local file"
+    assert got["long"].summary == "x" * 97 + "..."

@@ -127,3 +127,11 @@ def test_text_helpers(spark):
     assert r.w == "File not found: a"
     assert r.b == "c.txt" and r.b2 == "b"
     assert r.t == "hi" and r.bl is True and r.nb is False
+
+
+def test_strict_dangling_link_is_not_found(spark):
+    df = spark.createDataFrame([inv_row("/tmp/link", link=False)],
+                               "path string, exists boolean, is_dir boolean, link_target_exists boolean, "
+                               "readable boolean, length bigint")
+    r = df.select(validation_error("strict").alias("s"), validation_error("lenient").alias("l")).first()
+    assert r.s.kind == "FileNotFound" and r.l.kind == "fileNotFound"

@@ -52,6 +52,8 @@ SUMMARY_MANY = "{n} files"
 COPIED_CONTENTS = "Copied contents to clipboard"
 # The workflow loop: a non-regular file is skipped with this notice.
 NOT_A_FILE = "Not a file: {path}"
+# The desktop front end's own refusal of a non-local item (before the library runs).
+NOT_LOCAL_NOTICE = "Not a local file"
 
 
 def make_error(kind: str, path, message) -> Column:

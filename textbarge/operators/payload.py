@@ -8,7 +8,8 @@ Policies:
 * ``last_wins`` (workflow loop): every entry is tried, the last success is the
   payload; the run fails only if nothing succeeded (then the last error).
 * ``single`` (desktop front end): exactly one entry, blank and output-size
-  gates, front-end messages.
+  gates, front-end messages; ``summary`` is the notification shown (success
+  text, or the error message cut to 100 characters).
 
 Statistics (counts, first error, byte length) are partial aggregates; the
 text is concatenated only for runs that pass, within the byte budget.
@@ -18,9 +19,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.errors import (COPIED_CONTENTS, FILE_IS_EMPTY, NO_FILE_SELECTED, SELECT_ONE_FILE,
-                                lenient_error, make_error, null_error, strict_error, summary)
-from ..functions.text import fmt, is_blank
+from ..functions.errors import (COPIED_CONTENTS, FILE_IS_EMPTY, NO_FILE_SELECTED, NOT_LOCAL_NOTICE,
+                                SELECT_ONE_FILE, lenient_error, make_error, null_error, strict_error, summary)
+from ..functions.text import fmt, is_blank, notification
 from ..profiles import Profile, get_profile
 from .concat import ordered_concat
 
@@ -122,12 +123,17 @@ def _single(entries: DataFrame, p: Profile) -> DataFrame:
            .when(is_blank(text), make_error("empty", F.col("e.path"), F.lit(FILE_IS_EMPTY)))
            .when(nb > F.lit(limit), lenient_error("outputTooLarge", F.col("e.path"), size=nb))
            .otherwise(null_error()))
+    # The front end refuses a non-local item itself, with its own short notice.
+    err = F.when(err.getField("kind") == "notFileURL",
+                 make_error("notFileURL", F.col("e.path"), F.lit(NOT_LOCAL_NOTICE))).otherwise(err)
+    # summary = the notification shown: success text, or the message cut to 100 characters.
     return (agg.withColumn("error", err)
             .select("run_id",
                     F.when(F.col("error").isNull(), text).alias("payload"),
                     F.when(F.col("error").isNull(), nb).alias("n_bytes"),
                     "n_files", "n_failed",
-                    F.when(F.col("error").isNull(), F.lit(COPIED_CONTENTS)).alias("summary"),
+                    F.when(F.col("error").isNull(), F.lit(COPIED_CONTENTS))
+                    .otherwise(notification(F.col("error.message"))).alias("summary"),
                     "error"))
 
 

@@ -32,13 +32,15 @@ def validation_error(profile: Profile | str, path: str = "path", lookup: str = "
 
     lenient: P1 notFileURL -> P2 fileNotFound -> P3 isDirectory -> P4 broken link
     -> P5 permissionDenied -> P6 fileTooLarge.
-    strict: P2 FileNotFound only; the rest surface when the file is opened
-    (see ``open_error``).
+    strict: P2 FileNotFound (a dangling symlink included) only; the rest surface
+    when the file is opened (see ``open_error``).
     """
     p = get_profile(profile)
     exists = F.coalesce(F.col("exists"), F.lit(False))
     if p.name == "strict":
-        return F.when(~exists, strict_error("FileNotFound", path)).otherwise(null_error())
+        # The tool's existence test follows symlinks: a dangling link does not exist.
+        dangling = F.col("link_target_exists") == F.lit(False)
+        return F.when(~exists | dangling, strict_error("FileNotFound", path)).otherwise(null_error())
     e = (F.when(~is_local(F.col(path)), lenient_error("notFileURL", path))
          .when(~exists, lenient_error("fileNotFound", path))
          .when(F.coalesce(F.col("is_dir"), F.lit(False)), lenient_error("isDirectory", path))

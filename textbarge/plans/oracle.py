@@ -549,7 +549,8 @@ SELECT run_id,
        n_files,
        CASE WHEN n_files > 1 THEN 'Please select only one file'
             WHEN trim(t, {WS_SQL}) = '' THEN 'File is empty' END AS message,
-       CASE WHEN n_files = 1 AND trim(t, {WS_SQL}) <> '' THEN 'Copied contents to clipboard' END AS summary
+       CASE WHEN n_files > 1 THEN 'Please select only one file'
+            WHEN trim(t, {WS_SQL}) = '' THEN 'File is empty' ELSE 'Copied contents to clipboard' END AS summary
 FROM s
 """
 
