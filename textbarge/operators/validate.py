@@ -30,8 +30,8 @@ def missing_paths(manifest: DataFrame, inventory: DataFrame, path_col: str = "lo
 def validation_error(profile: Profile | str, path: str = "path", lookup: str = "lookup_path") -> Column:
     """The first failing pre-read check, in the profile's order, or NULL.
 
-    lenient: P1 notFileURL -> P2 fileNotFound -> P3 isDirectory -> P4 broken link
-    -> P5 permissionDenied -> P6 fileTooLarge.
+    lenient: P1 notFileURL -> P2/P4 fileNotFound (missing or dangling link)
+    -> P3 isDirectory -> P5 permissionDenied -> P6 fileTooLarge.
     strict: P2 FileNotFound (a dangling symlink included) only; the rest surface
     when the file is opened (see ``open_error``).
     """
@@ -41,10 +41,11 @@ def validation_error(profile: Profile | str, path: str = "path", lookup: str = "
         # The tool's existence test follows symlinks: a dangling link does not exist.
         dangling = F.col("link_target_exists") == F.lit(False)
         return F.when(~exists | dangling, strict_error("FileNotFound", path)).otherwise(null_error())
+    # The existence test follows symlinks, so a dangling link is not found right away.
+    dangling = F.col("link_target_exists") == F.lit(False)
     e = (F.when(~is_local(F.col(path)), lenient_error("notFileURL", path))
-         .when(~exists, lenient_error("fileNotFound", path))
+         .when(~exists | dangling, lenient_error("fileNotFound", path))
          .when(F.coalesce(F.col("is_dir"), F.lit(False)), lenient_error("isDirectory", path))
-         .when(F.col("link_target_exists") == F.lit(False), lenient_error("fileNotFound", path))
          .when(F.col("readable") == F.lit(False), lenient_error("permissionDenied", path)))
     if p.max_file_bytes is not None:
         e = e.when(F.col("length") > F.lit(p.max_file_bytes),

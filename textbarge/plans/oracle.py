@@ -349,17 +349,17 @@ ORACLE["doc_facts_gate"] = """
 WITH d AS (SELECT o_orderkey AS k, '/orders/' || CAST(o_orderkey AS VARCHAR) || '.pdf' AS path,
                   CAST(o_orderkey AS VARCHAR) || '.pdf' AS name FROM orders)
 SELECT k AS o_orderkey,
-       CASE WHEN k % 17 = 0 THEN 'FileNotFound' WHEN k % 11 = 0 OR k % 7 = 0 OR k % 5 = 0 THEN 'ExtractionError' END
-         AS strict_kind,
-       CASE WHEN k % 17 = 0 THEN 'File not found: ' || path
+       CASE WHEN k % 17 = 0 OR k % 13 = 0 THEN 'FileNotFound'
+            WHEN k % 11 = 0 OR k % 7 = 0 OR k % 5 = 0 THEN 'ExtractionError' END AS strict_kind,
+       CASE WHEN k % 17 = 0 OR k % 13 = 0 THEN 'File not found: ' || path
             WHEN k % 11 = 0 THEN 'Failed to extract text from ''' || path || ''': Is a directory (os error 21)'
             WHEN k % 7 = 0 THEN 'Failed to extract text from ''' || path || ''': Permission denied (os error 13)'
             WHEN k % 5 = 0 THEN 'Failed to extract text from ''' || path || ''': bad xref table' END AS strict_message,
-       CASE WHEN k % 17 = 0 THEN 'fileNotFound' WHEN k % 11 = 0 THEN 'isDirectory' WHEN k % 13 = 0 THEN 'fileNotFound'
+       CASE WHEN k % 17 = 0 OR k % 13 = 0 THEN 'fileNotFound' WHEN k % 11 = 0 THEN 'isDirectory'
             WHEN k % 7 = 0 THEN 'permissionDenied' WHEN (k % 23) * 3000000 > 52428800 THEN 'fileTooLarge'
             WHEN k % 5 = 0 OR k % 3 = 0 OR k % 19 = 0 THEN 'extractionFailed' END AS lenient_kind,
-       CASE WHEN k % 17 = 0 THEN 'File not found: ' || name WHEN k % 11 = 0 THEN 'Cannot copy directory: ' || name
-            WHEN k % 13 = 0 THEN 'File not found: ' || name WHEN k % 7 = 0 THEN 'Permission denied: ' || name
+       CASE WHEN k % 17 = 0 OR k % 13 = 0 THEN 'File not found: ' || name
+            WHEN k % 11 = 0 THEN 'Cannot copy directory: ' || name WHEN k % 7 = 0 THEN 'Permission denied: ' || name
             WHEN (k % 23) * 3000000 > 52428800 THEN 'File too large (' || CAST((k % 23) * 3000000 // 1024 // 1024 AS VARCHAR)
                  || 'MB): ' || name
             WHEN k % 5 = 0 THEN 'Could not open PDF' WHEN k % 3 = 0 THEN 'PDF is password-protected'

@@ -60,6 +60,13 @@ def _docs_as_files(spark, sf_dir, content=None):
                        (content if content is not None else F.encode("text", "UTF-8")).alias("content"))
 
 
+def _present(df, length=None):
+    """Inventory rows (schema ``INVENTORY``) for paths that exist as readable regular files."""
+    return df.select("path", F.lit(True).alias("exists"), F.lit(False).alias("is_dir"),
+                     F.lit(True).alias("link_target_exists"), F.lit(True).alias("readable"),
+                     (length if length is not None else F.lit(None)).cast("bigint").alias("length"))
+
+
 def _kind(err="error"):
     return F.col(f"{err}.kind")
 
@@ -182,7 +189,7 @@ def output_gate(spark, sf_dir):
 def payload_status(spark, sf_dir):
     """A4: documents with doc_id % 97 = 0 are missing; the first failure by id decides each source."""
     docs = _docs_as_files(spark, sf_dir).drop("text")
-    inv = docs.where(F.col("doc_id") % 97 != 0).select("path", F.lit(True).alias("exists"))
+    inv = _present(docs.where(F.col("doc_id") % 97 != 0))
     e = docs.join(inv, "path", "left").withColumn("verr", validation_error(STRICT))
     d = decode_text(e, STRICT)
     d = d.withColumn("error", F.coalesce(F.col("verr"), F.col("error"))) \
@@ -525,7 +532,8 @@ def missing_files(spark, sf_dir):
 def missing_only(spark, sf_dir):
     """P2, missing only: anti join of the manifest against the inventory."""
     docs, labels = _docs_with_labels(spark, sf_dir)
-    inv = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("path", F.lit(True).alias("exists"))
+    inv = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    inv = _present(inv)
     m = docs.select("doc_id", F.col("path").alias("lookup_path"))
     return missing_paths(m, inv).select("doc_id", F.col("lookup_path").alias("path"))
 
