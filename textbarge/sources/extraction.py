@@ -39,11 +39,16 @@ def lookup_extraction(entries: DataFrame, results: DataFrame, profile: Profile |
             .drop("_x_text", "_x_error", "_x_seen"))
 
 
-def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame],
+                  materialize: bool = True) -> DataFrame:
     """Apply ``extractor(batch) -> page rows`` to batches of ``(path, content)``.
 
     The extractor sees one Arrow batch at a time and must return rows in the
-    ``page_results`` schema; Spark partitions and schedules the work.
+    ``page_results`` schema; Spark partitions and schedules the work. Page
+    results usually feed several consumers (page counts, statistics, the
+    text itself), so with ``materialize`` they are checkpointed once under
+    ``spark.checkpoint.dir``: the extractor, typically the expensive step, runs
+    exactly once per file, and a lost executor does not re-run it for others.
     """
     cols = [f.name for f in schemas.PAGE_RESULTS.fields]
 
@@ -55,4 +60,9 @@ def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataF
                     out[c] = None
             yield out[cols]
 
-    return files.select("path", "content").mapInPandas(run, schemas.PAGE_RESULTS)
+    out = files.select("path", "content").mapInPandas(run, schemas.PAGE_RESULTS)
+    if materialize:
+        from ..session import shared_dir
+        shared_dir(out.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
