@@ -36,7 +36,7 @@ def test_scan_keeps_empty_and_underscore_files(spark, tmpdir_fresh):
     got = decode_text(x, "lenient").orderBy("ord").collect()
     assert got[0].text == "Hello" and got[5].text == "Hello"       # duplicates kept, order kept
     assert got[1].text == ""                                       # empty file survives (T1)
-    assert got[2].content is None if hasattr(got[2], "content") else True
+    assert got[2].text == "u"                                      # '_' name: read by the fallback (T3)
     assert got[3].verr.kind == "fileNotFound"
     assert got[4].verr.kind == "isDirectory"
 
@@ -79,3 +79,48 @@ def test_stream_equals_batch(spark, tmpdir_fresh):
     from textbarge.plans.oracle import ORACLE
     r = compare(spark, stream_ingest, ORACLE["stream_ingest"], "/root/testdata/sf0.001")
     assert r["hash_match"] and r["cols_match"]
+
+
+def test_publish_file_returns_bytes(spark, tmpdir_fresh):
+    from textbarge.sources.sinks import publish_file
+    rows = [("r1", 0, "/a.txt", "Test content", None),
+            ("r2", 0, "/b", None, ("FileNotFound", "/b", "File not found: /b"))]
+    d = spark.createDataFrame(rows, "run_id string, ord int, path string, text string, "
+                                    "error struct<kind:string,path:string,message:string>")
+    got = {r.run_id: r for r in publish_file(d, os.path.join(tmpdir_fresh, "p")).collect()}
+    assert got["r1"].n_bytes == 12 and got["r2"].error.kind == "FileNotFound"
+    assert [r.payload for r in read_payload(spark, os.path.join(tmpdir_fresh, "p")).collect()] == ["Test content"]
+
+
+def test_run_job_lenient_routes(spark, tmpdir_fresh):
+    from textbarge.plans.job import JobInputs, run_job
+    root = tmpdir_fresh
+    t = _write(root, "latin.txt", bytes.fromhex("636166E9"))
+    m = spark.createDataFrame(
+        [("a", 0, t, None, None), ("b", 0, "https://example.com/x.txt", None, None),
+         ("c", 0, os.path.join(root, "nope.txt"), None, None), ("d", 0, "/docs/x.pdf", None, None),
+         ("e", 0, "/img/y.png", None, None), ("f", 0, "file://" + t, None, "text/plain")],
+        "run_id string, ord int, path string, inline_text string, declared_type string")
+    local = with_lookup_path(m).where(~F.col("path").isin("/docs/x.pdf", "/img/y.png"))
+    inv = probe_inventory(local).unionByName(spark.createDataFrame(
+        [("/docs/x.pdf", True, False, True, True, 100), ("/img/y.png", True, False, True, True, 100)],
+        "path string, exists boolean, is_dir boolean, link_target_exists boolean, readable boolean, length bigint"))
+    inp = JobInputs(
+        manifest=m, inventory=inv, files=scan_files(spark, root),
+        pdf_facts=spark.createDataFrame([("/docs/x.pdf", None, False, 2)],
+                                        "path string, open_error string, locked boolean, page_count int"),
+        pdf_pages=spark.createDataFrame([("/docs/x.pdf", 0, "p1", None), ("/docs/x.pdf", 1, "p2", None)],
+                                        "path string, page_idx int, embedded string, error string"),
+        ocr_pages=spark.createDataFrame([("/img/y.png", 0, ["Hello, World!"], None, 5, None, None)],
+                                        "path string, page_idx int, lines array<string>, error string, "
+                                        "elapsed_ms bigint, width_pt double, height_pt double"),
+        image_facts=spark.createDataFrame([("/img/y.png", None, 100, 100)],
+                                          "path string, open_error string, width_px int, height_px int"))
+    _, pay = run_job(inp, "lenient", "single")
+    got = {r.run_id: r for r in pay.collect()}
+    assert got["a"].payload == "café"
+    assert got["b"].summary == "Not a local file"
+    assert got["c"].summary == "File not found: nope.txt"
+    assert got["d"].payload == "p1\np2"
+    assert got["e"].payload == "Hello, World!"
+    assert got["f"].payload == "café"

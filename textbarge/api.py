@@ -10,7 +10,7 @@ from .operators.validate import (attach_inventory, missing_paths, open_error, se
 from .plans.job import JobInputs, decode_entries, run_job  # noqa: F401
 from .profiles import LENIENT, STRICT, Profile, get_profile  # noqa: F401
 from .sources.extraction import lookup_extraction, read_page_results, run_extractor  # noqa: F401
-from .sources.files import attach_content, materialize_files, probe_inventory, scan_files  # noqa: F401
+from .sources.files import attach_content, materialize_files, probe_inventory, read_bytes, scan_files  # noqa: F401
 from .sources.manifest import manifest_from_paths, read_manifest, split_inline, with_lookup_path  # noqa: F401
 from .sources.sinks import publish, publish_file, quarantine, read_payload, read_quarantine  # noqa: F401
 from .streaming.ingest import (decode_stream, file_stream, latest_per_target, start_ingest,  # noqa: F401

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.errors import null_error
+from ..functions.errors import lenient_error, strict_error
 from ..functions.route import route
 from ..operators.decode import decode_text
 from ..operators.pages import assemble_image, embedded_or_ocr
@@ -29,13 +29,15 @@ from ..session import shared_dir
 from ..sources.manifest import with_lookup_path
 
 _ERR = "struct<kind:string,path:string,message:string>"
+# Engine text for an entry whose bytes or extraction results could not be read.
+CONTENT_UNAVAILABLE = "file content unavailable"
 DECODED_COLS = ["run_id", "ord", "path", "route", "encoding", "text", "error"]
 
 
 @dataclass
 class JobInputs:
     manifest: DataFrame                       # run_id, ord, path, inline_text, declared_type
-    inventory: DataFrame                      # path, exists, is_dir, link_target_exists, readable, length
+    inventory: DataFrame                      # one row per path: exists, is_dir, link_target_exists, readable, length
     files: DataFrame | None = None            # path, content (text route bytes)
     pdf_facts: DataFrame | None = None        # path, open_error, locked, page_count
     pdf_pages: DataFrame | None = None        # embedded-text pass: path, page_idx, embedded, error
@@ -102,9 +104,11 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    # An entry that produced neither text nor error (no extractor result at all) is an error.
-    return out.withColumn("error", F.when(F.col("text").isNull() & F.col("error").isNull(),
-                                          null_error()).otherwise(F.col("error")))
+    # An entry that produced neither text nor error (bytes or results could not be read) is an error.
+    missing = (strict_error("IoError", F.col("path"), F.lit(CONTENT_UNAVAILABLE)) if p.name == "strict"
+               else lenient_error("extractionFailed", F.col("path"), F.lit(CONTENT_UNAVAILABLE)))
+    return out.withColumn("error", F.when(F.col("text").isNull() & F.col("error").isNull(), missing)
+                          .otherwise(F.col("error")))
 
 
 def run_job(inp: JobInputs, profile: Profile | str = "strict", policy: str = "fail_fast",

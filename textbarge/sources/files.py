@@ -40,13 +40,49 @@ def scan_files(spark: SparkSession, roots: str | list[str], glob: str | None = N
     return df.select(*cols)
 
 
-def attach_content(entries: DataFrame, files: DataFrame, path_col: str = "lookup_path") -> DataFrame:
-    """LEFT JOIN scanned bytes; a zero-length file (absent from the scan) gets ``b''``."""
+def _read_batches(batches):
+    cache: dict = {}
+    for pdf in batches:
+        out = []
+        for p in pdf["path"]:
+            try:
+                if _remote(p):
+                    fs, inner = _remote_fs(p, cache)
+                    with fs.open_input_stream(inner) as fh:
+                        out.append((p, fh.read()))
+                else:
+                    with open(p[5:] if p.startswith("file:") else p, "rb") as fh:
+                        out.append((p, fh.read()))
+            except OSError:
+                out.append((p, None))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def read_bytes(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """Read whole files by path on the executors (``mapInPandas``): the fallback for
+    files the binaryFile listing never returns (names starting with '_' or '.',
+    or outside the scanned roots). Unreadable paths get NULL content."""
+    p = paths.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).distinct()
+    return p.mapInPandas(_read_batches, "path string, content binary")
+
+
+def attach_content(entries: DataFrame, files: DataFrame, path_col: str = "lookup_path",
+                   fallback: bool = True) -> DataFrame:
+    """LEFT JOIN scanned bytes. A zero-length file (absent from the scan)
+    gets ``b''``; with ``fallback`` an existing, non-empty file the scan did not
+    return is read directly (only those rows go through Python)."""
     f = files.select(F.col("path").alias(path_col), F.col("content").alias("_content"))
     out = entries.join(f, path_col, "left")
-    return (out.withColumn("content", F.when(F.col("_content").isNotNull(), F.col("_content"))
-                           .when(F.col("length") == 0, F.lit(bytearray(b""))))
-            .drop("_content"))
+    out = (out.withColumn("content", F.when(F.col("_content").isNotNull(), F.col("_content"))
+                          .when(F.col("length") == 0, F.lit(bytearray(b""))))
+           .drop("_content"))
+    if not fallback:
+        return out
+    unseen = out.where(F.col("content").isNull() & F.coalesce(F.col("exists"), F.lit(False))
+                       & ~F.coalesce(F.col("is_dir"), F.lit(False)))
+    got = read_bytes(unseen, path_col).select(F.col("path").alias(path_col), F.col("content").alias("_fb"))
+    return (out.join(got, path_col, "left")
+            .withColumn("content", F.coalesce(F.col("content"), F.col("_fb"))).drop("_fb"))
 
 
 def _remote(path: str) -> bool:
