@@ -81,3 +81,41 @@ def ensure_local_dir(uri: str) -> None:
     p = local_path(uri)
     if "://" not in p:
         os.makedirs(p, exist_ok=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by executor Python workers (the code behind
+    ``mapInPandas`` is pickled by module reference). Zips the package once per
+    application into the shared folder and registers it with ``addPyFile`` —
+    the programmatic form of ``spark-submit --py-files``."""
+    import io
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    target = f"{shared_dir(spark)}/pyfiles/textbarge-{app}.zip"
+    if "://" in target and not target.startswith("file:"):
+        from pyarrow import fs as pafs
+        fs, inner = pafs.FileSystem.from_uri(target)
+        fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(inner) as fh:
+            fh.write(buf.getvalue())
+    else:
+        lp = local_path(target)
+        os.makedirs(os.path.dirname(lp), exist_ok=True)
+        with open(lp, "wb") as fh:
+            fh.write(buf.getvalue())
+    sc.addPyFile(target)
+    _SHIPPED.add(app)

@@ -50,6 +50,8 @@ def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataF
     ``spark.checkpoint.dir``: the extractor, typically the expensive step, runs
     exactly once per file, and a lost executor does not re-run it for others.
     """
+    from ..session import ship_package
+    ship_package(files.sparkSession)
     cols = [f.name for f in schemas.PAGE_RESULTS.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

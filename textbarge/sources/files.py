@@ -62,6 +62,8 @@ def read_bytes(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """Read whole files by path on the executors (``mapInPandas``): the fallback for
     files the binaryFile listing never returns (names starting with '_' or '.',
     or outside the scanned roots). Unreadable paths get NULL content."""
+    from ..session import ship_package
+    ship_package(paths.sparkSession)
     p = paths.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).distinct()
     return p.mapInPandas(_read_batches, "path string, content binary")
 
@@ -135,6 +137,8 @@ def probe_inventory(paths: DataFrame, path_col: str = "lookup_path") -> DataFram
     travels, and ``distinct`` is a partial aggregate, so a path repeated in a
     third of the manifest is stat'ed once.
     """
+    from ..session import ship_package
+    ship_package(paths.sparkSession)
     p = paths.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).distinct()
     return p.mapInPandas(_stat_batches, schemas.INVENTORY)
 
@@ -169,7 +173,8 @@ def materialize_files(df: DataFrame, root: str, relpath: str = "relpath", conten
     Rewriting a file is idempotent, so a retried task leaves the same tree.
     Returns the number of files written.
     """
-    from ..session import local_path
+    from ..session import local_path, ship_package
+    ship_package(df.sparkSession)
     r = local_path(root)
     out = df.select(F.col(relpath).alias("relpath"), F.col(content).alias("content")).mapInPandas(
         _writer(r), "written long")
