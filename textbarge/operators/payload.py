@@ -92,16 +92,16 @@ def _fail_fast(entries: DataFrame, p: Profile) -> DataFrame:
 
 def _last_wins(entries: DataFrame, p: Profile) -> DataFrame:
     okc = F.col("error").isNull()
-    agg = entries.groupBy("run_id").agg(
+    # One pass: the partial aggregate keeps, per run and map task, only the latest
+    # successful entry (its text included), so at most one text per run per task
+    # is shuffled, whatever the size of the run.
+    out = entries.groupBy("run_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_files"),
         F.count(F.col("error")).cast("bigint").alias("n_failed"),
-        F.max_by(F.col("ord"), F.when(okc, F.col("ord"))).alias("last_ok_ord"),
-        F.max_by(F.col("path"), F.when(okc, F.col("ord"))).alias("last_ok_path"),
+        F.max_by(F.struct(F.col("path"), F.col("text")), F.when(okc, F.col("ord"))).alias("last_ok"),
         F.max_by(F.col("error"), F.when(~okc, F.col("ord"))).alias("last_error"))
-    # Only the winning entry's text is fetched: a semi-join keyed by (run_id, ord).
-    win = (entries.join(agg.select("run_id", F.col("last_ok_ord").alias("ord")), ["run_id", "ord"], "left_semi")
-           .select("run_id", F.col("text").alias("payload")))
-    out = agg.join(win, "run_id", "left")
+    out = (out.withColumn("payload", F.col("last_ok.text"))
+           .withColumn("last_ok_path", F.col("last_ok.path")))
     nb = F.octet_length(F.col("payload")).cast("bigint")
     return out.select(
         "run_id", "payload", nb.alias("n_bytes"), "n_files", "n_failed",
