@@ -24,8 +24,9 @@ from ..functions.text import sql_str
 
 def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_bytes: int,
                 stats: dict[str, Column] | None = None, where: str | None = None,
-                concat_if: str | None = None) -> DataFrame:
-    """Pass 1: ``keys, n_parts, n_bytes, <stats>, fits, _build`` (partial aggregate)."""
+                concat_if: str | None = None, group_info: DataFrame | None = None) -> DataFrame:
+    """Pass 1: ``keys, n_parts, n_bytes, <stats>, <group_info columns>, fits, _build``
+    (partial aggregate; ``group_info`` is one row per group, LEFT JOINed)."""
     t = F.col(text)
     pick = F.expr(where) if where else F.lit(True)
     sep_len = len(sep.encode("utf-8"))
@@ -37,6 +38,8 @@ def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_
     ]
     aggs += [c.alias(k) for k, c in (stats or {}).items()]
     st = df.groupBy(*keys).agg(*aggs).withColumn("fits", F.col("n_bytes") <= F.lit(budget_bytes))
+    if group_info is not None:
+        st = st.join(group_info, list(keys), "left")
     build = F.col("fits") & (F.col("n_parts") > 0)
     if concat_if:
         build = build & F.coalesce(F.expr(concat_if), F.lit(False))
@@ -48,26 +51,40 @@ def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_
 MAX_BROADCAST_GROUPS = 50_000
 
 
-def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-group statistics (one row per group) to the rows of each group.
+class CheckedStats:
+    """Per-group statistics, checkpointed once under ``spark.checkpoint.dir``
+    (cutting the plan and surviving executor loss) and counted once. Joins to
+    rows broadcast them when there are at most ``MAX_BROADCAST_GROUPS`` groups,
+    so the rows are not shuffled by key at all (a few huge groups stay spread
+    over the map tasks); beyond that a shuffle join, where AQE splits a hot
+    key's partition."""
 
-    The statistics are checkpointed under ``spark.checkpoint.dir`` (cutting the
-    plan and surviving executor loss) and counted: with at most
-    ``MAX_BROADCAST_GROUPS`` groups they are broadcast, so the rows are not
-    shuffled by key at all (a few huge groups stay spread over the map tasks);
-    beyond that it is a shuffle join, where AQE splits a hot key's partition.
-    """
-    from ..session import shared_dir
-    shared_dir(stats.sparkSession)
-    st = stats.checkpoint(eager=True)
-    if st.count() <= MAX_BROADCAST_GROUPS:
-        st = F.broadcast(st)
-    return rows.join(st, list(keys), "inner")
+    def __init__(self, stats: DataFrame):
+        from ..session import shared_dir
+        shared_dir(stats.sparkSession)
+        self.df = stats.checkpoint(eager=True)
+        self.small = self.df.count() <= MAX_BROADCAST_GROUPS
+
+    def attach(self, rows: DataFrame, keys: Sequence[str], where: Column | None = None,
+               cols: Sequence[str] | None = None) -> DataFrame:
+        st = self.df if where is None else self.df.where(where)
+        if cols is not None:
+            st = st.select(*keys, *cols)
+        if self.small:
+            st = F.broadcast(st)
+        return rows.join(st, list(keys), "inner")
+
+
+def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join per-group statistics (one row per group) to the rows of each group
+    through a ``CheckedStats`` (checkpointed, counted, broadcast only when small)."""
+    return CheckedStats(stats).attach(rows, keys)
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str, sep: str,
                    budget_bytes: int, out: str = "text", stats: dict[str, Column] | None = None,
-                   where: str | None = None, concat_if: str | None = None) -> DataFrame:
+                   where: str | None = None, concat_if: str | None = None,
+                   group_info: DataFrame | None = None) -> DataFrame:
     """One row per group of ``keys`` with:
 
     ``n_parts``  number of non-null texts,
@@ -78,10 +95,11 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str,
     plus any extra aggregate columns passed in ``stats``.
     ``where`` restricts which rows are concatenated (a SQL predicate); the
     statistics then describe the same restricted set. ``concat_if`` is an extra
-    SQL predicate over the statistics: groups failing it are not built.
+    SQL predicate over the statistics (and ``group_info``, one row per group
+    known from elsewhere): groups failing it are not built.
     """
     keys = list(keys)
-    st = group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if)
+    st = group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if, group_info)
     stat_cols = [c for c in st.columns if c not in keys]
     body = df.withColumn("_t", F.col(text)).withColumn("_pick", F.expr(where) if where else F.lit(True))
     body = attach_group_stats(body.drop(*[c for c in stat_cols if c in body.columns]), st, keys)

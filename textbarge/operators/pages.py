@@ -20,7 +20,7 @@ from ..functions.errors import lenient_error, null_error, strict_error
 from ..functions.raster import raster_px, too_many_pixels
 from ..functions.text import fmt, is_blank, page_no, utrim
 from ..profiles import Profile, get_profile
-from .concat import attach_group_stats, ordered_concat
+from .concat import CheckedStats, ordered_concat
 
 # Texts of the PDF / image extraction steps.
 STRICT_NO_EXTRACTABLE_TEXT = "PDF contains no extractable text"
@@ -72,6 +72,27 @@ def attach_pages(expanded: DataFrame, pages: DataFrame) -> DataFrame:
             .withColumn("has_result", F.coalesce(F.col("_has"), F.lit(False))).drop("_has"))
 
 
+def page_range(facts: DataFrame, cap: int | None = None) -> DataFrame:
+    """One row per document with pages: ``path, page_count, _m`` (``_m`` = pages to read)."""
+    n = F.col("page_count").cast("int")
+    m = F.least(n, F.lit(cap)) if cap is not None else n
+    return facts.select("path", "page_count", m.alias("_m")).where(F.col("_m") > 0)
+
+
+def present_pages(rng: DataFrame, pages: DataFrame, cols: list[str]) -> DataFrame:
+    """Page results inside their document's page range. Joined on ``path`` against
+    one row per document, so page text moves at most once (and not at all when
+    the document table is small enough for Spark to broadcast)."""
+    return (pages.select(*cols).join(rng.select("path", "_m"), "path")
+            .where((F.col("page_idx") >= 0) & (F.col("page_idx") < F.col("_m"))).drop("_m"))
+
+
+def missing_pages(rng: DataFrame, present: DataFrame) -> DataFrame:
+    """Expected pages without a result, found on keys only (no text moves)."""
+    expected = rng.select("path", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("page_idx"))
+    return expected.join(present.select("path", "page_idx"), ["path", "page_idx"], "left_anti")
+
+
 # ----------------------------------------------------------------------- G16/G17
 def top_candidates(candidates) -> Column:
     """First candidate of each text block; blocks without one are dropped."""
@@ -139,37 +160,40 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     non-empty one on. It is built as the full ordered join ``L`` minus its
     ``k`` leading separators, where ``k`` = leading '\\n' of ``L`` minus those
     of the first non-empty page (a number kept in the statistics).
-    G3 (strict): the first failing page fails the document.
-    G4 (lenient): a page without text is skipped.
+    G3 (strict): the first failing page (a missing page included) fails the
+    document; its error comes from keys and short texts only.
+    G4 (lenient): a page without text, failed or missing, is skipped.
     ``blank`` marks documents whose text is blank after trimming (G5 decides).
     """
     p = get_profile(profile)
     gated = pdf_gate(facts, p, "embedded")
-    expected = expand_pages(gated.where(F.col("pdf_error").isNull()))
-    pg = attach_pages(expected, pages.select("path", "page_idx", "embedded", "error"))
+    rng = page_range(gated.where(F.col("pdf_error").isNull()))
+    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"])
+    group_info, concat_if = None, None
     if p.name == "strict":
-        # A page without a result cannot be read by the library either.
-        pg = pg.withColumn("error", F.when(~F.col("has_result"), F.coalesce(F.col("error"), F.lit("page missing")))
-                           .otherwise(F.col("error")))
-        body = pg.withColumn("piece", F.when(F.col("error").isNull(), F.coalesce(F.col("embedded"), F.lit(""))))
-        concat_if = "n_failed = 0"
+        body = present.withColumn("piece", F.when(F.col("error").isNull(), F.coalesce(F.col("embedded"), F.lit(""))))
+        errs = (present.where(F.col("error").isNotNull()).select("path", "page_idx", "error")
+                .unionByName(missing_pages(rng, present).withColumn("error", F.lit("page missing"))))
+        group_info = errs.groupBy("path").agg(
+            F.count(F.lit(1)).alias("n_failed"),
+            F.min_by(F.struct(F.col("page_idx"), F.col("error")), F.col("page_idx")).alias("first_error"))
+        concat_if = "coalesce(n_failed, 0) = 0"
     else:
-        body = pg.withColumn("piece", F.when(F.col("error").isNull(), F.col("embedded")))
-        concat_if = None
+        body = present.withColumn("piece", F.when(F.col("error").isNull(), F.col("embedded")))
+    # One text-less anchor row per document with a page range, so every such
+    # document has statistics even when none of its pages has a result.
+    anchors = rng.select("path", F.lit(-1).alias("page_idx"), F.lit(None).cast("string").alias("piece"))
+    body = body.select("path", "page_idx", "piece").unionByName(anchors)
     first_lead = F.min_by(_lead_nl(F.col("piece")), F.when(F.col("piece") != "", F.col("page_idx")))
-    st = ordered_concat(
-        body, ["path"], "page_idx", "piece", "\n", p.output_budget, out="joined", concat_if=concat_if,
-        stats={"n_failed": F.count(F.col("error")),
-               "first_error": F.min_by(F.struct(F.col("page_idx"), F.col("error")),
-                                       F.when(F.col("error").isNotNull(), F.col("page_idx"))),
-               "first_lead": first_lead})
+    st = ordered_concat(body, ["path"], "page_idx", "piece", "\n", p.output_budget, out="joined",
+                        concat_if=concat_if, group_info=group_info, stats={"first_lead": first_lead})
     k = _lead_nl(F.col("joined")) - F.col("first_lead")
     text = (F.when(F.col("first_lead").isNull(), F.lit(""))
             .otherwise(F.substring(F.col("joined"), k + 1, 2147483647)))
     path = F.col("path")
     if p.name == "strict":
         fe = F.col("first_error")
-        err = (F.when(F.col("n_failed") > 0, strict_error(
+        err = (F.when(F.coalesce(F.col("n_failed"), F.lit(0)) > 0, strict_error(
             "ExtractionError", path, fmt(STRICT_PAGE_EXTRACT, n=page_no(fe.getField("page_idx")),
                                          error=fe.getField("error"))))
                .when(~F.col("fits"), strict_error("ClipboardError", path, F.lit(ENGINE_LIMIT)))
@@ -177,10 +201,10 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     else:
         err = F.when(~F.col("fits"), lenient_error("outputTooLarge", path, size=F.col("n_bytes"))).otherwise(null_error())
     built = st.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"))
-    # Documents that produce no page rows: failing the PDF gate, or with no pages at all.
-    no_pages = gated.where(F.col("pdf_error").isNotNull() | (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select(
+    # Documents without a page range: failing the PDF gate, or with no pages.
+    others = gated.where(F.col("pdf_error").isNotNull() | (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select(
         "path", F.when(F.col("pdf_error").isNull(), F.lit("")).alias("text"), F.col("pdf_error").alias("error"))
-    out = built.unionByName(no_pages)
+    out = built.unionByName(others)
     return out.withColumn("blank", F.col("error").isNull() & is_blank(F.col("text")))
 
 
@@ -208,61 +232,84 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     G8: strict prints every line followed by '\\n'; lenient joins with '\\n' and trims.
     G9 (strict): any failed page fails the document. G10/G12 (lenient): warnings.
     G13: blank result is an error (strict only when no page failed).
-    Statistics (partial aggregate) are joined back to the pages; one final
-    aggregate builds the text and the failure list, each only when it fits.
+
+    Three flows, joined per document: failures (failed and missing pages: keys
+    and short texts only, listed in page order), text statistics of the
+    successful pages (partial aggregate), and the text itself, built only for
+    documents that pass, within the byte budget.
     """
     p = get_profile(profile)
     gated = pdf_gate(facts, p, "ocr")
-    pg = classify_pages(gated.where(F.col("pdf_error").isNull()), pages, p)
-    good = F.col("status") == "ok"
-    lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
-    has_lines = good & (F.size(lines) > 0)
-    sep_len = len(p.page_separator.encode()) + 16
+    rng = page_range(gated.where(F.col("pdf_error").isNull()), p.page_cap)
+    cols = ["path", "page_idx", "lines", "error", "elapsed_ms", "width_pt", "height_pt"]
+    present = (present_pages(rng, pages, cols).withColumn("has_result", F.lit(True))
+               .withColumn("status", page_status(p)))
+    good = present.where(F.col("status") == "ok")
+    budget = p.output_budget
+    # failures (failed and missing pages), in page order: keys and short texts only
     if p.name == "strict":
         warn, wsep = strict_warning(), "\n"
     else:
         warn, wsep = _s(page_no(F.col("page_idx"))), ", "
-    pg = pg.withColumn("warn", F.when(~good, warn))
-    budget = F.lit(p.output_budget)
-    stats = (pg.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_seen"),
-        F.count(F.when(~good, F.lit(1))).alias("n_failed"),
-        F.min(F.when(has_lines, F.col("page_idx"))).alias("f"),
-        F.coalesce(F.sum(F.when(good, F.octet_length(F.array_join(lines, "\n")) + F.lit(sep_len))),
-                   F.lit(0)).alias("est_bytes"),
-        F.coalesce(F.sum(F.octet_length(F.col("warn")) + F.lit(len(wsep))), F.lit(0)).alias("warn_bytes"))
-        .withColumn("build_core", F.col("f").isNotNull() & (F.col("est_bytes") <= budget)
-                    & ((F.col("n_failed") == 0) if p.name == "strict" else F.lit(True)))
-        .withColumn("build_warn", (F.col("n_failed") > 0) & (F.col("warn_bytes") <= budget)))
+    fails = (present.where(F.col("status") != "ok").select("path", "page_idx", "status", "error")
+             .unionByName(missing_pages(rng, present).select(
+                 "path", "page_idx", F.lit("access").alias("status"), F.lit(None).cast("string").alias("error")))
+             .withColumn("warn", warn))
+    fst = fails.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_failed"),
+        F.sum(F.octet_length(F.col("warn")) + F.lit(len(wsep))).alias("warn_bytes"))
+    # text statistics of the successful pages
+    lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
+    sep_len = len(p.page_separator.encode()) + 16
+    gst = good.groupBy("path").agg(
+        F.min(F.when(F.size(lines) > 0, F.col("page_idx"))).alias("f"),
+        F.sum(F.octet_length(F.array_join(lines, "\n")) + F.lit(sep_len)).alias("est_bytes"))
+    docs = (rng.join(gst, "path", "left").join(fst, "path", "left")
+            .withColumn("n_failed", F.coalesce(F.col("n_failed"), F.lit(0)))
+            .withColumn("est_bytes", F.coalesce(F.col("est_bytes"), F.lit(0)))
+            .withColumn("failed_fits", F.coalesce(F.col("warn_bytes"), F.lit(0)) <= F.lit(budget)))
+    build = F.col("f").isNotNull() & (F.col("est_bytes") <= F.lit(budget))
+    if p.name == "strict":
+        build = build & (F.col("n_failed") == 0)
+    docs = docs.withColumn("build_core", build)
     piece_arr = F.concat(F.when(F.col("page_idx") > F.col("f"), _sep_lines(p, F.col("page_idx")))
                          .otherwise(F.array().cast("array<string>")), lines)
-    body = (attach_group_stats(pg, stats, ["path"])
-            .withColumn("piece", F.when(F.col("build_core") & good & (F.col("page_idx") >= F.col("f"))
-                                        & (F.size(piece_arr) > 0), F.array_join(piece_arr, "\n")))
-            .withColumn("warn", F.when(F.col("build_warn"), F.col("warn"))))
-    stat_cols = ["n_seen", "n_failed", "est_bytes", "warn_bytes", "build_core", "build_warn"]
-    res = body.groupBy("path").agg(
-        *[F.first(c).alias(c) for c in stat_cols],
-        F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx)").alias("core"),
-        F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)").alias("failed_list"))
-    res = res.join(gated.select("path", "page_count"), "path", "inner")
+    if p.page_cap is not None:
+        # With a page cap the failure list is bounded (at most cap numbers): no gate needed.
+        fl = fails.groupBy("path").agg(
+            F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)").alias("failed_list"))
+        checked = CheckedStats(docs)
+    else:
+        checked = CheckedStats(docs)
+        fl = (checked.attach(fails.select("path", "page_idx", "warn"), ["path"],
+                             where=(F.col("n_failed") > 0) & F.col("failed_fits"), cols=[])
+              .groupBy("path").agg(F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)")
+                                   .alias("failed_list")))
+    # the text, for the documents that pass
+    body = (checked.attach(good.select("path", "page_idx", "lines"), ["path"], where=F.col("build_core"),
+                           cols=["f"])
+            .where(F.col("page_idx") >= F.col("f"))
+            .withColumn("piece", F.when(F.size(piece_arr) > 0, F.array_join(piece_arr, "\n"))))
+    core = body.groupBy("path").agg(F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx)").alias("core"))
+    docs = checked.df.join(fl, "path", "left")
+    res = docs.join(core, "path", "left")
     n_failed = F.col("n_failed")
     path = F.col("path")
-    core = F.col("core")
-    too_big = (~F.col("build_core") & (F.col("est_bytes") > budget)) | \
-        ((n_failed > 0) & ~F.col("build_warn"))
+    core_c = F.col("core")
+    too_big = (F.col("f").isNotNull() & (F.col("est_bytes") > F.lit(budget))) | \
+        ((n_failed > 0) & ~F.col("failed_fits"))
     if p.name == "strict":
         stderr = (F.when(n_failed > 0, F.concat(F.col("failed_list"), F.lit("\n"),
                                                  fmt(STRICT_PAGES_HAD_ERRORS, k=n_failed, n=F.col("page_count"))))
                   .otherwise(F.lit(STRICT_PDF_BLANK)))
-        blank = core.isNull() | is_blank(core)
+        blank = core_c.isNull() | is_blank(core_c)
         err = (F.when(too_big, strict_error("ClipboardError", path, F.lit(ENGINE_LIMIT)))
                .when((n_failed > 0) | blank,
                      strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=utrim(stderr))))
                .otherwise(null_error()))
-        text = F.concat(core, F.lit("\n"))
+        text = F.concat(core_c, F.lit("\n"))
     else:
-        trimmed = utrim(F.coalesce(core, F.lit("")))
+        trimmed = utrim(F.coalesce(core_c, F.lit("")))
         warn_failed = F.when(n_failed > 0, fmt(LENIENT_FAILED_PAGES, pages=F.col("failed_list"))) \
             .otherwise(F.lit(""))
         warn_trunc = (F.when(F.col("page_count") > F.lit(p.page_cap),
@@ -273,7 +320,7 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
                .otherwise(null_error()))
         text = F.concat(trimmed, warn_failed, warn_trunc)
     built = res.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"),
-                       F.col("n_seen").cast("bigint").alias("n_pages"), n_failed.cast("bigint").alias("n_failed"),
+                       F.col("_m").cast("bigint").alias("n_pages"), n_failed.cast("bigint").alias("n_failed"),
                        F.col("failed_list"))
     refused = gated.where(F.col("pdf_error").isNotNull()).select(
         "path", F.lit(None).cast("string").alias("text"), F.col("pdf_error").alias("error"),
