@@ -190,3 +190,17 @@ def test_image(spark):
     assert le["/blank.png"].error.message == "No text recognized in image"
     assert s["/blank.png"].error.message.endswith("Image contains no recognizable text")
     assert le["/slow.png"].error.message == "OCR timed out: slow.png"
+
+
+def test_output_limit_applies_to_final_text_not_estimate(spark):
+    """30 leading blank pages then 'abc': the raw join has 30 leading separators,
+    the text is 3 bytes; a 20-byte output limit must accept it (exact, at the payload)."""
+    from textbarge.operators.payload import build_payload
+    prof = LENIENT.with_(max_output_bytes=20)
+    pages = [("", None, None)] * 30 + [("abc", None, None)]
+    r = _one(spark, pages, 31, prof, "emb")
+    assert r.error is None and r.text == "abc"
+    d = spark.createDataFrame([("run", 0, "/x.pdf", r.text, None)],
+                              "run_id string, ord int, path string, text string, "
+                              "error struct<kind:string,path:string,message:string>")
+    assert build_payload(d, prof, "single").first().payload == "abc"

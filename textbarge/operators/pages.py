@@ -185,7 +185,8 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     anchors = rng.select("path", F.lit(-1).alias("page_idx"), F.lit(None).cast("string").alias("piece"))
     body = body.select("path", "page_idx", "piece").unionByName(anchors)
     first_lead = F.min_by(_lead_nl(F.col("piece")), F.when(F.col("piece") != "", F.col("page_idx")))
-    st = ordered_concat(body, ["path"], "page_idx", "piece", "\n", p.output_budget, out="joined",
+    # Gate on the engine budget only: the output-size rule applies to the final text (payload stage).
+    st = ordered_concat(body, ["path"], "page_idx", "piece", "\n", p.assembly_budget_bytes, out="joined",
                         concat_if=concat_if, group_info=group_info, stats={"first_lead": first_lead})
     k = _lead_nl(F.col("joined")) - F.col("first_lead")
     text = (F.when(F.col("first_lead").isNull(), F.lit(""))
@@ -210,8 +211,7 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
 
 # ----------------------------------------------------------------- G6-G13 (OCR)
 def _sep_lines(profile: Profile, page_idx: Column) -> Column:
-    fmt = profile.page_separator
-    pre, post = fmt.split("{n}")
+    pre, post = profile.page_separator.split("{n}")
     return F.array(F.lit(""), F.concat(F.lit(pre), _s(page_no(page_idx)), F.lit(post)), F.lit(""))
 
 
@@ -245,7 +245,9 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     present = (present_pages(rng, pages, cols).withColumn("has_result", F.lit(True))
                .withColumn("status", page_status(p)))
     good = present.where(F.col("status") == "ok")
-    budget = p.output_budget
+    # Gate on the engine budget only (with per-page slack in the estimate); the
+    # output-size rule applies to the final text, exactly, at the payload stage.
+    budget = p.assembly_budget_bytes
     # failures (failed and missing pages), in page order: keys and short texts only
     if p.name == "strict":
         warn, wsep = strict_warning(), "\n"
@@ -274,13 +276,12 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     docs = docs.withColumn("build_core", build)
     piece_arr = F.concat(F.when(F.col("page_idx") > F.col("f"), _sep_lines(p, F.col("page_idx")))
                          .otherwise(F.array().cast("array<string>")), lines)
+    checked = CheckedStats(docs)
     if p.page_cap is not None:
         # With a page cap the failure list is bounded (at most cap numbers): no gate needed.
         fl = fails.groupBy("path").agg(
             F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)").alias("failed_list"))
-        checked = CheckedStats(docs)
     else:
-        checked = CheckedStats(docs)
         fl = (checked.attach(fails.select("path", "page_idx", "warn"), ["path"],
                              where=(F.col("n_failed") > 0) & F.col("failed_fits"), cols=[])
               .groupBy("path").agg(F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)")
