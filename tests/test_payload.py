@@ -107,3 +107,18 @@ def test_single_notices(spark):
     got = {r.run_id: r for r in build_payload(_df(spark, rows), LENIENT, "single").collect()}
     assert got["url"].summary == "Not a local file"
     assert got["long"].summary == "x" * 97 + "..."
+
+
+def test_excluded_groups_dropped_before_shuffle(spark, monkeypatch):
+    """Many groups (over the broadcast bound) but few excluded: the excluded keys are
+    broadcast and their rows removed by a map-side anti join."""
+    import textbarge.operators.concat as C
+    monkeypatch.setattr(C, "MAX_BROADCAST_GROUPS", 3)
+    df = spark.range(0, 4000).select((F.col("id") % 10).cast("string").alias("k"), F.col("id").alias("o"),
+                                     F.when(F.col("id") % 10 == 0, F.lit("x" * 50)).otherwise(F.lit("y")).alias("t"))
+    res = C.ordered_concat(df, ["k"], "o", "t", "", 1000)
+    rows = {r.k: r for r in res.collect()}
+    assert rows["0"].fits is False and rows["0"].text is None
+    assert rows["1"].text == "y" * 400
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan

@@ -2,15 +2,15 @@
 
 Concatenating a whole group puts that group in one task, so the result size
 is measured first with a partial (map-side combined) aggregate. The
-statistics are joined back to the rows, and one more aggregate concatenates
-only the groups whose result fits the byte budget: for a group over budget
-the concatenation buffer stays empty (its texts are masked to NULL before
-the partial aggregate), so a key holding a third of all rows never gathers
-its text in one task. It is reported with ``fits = false`` and a null text,
-never truncated.
-
-The input is read twice (statistics, body) and the statistics once, so a
-chain of these operators grows the plan linearly, not exponentially.
+statistics are checkpointed and counted, and only rows of the groups whose
+result fits the byte budget go on to the concatenating aggregate; the others
+are dropped before any shuffle whenever a proven-small side allows it (see
+``CheckedStats``). A key holding a third of all rows is therefore never
+gathered in one task unless its text fits the budget; otherwise it is reported
+with ``fits = false`` and a null text, never truncated.
+
+The input is read twice (statistics, body); the statistics are read from
+their checkpoint, so a chain of these operators does not grow the plan.
 """
 
 from __future__ import annotations
@@ -53,26 +53,40 @@ MAX_BROADCAST_GROUPS = 50_000
 
 class CheckedStats:
     """Per-group statistics, checkpointed once under ``spark.checkpoint.dir``
-    (cutting the plan and surviving executor loss) and counted once. Joins to
-    rows broadcast them when there are at most ``MAX_BROADCAST_GROUPS`` groups,
-    so the rows are not shuffled by key at all (a few huge groups stay spread
-    over the map tasks); beyond that a shuffle join, where AQE splits a hot
-    key's partition."""
+    (cutting the plan and surviving executor loss) and counted once.
+
+    ``attach`` joins them to the rows of the groups selected by ``where``,
+    dropping the other groups' rows before anything is shuffled whenever a
+    proven-small side allows it:
+
+    * at most ``MAX_BROADCAST_GROUPS`` groups: the statistics are broadcast;
+    * otherwise, when at most that many groups are excluded: their keys are
+      broadcast and removed with an anti join on the map side, then a shuffle
+      join with the statistics of the kept groups;
+    * otherwise a plain shuffle join (AQE splits a hot key's partition).
+    """
 
     def __init__(self, stats: DataFrame):
         from ..session import shared_dir
         shared_dir(stats.sparkSession)
         self.df = stats.checkpoint(eager=True)
-        self.small = self.df.count() <= MAX_BROADCAST_GROUPS
+        self.n_groups = self.df.count()
+        self.small = self.n_groups <= MAX_BROADCAST_GROUPS
 
     def attach(self, rows: DataFrame, keys: Sequence[str], where: Column | None = None,
                cols: Sequence[str] | None = None) -> DataFrame:
-        st = self.df if where is None else self.df.where(where)
+        keys = list(keys)
+        keep = F.coalesce(where, F.lit(False)) if where is not None else None
+        st = self.df if keep is None else self.df.where(keep)
         if cols is not None:
             st = st.select(*keys, *cols)
         if self.small:
-            st = F.broadcast(st)
-        return rows.join(st, list(keys), "inner")
+            return rows.join(F.broadcast(st), keys, "inner")
+        if keep is not None:
+            dropped = self.df.where(~keep).select(*keys)
+            if dropped.count() <= MAX_BROADCAST_GROUPS:
+                rows = rows.join(F.broadcast(dropped), keys, "left_anti")
+        return rows.join(st, keys, "inner")
 
 
 def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,12 +113,11 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str,
     known from elsewhere): groups failing it are not built.
     """
     keys = list(keys)
-    st = group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if, group_info)
-    stat_cols = [c for c in st.columns if c not in keys]
-    body = df.withColumn("_t", F.col(text)).withColumn("_pick", F.expr(where) if where else F.lit(True))
-    body = attach_group_stats(body.drop(*[c for c in stat_cols if c in body.columns]), st, keys)
-    masked = "CASE WHEN _build AND _pick THEN _t END"
-    agg = body.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in stat_cols if c != "_build"],
-        F.expr(f"listagg({masked}, {sql_str(sep)}) WITHIN GROUP (ORDER BY {order_by})").alias(out))
-    return agg
+    checked = CheckedStats(group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if, group_info))
+    # Only rows of the groups that will be built take part in the concatenation.
+    body = df.withColumn("_t", F.when(F.expr(where) if where else F.lit(True), F.col(text)))
+    body = checked.attach(body.select(*keys, *[c for c in body.columns if c not in keys and c != text]),
+                          keys, where=F.col("_build"), cols=[])
+    cat = body.groupBy(*keys).agg(
+        F.expr(f"listagg(_t, {sql_str(sep)}) WITHIN GROUP (ORDER BY {order_by})").alias(out))
+    return checked.df.join(cat, keys, "left").drop("_build")
