@@ -124,3 +124,15 @@ def test_run_job_lenient_routes(spark, tmpdir_fresh):
     assert got["d"].payload == "p1\np2"
     assert got["e"].payload == "Hello, World!"
     assert got["f"].payload == "café"
+
+
+def test_run_job_strict_without_ocr(spark):
+    from textbarge.plans.job import JobInputs, run_job
+    m = spark.createDataFrame([("a", 0, "/img/y.png", None, None)],
+                              "run_id string, ord int, path string, inline_text string, declared_type string")
+    inv = spark.createDataFrame([("/img/y.png", True, False, True, True, 100)],
+                                "path string, exists boolean, is_dir boolean, link_target_exists boolean, "
+                                "readable boolean, length bigint")
+    _, pay = run_job(JobInputs(manifest=m, inventory=inv), "strict", "fail_fast", ocr_available=False)
+    r = pay.first()
+    assert r.error.message == "Failed to extract text from '/img/y.png': OCR is only supported on macOS"

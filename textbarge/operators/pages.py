@@ -24,6 +24,7 @@ from .concat import CheckedStats, ordered_concat
 
 # Texts of the PDF / image extraction steps.
 STRICT_NO_EXTRACTABLE_TEXT = "PDF contains no extractable text"
+STRICT_OCR_UNAVAILABLE = "OCR is only supported on macOS"
 STRICT_IMAGE_BLANK = "Image contains no recognizable text"
 STRICT_PDF_BLANK = "Error: No text recognized in PDF (all pages were blank or unreadable)"
 STRICT_PAGES_HAD_ERRORS = "Error: {k} of {n} pages had errors"

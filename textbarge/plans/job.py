@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.errors import lenient_error, strict_error
 from ..functions.route import route
 from ..operators.decode import decode_text
-from ..operators.pages import assemble_image, embedded_or_ocr
+from ..operators.pages import STRICT_OCR_UNAVAILABLE, assemble_image, embedded_or_ocr
 from ..operators.payload import build_payload
 from ..operators.validate import open_error, validation_error
 from ..profiles import Profile, get_profile
@@ -90,6 +90,10 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
 
     # image route
     img = ok.where(F.col("route") == "image").withColumn("oerr", open_error(p, "path", "image"))
+    if p.name == "strict" and not ocr_available:
+        # The command-line tool has no recognizer on this platform.
+        img = img.withColumn("oerr", F.coalesce(F.col("oerr"), strict_error(
+            "ExtractionError", F.col("path"), F.lit(STRICT_OCR_UNAVAILABLE))))
     if inp.image_facts is not None and inp.ocr_pages is not None:
         want = img.where(F.col("oerr").isNull()).select(F.col("lookup_path").alias("path")).distinct()
         r = assemble_image(inp.image_facts.join(want, "path", "left_semi"), inp.ocr_pages, p)
