@@ -136,3 +136,20 @@ def test_run_job_strict_without_ocr(spark):
     _, pay = run_job(JobInputs(manifest=m, inventory=inv), "strict", "fail_fast", ocr_available=False)
     r = pay.first()
     assert r.error.message == "Failed to extract text from '/img/y.png': OCR is only supported on macOS"
+
+
+def test_latest_across_micro_batches(spark, tmpdir_fresh):
+    from textbarge.streaming.ingest import read_latest, start_latest
+    src = os.path.join(tmpdir_fresh, "src")
+    schema = "run_id string, ord long, text string, error struct<kind:string,path:string,message:string>"
+    spark.createDataFrame([("a", 1, "a1", None), ("b", 1, "b1", None)], schema).coalesce(1) \
+        .write.parquet(os.path.join(src, "p1"))
+    spark.createDataFrame([("a", 2, "a2", None), ("a", 3, None, ("BinaryFile", "x", "m"))], schema).coalesce(1) \
+        .write.parquet(os.path.join(src, "p2"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    out, ck = os.path.join(tmpdir_fresh, "out"), os.path.join(tmpdir_fresh, "ck")
+    start_latest(stream, "run_id", "ord", out, ck).awaitTermination()
+    got = {r.run_id: (r.payload, r.ord, r.n_ok) for r in read_latest(spark, out, "run_id").collect()}
+    assert got == {"a": ("a2", 2, 2), "b": ("b1", 1, 1)}
+    assert len(os.listdir(out)) >= 2   # more than one micro-batch ran

@@ -13,8 +13,8 @@ from .sources.extraction import lookup_extraction, read_page_results, run_extrac
 from .sources.files import attach_content, materialize_files, probe_inventory, read_bytes, scan_files  # noqa: F401
 from .sources.manifest import manifest_from_paths, read_manifest, split_inline, with_lookup_path  # noqa: F401
 from .sources.sinks import publish, publish_file, quarantine, read_payload, read_quarantine  # noqa: F401
-from .streaming.ingest import (decode_stream, file_stream, latest_per_target, start_ingest,  # noqa: F401
-                               start_latest)
+from .streaming.ingest import (decode_stream, file_stream, latest_per_target, read_latest,  # noqa: F401
+                               start_ingest, start_latest)
 
 
 def route_entries(df, profile, path="path", declared_type="declared_type"):

@@ -742,7 +742,7 @@ QUERIES["mixed_manifest"] = mixed_manifest
 # ----------------------------------------------------------------------------
 # More policies: X2 (streaming), single selection, empty runs, no OCR
 # ----------------------------------------------------------------------------
-from ..streaming.ingest import start_latest  # noqa: E402
+from ..streaming.ingest import read_latest, start_latest  # noqa: E402
 
 
 def stream_latest(spark, sf_dir):
@@ -758,7 +758,7 @@ def stream_latest(spark, sf_dir):
     out, ck = fresh_dir(spark, "latest-out"), fresh_dir(spark, "latest-ck")
     q = start_latest(decode_stream(s, STRICT), "run_id", "ord", out, ck)
     q.awaitTermination()
-    return spark.read.parquet(out).select("run_id", "payload", F.col("ord").alias("last_ord"), "n_ok")
+    return read_latest(spark, out, "run_id").select("run_id", "payload", F.col("ord").alias("last_ord"), "n_ok")
 
 
 def single_selection(spark, sf_dir):
