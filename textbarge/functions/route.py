@@ -7,7 +7,8 @@ from pyspark.sql import Column, functions as F
 from ..profiles import Profile, get_profile
 from .text import col
 
-# Media types that count as text besides text/* (source code).
+# Our mapping (not taken from the source tool, which asks the operating system):
+# media types that count as source code, routed like text/*.
 SOURCE_CODE_TYPES = ("application/javascript", "application/x-sh", "application/x-python",
                      "application/x-ruby", "application/x-perl", "application/json",
                      "application/xml", "application/sql")

@@ -16,15 +16,18 @@ from ..profiles import Profile, get_profile
 
 
 def file_stream(spark: SparkSession, root: str, glob: str | None = None,
-                max_bytes: int | None = None) -> DataFrame:
+                max_bytes: int | None = None, max_files_per_trigger: int = 10000) -> DataFrame:
     """X1 source: files appearing under ``root`` (a drop folder), with their bytes.
 
     Same schema as the batch scan; paths normalized; the size gate is a filter
-    on ``length``. Like the batch source, a zero-length file produces no row.
+    on ``length``. Micro-batches take at most ``max_files_per_trigger`` files,
+    so a backlog is consumed in bounded steps. Like the batch source, a
+    zero-length file produces no row.
     """
     from .. import schemas
     from ..sources.files import normalize_path
-    r = spark.readStream.format("binaryFile").schema(schemas.FILES).option("recursiveFileLookup", "true")
+    r = (spark.readStream.format("binaryFile").schema(schemas.FILES).option("recursiveFileLookup", "true")
+         .option("maxFilesPerTrigger", max_files_per_trigger))
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
