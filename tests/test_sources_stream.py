@@ -153,3 +153,16 @@ def test_latest_across_micro_batches(spark, tmpdir_fresh):
     got = {r.run_id: (r.payload, r.ord, r.n_ok) for r in read_latest(spark, out, "run_id").collect()}
     assert got == {"a": ("a2", 2, 2), "b": ("b1", 1, 1)}
     assert len(os.listdir(out)) >= 2   # more than one micro-batch ran
+
+
+def test_publish_is_atomic_for_readers(spark, tmpdir_fresh):
+    """A half-finished publish (version written, pointer not switched) leaves the old payload readable."""
+    t = os.path.join(tmpdir_fresh, "payload")
+    schema = ("run_id string, payload string, n_bytes bigint, n_files bigint, summary string, "
+              "error struct<kind:string,path:string,message:string>")
+    a = spark.createDataFrame([("r", "old", 3, 1, "s", None)], schema)
+    publish(a, t)
+    a.withColumn("payload", F.lit("orphan")).write.parquet(os.path.join(t, "version=unfinished"))
+    assert [r.payload for r in read_payload(spark, t).collect()] == ["old"]
+    publish(a.withColumn("payload", F.lit("new")), t)
+    assert [r.payload for r in read_payload(spark, t).collect()] == ["new"]

@@ -1,11 +1,13 @@
 """Sinks (S8-S11, U2): publish payloads, read them back, quarantine errors.
 
-The desktop clipboard is one overwritable cell; here a payload table is
-overwritten as a whole (``mode('overwrite')``) or merged latest-by-order.
+The desktop clipboard is one cell replaced atomically; here a payload table is
+published as a new version and a one-line pointer is switched to it.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,17 +15,64 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas
 
 
-def publish(payload: DataFrame, path: str, writer: Callable[[DataFrame, str], None] | None = None) -> None:
-    """Replace what was published at ``path``. ``writer`` swaps the store."""
-    if writer is not None:
-        writer(payload, path)
+POINTER = "_LATEST"
+
+
+def _write_text(uri: str, text: str) -> None:
+    if "://" in uri and not uri.startswith("file:"):
+        from pyarrow import fs as pafs
+        fs, inner = pafs.FileSystem.from_uri(uri)
+        with fs.open_output_stream(inner) as fh:
+            fh.write(text.encode())
         return
-    payload.write.mode("overwrite").parquet(path)
+    from ..session import local_path
+    lp = local_path(uri)
+    tmp = lp + ".tmp"
+    with open(tmp, "w") as fh:
+        fh.write(text)
+    os.replace(tmp, lp)   # atomic on a POSIX file system
+
+
+def _read_text(uri: str) -> str | None:
+    try:
+        if "://" in uri and not uri.startswith("file:"):
+            from pyarrow import fs as pafs
+            fs, inner = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_stream(inner) as fh:
+                return fh.read().decode()
+        from ..session import local_path
+        with open(local_path(uri)) as fh:
+            return fh.read()
+    except (OSError, FileNotFoundError):
+        return None
+
+
+def publish(payload: DataFrame, path: str, writer: Callable[[DataFrame, str], None] | None = None) -> str:
+    """Replace what was published at ``path``, atomically for readers.
+
+    The payload is written to a new ``version=<id>`` folder; only when that
+    write has committed is the small ``_LATEST`` pointer switched to it. A job
+    that dies half-way leaves the previous payload readable (a plain overwrite
+    would already have deleted it). ``writer`` swaps the store. Returns the version.
+    """
+    version = uuid.uuid4().hex
+    target = f"{path.rstrip('/')}/version={version}"
+    if writer is not None:
+        writer(payload, target)
+    else:
+        payload.write.mode("errorifexists").parquet(target)
+    from ..session import ensure_local_dir
+    ensure_local_dir(path)
+    _write_text(f"{path.rstrip('/')}/{POINTER}", version)
+    return version
 
 
 def read_payload(spark: SparkSession, path: str) -> DataFrame:
-    """Read a published payload table back."""
-    return spark.read.schema(schemas.PAYLOAD).parquet(path)
+    """Read the latest published payload table."""
+    version = _read_text(f"{path.rstrip('/')}/{POINTER}")
+    if version is None:
+        return spark.createDataFrame([], schemas.PAYLOAD)
+    return spark.read.schema(schemas.PAYLOAD).parquet(f"{path.rstrip('/')}/version={version.strip()}")
 
 
 def quarantine(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
