@@ -166,3 +166,20 @@ def test_publish_is_atomic_for_readers(spark, tmpdir_fresh):
     assert [r.payload for r in read_payload(spark, t).collect()] == ["old"]
     publish(a.withColumn("payload", F.lit("new")), t)
     assert [r.payload for r in read_payload(spark, t).collect()] == ["new"]
+
+
+def test_run_job_file_over_engine_limit_is_an_error(spark):
+    """A file the binaryFile reader cannot hold becomes a typed error, not a failed job."""
+    from textbarge.plans.job import JobInputs, run_job
+    m = spark.createDataFrame([("a", 0, "/big.log", None, None), ("a", 1, "/small.txt", None, None)],
+                              "run_id string, ord int, path string, inline_text string, declared_type string")
+    inv = spark.createDataFrame([("/big.log", True, False, True, True, 3 * 1024 ** 3),
+                                 ("/small.txt", True, False, True, True, 2)],
+                                "path string, exists boolean, is_dir boolean, link_target_exists boolean, "
+                                "readable boolean, length bigint")
+    files = spark.createDataFrame([("/small.txt", bytearray(b"hi"))], "path string, content binary")
+    dec, pay = run_job(JobInputs(manifest=m, inventory=inv, files=files), "strict", "fail_fast")
+    got = {r.path: r for r in dec.collect()}
+    assert got["/big.log"].error.message == "Failed to read file '/big.log': file larger than the engine's 2 GiB limit"
+    assert got["/small.txt"].text == "hi"
+    assert pay.first().error.kind == "IoError"

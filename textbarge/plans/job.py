@@ -23,7 +23,7 @@ from ..operators.decode import decode_text
 from ..operators.pages import STRICT_OCR_UNAVAILABLE, assemble_image, embedded_or_ocr
 from ..operators.payload import build_payload
 from ..operators.validate import open_error, validation_error
-from ..profiles import Profile, get_profile
+from ..profiles import ENGINE_MAX_FILE_BYTES, Profile, get_profile
 from ..sources.files import attach_content
 from ..session import shared_dir
 from ..sources.manifest import with_lookup_path
@@ -31,6 +31,7 @@ from ..sources.manifest import with_lookup_path
 _ERR = "struct<kind:string,path:string,message:string>"
 # Engine text for an entry whose bytes or extraction results could not be read.
 CONTENT_UNAVAILABLE = "file content unavailable"
+FILE_OVER_ENGINE_LIMIT = "file larger than the engine's 2 GiB limit"
 DECODED_COLS = ["run_id", "ord", "path", "route", "encoding", "text", "error"]
 
 
@@ -51,7 +52,8 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
     m = with_lookup_path(inp.manifest)
     inline = (m.where(F.col("is_inline"))
               .select("run_id", "ord", "path", F.lit("inline").alias("route"), F.lit("utf-8").alias("encoding"),
-                      F.col("inline_text").alias("text"), F.lit(None).cast(_ERR).alias("error")))
+                      F.col("inline_text").alias("text"), F.lit(None).cast(_ERR).alias("error"),
+                      F.lit(None).cast("bigint").alias("_len")))
     inv = inp.inventory.select(F.col("path").alias("lookup_path"), "exists", "is_dir", "link_target_exists",
                                "readable", "length")
     e = (m.where(~F.col("is_inline")).join(inv, "lookup_path", "left")
@@ -59,7 +61,7 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
          .withColumn("verr", validation_error(p)))
     bad = e.where(F.col("verr").isNotNull()).select(
         "run_id", "ord", "path", "route", F.lit(None).cast("string").alias("encoding"),
-        F.lit(None).cast("string").alias("text"), F.col("verr").alias("error"))
+        F.lit(None).cast("string").alias("text"), F.col("verr").alias("error"), F.col("length").alias("_len"))
     ok = e.where(F.col("verr").isNull())
     parts = [inline, bad]
 
@@ -72,7 +74,7 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
     t = decode_text(t, p)
     parts.append(t.select("run_id", "ord", "path", "route", "encoding",
                           F.when(F.col("oerr").isNull(), F.col("text")).alias("text"),
-                          F.coalesce("oerr", "error").alias("error")))
+                          F.coalesce("oerr", "error").alias("error"), F.col("length").alias("_len")))
 
     # pdf route
     pdf = ok.where(F.col("route") == "pdf").withColumn("oerr", open_error(p, "path", "pdf"))
@@ -86,7 +88,7 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
         pdf = pdf.withColumn("r_text", F.lit(None).cast("string")).withColumn("r_err", F.lit(None).cast(_ERR))
     parts.append(pdf.select("run_id", "ord", "path", "route", F.lit(None).cast("string").alias("encoding"),
                             F.when(F.col("oerr").isNull(), F.col("r_text")).alias("text"),
-                            F.coalesce("oerr", "r_err").alias("error")))
+                            F.coalesce("oerr", "r_err").alias("error"), F.lit(None).cast("bigint").alias("_len")))
 
     # image route
     img = ok.where(F.col("route") == "image").withColumn("oerr", open_error(p, "path", "image"))
@@ -103,16 +105,19 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
         img = img.withColumn("r_text", F.lit(None).cast("string")).withColumn("r_err", F.lit(None).cast(_ERR))
     parts.append(img.select("run_id", "ord", "path", "route", F.lit(None).cast("string").alias("encoding"),
                             F.when(F.col("oerr").isNull(), F.col("r_text")).alias("text"),
-                            F.coalesce("oerr", "r_err").alias("error")))
+                            F.coalesce("oerr", "r_err").alias("error"), F.lit(None).cast("bigint").alias("_len")))
 
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     # An entry that produced neither text nor error (bytes or results could not be read) is an error.
-    missing = (strict_error("IoError", F.col("path"), F.lit(CONTENT_UNAVAILABLE)) if p.name == "strict"
-               else lenient_error("extractionFailed", F.col("path"), F.lit(CONTENT_UNAVAILABLE)))
-    return out.withColumn("error", F.when(F.col("text").isNull() & F.col("error").isNull(), missing)
-                          .otherwise(F.col("error")))
+    reason = F.when(F.col("_len") > F.lit(ENGINE_MAX_FILE_BYTES), F.lit(FILE_OVER_ENGINE_LIMIT)) \
+        .otherwise(F.lit(CONTENT_UNAVAILABLE))
+    missing = (strict_error("IoError", F.col("path"), reason) if p.name == "strict"
+               else lenient_error("extractionFailed", F.col("path"), reason))
+    return (out.withColumn("error", F.when(F.col("text").isNull() & F.col("error").isNull(), missing)
+                           .otherwise(F.col("error")))
+            .drop("_len"))
 
 
 def run_job(inp: JobInputs, profile: Profile | str = "strict", policy: str = "fail_fast",

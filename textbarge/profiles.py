@@ -39,6 +39,10 @@ WHITESPACE_CHARS = (
 # hundred MB already strain shuffles and writers, so a bigger result is
 # reported as an error instead of stalling a task. Adjust with Profile.with_().
 DEFAULT_ASSEMBLY_BUDGET_BYTES = 256 * 1024 * 1024
+# Engine bound: Spark's binary values (and the binaryFile reader) stop at 2^31-1
+# bytes; a bigger file fails its task, so it is kept out of the scan and
+# reported as an error instead of aborting the job.
+ENGINE_MAX_FILE_BYTES = 2147483647
 
 
 @dataclass(frozen=True)

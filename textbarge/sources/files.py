@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..profiles import ENGINE_MAX_FILE_BYTES
 
 
 def normalize_path(c="path"):
@@ -27,14 +28,15 @@ def scan_files(spark: SparkSession, roots: str | list[str], glob: str | None = N
     """``path, modificationTime, length[, content]`` under the roots, recursively.
 
     ``max_bytes`` is a plain filter on ``length``; Catalyst pushes it into the
-    scan, so the bytes of larger files are never read.
+    scan, so the bytes of larger files are never read. Files over Spark's 2 GiB
+    binary limit are always left out (they would fail their task).
     """
     r = (spark.read.format("binaryFile").option("recursiveFileLookup", "true"))
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(roots if isinstance(roots, list) else [roots])
-    if max_bytes is not None:
-        df = df.where(F.col("length") <= F.lit(max_bytes))
+    limit = ENGINE_MAX_FILE_BYTES if max_bytes is None else min(max_bytes, ENGINE_MAX_FILE_BYTES)
+    df = df.where(F.col("length") <= F.lit(limit))
     df = df.withColumn("path", normalize_path("path"))
     cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
     return df.select(*cols)
@@ -81,7 +83,8 @@ def attach_content(entries: DataFrame, files: DataFrame, path_col: str = "lookup
     if not fallback:
         return out
     unseen = out.where(F.col("content").isNull() & F.coalesce(F.col("exists"), F.lit(False))
-                       & ~F.coalesce(F.col("is_dir"), F.lit(False)))
+                       & ~F.coalesce(F.col("is_dir"), F.lit(False))
+                       & (F.coalesce(F.col("length"), F.lit(0)) <= F.lit(ENGINE_MAX_FILE_BYTES)))
     got = read_bytes(unseen, path_col).select(F.col("path").alias(path_col), F.col("content").alias("_fb"))
     return (out.join(got, path_col, "left")
             .withColumn("content", F.coalesce(F.col("content"), F.col("_fb"))).drop("_fb"))
