@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..profiles import ENGINE_MAX_FILE_BYTES
+from ..profiles import DEFAULT_ASSEMBLY_BUDGET_BYTES, ENGINE_MAX_FILE_BYTES
+
+# The fallback reader holds a whole file in a Python worker: keep it to what a
+# payload could hold anyway.
+FALLBACK_MAX_BYTES = DEFAULT_ASSEMBLY_BUDGET_BYTES
 
 
 def normalize_path(c="path"):
@@ -84,7 +88,7 @@ def attach_content(entries: DataFrame, files: DataFrame, path_col: str = "lookup
         return out
     unseen = out.where(F.col("content").isNull() & F.coalesce(F.col("exists"), F.lit(False))
                        & ~F.coalesce(F.col("is_dir"), F.lit(False))
-                       & (F.coalesce(F.col("length"), F.lit(0)) <= F.lit(ENGINE_MAX_FILE_BYTES)))
+                       & (F.coalesce(F.col("length"), F.lit(0)) <= F.lit(FALLBACK_MAX_BYTES)))
     got = read_bytes(unseen, path_col).select(F.col("path").alias(path_col), F.col("content").alias("_fb"))
     return (out.join(got, path_col, "left")
             .withColumn("content", F.coalesce(F.col("content"), F.col("_fb"))).drop("_fb"))
