@@ -122,3 +122,16 @@ def test_excluded_groups_dropped_before_shuffle(spark, monkeypatch):
     assert rows["1"].text == "y" * 400
     plan = res._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
+
+
+def test_parts_bound(spark, monkeypatch):
+    """A run with more entries than one task may gather is an engine-limit error, even when
+    its bytes are under the output limit."""
+    import textbarge.operators.concat as C
+    import textbarge.operators.payload as P
+    monkeypatch.setattr(C, "MAX_PARTS_PER_GROUP", 10)
+    monkeypatch.setattr(P, "MAX_PARTS_PER_GROUP", 10)
+    rows = [("many", i, f"/{i}", "", None) for i in range(20)] + [("few", 0, "/a", "x", None)]
+    got = {r.run_id: r for r in build_payload(_df(spark, rows), LENIENT, "fail_fast").collect()}
+    assert got["many"].payload is None and got["many"].error.kind == "EngineLimit"
+    assert got["few"].payload == "x"

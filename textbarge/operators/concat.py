@@ -22,6 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import sql_str
 
 
+# Engine bound on the number of values one task may gather for a group: each
+# buffered value costs tens of bytes beyond its text, so many empty texts could
+# otherwise pass the byte budget and still exhaust the task's memory.
+MAX_PARTS_PER_GROUP = 5_000_000
+
+
 def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_bytes: int,
                 stats: dict[str, Column] | None = None, where: str | None = None,
                 concat_if: str | None = None, group_info: DataFrame | None = None) -> DataFrame:
@@ -37,7 +43,8 @@ def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_
          + F.greatest(n - 1, F.lit(0)) * F.lit(sep_len)).alias("n_bytes"),
     ]
     aggs += [c.alias(k) for k, c in (stats or {}).items()]
-    st = df.groupBy(*keys).agg(*aggs).withColumn("fits", F.col("n_bytes") <= F.lit(budget_bytes))
+    st = df.groupBy(*keys).agg(*aggs).withColumn(
+        "fits", (F.col("n_bytes") <= F.lit(budget_bytes)) & (F.col("n_parts") <= F.lit(MAX_PARTS_PER_GROUP)))
     if group_info is not None:
         st = st.join(group_info, list(keys), "left")
     build = F.col("fits") & (F.col("n_parts") > 0)
@@ -103,7 +110,7 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str,
 
     ``n_parts``  number of non-null texts,
     ``n_bytes``  UTF-8 bytes of the joined text (separators included),
-    ``fits``     n_bytes <= budget_bytes,
+    ``fits``     n_bytes <= budget_bytes and n_parts <= MAX_PARTS_PER_GROUP,
     ``out``      the texts joined by ``sep`` in ``order_by`` order (null if not built
                  or no parts); NULL texts are skipped, empty ones keep their separator,
     plus any extra aggregate columns passed in ``stats``.

@@ -16,11 +16,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.errors import lenient_error, null_error, strict_error
+from ..functions.errors import lenient_error, make_error, null_error, strict_error
 from ..functions.raster import raster_px, too_many_pixels
 from ..functions.text import fmt, is_blank, page_no, utrim
 from ..profiles import Profile, get_profile
-from .concat import CheckedStats, ordered_concat
+from .concat import MAX_PARTS_PER_GROUP, CheckedStats, ordered_concat
 
 # Texts of the PDF / image extraction steps.
 STRICT_NO_EXTRACTABLE_TEXT = "PDF contains no extractable text"
@@ -201,7 +201,10 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
                .when(~F.col("fits"), strict_error("ClipboardError", path, F.lit(ENGINE_LIMIT)))
                .otherwise(null_error()))
     else:
-        err = F.when(~F.col("fits"), lenient_error("outputTooLarge", path, size=F.col("n_bytes"))).otherwise(null_error())
+        err = (F.when(~F.col("fits") & (F.col("n_bytes") > F.lit(p.assembly_budget_bytes)),
+                      lenient_error("outputTooLarge", path, size=F.col("n_bytes")))
+               .when(~F.col("fits"), make_error("engineLimit", path, F.lit(ENGINE_LIMIT)))
+               .otherwise(null_error()))
     built = st.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"))
     # Documents without a page range: failing the PDF gate, or with no pages.
     others = gated.where(F.col("pdf_error").isNotNull() | (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select(
@@ -266,12 +269,16 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     sep_len = len(p.page_separator.encode()) + 16
     gst = good.groupBy("path").agg(
         F.min(F.when(F.size(lines) > 0, F.col("page_idx"))).alias("f"),
-        F.sum(F.octet_length(F.array_join(lines, "\n")) + F.lit(sep_len)).alias("est_bytes"))
+        F.sum(F.octet_length(F.array_join(lines, "\n")) + F.lit(sep_len)).alias("est_bytes"),
+        F.count(F.lit(1)).alias("n_good"))
     docs = (rng.join(gst, "path", "left").join(fst, "path", "left")
             .withColumn("n_failed", F.coalesce(F.col("n_failed"), F.lit(0)))
             .withColumn("est_bytes", F.coalesce(F.col("est_bytes"), F.lit(0)))
-            .withColumn("failed_fits", F.coalesce(F.col("warn_bytes"), F.lit(0)) <= F.lit(budget)))
-    build = F.col("f").isNotNull() & (F.col("est_bytes") <= F.lit(budget))
+            .withColumn("n_good", F.coalesce(F.col("n_good"), F.lit(0)))
+            .withColumn("failed_fits", (F.coalesce(F.col("warn_bytes"), F.lit(0)) <= F.lit(budget))
+                        & (F.col("n_failed") <= F.lit(MAX_PARTS_PER_GROUP))))
+    text_fits = (F.col("est_bytes") <= F.lit(budget)) & (F.col("n_good") <= F.lit(MAX_PARTS_PER_GROUP))
+    build = F.col("f").isNotNull() & text_fits
     if p.name == "strict":
         build = build & (F.col("n_failed") == 0)
     docs = docs.withColumn("build_core", build)
@@ -298,8 +305,7 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     n_failed = F.col("n_failed")
     path = F.col("path")
     core_c = F.col("core")
-    too_big = (F.col("f").isNotNull() & (F.col("est_bytes") > F.lit(budget))) | \
-        ((n_failed > 0) & ~F.col("failed_fits"))
+    too_big = (F.col("f").isNotNull() & ~text_fits) | ((n_failed > 0) & ~F.col("failed_fits"))
     if p.name == "strict":
         stderr = (F.when(n_failed > 0, F.concat(F.col("failed_list"), F.lit("\n"),
                                                  fmt(STRICT_PAGES_HAD_ERRORS, k=n_failed, n=F.col("page_count"))))

@@ -23,22 +23,28 @@ from ..functions.errors import (COPIED_CONTENTS, FILE_IS_EMPTY, NO_FILE_SELECTED
                                 SELECT_ONE_FILE, lenient_error, make_error, null_error, strict_error, summary)
 from ..functions.text import fmt, is_blank, notification
 from ..profiles import Profile, get_profile
-from .concat import ordered_concat
+from .concat import MAX_PARTS_PER_GROUP, ordered_concat
 
 _ERR_T = "struct<kind:string,path:string,message:string>"
 # Engine limit text (not a rule of the source tool).
 PAYLOAD_OVER_LIMIT = "payload of {n} bytes exceeds the {limit}-byte limit"
+PARTS_OVER_LIMIT = "run of {n} entries exceeds the engine's {limit}-entry limit for one payload"
 
 
 def _first_error():
     return F.min_by(F.col("error"), F.col("ord"))
 
 
-def _budget_error(profile: Profile, n_bytes) -> "F.Column":
+def _budget_error(profile: Profile, n_bytes, n_parts) -> "F.Column":
+    """Why a run's payload was not built: over the output limit, or over an engine bound."""
+    over_parts = make_error("EngineLimit", F.lit(""), fmt(PARTS_OVER_LIMIT, n=n_parts,
+                                                          limit=str(MAX_PARTS_PER_GROUP)))
     if profile.max_output_bytes is not None and profile.max_output_bytes <= profile.assembly_budget_bytes:
-        return lenient_error("outputTooLarge", F.lit(""), size=n_bytes)
-    return strict_error("ClipboardError", F.lit(""),
-                        fmt(PAYLOAD_OVER_LIMIT, n=n_bytes, limit=str(profile.output_budget)))
+        over_bytes = lenient_error("outputTooLarge", F.lit(""), size=n_bytes)
+    else:
+        over_bytes = strict_error("ClipboardError", F.lit(""),
+                                  fmt(PAYLOAD_OVER_LIMIT, n=n_bytes, limit=str(profile.output_budget)))
+    return F.when(n_bytes > F.lit(profile.output_budget), over_bytes).otherwise(over_parts)
 
 
 def build_payload(entries: DataFrame, profile: Profile | str = "strict", policy: str = "fail_fast",
@@ -77,7 +83,7 @@ def _fail_fast(entries: DataFrame, p: Profile) -> DataFrame:
     ok = F.col("n_failed") == 0
     fits = F.col("fits")
     err = (F.when(~ok, F.col("first_error"))
-           .when(~fits, _budget_error(p, F.col("n_bytes")))
+           .when(~fits, _budget_error(p, F.col("n_bytes"), F.col("n_parts")))
            .otherwise(null_error()))
     payload = F.when(ok & fits, F.coalesce(F.col("payload"), F.lit("")))
     return st.select(
