@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import fresh_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -12,19 +14,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cores when the scan yields fewer splits than
-    the default parallelism (one big unsplittable file). On a cluster reading
-    many files the scan already has more splits and nothing is added."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
+_BALANCED: dict[tuple[str, str], str] = {}
+
+
+def spread(df: DataFrame, source: str) -> DataFrame:
+    """When the scan yields fewer splits than the default parallelism (one big
+    unsplittable file), write a copy spread over the cores once per application
+    into the shared folder and read that instead: later jobs get parallel,
+    column-pruned parquet scans without a shuffle each. On a cluster reading
+    many files the scan already has more splits and nothing is written."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
+        return df
+    key = (sc.applicationId, source)
+    if key not in _BALANCED:
+        target = fresh_dir(spark, "balanced")
+        df.repartition(sc.defaultParallelism).write.parquet(target)
+        _BALANCED[key] = target
+    return spark.read.parquet(_BALANCED[key])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, path) if name in TEXT_TABLES else df
 
 
 def doc_path(ext: str = "txt") -> Column:
