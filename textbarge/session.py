@@ -14,7 +14,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Sizing for one local JVM; on a cluster these come from the job submission.
+# Behaviour the engine's plans rely on (adaptive execution, skew splitting,
+# checkpoint cleanup). Cluster sizing (executors, memory, partitions) comes
+# from the job submission, not from here.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
