@@ -135,3 +135,26 @@ def test_strict_dangling_link_is_not_found(spark):
                                "readable boolean, length bigint")
     r = df.select(validation_error("strict").alias("s"), validation_error("lenient").alias("l")).first()
     assert r.s.kind == "FileNotFound" and r.l.kind == "fileNotFound"
+
+
+def _model_extension(path: str):
+    """The rule, written plainly: last segment (trailing slashes ignored); no extension
+    for '..', a leading-dot-only name or a trailing dot; otherwise after the last dot."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if name in ("", "..") or "." not in name:
+        return None
+    before, after = name.rsplit(".", 1)
+    if before == "" or after == "":
+        return None
+    return after.lower()
+
+
+def test_extension_matches_model(spark):
+    import random
+    rnd = random.Random(9)
+    parts = ["a", "B", ".", "..", "/", "x.y", "tar.gz", "PDF", "png", " ", "é"]
+    paths = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6))) for _ in range(600)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    got = {r.i: r.e for r in df.select("i", extension("p").alias("e")).collect()}
+    for i, p in enumerate(paths):
+        assert got[i] == _model_extension(p), (p, got[i])

@@ -41,8 +41,10 @@ def url_path(path) -> Column:
 
 
 def extension(path) -> Column:
-    """Lower-cased extension of the last segment; null for none, '.hidden', trailing dot."""
-    return F.lower(F.nullif(F.regexp_extract(col(path), r"[^/]\.([^./]*)$", 1), F.lit("")))
+    """Lower-cased extension of the last segment (trailing slashes ignored);
+    null for none, '.hidden', '..', trailing dot."""
+    last = F.regexp_replace(col(path), "/+$", "")
+    return F.lower(F.nullif(F.regexp_extract(last, r"[^/]\.([^./]*)$", 1), F.lit("")))
 
 
 def route_from_type(declared_type) -> Column:

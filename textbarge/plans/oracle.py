@@ -434,8 +434,8 @@ u AS (
   FROM d),
 e AS (
   SELECT item, declared_type,
-         lower(nullif(regexp_extract(path, '[^/]\\.([^./]*)$', 1), '')) AS strict_ext,
-         lower(nullif(regexp_extract(up, '[^/]\\.([^./]*)$', 1), '')) AS lenient_ext
+         lower(nullif(regexp_extract(regexp_replace(path, '/+$', ''), '[^/]\\.([^./]*)$', 1), '')) AS strict_ext,
+         lower(nullif(regexp_extract(regexp_replace(up, '/+$', ''), '[^/]\\.([^./]*)$', 1), '')) AS lenient_ext
   FROM u)
 SELECT item, strict_ext, lenient_ext,
        CASE WHEN strict_ext = 'pdf' THEN 'pdf'
