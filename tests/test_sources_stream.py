@@ -183,3 +183,21 @@ def test_run_job_file_over_engine_limit_is_an_error(spark):
     assert got["/big.log"].error.message == "Failed to read file '/big.log': file larger than the engine's 2 GiB limit"
     assert got["/small.txt"].text == "hi"
     assert pay.first().error.kind == "IoError"
+
+
+def test_probe_symlinks(spark, tmpdir_fresh):
+    """S4/P4 on a real file system: a valid link reads its target, a dangling one is not found."""
+    root = tmpdir_fresh
+    target = _write(root, "t.txt", b"linked")
+    good = os.path.join(root, "good.txt")
+    bad = os.path.join(root, "bad.txt")
+    os.symlink(target, good)
+    os.symlink(os.path.join(root, "gone.txt"), bad)
+    m = with_lookup_path(manifest_from_paths(spark, "r", [good, bad]))
+    inv = probe_inventory(m)
+    x = attach_content(m.join(inv.withColumnRenamed("path", "lookup_path"), "lookup_path", "left"),
+                       scan_files(spark, root))
+    got = {r.ord: r for r in x.select("ord", "content", validation_error("strict").alias("s"),
+                                      validation_error("lenient").alias("l")).collect()}
+    assert bytes(got[0].content) == b"linked" and got[0].s is None and got[0].l is None
+    assert got[1].s.kind == "FileNotFound" and got[1].l.kind == "fileNotFound"
