@@ -104,7 +104,8 @@ def test_run_job_lenient_routes(spark, tmpdir_fresh):
     local = with_lookup_path(m).where(~F.col("path").isin("/docs/x.pdf", "/img/y.png"))
     inv = probe_inventory(local).unionByName(spark.createDataFrame(
         [("/docs/x.pdf", True, False, True, True, 100), ("/img/y.png", True, False, True, True, 100)],
-        "path string, exists boolean, is_dir boolean, link_target_exists boolean, readable boolean, length bigint"))
+        "path string, exists boolean, is_dir boolean, link_target_exists boolean, readable boolean, length bigint"),
+        allowMissingColumns=True)
     inp = JobInputs(
         manifest=m, inventory=inv, files=scan_files(spark, root),
         pdf_facts=spark.createDataFrame([("/docs/x.pdf", None, False, 2)],
@@ -201,3 +202,18 @@ def test_probe_symlinks(spark, tmpdir_fresh):
                                       validation_error("lenient").alias("l")).collect()}
     assert bytes(got[0].content) == b"linked" and got[0].s is None and got[0].l is None
     assert got[1].s.kind == "FileNotFound" and got[1].l.kind == "fileNotFound"
+
+
+def test_lenient_size_gate_reads_the_link_itself(spark, tmpdir_fresh):
+    """P6 (lenient) looks at the directory entry: a small link to a large file passes the gate."""
+    from textbarge.profiles import LENIENT
+    root = tmpdir_fresh
+    big = _write(root, "big.txt", b"x" * 2000)
+    link = os.path.join(root, "link.txt")
+    os.symlink(big, link)
+    m = with_lookup_path(manifest_from_paths(spark, "r", [big, link]))
+    inv = probe_inventory(m).withColumnRenamed("path", "lookup_path")
+    x = m.join(inv, "lookup_path", "left")
+    prof = LENIENT.with_(max_file_bytes=1000)
+    got = {r.ord: r.e for r in x.select("ord", validation_error(prof, size="entry_length").alias("e")).collect()}
+    assert got[0].kind == "fileTooLarge" and got[1] is None

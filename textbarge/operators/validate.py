@@ -27,11 +27,14 @@ def missing_paths(manifest: DataFrame, inventory: DataFrame, path_col: str = "lo
     return manifest.join(inv, path_col, "left_anti")
 
 
-def validation_error(profile: Profile | str, path: str = "path", lookup: str = "lookup_path") -> Column:
+def validation_error(profile: Profile | str, path: str = "path", lookup: str = "lookup_path",
+                     size: str = "length") -> Column:
     """The first failing pre-read check, in the profile's order, or NULL.
 
     lenient: P1 notFileURL -> P2/P4 fileNotFound (missing or dangling link)
-    -> P3 isDirectory -> P5 permissionDenied -> P6 fileTooLarge.
+    -> P3 isDirectory -> P5 permissionDenied -> P6 fileTooLarge (on ``size``: pass
+    ``entry_length`` from ``probe_inventory`` to judge a symlink by its own
+    size, as the library does).
     strict: P2 FileNotFound (a dangling symlink included) only; the rest surface
     when the file is opened (see ``open_error``).
     """
@@ -48,8 +51,7 @@ def validation_error(profile: Profile | str, path: str = "path", lookup: str = "
          .when(F.coalesce(F.col("is_dir"), F.lit(False)), lenient_error("isDirectory", path))
          .when(F.col("readable") == F.lit(False), lenient_error("permissionDenied", path)))
     if p.max_file_bytes is not None:
-        e = e.when(F.col("length") > F.lit(p.max_file_bytes),
-                   lenient_error("fileTooLarge", path, size=F.col("length")))
+        e = e.when(F.col(size) > F.lit(p.max_file_bytes), lenient_error("fileTooLarge", path, size=F.col(size)))
     return e.otherwise(null_error())
 
 

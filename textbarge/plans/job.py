@@ -54,11 +54,13 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
               .select("run_id", "ord", "path", F.lit("inline").alias("route"), F.lit("utf-8").alias("encoding"),
                       F.col("inline_text").alias("text"), F.lit(None).cast(_ERR).alias("error"),
                       F.lit(None).cast("bigint").alias("_len")))
+    has_entry = "entry_length" in inp.inventory.columns
     inv = inp.inventory.select(F.col("path").alias("lookup_path"), "exists", "is_dir", "link_target_exists",
-                               "readable", "length")
+                               "readable", "length",
+                               (F.col("entry_length") if has_entry else F.col("length")).alias("_entry_len"))
     e = (m.where(~F.col("is_inline")).join(inv, "lookup_path", "left")
          .withColumn("route", route(F.col("path"), p, F.col("declared_type")))
-         .withColumn("verr", validation_error(p)))
+         .withColumn("verr", validation_error(p, size="_entry_len")))
     bad = e.where(F.col("verr").isNotNull()).select(
         "run_id", "ord", "path", "route", F.lit(None).cast("string").alias("encoding"),
         F.lit(None).cast("string").alias("text"), F.col("verr").alias("error"), F.col("length").alias("_len"))

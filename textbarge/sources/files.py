@@ -114,31 +114,41 @@ def _stat_one(p: str, cache: dict):
         fs, inner = _remote_fs(p, cache)
         info = fs.get_file_info(inner)
         if info.type == pafs.FileType.NotFound:
-            return (p, False, None, None, None, None)
+            return (p, False, None, None, None, None, None)
         is_dir = info.type == pafs.FileType.Directory
+        size = None if is_dir else int(info.size)
         # Object stores expose no per-file permission bits: access errors surface on read.
-        return (p, True, is_dir, True, True, None if is_dir else int(info.size))
+        return (p, True, is_dir, True, True, size, size)
     lp = p[5:] if p.startswith("file:") else p
     try:
         st = os.lstat(lp)
     except OSError:
-        return (p, False, None, None, None, None)
+        return (p, False, None, None, None, None, None)
     is_link = os.path.islink(lp)
     target_ok = os.path.exists(lp) if is_link else True
     full = os.stat(lp) if target_ok else st
-    return (p, True, os.path.isdir(lp), target_ok, os.access(lp, os.R_OK), int(full.st_size))
+    return (p, True, os.path.isdir(lp), target_ok, os.access(lp, os.R_OK), int(full.st_size), int(st.st_size))
+
+
+INVENTORY_PROBED = "path string, exists boolean, is_dir boolean, link_target_exists boolean, readable boolean, " \
+                   "length bigint, entry_length bigint"
 
 
 def _stat_batches(batches):
     cache: dict = {}
     for pdf in batches:
         rows = [_stat_one(p, cache) for p in pdf["path"]]
-        yield pd.DataFrame(rows, columns=["path", "exists", "is_dir", "link_target_exists", "readable", "length"])
+        yield pd.DataFrame(rows, columns=["path", "exists", "is_dir", "link_target_exists", "readable", "length",
+                                          "entry_length"])
 
 
 def probe_inventory(paths: DataFrame, path_col: str = "lookup_path") -> DataFrame:
     """Stat each distinct path (exists, directory, link target, readable, size).
 
+    ``length`` is the size of what the path leads to (a link's target);
+    ``entry_length`` the size of the directory entry itself (for a link, the
+    link), which is what the desktop library's size limit looks at.
+
     Local and shared-mount paths use ``os``; URIs (hdfs://, s3://, gs://, ...)
     use ``pyarrow.fs``. Distributed with ``mapInPandas``; only the path column
     travels, and ``distinct`` is a partial aggregate, so a path repeated in a
@@ -147,7 +157,7 @@ def probe_inventory(paths: DataFrame, path_col: str = "lookup_path") -> DataFram
     from ..session import ship_package
     ship_package(paths.sparkSession)
     p = paths.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).distinct()
-    return p.mapInPandas(_stat_batches, schemas.INVENTORY)
+    return p.mapInPandas(_stat_batches, INVENTORY_PROBED)
 
 
 def _writer(root: str):
