@@ -16,8 +16,9 @@ from ..profiles import Profile, get_profile
 
 def attach_inventory(manifest: DataFrame, inventory: DataFrame, path_col: str = "lookup_path") -> DataFrame:
     """LEFT JOIN the storage inventory on the (normalized) path."""
+    extra = ["entry_length"] if "entry_length" in inventory.columns else []
     inv = inventory.select(F.col("path").alias(path_col), "exists", "is_dir",
-                           "link_target_exists", "readable", "length")
+                           "link_target_exists", "readable", "length", *extra)
     return manifest.join(inv, path_col, "left")
 
 
@@ -27,8 +28,7 @@ def missing_paths(manifest: DataFrame, inventory: DataFrame, path_col: str = "lo
     return manifest.join(inv, path_col, "left_anti")
 
 
-def validation_error(profile: Profile | str, path: str = "path", lookup: str = "lookup_path",
-                     size: str = "length") -> Column:
+def validation_error(profile: Profile | str, path: str = "path", size: str = "length") -> Column:
     """The first failing pre-read check, in the profile's order, or NULL.
 
     lenient: P1 notFileURL -> P2/P4 fileNotFound (missing or dangling link)
