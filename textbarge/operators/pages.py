@@ -9,7 +9,8 @@ concatenation.
 
 Inputs
   facts: ``path, open_error, locked, page_count`` (+ ``width_px, height_px`` for images)
-  pages: ``path, page_idx, embedded, lines, error, elapsed_ms, width_pt, height_pt``
+  pages: ``path, page_idx, embedded, lines, error, elapsed_ms, width_pt, height_pt``,
+         one row per page (like the inventory's one row per path)
 """
 
 from __future__ import annotations
@@ -89,8 +90,16 @@ def present_pages(rng: DataFrame, pages: DataFrame, cols: list[str]) -> DataFram
 
 
 def missing_pages(rng: DataFrame, present: DataFrame) -> DataFrame:
-    """Expected pages without a result, found on keys only (no text moves)."""
-    expected = rng.select("path", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("page_idx"))
+    """Expected pages without a result, found on keys only (no text moves).
+
+    Page results hold one row per page, so a document has a gap exactly when it
+    has fewer present pages than expected: only those documents are expanded
+    into expected keys and anti-joined, not every page of every document.
+    """
+    counts = present.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    gappy = (rng.join(counts, "path", "left")
+             .where(F.coalesce(F.col("_n"), F.lit(0)) < F.col("_m")).select("path", "_m"))
+    expected = gappy.select("path", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("page_idx"))
     return expected.join(present.select("path", "page_idx"), ["path", "page_idx"], "left_anti")
 
 
