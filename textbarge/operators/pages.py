@@ -190,14 +190,19 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
         concat_if = "coalesce(n_failed, 0) = 0"
     else:
         body = present.withColumn("piece", F.when(F.col("error").isNull(), F.col("embedded")))
-    # One text-less anchor row per document with a page range, so every such
-    # document has statistics even when none of its pages has a result.
-    anchors = rng.select("path", F.lit(-1).alias("page_idx"), F.lit(None).cast("string").alias("piece"))
-    body = body.select("path", "page_idx", "piece").unionByName(anchors)
     first_lead = F.min_by(_lead_nl(F.col("piece")), F.when(F.col("piece") != "", F.col("page_idx")))
     # Gate on the engine budget only: the output-size rule applies to the final text (payload stage).
-    st = ordered_concat(body, ["path"], "page_idx", "piece", "\n", p.assembly_budget_bytes, out="joined",
-                        concat_if=concat_if, group_info=group_info, stats={"first_lead": first_lead})
+    st = ordered_concat(body.select("path", "page_idx", "piece"), ["path"], "page_idx", "piece", "\n",
+                        p.assembly_budget_bytes, out="joined", concat_if=concat_if, group_info=group_info,
+                        stats={"first_lead": first_lead})
+    # Every document with a page range, also those without any page row: a LEFT
+    # JOIN of per-document tables, so the page rows keep their partitioning.
+    st = rng.select("path").join(st, "path", "left").withColumn("fits", F.coalesce(F.col("fits"), F.lit(True)))
+    if group_info is not None:
+        gi = group_info.select("path", F.col("n_failed").alias("_gn"), F.col("first_error").alias("_gfe"))
+        st = (st.join(gi, "path", "left")
+              .withColumn("n_failed", F.coalesce(F.col("n_failed"), F.col("_gn")))
+              .withColumn("first_error", F.coalesce(F.col("first_error"), F.col("_gfe"))))
     k = _lead_nl(F.col("joined")) - F.col("first_lead")
     text = (F.when(F.col("first_lead").isNull(), F.lit(""))
             .otherwise(F.substring(F.col("joined"), k + 1, 2147483647)))
