@@ -204,3 +204,30 @@ def test_output_limit_applies_to_final_text_not_estimate(spark):
                               "run_id string, ord int, path string, text string, "
                               "error struct<kind:string,path:string,message:string>")
     assert build_payload(d, prof, "single").first().payload == "abc"
+
+
+@pytest.mark.parametrize("which", ["embedded", "ocr"])
+@pytest.mark.parametrize("profile", [STRICT, LENIENT], ids=["strict", "lenient"])
+def test_page_text_shuffled_once(spark, monkeypatch, which, profile):
+    """With no broadcast anywhere (the large-scale path), page text crosses exactly one
+    exchange: the join of pages to their document's range; later joins and aggregates
+    reuse that partitioning."""
+    import re
+    import textbarge.operators.concat as C
+    monkeypatch.setattr(C, "MAX_BROADCAST_GROUPS", 0)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = _random_docs(5, 30)
+        facts, pages = _frames(spark, docs, "emb" if which == "embedded" else "ocr")
+        df = (assemble_embedded if which == "embedded" else assemble_ocr)(facts, pages, profile)
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    blocks = re.split(r"\n\(\d+\) ", plan)
+    text = [b for b in blocks if b.startswith("Exchange")
+            and re.search(r"Input \[\d+\]: \[[^\]]*\b(embedded|piece|lines|_t)#", b)]
+    assert len(text) == 1, [b.split("\n")[0] for b in text]
