@@ -26,3 +26,4 @@ def route_entries(df, profile, path="path", declared_type="declared_type"):
 
 assemble_pages = embedded_or_ocr
 stream_ingest = start_ingest
+route = route_entries
