@@ -231,3 +231,14 @@ def test_page_text_shuffled_once(spark, monkeypatch, which, profile):
     text = [b for b in blocks if b.startswith("Exchange")
             and re.search(r"Input \[\d+\]: \[[^\]]*\b(embedded|piece|lines|_t)#", b)]
     assert len(text) == 1, [b.split("\n")[0] for b in text]
+
+
+def test_embedded_or_ocr_without_ocr_table(spark):
+    """OCR available but no OCR results table: a blank PDF's pages are all missing."""
+    from textbarge.operators.pages import embedded_or_ocr
+    facts = spark.createDataFrame([("/b.pdf", None, False, 1), ("/t.pdf", None, False, 1)], FACTS_T)
+    emb = spark.createDataFrame([("/b.pdf", 0, " ", None, None, 1, 1.0, 1.0), ("/t.pdf", 0, "text", None, None, 1, 1.0, 1.0)],
+                                PAGES_T).select("path", "page_idx", "embedded", "error")
+    got = {r.path: r for r in embedded_or_ocr(facts, emb, None, STRICT, materialize=False).collect()}
+    assert got["/t.pdf"].text == "text"
+    assert got["/b.pdf"].error.message.endswith("Warning: Could not access page 1\nError: 1 of 1 pages had errors")

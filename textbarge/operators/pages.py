@@ -403,6 +403,10 @@ def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: Data
         return emb.select("path", F.when(~F.col("blank"), F.col("text")).alias("text"), e.alias("error"),
                           F.when(~F.col("blank") & F.col("error").isNull(), F.lit("embedded")).alias("source"))
     blank = emb.where(F.col("blank")).select("path")
+    if ocr_pages is None:
+        # A recognizer without results: every page of a blank document is missing.
+        from .. import schemas
+        ocr_pages = emb.sparkSession.createDataFrame([], schemas.PAGE_RESULTS)
     o = assemble_ocr(facts.join(blank, "path", "left_semi"), ocr_pages.join(blank, "path", "left_semi"), p)
     if p.name == "strict":
         # The tool re-checks the helper's text: blank -> error (unreachable when the helper succeeded).
