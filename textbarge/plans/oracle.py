@@ -1,4 +1,12 @@
-"""DuckDB SQL stating each query's expected result on the same parquet tables."""
+"""DuckDB SQL stating each query's expected result on the same parquet tables.
+
+Each statement is written from the rule, not from the Spark code: it shares no
+functions with the engine, states page accumulators with plain window
+functions (the engine uses none), spells decoding out on code points (the
+engine works on bytes), and rebuilds every message from its fixed text. The
+driver runs both sides on the same tables and compares rows, columns and an
+order-insensitive hash of the values.
+"""
 
 ORACLE = {}
 
