@@ -217,3 +217,14 @@ def test_lenient_size_gate_reads_the_link_itself(spark, tmpdir_fresh):
     prof = LENIENT.with_(max_file_bytes=1000)
     got = {r.ord: r.e for r in x.select("ord", validation_error(prof, size="entry_length").alias("e")).collect()}
     assert got[0].kind == "fileTooLarge" and got[1] is None
+
+
+def test_materialize_and_read_bytes(spark, tmpdir_fresh):
+    from textbarge.sources.files import materialize_files, read_bytes
+    df = spark.createDataFrame([("x/a.txt", bytearray(b"alpha")), ("y/z/b.txt", bytearray(b"")),
+                                ("c.txt", bytearray(b"\x00\x01"))], "relpath string, content binary")
+    assert materialize_files(df, tmpdir_fresh) == 3
+    paths = spark.createDataFrame([(os.path.join(tmpdir_fresh, "x/a.txt"),), (os.path.join(tmpdir_fresh, "y/z/b.txt"),),
+                                   (os.path.join(tmpdir_fresh, "nope.txt"),)], "path string")
+    got = {os.path.basename(r.path): r.content for r in read_bytes(paths).collect()}
+    assert bytes(got["a.txt"]) == b"alpha" and bytes(got["b.txt"]) == b"" and got["nope.txt"] is None
