@@ -53,32 +53,49 @@ def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_
     return st.withColumn("_build", build)
 
 
-# Statistics rows are small and of bounded width (keys, counts, one short error
-# struct), so a bound on their number is a bound on the broadcast size.
+# What gets broadcast is the group keys (plus a few integers); it is broadcast
+# only when both its row count and its key bytes, measured on the checkpoint,
+# are within these bounds.
 MAX_BROADCAST_GROUPS = 50_000
+MAX_BROADCAST_KEY_BYTES = 32 * 1024 * 1024
+
+
+def _size(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows, UTF-8 bytes of the key columns) in one aggregate."""
+    kb = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(kb), F.lit(0)).alias("b")).first()
+    return int(r["n"]), int(r["b"])
+
+
+def _fits_broadcast(n: int, key_bytes: int) -> bool:
+    return n <= MAX_BROADCAST_GROUPS and key_bytes <= MAX_BROADCAST_KEY_BYTES
 
 
 class CheckedStats:
     """Per-group statistics, checkpointed once under ``spark.checkpoint.dir``
-    (cutting the plan and surviving executor loss) and counted once.
+    (cutting the plan and surviving executor loss) and measured once (rows and
+    key bytes).
 
     ``attach`` joins them to the rows of the groups selected by ``where``,
     dropping the other groups' rows before anything is shuffled whenever a
-    proven-small side allows it:
+    side of proven size allows it:
 
-    * at most ``MAX_BROADCAST_GROUPS`` groups: the statistics are broadcast;
-    * otherwise, when at most that many groups are excluded: their keys are
-      broadcast and removed with an anti join on the map side, then a shuffle
-      join with the statistics of the kept groups;
+    * few groups (count and key bytes within the bounds): the kept keys are
+      broadcast;
+    * otherwise, when the excluded groups are few: their keys are broadcast and
+      removed with an anti join on the map side, then a shuffle join with the
+      statistics of the kept groups;
     * otherwise a plain shuffle join (AQE splits a hot key's partition).
+    Only keys and the requested small columns are ever broadcast.
     """
 
-    def __init__(self, stats: DataFrame):
+    def __init__(self, stats: DataFrame, keys: Sequence[str]):
         from ..session import shared_dir
         shared_dir(stats.sparkSession)
+        self.keys = list(keys)
         self.df = stats.checkpoint(eager=True)
-        self.n_groups = self.df.count()
-        self.small = self.n_groups <= MAX_BROADCAST_GROUPS
+        self.n_groups, self.key_bytes = _size(self.df, self.keys)
+        self.small = _fits_broadcast(self.n_groups, self.key_bytes)
 
     def attach(self, rows: DataFrame, keys: Sequence[str], where: Column | None = None,
                cols: Sequence[str] | None = None) -> DataFrame:
@@ -91,7 +108,7 @@ class CheckedStats:
             return rows.join(F.broadcast(st), keys, "inner")
         if keep is not None:
             dropped = self.df.where(~keep).select(*keys)
-            if dropped.count() <= MAX_BROADCAST_GROUPS:
+            if _fits_broadcast(*_size(dropped, keys)):
                 rows = rows.join(F.broadcast(dropped), keys, "left_anti")
         return rows.join(st, keys, "inner")
 
@@ -99,7 +116,7 @@ class CheckedStats:
 def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join per-group statistics (one row per group) to the rows of each group
     through a ``CheckedStats`` (checkpointed, counted, broadcast only when small)."""
-    return CheckedStats(stats).attach(rows, keys)
+    return CheckedStats(stats, keys).attach(rows, keys)
 
 
 def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str, sep: str,
@@ -120,7 +137,7 @@ def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str,
     known from elsewhere): groups failing it are not built.
     """
     keys = list(keys)
-    checked = CheckedStats(group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if, group_info))
+    checked = CheckedStats(group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if, group_info), keys)
     # Only rows of the groups that will be built take part in the concatenation.
     body = df.withColumn("_t", F.when(F.expr(where) if where else F.lit(True), F.col(text)))
     body = checked.attach(body.select(*keys, *[c for c in body.columns if c not in keys and c != text]),

@@ -298,7 +298,7 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     docs = docs.withColumn("build_core", build)
     piece_arr = F.concat(F.when(F.col("page_idx") > F.col("f"), _sep_lines(p, F.col("page_idx")))
                          .otherwise(F.array().cast("array<string>")), lines)
-    checked = CheckedStats(docs)
+    checked = CheckedStats(docs, ["path"])
     if p.page_cap is not None:
         # With a page cap the failure list is bounded (at most cap numbers): no gate needed.
         fl = fails.groupBy("path").agg(
