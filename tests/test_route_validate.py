@@ -158,3 +158,18 @@ def test_extension_matches_model(spark):
     got = {r.i: r.e for r in df.select("i", extension("p").alias("e")).collect()}
     for i, p in enumerate(paths):
         assert got[i] == _model_extension(p), (p, got[i])
+
+
+def test_unicode_trim_matches_white_space_set(spark):
+    """Exactly the Unicode White_Space set is trimmed; look-alikes stay."""
+    import random
+    from textbarge.profiles import WHITESPACE_CHARS
+    rnd = random.Random(4)
+    lookalikes = "\x1c\x1d\x1e\x1f᠎​﻿"
+    alphabet = list(WHITESPACE_CHARS) + list(lookalikes) + ["a", "é", "中"]
+    rows = [(i, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 8)))) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, s string")
+    got = {r.i: (r.t, r.b) for r in df.select("i", utrim("s").alias("t"), is_blank("s").alias("b")).collect()}
+    for i, s in rows:
+        want = s.strip(WHITESPACE_CHARS)
+        assert got[i] == (want, want == ""), (repr(s), got[i])
