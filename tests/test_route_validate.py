@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textbarge.functions.errors import lenient_error, strict_error
-from textbarge.functions.route import extension, is_local, route
+from textbarge.functions.route import extension, is_local, route, scheme
 from textbarge.functions.text import basename, is_blank, last_line_message, notification, utrim
 from textbarge.operators.validate import validation_error
 
@@ -173,3 +173,26 @@ def test_unicode_trim_matches_white_space_set(spark):
     for i, s in rows:
         want = s.strip(WHITESPACE_CHARS)
         assert got[i] == (want, want == ""), (repr(s), got[i])
+
+
+def _model_local(p: str):
+    import re
+    m = re.match(r"^([A-Za-z][A-Za-z0-9+.\-]*):", p)
+    sch = m.group(1).lower() if m else ""
+    local = sch in ("", "file")
+    lp = re.sub(r"^[Ff][Ii][Ll][Ee]:(//[^/]*)?", "", p) if local else None
+    return sch, local, lp
+
+
+def test_local_path_rules_match_model(spark):
+    import random
+    from textbarge.functions.route import to_local_path
+    rnd = random.Random(21)
+    parts = ["file:", "FILE:", "http:", "s3:", "//", "/", "host", "localhost", "a b", "x.txt", "C:", "1a:", "?q", "#f"]
+    paths = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) for _ in range(400)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string")
+    got = {r.i: (r.s, r.l, r.lp) for r in df.select(
+        "i", scheme("p").alias("s"), is_local("p").alias("l"),
+        F.when(is_local("p"), to_local_path("p")).alias("lp")).collect()}
+    for i, p in enumerate(paths):
+        assert got[i] == _model_local(p), (p, got[i])
