@@ -65,7 +65,7 @@ def _vote(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def fingerprint_udf(shingle: int):
     def run(text: pa.Array) -> pa.Array:
         items, out = texts(text), []
-        for a, b in bounded(items):
+        for a, b in bounded(items, 2 << 20):
             hashes = [_shingle_hashes(t, shingle) for t in items[a:b]]
             starts = starts_of([len(h) for h in hashes])
             out.append(_vote(np.fromiter((x for h in hashes for x in h), np.uint64, int(starts[-1])), starts))
