@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from .decontam import OP1_SQL, op1_benchmark_decontamination
+from .packing import op2_packing
 from .quality import op4_quality_classifier
 from .simhash import op7_simhash_near_dedup
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_quality_classifier, op5_toxicity, op7_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_packing, op4_quality_classifier, op5_toxicity, op7_simhash_near_dedup)}
 ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
