@@ -6,7 +6,8 @@ from .decontam import OP1_SQL, op1_benchmark_decontamination
 from .packing import op2_packing
 from .quality import op4_quality_classifier
 from .simhash import op7_simhash_near_dedup
+from .topk import OP10_SQL, op10_exact_top_k
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_packing, op4_quality_classifier, op5_toxicity, op7_simhash_near_dedup)}
-ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_packing, op4_quality_classifier, op5_toxicity, op7_simhash_near_dedup, op10_exact_top_k)}
+ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op10_exact_top_k": OP10_SQL}
