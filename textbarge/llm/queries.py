@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP3_SQL, op3_chat_formatting
 from .decontam import OP1_SQL, op1_benchmark_decontamination
 from .htmltext import op9_html_extraction
+from .lm import op6_lm_scoring
 from .packing import op2_packing
 from .quality import op4_quality_classifier
 from .simhash import op7_simhash_near_dedup
@@ -13,6 +14,6 @@ from .toxicity import op5_toxicity
 
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_packing, op3_chat_formatting, op4_quality_classifier, op5_toxicity,
-    op7_simhash_near_dedup, op9_html_extraction, op10_exact_top_k,
+    op6_lm_scoring, op7_simhash_near_dedup, op9_html_extraction, op10_exact_top_k,
 )}
 ORACLE: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op10_exact_top_k": OP10_SQL}
