@@ -33,7 +33,7 @@ LEAST_Z, FEATURES = 4.5, 4096
 SMOOTHING = 1.0
 L2 = 1.0
 #: Bytes of text whose n-grams are worked on at a time.
-STEP = 2 << 20
+STEP = 256 << 10
 
 
 def _ngrams(items: list[bytes]):
