@@ -208,13 +208,11 @@ def test_output_limit_applies_to_final_text_not_estimate(spark):
 
 @pytest.mark.parametrize("which", ["embedded", "ocr"])
 @pytest.mark.parametrize("profile", [STRICT, LENIENT], ids=["strict", "lenient"])
-def test_page_text_shuffled_once(spark, monkeypatch, which, profile):
+def test_page_text_shuffled_once(spark, which, profile):
     """With no broadcast anywhere (the large-scale path), page text crosses exactly one
     exchange: the join of pages to their document's range; later joins and aggregates
     reuse that partitioning."""
     import re
-    import textbarge.operators.concat as C
-    monkeypatch.setattr(C, "MAX_BROADCAST_GROUPS", 0)
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     old = {k: spark.conf.get(k) for k in conf}
     try:
@@ -239,6 +237,37 @@ def test_embedded_or_ocr_without_ocr_table(spark):
     facts = spark.createDataFrame([("/b.pdf", None, False, 1), ("/t.pdf", None, False, 1)], FACTS_T)
     emb = spark.createDataFrame([("/b.pdf", 0, " ", None, None, 1, 1.0, 1.0), ("/t.pdf", 0, "text", None, None, 1, 1.0, 1.0)],
                                 PAGES_T).select("path", "page_idx", "embedded", "error")
-    got = {r.path: r for r in embedded_or_ocr(facts, emb, None, STRICT, materialize=False).collect()}
+    got = {r.path: r for r in embedded_or_ocr(facts, emb, None, STRICT).collect()}
     assert got["/t.pdf"].text == "text"
     assert got["/b.pdf"].error.message.endswith("Warning: Could not access page 1\nError: 1 of 1 pages had errors")
+
+
+@pytest.mark.parametrize("profile", [STRICT, LENIENT], ids=["strict", "lenient"])
+def test_a_repeated_page_hides_no_gap(spark, profile):
+    """Pages 0, 0 and 2 of 3: page 1 is missing, and strict fails on it."""
+    from textbarge.operators.pages import blank_documents
+    facts = spark.createDataFrame([("/d.pdf", None, False, 3)], FACTS_T)
+    pages = spark.createDataFrame([("/d.pdf", i, t, [t], None, 1, 1.0, 1.0) for i, t in ((0, "x"), (0, "x"), (2, "z"))], PAGES_T)
+    emb = assemble_embedded(facts, pages, profile).first()
+    ocr = assemble_ocr(facts, pages, profile).first()
+    if profile is STRICT:
+        assert emb.error.message.endswith("Failed to extract page 2: page missing")
+        assert ocr.error.message.endswith("Warning: Could not access page 2\nError: 1 of 3 pages had errors")
+    else:
+        assert emb.text == "x\nx\nz" and ocr.failed_list == "2"
+    assert blank_documents(facts, pages, profile).count() == 0
+
+
+def test_blank_documents_agree_with_the_assembled_text(spark):
+    from textbarge.operators.pages import blank_documents
+    facts, pages = _frames(spark, _random_docs(8, 60), "emb")
+    for profile in (STRICT, LENIENT):
+        want = {r.path for r in assemble_embedded(facts, pages, profile).where("blank").collect()}
+        assert {r.path for r in blank_documents(facts, pages, profile).collect()} == want
+
+
+def test_images_that_cannot_be_converted(spark):
+    facts = spark.createDataFrame([("/a.png", None, "no bitmap", 1, 1)], "path string, open_error string, convert_error string, width_px int, height_px int")
+    pages = spark.createDataFrame([("/a.png", 0, "", ["x"], None, 1, 1.0, 1.0)], PAGES_T)
+    assert assemble_image(facts, pages, STRICT).first().error.message.endswith("OCR failed: Error: Could not convert image to CGImage")
+    assert assemble_image(facts, pages, LENIENT).first().error.message == "Could not convert image"

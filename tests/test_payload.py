@@ -1,8 +1,8 @@
-"""Payload policies (A1-A5, P9, P12, F7) and the size-gated concatenation."""
+"""Payload policies (A1-A5, P9, P12, F7) and payloads as segments."""
 
 from pyspark.sql import functions as F
 
-from textbarge.operators.concat import ordered_concat
+from textbarge.operators.concat import ordered_segments
 from textbarge.operators.payload import build_payload
 from textbarge.profiles import LENIENT, STRICT
 
@@ -62,41 +62,64 @@ def test_output_limit_measured_before_concat(spark):
     assert got["small"].payload == "ok"
 
 
-def test_ordered_concat_budget(spark):
-    rows = [("k", i, str(i)) for i in range(10)] + [("j", 0, "a"), ("j", 1, None), ("j", 2, "")]
+def test_segments_join_to_the_whole(spark):
+    """Groups of any size against the segment size; empty and repeated entries, one longer than a segment."""
+    rows = [("hot", i, f"text {i} " * (i % 4)) for i in range(3000)] + [("hot", 5, "again"), ("hot", 7000, "long " * 400)]
+    rows += [("j", 0, "a"), ("j", 1, None), ("j", 2, ""), ("e", 0, ""), ("n", 0, None)] + [(f"g{i % 50}", i, f"t{i}") for i in range(400)]
     df = spark.createDataFrame(rows, "k string, o int, t string")
-    got = {r.k: r for r in ordered_concat(df, ["k"], "o", "t", ",", 15).collect()}
-    assert got["k"].text is None and got["k"].fits is False and got["k"].n_bytes == 19
-    assert got["j"].text == "a," and got["j"].n_parts == 2
-
-
-def test_hot_key_is_split_not_gathered(spark, monkeypatch):
-    """A key with 60% of the rows, shuffle-join branch forced: AQE splits its partition,
-    the group is measured, found over budget and never concatenated."""
-    import textbarge.operators.concat as C
-    monkeypatch.setattr(C, "MAX_BROADCAST_GROUPS", 0)
-    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-            "spark.sql.autoBroadcastJoinThreshold": "-1"}
-    old = {k: spark.conf.get(k, None) for k in conf}
+    light = df.where("t is not null").select("k", "o", F.octet_length("t").cast("bigint").alias("n_bytes"))
+    out = ordered_segments(df, light, ["k"], "o", "t", ",", 1000).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.k, r.seg)):
+        got.setdefault(r.k, []).append(r.text)
+    want = {}
+    for k, o, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[0], r[1])):
+        want.setdefault(k, []).append((o, t))
+    assert set(got) == set(want)
+    for k, parts in got.items():
+        if k == "hot":
+            assert len(parts) > 50 and max(map(len, parts)) < 5000
+            alike = [t for _, t in want[k]]
+            assert sorted("".join(parts).split(",")) == sorted(alike)     # the two entries of one order value in either order
+        else:
+            assert "".join(parts) == ",".join(t for _, t in want[k])
+
+
+def test_large_run_in_segments(spark):
+    """A run far beyond the segment size is published whole; only a profile's own limit refuses one."""
+    rows = [("big", i, f"/{i}", "x" * 100, None) for i in range(500)] + [("small", 0, "/s", "ok", None)]
+    out = build_payload(_df(spark, rows), STRICT.with_(segment_bytes=2000), "fail_fast")
+    parts = sorted((r for r in out.collect() if r.run_id == "big"), key=lambda r: r.seg)
+    assert len(parts) > 20 and all(r.error is None and r.n_bytes == 500 * 101 - 1 and r.n_files == 500 for r in parts)
+    assert "".join(r.payload for r in parts) == "\n".join(["x" * 100] * 500)
+    assert [r.seg for r in parts] == sorted({r.seg for r in parts})
+
+
+def test_many_empty_entries(spark):
+    rows = [("many", i, f"/{i}", "", None) for i in range(2000)]
+    out = build_payload(_df(spark, rows), LENIENT.with_(segment_bytes=1000), "fail_fast").collect()
+    assert len(out) > 50 and sum(len(r.payload) for r in out) == 1999
+
+
+def test_hot_run_is_spread_over_tasks(spark):
+    """The segments of one run with most of the rows come from many tasks: no exchange is by run alone
+    where texts are (they move by run and order, then by run and segment)."""
+    df = spark.range(0, 20000).select(
+        F.when(F.col("id") % 10 < 6, F.lit("hot")).otherwise((F.col("id") % 500).cast("string")).alias("run_id"),
+        F.col("id").cast("int").alias("ord"), F.lit("/p").alias("path"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"),
+        F.lit(None).cast(ERR_T).alias("error"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        df = spark.range(0, 100000).select(
-            F.when(F.col("id") % 10 < 6, F.lit("hot")).otherwise((F.col("id") % 500).cast("string")).alias("k"),
-            F.col("id").alias("o"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
-        res = C.ordered_concat(df, ["k"], "o", "t", ",", 50_000)
-        rows = {r.k: r for r in res.collect()}
-        assert rows["hot"].fits is False and rows["hot"].text is None and rows["hot"].n_parts == 60000
-        assert rows["7"].text.startswith("t7,t507,t1007")
-        assert "skew=true" in res._jdf.queryExecution().executedPlan().toString()
+        out = build_payload(df, STRICT.with_(segment_bytes=20_000), "fail_fast")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = [r for r in out.collect() if r.run_id == "hot"]
     finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(rows) > 30
+    assert "".join(r.payload for r in sorted(rows, key=lambda r: r.seg)) == "\n".join(f"t{i}" for i in range(20000) if i % 10 < 6)
+    assert any("run_id" in x and "ord" in x for x in plan.splitlines() if "hashpartitioning" in x)
+    assert any("run_id" in x and "seg" in x for x in plan.splitlines() if "hashpartitioning" in x)
 
 
 def test_single_notices(spark):
@@ -109,29 +132,9 @@ def test_single_notices(spark):
     assert got["long"].summary == "x" * 97 + "..."
 
 
-def test_excluded_groups_dropped_before_shuffle(spark, monkeypatch):
-    """Many groups (over the broadcast bound) but few excluded: the excluded keys are
-    broadcast and their rows removed by a map-side anti join."""
-    import textbarge.operators.concat as C
-    monkeypatch.setattr(C, "MAX_BROADCAST_GROUPS", 3)
-    df = spark.range(0, 4000).select((F.col("id") % 10).cast("string").alias("k"), F.col("id").alias("o"),
-                                     F.when(F.col("id") % 10 == 0, F.lit("x" * 50)).otherwise(F.lit("y")).alias("t"))
-    res = C.ordered_concat(df, ["k"], "o", "t", "", 1000)
-    rows = {r.k: r for r in res.collect()}
-    assert rows["0"].fits is False and rows["0"].text is None
-    assert rows["1"].text == "y" * 400
-    plan = res._jdf.queryExecution().executedPlan().toString()
-    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan
-
-
-def test_parts_bound(spark, monkeypatch):
-    """A run with more entries than one task may gather is an engine-limit error, even when
-    its bytes are under the output limit."""
-    import textbarge.operators.concat as C
-    import textbarge.operators.payload as P
-    monkeypatch.setattr(C, "MAX_PARTS_PER_GROUP", 10)
-    monkeypatch.setattr(P, "MAX_PARTS_PER_GROUP", 10)
-    rows = [("many", i, f"/{i}", "", None) for i in range(20)] + [("few", 0, "/a", "x", None)]
-    got = {r.run_id: r for r in build_payload(_df(spark, rows), LENIENT, "fail_fast").collect()}
-    assert got["many"].payload is None and got["many"].error.kind == "EngineLimit"
-    assert got["few"].payload == "x"
+def test_selection_of_nothing(spark):
+    from textbarge.operators.validate import selection_status
+    items = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "s string, p string")
+    every = spark.createDataFrame([("a",), ("b",), ("c",)], "s string")
+    got = {r.s: (r.n_items, r.message) for r in selection_status(items, ["s"], every).collect()}
+    assert got == {"a": (2, "Please select only one file"), "b": (1, None), "c": (0, "No file selected")}

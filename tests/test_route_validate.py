@@ -180,6 +180,7 @@ def _model_local(p: str):
     m = re.match(r"^([A-Za-z][A-Za-z0-9+.\-]*):", p)
     sch = m.group(1).lower() if m else ""
     local = sch in ("", "file")
+    # The pieces that the test joins hold no escapes; an unescaped "%" does not occur.
     lp = re.sub(r"^[Ff][Ii][Ll][Ee]:(//[^/]*)?", "", p) if local else None
     return sch, local, lp
 

@@ -5,10 +5,9 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
-from textbarge.operators.decode import decode_text
 from textbarge.operators.validate import validation_error
 from textbarge.sources.extraction import lookup_extraction, run_extractor
-from textbarge.sources.files import attach_content, probe_inventory, scan_files
+from textbarge.sources.files import attach_decoded, probe_inventory, scan_files
 from textbarge.sources.manifest import manifest_from_paths, with_lookup_path
 from textbarge.sources.sinks import publish, read_payload
 
@@ -31,9 +30,8 @@ def test_scan_keeps_empty_and_underscore_files(spark, tmpdir_fresh):
     m = with_lookup_path(manifest_from_paths(spark, "r", [a, e, u, "/nonexistent/file.txt", d, a]))
     inv = probe_inventory(m)
     files = scan_files(spark, root)
-    x = attach_content(m.join(inv.withColumnRenamed("path", "lookup_path"), "lookup_path", "left"), files)
-    x = x.withColumn("verr", validation_error("lenient"))
-    got = decode_text(x, "lenient").orderBy("ord").collect()
+    x = m.join(inv.withColumnRenamed("path", "lookup_path"), "lookup_path", "left").withColumn("verr", validation_error("lenient"))
+    got = attach_decoded(x, files, "lenient").orderBy("ord").collect()
     assert got[0].text == "Hello" and got[5].text == "Hello"       # duplicates kept, order kept
     assert got[1].text == ""                                       # empty file survives (T1)
     assert got[2].text == "u"                                      # '_' name: read by the fallback (T3)
@@ -101,7 +99,7 @@ def test_run_job_lenient_routes(spark, tmpdir_fresh):
          ("c", 0, os.path.join(root, "nope.txt"), None, None), ("d", 0, "/docs/x.pdf", None, None),
          ("e", 0, "/img/y.png", None, None), ("f", 0, "file://" + t, None, "text/plain")],
         "run_id string, ord int, path string, inline_text string, declared_type string")
-    local = with_lookup_path(m).where(~F.col("path").isin("/docs/x.pdf", "/img/y.png"))
+    local = with_lookup_path(m, "lenient").where(~F.col("path").isin("/docs/x.pdf", "/img/y.png"))
     inv = probe_inventory(local).unionByName(spark.createDataFrame(
         [("/docs/x.pdf", True, False, True, True, 100), ("/img/y.png", True, False, True, True, 100)],
         "path string, exists boolean, is_dir boolean, link_target_exists boolean, readable boolean, length bigint"),
@@ -196,11 +194,11 @@ def test_probe_symlinks(spark, tmpdir_fresh):
     os.symlink(os.path.join(root, "gone.txt"), bad)
     m = with_lookup_path(manifest_from_paths(spark, "r", [good, bad]))
     inv = probe_inventory(m)
-    x = attach_content(m.join(inv.withColumnRenamed("path", "lookup_path"), "lookup_path", "left"),
-                       scan_files(spark, root))
-    got = {r.ord: r for r in x.select("ord", "content", validation_error("strict").alias("s"),
+    x = attach_decoded(m.join(inv.withColumnRenamed("path", "lookup_path"), "lookup_path", "left"),
+                       scan_files(spark, root), "strict")
+    got = {r.ord: r for r in x.select("ord", "text", validation_error("strict").alias("s"),
                                       validation_error("lenient").alias("l")).collect()}
-    assert bytes(got[0].content) == b"linked" and got[0].s is None and got[0].l is None
+    assert got[0].text == "linked" and got[0].s is None and got[0].l is None
     assert got[1].s.kind == "FileNotFound" and got[1].l.kind == "fileNotFound"
 
 
@@ -228,3 +226,132 @@ def test_materialize_and_read_bytes(spark, tmpdir_fresh):
                                    (os.path.join(tmpdir_fresh, "nope.txt"),)], "path string")
     got = {os.path.basename(r.path): r.content for r in read_bytes(paths).collect()}
     assert bytes(got["a.txt"]) == b"alpha" and bytes(got["b.txt"]) == b"" and got["nope.txt"] is None
+
+
+def test_no_exchange_carries_bytes(spark, tmpdir_fresh):
+    """The text route decodes where it reads: bytes cross no exchange, with or without broadcasts, and are scanned once."""
+    a = _write(tmpdir_fresh, "a.txt", b"Hello")
+    m = with_lookup_path(manifest_from_paths(spark, "r", [a, a]))
+    inv = probe_inventory(m).withColumnRenamed("path", "lookup_path")
+    for threshold in ("-1", "10485760"):
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            x = attach_decoded(m.join(inv, "lookup_path", "left"), scan_files(spark, tmpdir_fresh, max_bytes=1 << 30), "strict")
+            plan = x._jdf.queryExecution().sparkPlan().toString()
+            assert [r.text for r in x.collect()] == ["Hello", "Hello"]
+            executed = x._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        assert sum("binaryFile" in line and "content" in line for line in plan.splitlines()) == 1
+        # Below every exchange the bytes are gone: only a projection to text stands over the scan.
+        assert not any("Exchange" in line and "content" in line for line in executed.splitlines())
+
+
+def test_python_readers_hand_on_bounded_frames(spark, tmpdir_fresh, monkeypatch):
+    from textbarge.sources import extraction, files
+    paths = [_write(tmpdir_fresh, f"{i}.bin", bytes([i]) * 400) for i in range(10)]
+    monkeypatch.setattr(files, "FRAME_BYTES", 1000)
+    frames = list(files._read_batches([pd.DataFrame({"path": paths})]))
+    assert sum(map(len, frames)) == 10 and len(frames) > 3 and all(len(f) <= 3 for f in frames)
+    b = pd.DataFrame({"path": paths, "content": [b"x" * 400] * 9 + [b"y" * 5000]})
+    frames = list(extraction._frames([b], 1000))
+    assert [len(f) for f in frames] == [2, 2, 2, 2, 1, 1] and sum(map(len, frames)) == 10
+
+
+def test_extractor_may_give_an_iterator(spark):
+    def ex(b):
+        for p, c in zip(b["path"], b["content"]):
+            yield pd.DataFrame({"path": [p], "page_idx": [0], "embedded": [bytes(c).decode()]})
+    f = spark.createDataFrame([("/a", bytearray(b"hi")), ("/b", bytearray(b"ho"))], "path string, content binary")
+    assert sorted(r.embedded for r in run_extractor(f, ex, max_bytes=1).collect()) == ["hi", "ho"]
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+    from textbarge.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_strict_paths_are_plain_and_lenient_ones_urls(spark, tmpdir_fresh):
+    a = _write(tmpdir_fresh, "My Doc+1.txt", b"x")
+    url = "file://" + a.replace(" ", "%20")
+    rows = [("r", i, p, None, None) for i, p in enumerate(["notes:2024.txt", url, a, "hdfs://nn/data/x.txt", "file:///a%zz"])]
+    m = spark.createDataFrame(rows, "run_id string, ord int, path string, inline_text string, declared_type string")
+    from textbarge.profiles import LENIENT
+    look = lambda p: [r.lookup_path for r in with_lookup_path(m, p).orderBy("ord").collect()]
+    assert look("strict") == ["notes:2024.txt", url, a, "hdfs://nn/data/x.txt", "file:///a%zz"]
+    assert look("lenient") == [None, a, a, None, "/a%zz"]
+    assert look(LENIENT.with_(accepted_schemes=("hdfs",)))[3] == "hdfs://nn/data/x.txt"
+
+
+def test_latest_survives_compaction(spark, tmpdir_fresh):
+    from textbarge.streaming.ingest import compact_latest, read_latest, start_latest
+    schema = "run_id string, ord long, text string, error struct<kind:string,path:string,message:string>"
+    src, out, ck = (os.path.join(tmpdir_fresh, x) for x in ("src", "out", "ck"))
+    for n, rows in enumerate([[("a", 2, "a2", None), ("b", 1, "b1", None)], [("a", 1, "a1", None)], [("a", 3, "a3", None), ("c", 1, "c1", None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(src, f"p{n}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        start_latest(stream, "run_id", "ord", out, ck).awaitTermination()
+        compact_latest(spark, out, "run_id")
+        assert not [f for f in os.listdir(out) if f.startswith("batch=")]
+        got = {r.run_id: (r.payload, r.ord, r.n_ok) for r in read_latest(spark, out, "run_id").collect()}
+    assert got == {"a": ("a3", 3, 3), "b": ("b1", 1, 1), "c": ("c1", 1, 1)}
+
+
+def test_drop_folder_reports_empty_files_once(spark, tmpdir_fresh):
+    from textbarge.streaming.ingest import start_drop_folder
+    root, out, bad, ck = (os.path.join(tmpdir_fresh, x) for x in ("drop", "out", "bad", "ck"))
+    _write(root, "empty.txt", b"")
+    for n in range(2):
+        _write(root, f"t{n}.txt", b"text %d" % n)
+        start_drop_folder(spark, root, "lenient", out, bad, ck).awaitTermination()
+    assert sorted(r.payload for r in spark.read.parquet(out).collect()) == ["text 0", "text 1"]
+    assert [r.error.message for r in spark.read.parquet(bad).collect()] == ["File is empty"]
+
+
+def test_old_versions_are_removed(spark, tmpdir_fresh):
+    t = os.path.join(tmpdir_fresh, "payload")
+    a = spark.createDataFrame([("r", 0, "v", 1, 1, "s", None)], "run_id string, seg bigint, payload string, n_bytes bigint, n_files bigint, "
+                              "summary string, error struct<kind:string,path:string,message:string>")
+    for i in range(4):
+        publish(a.withColumn("payload", F.lit(f"v{i}")), t)
+    assert sum(f.startswith("version=") for f in os.listdir(t)) == 2
+    assert [r.payload for r in read_payload(spark, t).collect()] == ["v3"]
+
+
+def test_recognizer_goes_by_the_name(spark):
+    """Declared image/* named .pdf is recognized as PDF pages; a declared PDF named .png as an image."""
+    from textbarge.plans.job import JobInputs, run_job
+    paths = ["/d/x.pdf", "/d/y.png"]
+    m = spark.createDataFrame([(p, 0, p, None, t) for p, t in zip(paths, ["image/png", "application/pdf"])],
+                              "run_id string, ord int, path string, inline_text string, declared_type string")
+    inv = spark.createDataFrame([(p, True, False, True, True, 10) for p in paths],
+                                "path string, exists boolean, is_dir boolean, link_target_exists boolean, readable boolean, length bigint")
+    pages = [(p, i, [f"{p} {i}"], None, 5, None, None) for p in paths for i in range(2)]
+    inp = JobInputs(
+        manifest=m, inventory=inv,
+        pdf_facts=spark.createDataFrame([(p, None, False, 2) for p in paths], "path string, open_error string, locked boolean, page_count int"),
+        pdf_pages=spark.createDataFrame([(p, i, "", None) for p in paths for i in range(2)], "path string, page_idx int, embedded string, error string"),
+        ocr_pages=spark.createDataFrame(pages, "path string, page_idx int, lines array<string>, error string, elapsed_ms bigint, width_pt double, height_pt double"),
+        image_facts=spark.createDataFrame([(p, None, 10, 10) for p in paths], "path string, open_error string, width_px int, height_px int"),
+        runs=spark.createDataFrame([("none",)], "run_id string"))
+    got = {r.run_id: (r.payload, r.error and r.error.message) for r in run_job(inp, "lenient", "single")[1].collect()}
+    assert got["/d/x.pdf"][0] == "/d/x.pdf 0\n\n══════════ Page 2 ══════════\n\n/d/x.pdf 1"
+    assert got["/d/y.png"] == ("/d/y.png 0", None)
+    assert got["none"][1] == "No file selected"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import basename, col, fmt, megabytes, megapixels
+from .text import col, fmt, megabytes, megapixels, url_name
 
 # ---------------------------------------------------------------------------
 # Error kinds and their display texts.
@@ -75,7 +75,7 @@ def strict_error(kind: str, path, detail=None) -> Column:
 
 def lenient_error(kind: str, path, detail=None, size=None, width=None, height=None) -> Column:
     p = col(path)
-    parts = {"path": p, "name": basename(p)}
+    parts = {"path": p, "name": url_name(p)}
     if detail is not None:
         parts["detail"] = col(detail)
     if size is not None:

@@ -21,14 +21,30 @@ def scheme(path) -> Column:
     return F.lower(F.regexp_extract(col(path), _SCHEME, 1))
 
 
-def is_local(path) -> Column:
-    """A plain path or a file: URL."""
-    return scheme(path).isin("", "file")
+def is_local(path, accepted: tuple[str, ...] = ()) -> Column:
+    """A plain path or a file: URL (or one of an accepted scheme)."""
+    return scheme(path).isin("", "file", *accepted)
+
+
+def unescaped(c: Column) -> Column:
+    """%-escapes decoded (UTF-8); a '+' is a '+'; a text with a malformed escape stays as it is."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
 def to_local_path(path) -> Column:
-    """'file:///a/b', 'file://localhost/a/b', 'file:/a/b' -> '/a/b'; other paths unchanged."""
-    return F.regexp_replace(col(path), r"^[Ff][Ii][Ll][Ee]:(//[^/]*)?", "")
+    """'file:///a/b', 'file://localhost/a/b', 'file:/a%20b' -> '/a/b', '/a/b', '/a b'; other paths unchanged."""
+    p = col(path)
+    return F.when(scheme(p) == "file", unescaped(F.regexp_replace(p, r"^[Ff][Ii][Ll][Ee]:(//[^/]*)?", ""))).otherwise(p)
+
+
+def lookup_path(path, profile: Profile | str) -> Column:
+    """Where an entry's file is looked up. The strict tool takes its arguments as plain paths,
+    whatever they look like; the lenient library takes URLs, and refuses (null) those that
+    are neither file: nor of an accepted scheme."""
+    p = get_profile(profile)
+    if not p.use_declared_type:
+        return col(path)
+    return F.when(is_local(path, p.accepted_schemes), to_local_path(path))
 
 
 def url_path(path) -> Column:
@@ -71,3 +87,10 @@ def route(path, profile: Profile | str, declared_type=None) -> Column:
     if p.use_declared_type and declared_type is not None:
         return F.coalesce(route_from_type(declared_type), by_ext)
     return by_ext
+
+
+def ocr_route(path, profile: Profile | str) -> Column:
+    """The recognizer takes a .pdf as PDF pages and anything else as one image."""
+    p = get_profile(profile)
+    ext = extension(url_path(path) if p.use_declared_type else col(path))
+    return F.when(ext == "pdf", F.lit("pdf")).otherwise(F.lit("image"))

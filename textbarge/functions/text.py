@@ -27,6 +27,13 @@ def basename(path) -> Column:
     return F.element_at(F.split(F.regexp_replace(col(path), "/+$", ""), "/"), -1)
 
 
+def url_name(path) -> Column:
+    """F2, F10 (lenient): the last component of a path; of a file: URL, with its %-escapes decoded."""
+    name = basename(path)
+    decoded = F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
+    return F.when(F.lower(F.substring(col(path), 1, 5)) == "file:", decoded).otherwise(name)
+
+
 def megabytes(n) -> Column:
     """F3 as written: ``size / 1024 / 1024`` on integers."""
     return F.floor(F.floor(col(n).cast("bigint") / 1024) / 1024).cast("bigint")

@@ -1,147 +1,72 @@
-"""Ordered, size-gated string concatenation per group.
-
-Concatenating a whole group puts that group in one task, so the result size
-is measured first with a partial (map-side combined) aggregate. The
-statistics are checkpointed and counted, and only rows of the groups whose
-result fits the byte budget go on to the concatenating aggregate; the others
-are dropped before any shuffle whenever a proven-small side allows it (see
-``CheckedStats``). A key holding a third of all rows is therefore never
-gathered in one task unless its text fits the budget; otherwise it is reported
-with ``fits = false`` and a null text, never truncated.
-
-The input is read twice (statistics, body); the statistics are read from
-their checkpoint, so a chain of these operators does not grow the plan.
+"""Ordered concatenation of a group's texts as segments.
+
+A group (a run) may hold any share of all rows, so its text is never gathered
+in one task: it becomes ordered segments of about ``segment_bytes``. Which
+segment an entry is in follows from its running offset in the group, computed
+on light rows (keys, order, bytes): they are dealt by ranges of (keys, order),
+summed inside each range, and the ranges before carry in. Only then are the
+texts joined to their segment numbers, on (keys, order), and put together.
+Joining the segments in order gives the whole, with nothing in between: the
+separator that opens a later segment is part of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import sql_str
+from ..session import spool
 
-
-# Engine bound on the number of values one task may gather for a group: each
-# buffered value costs tens of bytes beyond its text, so many empty texts could
-# otherwise pass the byte budget and still exhaust the task's memory.
-MAX_PARTS_PER_GROUP = 5_000_000
-
-
-def group_stats(df: DataFrame, keys: Sequence[str], text: str, sep: str, budget_bytes: int,
-                stats: dict[str, Column] | None = None, where: str | None = None,
-                concat_if: str | None = None, group_info: DataFrame | None = None) -> DataFrame:
-    """Pass 1: ``keys, n_parts, n_bytes, <stats>, <group_info columns>, fits, _build``
-    (partial aggregate; ``group_info`` is one row per group, LEFT JOINed)."""
-    t = F.col(text)
-    pick = F.expr(where) if where else F.lit(True)
-    sep_len = len(sep.encode("utf-8"))
-    n = F.count(F.when(pick, t))
-    aggs = [
-        n.alias("n_parts"),
-        (F.coalesce(F.sum(F.when(pick, F.octet_length(t))), F.lit(0)).cast("bigint")
-         + F.greatest(n - 1, F.lit(0)) * F.lit(sep_len)).alias("n_bytes"),
-    ]
-    aggs += [c.alias(k) for k, c in (stats or {}).items()]
-    st = df.groupBy(*keys).agg(*aggs).withColumn(
-        "fits", (F.col("n_bytes") <= F.lit(budget_bytes)) & (F.col("n_parts") <= F.lit(MAX_PARTS_PER_GROUP)))
-    if group_info is not None:
-        st = st.join(group_info, list(keys), "left")
-    build = F.col("fits") & (F.col("n_parts") > 0)
-    if concat_if:
-        build = build & F.coalesce(F.expr(concat_if), F.lit(False))
-    return st.withColumn("_build", build)
-
-
-# What gets broadcast is the group keys (plus a few integers); it is broadcast
-# only when both its row count and its key bytes, measured on the checkpoint,
-# are within these bounds.
-MAX_BROADCAST_GROUPS = 50_000
-MAX_BROADCAST_KEY_BYTES = 32 * 1024 * 1024
-
-
-def _size(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows, UTF-8 bytes of the key columns) in one aggregate."""
-    kb = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0))
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(kb), F.lit(0)).alias("b")).first()
-    return int(r["n"]), int(r["b"])
+# What an entry costs a segment beyond its text, so that very many empty texts
+# do not meet in one task either.
+ENTRY_COST = 64
 
 
-def _fits_broadcast(n: int, key_bytes: int) -> bool:
-    return n <= MAX_BROADCAST_GROUPS and key_bytes <= MAX_BROADCAST_KEY_BYTES
+def _offsets(light: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Adds ``before``: the weight of the group's earlier entries."""
+    dealt = spool(light.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id()), "offsets")
+    inside = Window.partitionBy("_part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part", *keys).agg(F.sum("weight").alias("_sum"))
+    carried = sums.select("_part", *keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    own = dealt.withColumn("_own", F.coalesce(F.sum("weight").over(inside), F.lit(0)))
+    return (own.join(carried, ["_part", *keys]).withColumn("before", F.col("_own") + F.col("_carried"))
+            .drop("_part", "_own", "_carried"))
 
 
-class CheckedStats:
-    """Per-group statistics, checkpointed once under ``spark.checkpoint.dir``
-    (cutting the plan and surviving executor loss) and measured once (rows and
-    key bytes).
+def segment_numbers(light: DataFrame, keys: Sequence[str], order: str, segment_bytes: int) -> DataFrame:
+    """``keys, order, seg`` of each entry of ``light(keys, order, n_bytes)``.
 
-    ``attach`` joins them to the rows of the groups selected by ``where``,
-    dropping the other groups' rows before anything is shuffled whenever a
-    side of proven size allows it:
-
-    * few groups (count and key bytes within the bounds): the kept keys are
-      broadcast;
-    * otherwise, when the excluded groups are few: their keys are broadcast and
-      removed with an anti join on the map side, then a shuffle join with the
-      statistics of the kept groups;
-    * otherwise a plain shuffle join (AQE splits a hot key's partition).
-    Only keys and the requested small columns are ever broadcast.
-    """
-
-    def __init__(self, stats: DataFrame, keys: Sequence[str]):
-        from ..session import shared_dir
-        shared_dir(stats.sparkSession)
-        self.keys = list(keys)
-        self.df = stats.checkpoint(eager=True)
-        self.n_groups, self.key_bytes = _size(self.df, self.keys)
-        self.small = _fits_broadcast(self.n_groups, self.key_bytes)
-
-    def attach(self, rows: DataFrame, keys: Sequence[str], where: Column | None = None,
-               cols: Sequence[str] | None = None) -> DataFrame:
-        keys = list(keys)
-        keep = F.coalesce(where, F.lit(False)) if where is not None else None
-        st = self.df if keep is None else self.df.where(keep)
-        if cols is not None:
-            st = st.select(*keys, *cols)
-        if self.small:
-            return rows.join(F.broadcast(st), keys, "inner")
-        if keep is not None:
-            dropped = self.df.where(~keep).select(*keys)
-            if _fits_broadcast(*_size(dropped, keys)):
-                rows = rows.join(F.broadcast(dropped), keys, "left_anti")
-        return rows.join(st, keys, "inner")
-
-
-def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-group statistics (one row per group) to the rows of each group
-    through a ``CheckedStats`` (checkpointed, counted, broadcast only when small)."""
-    return CheckedStats(stats, keys).attach(rows, keys)
-
-
-def ordered_concat(df: DataFrame, keys: Sequence[str], order_by: str, text: str, sep: str,
-                   budget_bytes: int, out: str = "text", stats: dict[str, Column] | None = None,
-                   where: str | None = None, concat_if: str | None = None,
-                   group_info: DataFrame | None = None) -> DataFrame:
-    """One row per group of ``keys`` with:
-
-    ``n_parts``  number of non-null texts,
-    ``n_bytes``  UTF-8 bytes of the joined text (separators included),
-    ``fits``     n_bytes <= budget_bytes and n_parts <= MAX_PARTS_PER_GROUP,
-    ``out``      the texts joined by ``sep`` in ``order_by`` order (null if not built
-                 or no parts); NULL texts are skipped, empty ones keep their separator,
-    plus any extra aggregate columns passed in ``stats``.
-    ``where`` restricts which rows are concatenated (a SQL predicate); the
-    statistics then describe the same restricted set. ``concat_if`` is an extra
-    SQL predicate over the statistics (and ``group_info``, one row per group
-    known from elsewhere): groups failing it are not built.
-    """
+    Entries of one group with the same order value share a segment. An entry longer
+    than a segment is whole in its own, so numbers ascend but may leave gaps."""
+    keys = list(keys)
+    entries = light.groupBy(*keys, order).agg(F.sum(F.col("n_bytes") + ENTRY_COST).alias("weight"))
+    large = spool(entries.groupBy(*keys).agg(F.sum("weight").alias("_w")).where(F.col("_w") > segment_bytes), "large_groups")
+    if large.isEmpty():
+        return entries.select(*keys, order, F.lit(0).cast("bigint").alias("seg"))
+    numbered = _offsets(entries.join(large.select(*keys), keys, "left_semi"), keys, order)
+    small = entries.join(large.select(*keys), keys, "left_anti")
+    return (numbered.select(*keys, order, F.floor(F.col("before") / segment_bytes).cast("bigint").alias("seg"))
+            .unionByName(small.select(*keys, order, F.lit(0).cast("bigint").alias("seg"))))
+
+
+def ordered_segments(rows: DataFrame, light: DataFrame, keys: Sequence[str], order: str, text: str, sep: str,
+                     segment_bytes: int, out: str = "text") -> DataFrame:
+    """``keys, seg, out``: the texts of ``rows(keys, order, text)`` joined by ``sep`` in order,
+    for the entries that ``light(keys, order, n_bytes)`` names; NULL texts are skipped,
+    empty ones keep their separator."""
     keys = list(keys)
-    checked = CheckedStats(group_stats(df, keys, text, sep, budget_bytes, stats, where, concat_if, group_info), keys)
-    # Only rows of the groups that will be built take part in the concatenation.
-    body = df.withColumn("_t", F.when(F.expr(where) if where else F.lit(True), F.col(text)))
-    body = checked.attach(body.select(*keys, *[c for c in body.columns if c not in keys and c != text]),
-                          keys, where=F.col("_build"), cols=[])
-    cat = body.groupBy(*keys).agg(
-        F.expr(f"listagg(_t, {sql_str(sep)}) WITHIN GROUP (ORDER BY {order_by})").alias(out))
-    return checked.df.join(cat, keys, "left").drop("_build")
+    # On (keys, order), so a large group spreads over all tasks of the join as well.
+    body = rows.select(*keys, order, F.col(text).alias("_t")).join(
+        segment_numbers(light, keys, order, segment_bytes), [*keys, order])
+    made = body.groupBy(*keys, "seg").agg(
+        F.expr(f"listagg(_t, {sql_str(sep)}) WITHIN GROUP (ORDER BY {order})").alias("_s"))
+    return made.where(F.col("_s").isNotNull()).select(
+        *keys, "seg", F.when(F.col("seg") > 0, F.concat(F.lit(sep), F.col("_s"))).otherwise(F.col("_s")).alias(out))
+
+
+def joined_bytes(n_parts: Column, n_bytes: Column, sep: str) -> Column:
+    """UTF-8 bytes of the parts joined by ``sep``."""
+    return (n_bytes + F.greatest(n_parts - 1, F.lit(0)) * F.lit(len(sep.encode("utf-8")))).cast("bigint")

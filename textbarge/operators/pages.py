@@ -2,15 +2,16 @@
 
 The source tools walk pages with an accumulator. Every accumulator test
 reduces to "is there an earlier page with text?", i.e. ``page_idx > f`` with
-``f`` the first such page, so it is computed as a per-document partial
-aggregate joined back, never a window: a document that holds a third of all
-pages is then split across tasks everywhere except in the final, size-gated
-concatenation.
+``f`` the first such page. One aggregate per document takes the statistics and
+the text together; pages expected but missing are found on keys. A document's
+text is one value, so its pages meet in one task by definition (Spark holds
+values up to 2 GiB); there is no smaller limit.
 
 Inputs
   facts: ``path, open_error, locked, page_count`` (+ ``width_px, height_px`` for images)
   pages: ``path, page_idx, embedded, lines, error, elapsed_ms, width_pt, height_pt``,
-         one row per page (like the inventory's one row per path)
+         one row per page; a repeated page row adds its text once more (rows of one
+         page are in the order of their text) and never hides a missing page
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import lenient_error, make_error, null_error, strict_error
 from ..functions.raster import raster_px, too_many_pixels
+from ..functions.route import ocr_route
 from ..functions.text import fmt, is_blank, page_no, utrim
 from ..profiles import Profile, get_profile
-from .concat import MAX_PARTS_PER_GROUP, CheckedStats, ordered_concat
 
 # Texts of the PDF / image extraction steps.
 STRICT_NO_EXTRACTABLE_TEXT = "PDF contains no extractable text"
 STRICT_OCR_UNAVAILABLE = "OCR is only supported on macOS"
+# The helper's and the tool's names are the caller's.
+STRICT_HELPER_MISSING = "OCR helper '{helper}' not found. Install it alongside {tool}."
 STRICT_IMAGE_BLANK = "Image contains no recognizable text"
 STRICT_PDF_BLANK = "Error: No text recognized in PDF (all pages were blank or unreadable)"
 STRICT_PAGES_HAD_ERRORS = "Error: {k} of {n} pages had errors"
@@ -36,10 +39,10 @@ STRICT_WARN_ACCESS = "Warning: Could not access page {n}"
 STRICT_WARN_RENDER = "Warning: Could not render page {n}"
 STRICT_WARN_OCR = "Warning: OCR failed on page {n}: {error}"
 STRICT_IMAGE_LOAD = "Error: Could not load image: {path}"
+STRICT_IMAGE_CONVERT = "Error: Could not convert image to CGImage"
 STRICT_IMAGE_OCR = "Error: OCR failed: {error}"
 STRICT_OCR_FAILED = "OCR failed: {stderr}"
 STRICT_OCR_EMPTY = "PDF contains no recognizable text (OCR found nothing)"
-ENGINE_LIMIT = "document text exceeds the engine limit"
 STRICT_PAGE_EXTRACT = "Failed to extract page {n}: {error}"
 LENIENT_OPEN_FAILED = "Could not open PDF"
 LENIENT_LOCKED = "PDF is password-protected"
@@ -47,6 +50,7 @@ LENIENT_NO_PAGES = "PDF has no pages"
 LENIENT_PDF_BLANK = "No text recognized in PDF"
 LENIENT_IMAGE_BLANK = "No text recognized in image"
 LENIENT_IMAGE_LOAD = "Could not load image"
+LENIENT_IMAGE_CONVERT = "Could not convert image"
 LENIENT_FAILED_PAGES = "\n\n[Warning: Failed to process pages: {pages}]"
 LENIENT_TRUNCATED = "\n\n[Warning: PDF truncated. Processed {cap} of {n} pages]"
 
@@ -59,8 +63,8 @@ def _s(c) -> Column:
 def expand_pages(facts: DataFrame, cap: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per expected page ``0 .. min(n, cap)-1``; nothing for n <= 0.
 
-    ``explode`` is a generator: rows stream out of the task, so a document with
-    many pages is not held in memory; the following join spreads them by page.
+    A document's page numbers are one array (4 bytes each) before ``explode``
+    streams them out; the following join spreads them by page.
     """
     n = F.col("page_count").cast("int")
     m = F.least(n, F.lit(cap)) if cap is not None else n
@@ -92,11 +96,11 @@ def present_pages(rng: DataFrame, pages: DataFrame, cols: list[str]) -> DataFram
 def missing_pages(rng: DataFrame, present: DataFrame) -> DataFrame:
     """Expected pages without a result, found on keys only (no text moves).
 
-    Page results hold one row per page, so a document has a gap exactly when it
-    has fewer present pages than expected: only those documents are expanded
-    into expected keys and anti-joined, not every page of every document.
+    A document has a gap exactly when it has fewer distinct pages than expected:
+    only those documents are expanded into expected keys and anti-joined, not
+    every page of every document.
     """
-    counts = present.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
+    counts = present.select("path", "page_idx").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
     gappy = (rng.join(counts, "path", "left")
              .where(F.coalesce(F.col("_n"), F.lit(0)) < F.col("_m")).select("path", "_m"))
     expected = gappy.select("path", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("page_idx"))
@@ -162,6 +166,19 @@ def _lead_nl(c: Column) -> Column:
     return F.char_length(c) - F.char_length(F.ltrim(c, F.lit("\n")))
 
 
+def _piece(p: Profile) -> Column:
+    """What a page adds: strict takes a page without text as empty, lenient skips it."""
+    text = F.coalesce(F.col("embedded"), F.lit("")) if p.name == "strict" else F.col("embedded")
+    return F.when(F.col("error").isNull(), text)
+
+
+def _first_failures(rng: DataFrame, present: DataFrame) -> DataFrame:
+    """``path, first_error`` (page_idx, error) of documents with a failed or missing page: keys and short texts."""
+    errs = (present.where(F.col("error").isNotNull()).select("path", "page_idx", "error")
+            .unionByName(missing_pages(rng, present).withColumn("error", F.lit("page missing"))))
+    return errs.groupBy("path").agg(F.min(F.struct("page_idx", "error")).alias("first_error"))
+
+
 def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
     """Embedded-text pass. Returns ``path, text, error, blank``.
 
@@ -169,7 +186,7 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     the joined text is ``listagg(embedded, '\\n')`` over pages from the first
     non-empty one on. It is built as the full ordered join ``L`` minus its
     ``k`` leading separators, where ``k`` = leading '\\n' of ``L`` minus those
-    of the first non-empty page (a number kept in the statistics).
+    of the first non-empty page.
     G3 (strict): the first failing page (a missing page included) fails the
     document; its error comes from keys and short texts only.
     G4 (lenient): a page without text, failed or missing, is skipped.
@@ -178,47 +195,21 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     p = get_profile(profile)
     gated = pdf_gate(facts, p, "embedded")
     rng = page_range(gated.where(F.col("pdf_error").isNull()))
-    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"])
-    group_info, concat_if = None, None
-    if p.name == "strict":
-        body = present.withColumn("piece", F.when(F.col("error").isNull(), F.coalesce(F.col("embedded"), F.lit(""))))
-        errs = (present.where(F.col("error").isNotNull()).select("path", "page_idx", "error")
-                .unionByName(missing_pages(rng, present).withColumn("error", F.lit("page missing"))))
-        group_info = errs.groupBy("path").agg(
-            F.count(F.lit(1)).alias("n_failed"),
-            F.min_by(F.struct(F.col("page_idx"), F.col("error")), F.col("page_idx")).alias("first_error"))
-        concat_if = "coalesce(n_failed, 0) = 0"
-    else:
-        body = present.withColumn("piece", F.when(F.col("error").isNull(), F.col("embedded")))
-    first_lead = F.min_by(_lead_nl(F.col("piece")), F.when(F.col("piece") != "", F.col("page_idx")))
-    # Gate on the engine budget only: the output-size rule applies to the final text (payload stage).
-    st = ordered_concat(body.select("path", "page_idx", "piece"), ["path"], "page_idx", "piece", "\n",
-                        p.assembly_budget_bytes, out="joined", concat_if=concat_if, group_info=group_info,
-                        stats={"first_lead": first_lead})
-    # Every document with a page range, also those without any page row: a LEFT
-    # JOIN of per-document tables, so the page rows keep their partitioning.
-    st = rng.select("path").join(st, "path", "left").withColumn("fits", F.coalesce(F.col("fits"), F.lit(True)))
-    if group_info is not None:
-        gi = group_info.select("path", F.col("n_failed").alias("_gn"), F.col("first_error").alias("_gfe"))
-        st = (st.join(gi, "path", "left")
-              .withColumn("n_failed", F.coalesce(F.col("n_failed"), F.col("_gn")))
-              .withColumn("first_error", F.coalesce(F.col("first_error"), F.col("_gfe"))))
-    k = _lead_nl(F.col("joined")) - F.col("first_lead")
-    text = (F.when(F.col("first_lead").isNull(), F.lit(""))
+    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"]).withColumn("piece", _piece(p))
+    joined = present.groupBy("path").agg(
+        F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx, piece)").alias("joined"),
+        F.min(F.when(F.col("piece") != "", F.struct(F.col("page_idx"), F.col("piece")))).alias("first"))
+    # Every document with a page range, also those without any page row.
+    st = rng.select("path").join(joined, "path", "left")
+    k = _lead_nl(F.col("joined")) - _lead_nl(F.col("first.piece"))
+    text = (F.when(F.col("first").isNull(), F.lit(""))
             .otherwise(F.substring(F.col("joined"), k + 1, 2147483647)))
-    path = F.col("path")
+    err = null_error()
     if p.name == "strict":
+        st = st.join(_first_failures(rng, present), "path", "left")
         fe = F.col("first_error")
-        err = (F.when(F.coalesce(F.col("n_failed"), F.lit(0)) > 0, strict_error(
-            "ExtractionError", path, fmt(STRICT_PAGE_EXTRACT, n=page_no(fe.getField("page_idx")),
-                                         error=fe.getField("error"))))
-               .when(~F.col("fits"), strict_error("ClipboardError", path, F.lit(ENGINE_LIMIT)))
-               .otherwise(null_error()))
-    else:
-        err = (F.when(~F.col("fits") & (F.col("n_bytes") > F.lit(p.assembly_budget_bytes)),
-                      lenient_error("outputTooLarge", path, size=F.col("n_bytes")))
-               .when(~F.col("fits"), make_error("engineLimit", path, F.lit(ENGINE_LIMIT)))
-               .otherwise(null_error()))
+        err = F.when(fe.isNotNull(), strict_error("ExtractionError", "path", fmt(
+            STRICT_PAGE_EXTRACT, n=page_no(fe.getField("page_idx")), error=fe.getField("error")))).otherwise(null_error())
     built = st.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"))
     # Documents without a page range: failing the PDF gate, or with no pages.
     others = gated.where(F.col("pdf_error").isNotNull() | (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select(
@@ -227,6 +218,20 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     return out.withColumn("blank", F.col("error").isNull() & is_blank(F.col("text")))
 
 
+def blank_documents(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
+    """``path`` of the documents whose embedded text is blank and without error (G5), from
+    page-level tests alone: a text is blank exactly when all its pieces are."""
+    p = get_profile(profile)
+    gated = pdf_gate(facts, p, "embedded").where(F.col("pdf_error").isNull())
+    rng = page_range(gated)
+    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"]).withColumn(
+        "prose", ~is_blank(_piece(p)))
+    full = present.where("prose").select("path")
+    if p.name == "strict":
+        full = full.unionByName(_first_failures(rng, present).select("path"))
+    return gated.select("path").join(full.distinct(), "path", "left_anti")
+
+
 # ----------------------------------------------------------------- G6-G13 (OCR)
 def _sep_lines(profile: Profile, page_idx: Column) -> Column:
     pre, post = profile.page_separator.split("{n}")
@@ -251,10 +256,8 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     G9 (strict): any failed page fails the document. G10/G12 (lenient): warnings.
     G13: blank result is an error (strict only when no page failed).
 
-    Three flows, joined per document: failures (failed and missing pages: keys
-    and short texts only, listed in page order), text statistics of the
-    successful pages (partial aggregate), and the text itself, built only for
-    documents that pass, within the byte budget.
+    One aggregate per document collects its successful pages and its failures;
+    missing pages are joined from keys.
     """
     p = get_profile(profile)
     gated = pdf_gate(facts, p, "ocr")
@@ -262,87 +265,51 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     cols = ["path", "page_idx", "lines", "error", "elapsed_ms", "width_pt", "height_pt"]
     present = (present_pages(rng, pages, cols).withColumn("has_result", F.lit(True))
                .withColumn("status", page_status(p)))
-    good = present.where(F.col("status") == "ok")
-    # Gate on the engine budget only (with per-page slack in the estimate); the
-    # output-size rule applies to the final text, exactly, at the payload stage.
-    budget = p.assembly_budget_bytes
-    # failures (failed and missing pages), in page order: keys and short texts only
-    if p.name == "strict":
-        warn, wsep = strict_warning(), "\n"
-    else:
-        warn, wsep = _s(page_no(F.col("page_idx"))), ", "
-    fails = (present.where(F.col("status") != "ok").select("path", "page_idx", "status", "error")
-             .unionByName(missing_pages(rng, present).select(
-                 "path", "page_idx", F.lit("access").alias("status"), F.lit(None).cast("string").alias("error")))
-             .withColumn("warn", warn))
-    fst = fails.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_failed"),
-        F.sum(F.octet_length(F.col("warn")) + F.lit(len(wsep))).alias("warn_bytes"))
-    # text statistics of the successful pages
+    # A failure as it is listed: a warning line (strict) or the page number (lenient).
+    listed = strict_warning() if p.name == "strict" else _s(page_no(F.col("page_idx")))
     lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
-    sep_len = len(p.page_separator.encode()) + 16
-    gst = good.groupBy("path").agg(
-        F.min(F.when(F.size(lines) > 0, F.col("page_idx"))).alias("f"),
-        F.sum(F.octet_length(F.array_join(lines, "\n")) + F.lit(sep_len)).alias("est_bytes"),
-        F.count(F.lit(1)).alias("n_good"))
-    docs = (rng.join(gst, "path", "left").join(fst, "path", "left")
-            .withColumn("n_failed", F.coalesce(F.col("n_failed"), F.lit(0)))
-            .withColumn("est_bytes", F.coalesce(F.col("est_bytes"), F.lit(0)))
-            .withColumn("n_good", F.coalesce(F.col("n_good"), F.lit(0)))
-            .withColumn("failed_fits", (F.coalesce(F.col("warn_bytes"), F.lit(0)) <= F.lit(budget))
-                        & (F.col("n_failed") <= F.lit(MAX_PARTS_PER_GROUP))))
-    text_fits = (F.col("est_bytes") <= F.lit(budget)) & (F.col("n_good") <= F.lit(MAX_PARTS_PER_GROUP))
-    build = F.col("f").isNotNull() & text_fits
-    if p.name == "strict":
-        build = build & (F.col("n_failed") == 0)
-    docs = docs.withColumn("build_core", build)
-    piece_arr = F.concat(F.when(F.col("page_idx") > F.col("f"), _sep_lines(p, F.col("page_idx")))
-                         .otherwise(F.array().cast("array<string>")), lines)
-    checked = CheckedStats(docs, ["path"])
-    if p.page_cap is not None:
-        # With a page cap the failure list is bounded (at most cap numbers): no gate needed.
-        fl = fails.groupBy("path").agg(
-            F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)").alias("failed_list"))
-    else:
-        fl = (checked.attach(fails.select("path", "page_idx", "warn"), ["path"],
-                             where=(F.col("n_failed") > 0) & F.col("failed_fits"), cols=[])
-              .groupBy("path").agg(F.expr(f"listagg(warn, '{wsep}') WITHIN GROUP (ORDER BY page_idx)")
-                                   .alias("failed_list")))
-    # the text, for the documents that pass
-    body = (checked.attach(good.select("path", "page_idx", "lines"), ["path"], where=F.col("build_core"),
-                           cols=["f"])
-            .where(F.col("page_idx") >= F.col("f"))
-            .withColumn("piece", F.when(F.size(piece_arr) > 0, F.array_join(piece_arr, "\n"))))
-    core = body.groupBy("path").agg(F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx)").alias("core"))
-    docs = checked.df.join(fl, "path", "left")
-    res = docs.join(core, "path", "left")
-    n_failed = F.col("n_failed")
-    path = F.col("path")
-    core_c = F.col("core")
-    too_big = (F.col("f").isNotNull() & ~text_fits) | ((n_failed > 0) & ~F.col("failed_fits"))
+    ok = F.col("status") == "ok"
+    own = present.groupBy("path").agg(
+        F.array_sort(F.collect_list(F.when(ok, F.struct(F.col("page_idx"), lines.alias("lines"))))).alias("good"),
+        F.collect_list(F.when(~ok, F.struct(F.col("page_idx"), listed.alias("listed")))).alias("bad"))
+    absent = (missing_pages(rng, present)
+              .select("path", "page_idx", F.lit("access").alias("status"), F.lit(None).cast("string").alias("error"))
+              .groupBy("path").agg(F.collect_list(F.struct(F.col("page_idx"), listed.alias("listed"))).alias("absent")))
+    res = rng.join(own, "path", "left").join(absent, "path", "left")
+    none = F.array().cast("array<struct<page_idx:int,listed:string>>")
+    failed = F.array_sort(F.concat(F.coalesce(F.col("bad"), none), F.coalesce(F.col("absent"), none)))
+    first = F.array_min(F.transform(F.filter(F.col("good"), lambda g: F.size(g["lines"]) > 0), lambda g: g["page_idx"]))
+    res = (res.withColumn("failed", failed).withColumn("n_failed", F.size("failed").cast("bigint"))
+           .withColumn("failed_list", F.when(F.col("n_failed") > 0, F.array_join(
+               F.col("failed.listed"), "\n" if p.name == "strict" else ", ")))
+           .withColumn("f", first))
+    empty = F.array().cast("array<string>")
+    pieces = F.transform(F.filter(F.col("good"), lambda g: g["page_idx"] >= F.col("f")), lambda g: F.concat(
+        F.when(g["page_idx"] > F.col("f"), _sep_lines(p, g["page_idx"])).otherwise(empty), g["lines"]))
+    core_c = F.when(F.col("f").isNotNull(), F.array_join(F.flatten(pieces), "\n"))
+    n_failed, path = F.col("n_failed"), F.col("path")
     if p.name == "strict":
         stderr = (F.when(n_failed > 0, F.concat(F.col("failed_list"), F.lit("\n"),
                                                  fmt(STRICT_PAGES_HAD_ERRORS, k=n_failed, n=F.col("page_count"))))
                   .otherwise(F.lit(STRICT_PDF_BLANK)))
-        blank = core_c.isNull() | is_blank(core_c)
-        err = (F.when(too_big, strict_error("ClipboardError", path, F.lit(ENGINE_LIMIT)))
-               .when((n_failed > 0) | blank,
-                     strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=utrim(stderr))))
+        res = res.withColumn("core", F.when(n_failed == 0, core_c))
+        blank = F.col("core").isNull() | is_blank(F.col("core"))
+        err = (F.when((n_failed > 0) | blank,
+                      strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=utrim(stderr))))
                .otherwise(null_error()))
-        text = F.concat(core_c, F.lit("\n"))
+        text = F.concat(F.col("core"), F.lit("\n"))
     else:
-        trimmed = utrim(F.coalesce(core_c, F.lit("")))
+        res = res.withColumn("core", utrim(F.coalesce(core_c, F.lit(""))))
         warn_failed = F.when(n_failed > 0, fmt(LENIENT_FAILED_PAGES, pages=F.col("failed_list"))) \
             .otherwise(F.lit(""))
         warn_trunc = (F.when(F.col("page_count") > F.lit(p.page_cap),
                              fmt(LENIENT_TRUNCATED, cap=str(p.page_cap), n=F.col("page_count")))
                       .otherwise(F.lit("")))
-        err = (F.when(too_big, lenient_error("outputTooLarge", path, size=F.col("est_bytes")))
-               .when(trimmed == "", lenient_error("extractionFailed", path, F.lit(LENIENT_PDF_BLANK)))
+        err = (F.when(F.col("core") == "", lenient_error("extractionFailed", path, F.lit(LENIENT_PDF_BLANK)))
                .otherwise(null_error()))
-        text = F.concat(trimmed, warn_failed, warn_trunc)
+        text = F.concat(F.col("core"), warn_failed, warn_trunc)
     built = res.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"),
-                       F.col("_m").cast("bigint").alias("n_pages"), n_failed.cast("bigint").alias("n_failed"),
+                       F.col("_m").cast("bigint").alias("n_pages"), n_failed.alias("n_failed"),
                        F.col("failed_list"))
     refused = gated.where(F.col("pdf_error").isNotNull()).select(
         "path", F.lit(None).cast("string").alias("text"), F.col("pdf_error").alias("error"),
@@ -354,10 +321,12 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
 # ------------------------------------------------------------------------ images
 def assemble_image(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
     """Single-image OCR (R7, G14, G15, P10). ``facts`` has ``path, open_error, width_px, height_px``;
+    an optional ``convert_error`` marks images that open but have no bitmap (P15);
     ``pages`` has one result row (page_idx 0) per image. Returns ``path, text, error``."""
     p = get_profile(profile)
     r = pages.where(F.col("page_idx") == 0).select("path", "lines", F.col("error").alias("ocr_error"), "elapsed_ms")
-    d = facts.select("path", "open_error", "width_px", "height_px").join(r, "path", "left")
+    bitmap = F.col("convert_error") if "convert_error" in facts.columns else F.lit(None).cast("string")
+    d = facts.select("path", "open_error", bitmap.alias("convert_error"), "width_px", "height_px").join(r, "path", "left")
     path = F.col("path")
     lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
     joined = F.array_join(lines, "\n")
@@ -365,12 +334,14 @@ def assemble_image(facts: DataFrame, pages: DataFrame, profile: Profile | str) -
         ocr = lambda m: strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=m))
         text = F.when(F.size(lines) > 0, F.concat(joined, F.lit("\n"))).otherwise(F.lit(""))
         err = (F.when(F.col("open_error").isNotNull(), ocr(fmt(STRICT_IMAGE_LOAD, path=path)))
+               .when(F.col("convert_error").isNotNull(), ocr(F.lit(STRICT_IMAGE_CONVERT)))
                .when(F.col("ocr_error").isNotNull(), ocr(fmt(STRICT_IMAGE_OCR, error=F.col("ocr_error"))))
                .when(is_blank(text), strict_error("ExtractionError", path, F.lit(STRICT_IMAGE_BLANK)))
                .otherwise(null_error()))
     else:
         text = joined
         err = (F.when(F.col("open_error").isNotNull(), lenient_error("extractionFailed", path, F.lit(LENIENT_IMAGE_LOAD)))
+               .when(F.col("convert_error").isNotNull(), lenient_error("extractionFailed", path, F.lit(LENIENT_IMAGE_CONVERT)))
                .when(too_many_pixels("width_px", "height_px", p.max_image_pixels),
                      lenient_error("imageTooLarge", path, width=F.col("width_px"), height=F.col("height_px")))
                .when(F.col("elapsed_ms") > F.lit(p.ocr_timeout_ms), lenient_error("ocrTimeout", path))
@@ -382,32 +353,37 @@ def assemble_image(facts: DataFrame, pages: DataFrame, profile: Profile | str) -
 
 # -------------------------------------------------------------------------- G5
 def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: DataFrame | None,
-                    profile: Profile | str, ocr_available: bool = True, materialize: bool = True) -> DataFrame:
-    """Embedded text unless blank; then OCR, run only for the blank documents.
-
-    The embedded result feeds two consumers (the blank-document filter and the
-    final choice); with ``materialize`` it is checkpointed once under
-    ``spark.checkpoint.dir`` instead of assembling every document's pages twice.
+                    profile: Profile | str, ocr_available: bool = True,
+                    image_facts: DataFrame | None = None) -> DataFrame:
+    """Embedded text unless blank; then OCR, run only for the blank documents.
+
+    Which documents are blank is known from page-level tests, so nothing is
+    assembled twice or stored in between. The recognizer goes by the extension:
+    a document that only its declared type makes a PDF is recognized as an
+    image (facts from ``image_facts``).
     Returns ``path, text, error, source`` with source 'embedded', 'ocr' or NULL.
     """
     p = get_profile(profile)
     emb = assemble_embedded(facts, embedded_pages, p)
-    if materialize and ocr_available:
-        from ..session import shared_dir
-        shared_dir(emb.sparkSession)
-        emb = emb.checkpoint(eager=True)
     path = F.col("path")
     if p.name == "strict" and not ocr_available:
         e = F.when(F.col("blank"), strict_error("ExtractionError", path, F.lit(STRICT_NO_EXTRACTABLE_TEXT))) \
             .otherwise(F.col("error"))
         return emb.select("path", F.when(~F.col("blank"), F.col("text")).alias("text"), e.alias("error"),
                           F.when(~F.col("blank") & F.col("error").isNull(), F.lit("embedded")).alias("source"))
-    blank = emb.where(F.col("blank")).select("path")
+    blank = blank_documents(facts, embedded_pages, p)
     if ocr_pages is None:
         # A recognizer without results: every page of a blank document is missing.
         from .. import schemas
         ocr_pages = emb.sparkSession.createDataFrame([], schemas.PAGE_RESULTS)
-    o = assemble_ocr(facts.join(blank, "path", "left_semi"), ocr_pages.join(blank, "path", "left_semi"), p)
+    as_pdf, as_image = blank, None
+    if image_facts is not None:
+        as_pdf = blank.where(ocr_route("path", p) == "pdf")
+        as_image = blank.where(ocr_route("path", p) == "image")
+    o = assemble_ocr(facts.join(as_pdf, "path", "left_semi"), ocr_pages.join(as_pdf, "path", "left_semi"), p) \
+        .select("path", "text", "error")
+    if as_image is not None:
+        o = o.unionByName(assemble_image(image_facts.join(as_image, "path", "left_semi"), ocr_pages, p))
     if p.name == "strict":
         # The tool re-checks the helper's text: blank -> error (unreachable when the helper succeeded).
         o = o.withColumn("error", F.when(F.col("error").isNull() & is_blank(F.col("text")), strict_error(

@@ -11,8 +11,12 @@ Policies:
   gates, front-end messages; ``summary`` is the notification shown (success
   text, or the error message cut to 100 characters).
 
-Statistics (counts, first error, byte length) are partial aggregates; the
-text is concatenated only for runs that pass, within the byte budget.
+Statistics (counts, first error, byte length) are partial aggregates over light
+rows. The payload comes as segments (operators/concat.py): one row per run and
+segment, ``seg`` ascending from 0, with the run's other columns repeated; a run
+without a payload, or of one segment, is one row. Joining a run's payload
+values in ``seg`` order gives its payload, of any size. Only the lenient
+profile's own output limit refuses one.
 """
 
 from __future__ import annotations
@@ -21,35 +25,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.errors import (COPIED_CONTENTS, FILE_IS_EMPTY, NO_FILE_SELECTED, NOT_LOCAL_NOTICE,
                                 SELECT_ONE_FILE, lenient_error, make_error, null_error, strict_error, summary)
-from ..functions.text import fmt, is_blank, notification
+from ..functions.text import is_blank, notification
 from ..profiles import Profile, get_profile
-from .concat import MAX_PARTS_PER_GROUP, ordered_concat
-
-_ERR_T = "struct<kind:string,path:string,message:string>"
-# Engine limit text (not a rule of the source tool).
-PAYLOAD_OVER_LIMIT = "payload of {n} bytes exceeds the {limit}-byte limit"
-PARTS_OVER_LIMIT = "run of {n} entries exceeds the engine's {limit}-entry limit for one payload"
-
-
-def _first_error():
-    return F.min_by(F.col("error"), F.col("ord"))
-
-
-def _budget_error(profile: Profile, n_bytes, n_parts) -> "F.Column":
-    """Why a run's payload was not built: over the output limit, or over an engine bound."""
-    over_parts = make_error("EngineLimit", F.lit(""), fmt(PARTS_OVER_LIMIT, n=n_parts,
-                                                          limit=str(MAX_PARTS_PER_GROUP)))
-    if profile.max_output_bytes is not None and profile.max_output_bytes <= profile.assembly_budget_bytes:
-        over_bytes = lenient_error("outputTooLarge", F.lit(""), size=n_bytes)
-    else:
-        over_bytes = strict_error("ClipboardError", F.lit(""),
-                                  fmt(PAYLOAD_OVER_LIMIT, n=n_bytes, limit=str(profile.output_budget)))
-    return F.when(n_bytes > F.lit(profile.output_budget), over_bytes).otherwise(over_parts)
-
+from ..session import spool
+from .concat import joined_bytes, ordered_segments
 
 def build_payload(entries: DataFrame, profile: Profile | str = "strict", policy: str = "fail_fast",
                   runs: DataFrame | None = None) -> DataFrame:
-    """Returns ``run_id, payload, n_bytes, n_files, n_failed, summary, error``."""
+    """Returns ``run_id, seg, payload, n_bytes, n_files, n_failed, summary, error``.
+
+    ``runs`` (run_id) names runs that may have no entries at all."""
     p = get_profile(profile)
     if policy == "fail_fast":
         out = _fail_fast(entries, p)
@@ -65,34 +50,39 @@ def build_payload(entries: DataFrame, profile: Profile | str = "strict", policy:
         none = (strict_error("NoFilesSpecified", F.lit("")) if p.name == "strict"
                 else make_error("noSelection", F.lit(""), F.lit(NO_FILE_SELECTED)))
         out = out.unionByName(empty.select(
-            "run_id", F.lit(None).cast("string").alias("payload"), F.lit(None).cast("bigint").alias("n_bytes"),
+            "run_id", F.lit(0).cast("bigint").alias("seg"), F.lit(None).cast("string").alias("payload"), F.lit(None).cast("bigint").alias("n_bytes"),
             F.lit(0).cast("bigint").alias("n_files"), F.lit(0).cast("bigint").alias("n_failed"),
             F.lit(None).cast("string").alias("summary"), none.alias("error")))
     return out
 
 
 def _fail_fast(entries: DataFrame, p: Profile) -> DataFrame:
-    st = ordered_concat(
-        entries.withColumn("_ok_text", F.when(F.col("error").isNull(), F.col("text"))),
-        ["run_id"], "ord", "_ok_text", "\n", p.output_budget, out="payload",
-        stats={"n_files": F.count(F.lit(1)),
-               "n_failed": F.count(F.col("error")),
-               "first_error": F.min_by(F.col("error"), F.when(F.col("error").isNotNull(), F.col("ord"))),
-               "first_path": F.min_by(F.col("path"), F.col("ord"))},
-        where="error IS NULL", concat_if="n_failed = 0")
+    # One pass over the texts for their sizes only; then one for the runs that are built.
+    light = spool(entries.select("run_id", "ord", "path", "error",
+                                 F.octet_length(F.when(F.col("error").isNull(), F.col("text"))).cast("bigint").alias("n_bytes")),
+                  "entry_sizes")
+    st = spool(light.groupBy("run_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_files"),
+        F.count(F.col("error")).cast("bigint").alias("n_failed"),
+        joined_bytes(F.count("n_bytes"), F.coalesce(F.sum("n_bytes"), F.lit(0)), "\n").alias("n_bytes"),
+        F.min_by(F.col("error"), F.when(F.col("error").isNotNull(), F.col("ord"))).alias("first_error"),
+        F.min_by(F.col("path"), F.col("ord")).alias("first_path")), "runs")
+    fits = F.lit(True) if p.max_output_bytes is None else F.col("n_bytes") <= F.lit(p.max_output_bytes)
+    st = st.withColumn("built", (F.col("n_failed") == 0) & fits)
+    # Failing entries and the entries of runs that are not built have no segment.
+    wanted = light.where(F.col("n_bytes").isNotNull()).select("run_id", "ord", "n_bytes").join(
+        st.where("built").select("run_id"), "run_id", "left_semi")
+    segments = ordered_segments(entries, wanted, ["run_id"], "ord", "text", "\n", p.segment_bytes, out="payload")
+    out = st.join(segments, "run_id", "left")
     ok = F.col("n_failed") == 0
-    fits = F.col("fits")
     err = (F.when(~ok, F.col("first_error"))
-           .when(~fits, _budget_error(p, F.col("n_bytes"), F.col("n_parts")))
+           .when(~F.col("built"), lenient_error("outputTooLarge", F.lit(""), size=F.col("n_bytes")))
            .otherwise(null_error()))
-    payload = F.when(ok & fits, F.coalesce(F.col("payload"), F.lit("")))
-    return st.select(
-        "run_id",
-        payload.alias("payload"),
-        F.when(ok, F.col("n_bytes")).cast("bigint").alias("n_bytes"),
-        F.col("n_files").cast("bigint").alias("n_files"),
-        F.col("n_failed").cast("bigint").alias("n_failed"),
-        F.when(ok & fits, summary(F.col("n_bytes"), F.col("n_files"), F.col("first_path"))).alias("summary"),
+    return out.select(
+        "run_id", F.coalesce("seg", F.lit(0)).cast("bigint").alias("seg"),
+        F.when(F.col("built"), F.coalesce(F.col("payload"), F.lit(""))).alias("payload"),
+        F.when(ok, F.col("n_bytes")).alias("n_bytes"), "n_files", "n_failed",
+        F.when(F.col("built"), summary(F.col("n_bytes"), F.col("n_files"), F.col("first_path"))).alias("summary"),
         err.alias("error"))
 
 
@@ -110,7 +100,7 @@ def _last_wins(entries: DataFrame, p: Profile) -> DataFrame:
            .withColumn("last_ok_path", F.col("last_ok.path")))
     nb = F.octet_length(F.col("payload")).cast("bigint")
     return out.select(
-        "run_id", "payload", nb.alias("n_bytes"), "n_files", "n_failed",
+        "run_id", F.lit(0).cast("bigint").alias("seg"), "payload", nb.alias("n_bytes"), "n_files", "n_failed",
         F.when(F.col("payload").isNotNull(), summary(nb, F.lit(1), F.col("last_ok_path"))).alias("summary"),
         F.when(F.col("payload").isNull(), F.col("last_error")).otherwise(null_error()).alias("error"))
 
@@ -119,22 +109,23 @@ def _single(entries: DataFrame, p: Profile) -> DataFrame:
     agg = entries.groupBy("run_id").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_files"),
         F.count(F.col("error")).cast("bigint").alias("n_failed"),
+        # The text goes along only from the first entry of each run and task.
         F.min_by(F.struct("path", "text", "error"), F.col("ord")).alias("e"))
     n = F.col("n_files")
     text = F.col("e.text")
     nb = F.octet_length(text).cast("bigint")
-    limit = p.max_output_bytes if p.max_output_bytes is not None else p.assembly_budget_bytes
     err = (F.when(n > 1, make_error("selection", F.lit(""), F.lit(SELECT_ONE_FILE)))
            .when(F.col("e.error").isNotNull(), F.col("e.error"))
-           .when(is_blank(text), make_error("empty", F.col("e.path"), F.lit(FILE_IS_EMPTY)))
-           .when(nb > F.lit(limit), lenient_error("outputTooLarge", F.col("e.path"), size=nb))
-           .otherwise(null_error()))
+           .when(is_blank(text), make_error("empty", F.col("e.path"), F.lit(FILE_IS_EMPTY))))
+    if p.max_output_bytes is not None:
+        err = err.when(nb > F.lit(p.max_output_bytes), lenient_error("outputTooLarge", F.col("e.path"), size=nb))
+    err = err.otherwise(null_error())
     # The front end refuses a non-local item itself, with its own short notice.
     err = F.when(err.getField("kind") == "notFileURL",
                  make_error("notFileURL", F.col("e.path"), F.lit(NOT_LOCAL_NOTICE))).otherwise(err)
     # summary = the notification shown: success text, or the message cut to 100 characters.
     return (agg.withColumn("error", err)
-            .select("run_id",
+            .select("run_id", F.lit(0).cast("bigint").alias("seg"),
                     F.when(F.col("error").isNull(), text).alias("payload"),
                     F.when(F.col("error").isNull(), nb).alias("n_bytes"),
                     "n_files", "n_failed",

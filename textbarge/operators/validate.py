@@ -14,14 +14,6 @@ from ..functions.route import is_local
 from ..profiles import Profile, get_profile
 
 
-def attach_inventory(manifest: DataFrame, inventory: DataFrame, path_col: str = "lookup_path") -> DataFrame:
-    """LEFT JOIN the storage inventory on the (normalized) path."""
-    extra = ["entry_length"] if "entry_length" in inventory.columns else []
-    inv = inventory.select(F.col("path").alias(path_col), "exists", "is_dir",
-                           "link_target_exists", "readable", "length", *extra)
-    return manifest.join(inv, path_col, "left")
-
-
 def missing_paths(manifest: DataFrame, inventory: DataFrame, path_col: str = "lookup_path") -> DataFrame:
     """P2, missing only: manifest rows whose path the inventory lacks (anti join)."""
     inv = inventory.where(F.col("exists")).select(F.col("path").alias(path_col))
@@ -46,7 +38,7 @@ def validation_error(profile: Profile | str, path: str = "path", size: str = "le
         return F.when(~exists | dangling, strict_error("FileNotFound", path)).otherwise(null_error())
     # The existence test follows symlinks, so a dangling link is not found right away.
     dangling = F.col("link_target_exists") == F.lit(False)
-    e = (F.when(~is_local(F.col(path)), lenient_error("notFileURL", path))
+    e = (F.when(~is_local(F.col(path), p.accepted_schemes), lenient_error("notFileURL", path))
          .when(~exists | dangling, lenient_error("fileNotFound", path))
          .when(F.coalesce(F.col("is_dir"), F.lit(False)), lenient_error("isDirectory", path))
          .when(F.col("readable") == F.lit(False), lenient_error("permissionDenied", path)))
@@ -74,16 +66,17 @@ def open_error(profile: Profile | str, path: str = "path", route: str = "text")
             .otherwise(null_error()))
 
 
-def validate(df: DataFrame, profile: Profile | str, path: str = "path") -> DataFrame:
-    return df.withColumn("error", validation_error(profile, path))
-
+def selection_status(df: DataFrame, keys: list[str], selections: DataFrame | None = None) -> DataFrame:
+    """0 -> 'No file selected', >1 -> 'Please select only one file', 1 -> NULL.
 
-def selection_status(df: DataFrame, keys: list[str]) -> DataFrame:
-    """0 -> 'No file selected', >1 -> 'Please select only one file', 1 -> NULL."""
+    ``selections`` (the keys) names all selections, also those without any item."""
     from ..functions.errors import NO_FILE_SELECTED, SELECT_ONE_FILE
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
-            .withColumn("message", F.when(F.col("n_items") == 0, F.lit(NO_FILE_SELECTED))
-                        .when(F.col("n_items") > 1, F.lit(SELECT_ONE_FILE))))
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
+    if selections is not None:
+        out = (selections.select(*keys).distinct().join(out, keys, "left")
+               .withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("bigint"))))
+    return out.withColumn("message", F.when(F.col("n_items") == 0, F.lit(NO_FILE_SELECTED))
+                          .when(F.col("n_items") > 1, F.lit(SELECT_ONE_FILE)))
 
 
 def workflow_notice(path: str = "path", error: str = "error") -> Column:

@@ -27,9 +27,8 @@ FROM g
 # --------------------------------------------------------------------------
 # helpers for writing the SQL
 # --------------------------------------------------------------------------
-from ..profiles import WHITESPACE_CHARS  # noqa: E402
-
-WS_SQL = "||".join(f"chr({ord(c)})" for c in WHITESPACE_CHARS)
+# The White_Space property of Unicode, spelled here on its own.
+WS_SQL = "||".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
 DOC_PATH = "('/data/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt')"
 # A Latin-1 string whose code points, read as bytes, form valid UTF-8.
 UTF8_AS_LATIN1 = (r"(?:[\x{00}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]"
@@ -154,9 +153,11 @@ FROM g
 """
 
 ORACLE["selection_cardinality"] = """
-SELECT conv_id, role, count(*) AS n_items,
-       CASE WHEN count(*) > 1 THEN 'Please select only one file' END AS message
-FROM conversations GROUP BY conv_id, role
+WITH r AS (SELECT unnest(['system', 'user', 'assistant', 'tool']) AS role),
+e AS (SELECT DISTINCT conv_id, r.role FROM conversations, r)
+SELECT e.conv_id, e.role, count(c.conv_id) AS n_items,
+       CASE WHEN count(c.conv_id) = 0 THEN 'No file selected' WHEN count(*) > 1 THEN 'Please select only one file' END AS message
+FROM e LEFT JOIN conversations c ON e.conv_id = c.conv_id AND e.role = c.role GROUP BY e.conv_id, e.role
 """
 
 ORACLE["inline_union"] = """
@@ -200,6 +201,7 @@ ORACLE["pages_embedded"] = f"""
 WITH p AS (
   SELECT conv_id, turn, (turn % 7 = 4 AND conv_id % 2 = 0) AS bad,
          CASE WHEN turn % 7 = 4 AND conv_id % 2 = 0 THEN NULL
+              WHEN conv_id % 5 = 4 AND turn IN (0, 1) THEN 'same'
               WHEN turn < conv_id % 3 OR turn % 5 = 3 THEN '' ELSE text END AS emb
   FROM conversations),
 s AS (SELECT conv_id, turn, emb,
@@ -212,10 +214,12 @@ st AS (SELECT conv_id, string_agg(CASE WHEN prior THEN chr(10) ELSE '' END || em
        FROM s GROUP BY conv_id),
 lt AS (SELECT conv_id, string_agg(CASE WHEN prior THEN chr(10) ELSE '' END || emb, '' ORDER BY turn) AS t
        FROM l GROUP BY conv_id),
-fb AS (SELECT conv_id, min(turn) FILTER (WHERE bad) AS fbad FROM p GROUP BY conv_id)
+fb AS (SELECT conv_id, min(turn) FILTER (WHERE bad) AS fbad, conv_id % 5 = 4 AND bool_or(turn = 1) AS gap FROM p GROUP BY conv_id)
 SELECT fb.conv_id,
-       CASE WHEN fbad IS NULL THEN coalesce(st.t, '') END AS strict_text,
-       CASE WHEN fbad IS NOT NULL THEN 'Failed to extract text from ''/conv/' || CAST(fb.conv_id AS VARCHAR)
+       CASE WHEN fbad IS NULL AND NOT gap THEN coalesce(st.t, '') END AS strict_text,
+       CASE WHEN gap THEN 'Failed to extract text from ''/conv/' || CAST(fb.conv_id AS VARCHAR)
+            || '.pdf'': Failed to extract page 2: page missing'
+            WHEN fbad IS NOT NULL THEN 'Failed to extract text from ''/conv/' || CAST(fb.conv_id AS VARCHAR)
             || '.pdf'': Failed to extract page ' || CAST(fbad + 1 AS VARCHAR) || ': unsupported font encoding' END
          AS strict_error,
        coalesce(lt.t, '') AS lenient_text,
@@ -412,16 +416,21 @@ FROM m
 
 ORACLE["error_messages"] = _error_messages_sql()
 
+# Each row's result follows from the rule that made its path, not from parsing it.
 ORACLE["local_url_check"] = """
-WITH d AS (
-  SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/srv/pages/' || CAST(page_id AS VARCHAR) || '.html'
-                  WHEN 1 THEN 'file:///srv/pages/' || CAST(page_id AS VARCHAR) || '.html' ELSE url END AS path
-  FROM pages),
-s AS (SELECT page_id, path, lower(regexp_extract(path, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS scheme FROM d)
-SELECT page_id, path, scheme, scheme IN ('', 'file') AS is_local,
-       CASE WHEN scheme IN ('', 'file') THEN regexp_replace(path, '^[Ff][Ii][Ll][Ee]:(//[^/]*)?', '') END AS lookup_path,
-       CASE WHEN scheme NOT IN ('', 'file') THEN 'Not a local file: ' || path END AS error_message
-FROM s
+WITH d AS (SELECT page_id, url, CAST(page_id AS VARCHAR) AS i, page_id % 6 AS m FROM pages),
+p AS (
+  SELECT page_id, m, CASE m WHEN 0 THEN '/srv/pages/' || i || '%20+.html' WHEN 1 THEN 'file:///srv/my%20pages/a+b%2Bc-' || i || '.html'
+           WHEN 2 THEN 'FILE://localhost/srv/%C3%A9-' || i || '.html' WHEN 3 THEN 'notes:' || i || '.txt'
+           WHEN 4 THEN 'file:/srv/100%/' || i || '.html' ELSE url END AS path,
+         CASE m WHEN 0 THEN '/srv/pages/' || i || '%20+.html' WHEN 1 THEN '/srv/my pages/a+b+c-' || i || '.html'
+           WHEN 2 THEN '/srv/é-' || i || '.html' WHEN 4 THEN '/srv/100%/' || i || '.html' END AS lookup_path,
+         CASE m WHEN 0 THEN i || '%20+.html' WHEN 1 THEN 'a+b+c-' || i || '.html' WHEN 2 THEN 'é-' || i || '.html'
+           WHEN 3 THEN 'notes:' || i || '.txt' WHEN 4 THEN i || '.html' ELSE string_split(rtrim(url, '/'), '/')[-1] END AS name
+  FROM d)
+SELECT page_id, path, m NOT IN (3, 5) AS is_local, lookup_path, path AS strict_path,
+       CASE WHEN m IN (3, 5) THEN 'Not a local file: ' || path END AS error_message, 'File not found: ' || name AS not_found
+FROM p
 """
 
 ORACLE["extension_route"] = """
@@ -453,7 +462,9 @@ SELECT item, strict_ext, lenient_ext,
             WHEN declared_type LIKE 'text/%' THEN 'text'
             WHEN lenient_ext = 'pdf' THEN 'pdf'
             WHEN lenient_ext IN ('png','jpg','jpeg','tiff','tif','heic','webp','bmp','gif') THEN 'image'
-            ELSE 'text' END AS lenient_route
+            ELSE 'text' END AS lenient_route,
+       CASE WHEN item LIKE 'doc-%' THEN CASE WHEN CAST(item[5:] AS BIGINT) % 6 = 0 THEN 'pdf' ELSE 'image' END
+            WHEN lenient_ext = 'pdf' THEN 'pdf' ELSE 'image' END AS lenient_ocr_route
 FROM e
 """
 
@@ -502,8 +513,10 @@ FROM t
 # --------------------------------------------------------------------------
 ORACLE["publish_readback"] = ORACLE["payload_by_source"]
 
-ORACLE["quarantine_readback"] = """
-SELECT 'IoError' AS kind, count(*) AS n, min(doc_id) AS first_doc_id FROM documents WHERE doc_id % 10 = 0
+ORACLE["quarantine_readback"] = f"""
+SELECT doc_id, 'IoError' AS kind, {DOC_PATH} AS path,
+       'Failed to read file ''' || {DOC_PATH} || ''': stream did not contain valid UTF-8' AS message
+FROM documents WHERE doc_id % 10 = 0
 """
 
 ORACLE["scan_and_decode"] = """
@@ -514,10 +527,11 @@ SELECT doc_id,
 FROM documents
 """
 
-ORACLE["stream_ingest"] = """
-SELECT source, count(*) FILTER (WHERE doc_id % 13 <> 0) AS n_ok, count(*) FILTER (WHERE doc_id % 13 = 0) AS n_bad,
-       CAST(coalesce(sum(strlen(text)) FILTER (WHERE doc_id % 13 <> 0), 0) AS BIGINT) AS n_bytes
-FROM documents GROUP BY source
+ORACLE["stream_ingest"] = f"""
+SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text END AS text,
+       CASE WHEN doc_id % 13 = 0 THEN 'BinaryFile' END AS kind,
+       CASE WHEN doc_id % 13 = 0 THEN 'Cannot read binary file: ' || {DOC_PATH} END AS message
+FROM documents
 """
 
 ORACLE["extractor_hook"] = """
@@ -562,14 +576,16 @@ SELECT run_id,
 FROM s
 """
 
-ORACLE["empty_runs"] = """
+ORACLE["empty_runs"] = f"""
 WITH g AS (
   SELECT conv_id, count(*) AS n, string_agg(text, chr(10) ORDER BY turn) AS p FROM conversations GROUP BY conv_id)
 SELECT CAST(conv_id AS VARCHAR) AS run_id,
        CASE WHEN conv_id % 10 = 0 THEN 0 ELSE n END AS n_files,
        CAST(CASE WHEN conv_id % 10 = 0 THEN 0 ELSE strlen(p) END AS BIGINT) AS n_bytes,
        CASE WHEN conv_id % 10 = 0 THEN 'NoFilesSpecified' END AS error_kind,
-       CASE WHEN conv_id % 10 = 0 THEN 'No files specified' END AS error_message
+       CASE WHEN conv_id % 10 = 0 THEN 'No files specified' END AS error_message,
+       CASE WHEN conv_id % 10 = 0 THEN 'No file selected' WHEN n > 1 THEN 'Please select only one file'
+            WHEN trim(p, {WS_SQL}) = '' THEN 'File is empty' END AS lenient_message
 FROM g
 """
 
@@ -582,11 +598,21 @@ SELECT doc_id, source,
 FROM documents
 """
 
-# Every 13th file starts with NULs and has odd length: binary under the lenient rules.
+# Of 13 files: 0 starts with NULs and has odd length (binary), 1 is empty, 2 is blank, 5 is a PDF,
+# 6 an image without results, the others texts; over 8192 bytes is too large.
 ORACLE["stream_files"] = """
-SELECT source, count(*) FILTER (WHERE doc_id % 13 <> 0) AS n_ok, count(*) FILTER (WHERE doc_id % 13 = 0) AS n_bad,
-       CAST(coalesce(sum(strlen(text)) FILTER (WHERE doc_id % 13 <> 0), 0) AS BIGINT) AS n_bytes
-FROM documents GROUP BY source
+WITH d AS (
+  SELECT doc_id % 13 AS m, text, CAST(doc_id AS VARCHAR) || CASE doc_id % 13 WHEN 5 THEN '.pdf' WHEN 6 THEN '.png' ELSE '.txt' END AS name,
+         CASE doc_id % 13 WHEN 0 THEN strlen(text) + 1 + strlen(text) % 2 WHEN 1 THEN 0 WHEN 2 THEN 2
+              WHEN 5 THEN 4 WHEN 6 THEN 4 ELSE strlen(text) END AS size
+  FROM documents)
+SELECT name, CASE m WHEN 5 THEN 'pdf' WHEN 6 THEN 'image' ELSE 'text' END AS route,
+       CASE WHEN size <= 8192 AND m NOT IN (0, 1, 2, 6) THEN text END AS text,
+       CASE WHEN size > 8192 THEN 'fileTooLarge' WHEN m = 0 THEN 'binaryFile' WHEN m IN (1, 2) THEN 'empty'
+            WHEN m = 6 THEN 'extractionFailed' END AS kind,
+       CASE WHEN size > 8192 THEN 'File too large (' || CAST(size // 1048576 AS VARCHAR) || 'MB): ' || name WHEN m = 0 THEN 'Binary file: ' || name
+            WHEN m IN (1, 2) THEN 'File is empty' WHEN m = 6 THEN 'file content unavailable' END AS message
+FROM d
 """
 
 ORACLE["workflow_notifications"] = """
@@ -609,3 +635,71 @@ SELECT CAST(n.conv_id AS VARCHAR) AS run_id, turn AS ord,
        w.last_payload
 FROM n JOIN w ON w.conv_id = n.conv_id
 """
+
+ORACLE["payload_segments"] = """
+WITH g AS (
+  SELECT source AS run_id, count(*) AS n_files, string_agg(text, chr(10) ORDER BY doc_id) AS payload,
+         sum(strlen(text) + 64) - max_by(strlen(text) + 64, doc_id) AS before_last
+  FROM documents GROUP BY source)
+SELECT run_id, n_files, CAST(strlen(payload) AS BIGINT) AS n_bytes, CAST(strlen(payload) AS BIGINT) AS segment_bytes, payload,
+       before_last >= 4096 AS split
+FROM g
+"""
+
+ORACLE["custom_store"] = ORACLE["payload_by_source"]
+
+ORACLE["lenient_selection"] = f"""
+WITH d AS (
+  SELECT doc_id AS i, text, CAST(doc_id AS VARCHAR) AS run_id,
+         CAST(doc_id AS VARCHAR) || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '.txt' END AS name
+  FROM documents),
+r AS (
+  SELECT run_id, name,
+         CASE WHEN i % 29 = 0 THEN 'fileNotFound' WHEN i % 31 = 3 THEN 'fileTooLarge' END AS refused,
+         CASE WHEN i % 5 > 1 THEN CASE WHEN i % 7 = 2 THEN ' ' || chr(10) ELSE text END
+              WHEN i % 5 = 0 AND i % 10 <> 0 AND i % 20 <> 5 THEN text
+              ELSE 'seen ' || run_id END AS t
+  FROM d),
+o AS (
+  SELECT run_id, name, t, coalesce(refused, CASE WHEN trim(t, {WS_SQL}) = '' THEN 'empty' END) AS error_kind FROM r)
+SELECT run_id, CASE WHEN error_kind IS NULL THEN t END AS payload,
+       CAST(CASE WHEN error_kind IS NULL THEN strlen(t) ELSE 0 END AS BIGINT) AS n_bytes,
+       CASE error_kind WHEN 'fileNotFound' THEN 'File not found: ' || name WHEN 'fileTooLarge' THEN 'File too large (60MB): ' || name
+            WHEN 'empty' THEN 'File is empty' ELSE 'Copied contents to clipboard' END AS summary, error_kind
+FROM o
+UNION ALL SELECT 'nothing', NULL, 0, NULL, 'noSelection'
+"""
+
+ORACLE["no_recognizer"] = """
+WITH d AS (
+  SELECT doc_id, text, '/sel/' || CAST(doc_id AS VARCHAR) || CASE doc_id % 5 WHEN 0 THEN '.pdf' ELSE '.png' END AS path
+  FROM documents WHERE doc_id % 5 < 2),
+e AS (
+  SELECT *, doc_id % 29 <> 0 AND doc_id % 5 = 0 AND doc_id % 10 <> 0 AS good,
+         CASE WHEN doc_id % 29 = 0 THEN 'File not found: ' || path
+              WHEN doc_id % 10 = 0 THEN 'Failed to extract text from ''' || path || ''': PDF contains no extractable text' END AS same
+  FROM d)
+SELECT doc_id, CASE WHEN good THEN text END AS none_text, CASE WHEN good THEN text END AS helper_text,
+       coalesce(same, CASE WHEN doc_id % 5 = 1 THEN 'Failed to extract text from ''' || path || ''': OCR is only supported on macOS' END) AS none_message,
+       coalesce(same, CASE WHEN doc_id % 5 = 1 THEN 'Failed to extract text from ''' || path
+                || ''': OCR helper ''ocr-helper'' not found. Install it alongside the tool.' END) AS helper_message
+FROM e
+"""
+
+ORACLE["pdf_gate_ocr"] = """
+WITH d AS (SELECT o_orderkey AS k, '/orders/' || CAST(o_orderkey AS VARCHAR) || '.pdf' AS path FROM orders),
+m AS (
+  SELECT k, path, 'Failed to extract text from ''' || path || ''': OCR failed: Error: ' AS pre,
+         CASE WHEN k % 5 = 0 THEN 'Could not open PDF: ' || path || chr(10) || 'The file may be corrupted or inaccessible.'
+              WHEN k % 3 = 0 THEN 'PDF is password-protected' WHEN k % 7 = 0 THEN 'PDF has no pages' END AS pdf,
+         CASE WHEN k % 5 = 0 THEN 'Could not load image: ' || path WHEN k % 4 = 0 THEN 'Could not convert image to CGImage' END AS strict_m,
+         CASE WHEN k % 5 = 0 THEN 'Could not load image' WHEN k % 4 = 0 THEN 'Could not convert image' END AS lenient_image
+  FROM d)
+SELECT k AS o_orderkey, pre || pdf AS pdf_message, pre || strict_m AS strict_image, lenient_image FROM m
+"""
+
+ORACLE["publish_file_bytes"] = """
+SELECT doc_id, CAST(CASE WHEN doc_id % 10 = 0 THEN 0 ELSE strlen(text) END AS BIGINT) AS n_bytes,
+       CASE WHEN doc_id % 10 <> 0 THEN text END AS payload, CASE WHEN doc_id % 10 = 0 THEN 'IoError' END AS error_kind
+FROM documents
+"""

@@ -33,12 +33,8 @@ WHITESPACE_CHARS = (
 )
 # ---------------------------------------------------------------------------
 
-# Engine bound, not a rule of the source tool: the largest single string we
-# let one task assemble (its parts, their sort and the result are all held by
-# that task). Spark cannot hold a value above 2 GiB at all; rows of a few
-# hundred MB already strain shuffles and writers, so a bigger result is
-# reported as an error instead of stalling a task. Adjust with Profile.with_().
-DEFAULT_ASSEMBLY_BUDGET_BYTES = 256 * 1024 * 1024
+# Size of a payload segment: what one task puts together (operators/concat.py).
+SEGMENT_BYTES = 64 * 1024 * 1024
 # Engine bound: Spark's binary values (and the binaryFile reader) stop at 2^31-1
 # bytes; a bigger file fails its task, so it is kept out of the scan and
 # reported as an error instead of aborting the job.
@@ -57,13 +53,10 @@ class Profile:
     keep_failed_pages: bool
     ocr_timeout_ms: int | None
     max_image_pixels: int | None
-    assembly_budget_bytes: int = DEFAULT_ASSEMBLY_BUDGET_BYTES
-
-    @property
-    def output_budget(self) -> int:
-        if self.max_output_bytes is None:
-            return self.assembly_budget_bytes
-        return min(self.max_output_bytes, self.assembly_budget_bytes)
+    segment_bytes: int = SEGMENT_BYTES
+    # URL schemes besides file: whose paths are looked up as they are (a cluster's
+    # storage, e.g. ("hdfs", "s3")); the source tool accepts none.
+    accepted_schemes: tuple[str, ...] = ()
 
     def with_(self, **kw) -> "Profile":
         d = self.__dict__.copy()

@@ -68,6 +68,7 @@ DECODED = T.StructType([
 
 PAYLOAD = T.StructType([
     T.StructField("run_id", T.StringType()),
+    T.StructField("seg", T.LongType()),
     T.StructField("payload", T.StringType()),
     T.StructField("n_bytes", T.LongType()),
     T.StructField("n_files", T.LongType()),

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Behaviour the engine's plans rely on (adaptive execution, skew splitting,
 # checkpoint cleanup). Cluster sizing (executors, memory, partitions) comes
@@ -50,14 +50,18 @@ def get_session(master: str | None = None, app: str = "textbarge",
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session first; set a local one only when it is unset
-    (local mode / tests). Also registers it as the checkpoint directory so
+    Read from the session first; a local one is set only when it is unset and the
+    master is local (tests), where one machine is all there is. On a cluster an
+    unset folder is an error. Also registers it as the checkpoint directory so
     ``DataFrame.checkpoint()`` lands there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="textbarge-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -70,6 +74,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spool(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: lineage ends in storage
+    that every executor sees, and what reads it prunes columns."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(uri: str) -> str:
     """Strip a ``file:`` scheme so Python file APIs can use the path."""
     if uri.startswith("file://"):

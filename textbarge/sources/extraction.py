@@ -39,32 +39,47 @@ def lookup_extraction(entries: DataFrame, results: DataFrame, profile: Profile |
             .drop("_x_text", "_x_error", "_x_seen"))
 
 
-def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame],
-                  materialize: bool = True) -> DataFrame:
-    """Apply ``extractor(batch) -> page rows`` to batches of ``(path, content)``.
-
-    The extractor sees one Arrow batch at a time and must return rows in the
-    ``page_results`` schema; Spark partitions and schedules the work. Page
-    results usually feed several consumers (page counts, statistics, the
-    text itself), so with ``materialize`` they are checkpointed once under
-    ``spark.checkpoint.dir``: the extractor, typically the expensive step, runs
-    exactly once per file, and a lost executor does not re-run it for others.
+# Bytes of file content that an extractor is handed at a time (one file at least).
+EXTRACT_BYTES = 64 * 1024 * 1024
+
+
+def _frames(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The batches' rows in frames of at most ``most`` bytes of content."""
+    for b in batches:
+        first = held = 0
+        for i, content in enumerate(b["content"]):
+            n = len(content) if content is not None else 0
+            if i > first and held + n > most:
+                yield b.iloc[first:i]
+                first, held = i, 0
+            held += n
+        if first < len(b):
+            yield b.iloc[first:]
+
+
+def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]],
+                  max_bytes: int = EXTRACT_BYTES, materialize: bool = True) -> DataFrame:
+    """Apply ``extractor(frame) -> page rows`` to frames of ``(path, content)``.
+
+    A frame holds at most ``max_bytes`` of content (one file at least); the extractor
+    returns rows in the ``page_results`` schema, or an iterator of such frames.
+    Spark partitions and schedules the work. Page results usually feed several
+    consumers (page counts, the text itself), so with ``materialize`` they are
+    written once in the shared folder: the extractor, typically the expensive
+    step, runs once per file, and a lost executor does not re-run it for others.
     """
-    from ..session import ship_package
+    from ..session import ship_package, spool
     ship_package(files.sparkSession)
     cols = [f.name for f in schemas.PAGE_RESULTS.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = extractor(b)
-            for c in cols:
-                if c not in out.columns:
-                    out[c] = None
-            yield out[cols]
+        for frame in _frames(batches, max_bytes):
+            out = extractor(frame)
+            for rows in ([out] if isinstance(out, pd.DataFrame) else out):
+                for c in cols:
+                    if c not in rows.columns:
+                        rows[c] = None
+                yield rows[cols]
 
     out = files.select("path", "content").mapInPandas(run, schemas.PAGE_RESULTS)
-    if materialize:
-        from ..session import shared_dir
-        shared_dir(out.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    return spool(out, "page_results") if materialize else out

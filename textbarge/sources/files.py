@@ -14,11 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..profiles import DEFAULT_ASSEMBLY_BUDGET_BYTES, ENGINE_MAX_FILE_BYTES
+from ..functions.decode import decode_bytes
+from ..functions.errors import lenient_error, strict_error
+from ..operators.decode import decode_error
+from ..profiles import ENGINE_MAX_FILE_BYTES, Profile, get_profile
 
-# The fallback reader holds a whole file in a Python worker: keep it to what a
-# payload could hold anyway.
-FALLBACK_MAX_BYTES = DEFAULT_ASSEMBLY_BUDGET_BYTES
+# Bytes of file content that a Python reader hands on at a time (one file at least).
+FRAME_BYTES = 16 * 1024 * 1024
+FILE_OVER_ENGINE_LIMIT = "file larger than the engine's 2 GiB limit"
 
 
 def normalize_path(c="path"):
@@ -33,23 +36,28 @@ def scan_files(spark: SparkSession, roots: str | list[str], glob: str | None = N
 
     ``max_bytes`` is a plain filter on ``length``; Catalyst pushes it into the
     scan, so the bytes of larger files are never read. Files over Spark's 2 GiB
-    binary limit are always left out (they would fail their task).
+    binary limit (they would fail their task) are rows without content: their
+    bytes are not read either, and ``attach_decoded`` makes them a typed error.
     """
     r = (spark.read.format("binaryFile").option("recursiveFileLookup", "true"))
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.load(roots if isinstance(roots, list) else [roots])
-    limit = ENGINE_MAX_FILE_BYTES if max_bytes is None else min(max_bytes, ENGINE_MAX_FILE_BYTES)
-    df = df.where(F.col("length") <= F.lit(limit))
-    df = df.withColumn("path", normalize_path("path"))
-    cols = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
-    return df.select(*cols)
+    all_files = r.load(roots if isinstance(roots, list) else [roots])
+    df = all_files if max_bytes is None else all_files.where(F.col("length") <= F.lit(max_bytes))
+    cols = ["path", "modificationTime", "length"]
+    if not with_content:
+        return df.withColumn("path", normalize_path("path")).select(*cols)
+    out = df.where(F.col("length") <= F.lit(ENGINE_MAX_FILE_BYTES)).select(*cols, "content")
+    if max_bytes is None or max_bytes > ENGINE_MAX_FILE_BYTES:
+        over = df.where(F.col("length") > F.lit(ENGINE_MAX_FILE_BYTES)).select(*cols)
+        out = out.unionByName(over.withColumn("content", F.lit(None).cast("binary")))
+    return out.withColumn("path", normalize_path("path"))
 
 
 def _read_batches(batches):
     cache: dict = {}
     for pdf in batches:
-        out = []
+        out, held = [], 0
         for p in pdf["path"]:
             try:
                 if _remote(p):
@@ -61,6 +69,10 @@ def _read_batches(batches):
                         out.append((p, fh.read()))
             except OSError:
                 out.append((p, None))
+            held += len(out[-1][1] or b"")
+            if held >= FRAME_BYTES:
+                yield pd.DataFrame(out, columns=["path", "content"])
+                out, held = [], 0
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
@@ -74,24 +86,37 @@ def read_bytes(paths: DataFrame, path_col: str = "path") -> DataFrame:
     return p.mapInPandas(_read_batches, "path string, content binary")
 
 
-def attach_content(entries: DataFrame, files: DataFrame, path_col: str = "lookup_path",
-                   fallback: bool = True) -> DataFrame:
-    """LEFT JOIN scanned bytes. A zero-length file (absent from the scan)
-    gets ``b''``; with ``fallback`` an existing, non-empty file the scan did not
-    return is read directly (only those rows go through Python)."""
-    f = files.select(F.col("path").alias(path_col), F.col("content").alias("_content"))
-    out = entries.join(f, path_col, "left")
-    out = (out.withColumn("content", F.when(F.col("_content").isNotNull(), F.col("_content"))
-                          .when(F.col("length") == 0, F.lit(bytearray(b""))))
-           .drop("_content"))
-    if not fallback:
-        return out
-    unseen = out.where(F.col("content").isNull() & F.coalesce(F.col("exists"), F.lit(False))
-                       & ~F.coalesce(F.col("is_dir"), F.lit(False))
-                       & (F.coalesce(F.col("length"), F.lit(0)) <= F.lit(FALLBACK_MAX_BYTES)))
-    got = read_bytes(unseen, path_col).select(F.col("path").alias(path_col), F.col("content").alias("_fb"))
-    return (out.join(got, path_col, "left")
-            .withColumn("content", F.coalesce(F.col("content"), F.col("_fb"))).drop("_fb"))
+def attach_decoded(entries: DataFrame, files: DataFrame, profile: Profile | str, path_col: str = "lookup_path",
+                   path: str = "path", fallback: bool = True) -> DataFrame:
+    """Adds ``text, encoding, error`` of each entry's file to ``entries`` (one row each).
+
+    Bytes are decoded where they are read; only the texts of wanted files are
+    joined to the entries, by path. A zero-length file (absent from the scan)
+    is the empty text; with ``fallback`` an existing, non-empty file the scan did
+    not return is read directly (only those rows go through Python). ``entries``
+    has the inventory's ``exists, is_dir, length``; a file that is too large for
+    Spark is an error; one that gave no bytes has neither text nor error.
+    """
+    p = get_profile(profile)
+    wanted = entries.select(path_col).where(F.col(path_col).isNotNull()).distinct()
+
+    def decoded(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("path").alias(path_col), decode_bytes("content", p).alias("_d"))
+
+    found = decoded(files.where(F.col("content").isNotNull())).join(wanted, path_col)
+    if fallback:
+        readable = (F.coalesce(F.col("exists"), F.lit(False)) & ~F.coalesce(F.col("is_dir"), F.lit(False))
+                    & F.coalesce(F.col("length"), F.lit(0)).between(1, ENGINE_MAX_FILE_BYTES))
+        unseen = entries.where(readable).select(path_col).distinct().join(
+            files.select(F.col("path").alias(path_col)), path_col, "left_anti")
+        found = found.unionByName(decoded(read_bytes(unseen, path_col)))
+    d = F.coalesce(F.col("_d"), F.when(F.col("length") == 0, decode_bytes(F.lit(bytearray(b"")), p)))
+    over = F.when(F.col("length") > F.lit(ENGINE_MAX_FILE_BYTES),
+                  strict_error("IoError", path, F.lit(FILE_OVER_ENGINE_LIMIT)) if p.name == "strict"
+                  else lenient_error("extractionFailed", path, F.lit(FILE_OVER_ENGINE_LIMIT)))
+    return (entries.join(found, path_col, "left").withColumn("_d", d)
+            .withColumn("text", F.col("_d.text")).withColumn("encoding", F.col("_d.encoding"))
+            .withColumn("error", F.coalesce(over, decode_error(F.col("_d"), p, path))).drop("_d"))
 
 
 def _remote(path: str) -> bool:

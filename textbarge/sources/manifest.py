@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions.route import is_local, to_local_path
+from ..functions.route import lookup_path
+from ..profiles import Profile
 
 
 def read_manifest(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -21,14 +22,14 @@ def manifest_from_paths(spark: SparkSession, run_id: str, paths: list[str]) -> D
         F.lit(None).cast("string").alias("inline_text"), F.lit(None).cast("string").alias("declared_type"))
 
 
-def with_lookup_path(manifest: DataFrame) -> DataFrame:
-    """Adds ``is_inline`` ('-' entries) and ``lookup_path`` (file: URLs made local)."""
+def with_lookup_path(manifest: DataFrame, profile: Profile | str = "strict") -> DataFrame:
+    """Adds ``is_inline`` ('-' entries) and ``lookup_path`` (see ``functions.route.lookup_path``)."""
     inline = F.col("path") == "-"
     return (manifest.withColumn("is_inline", inline)
-            .withColumn("lookup_path", F.when(~inline & is_local(F.col("path")), to_local_path(F.col("path")))))
+            .withColumn("lookup_path", F.when(~inline, lookup_path("path", profile))))
 
 
-def split_inline(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_inline(manifest: DataFrame, profile: Profile | str = "strict") -> tuple[DataFrame, DataFrame]:
     """S3: inline ('-') rows bypass routing and the NUL check; the rest are files."""
-    m = with_lookup_path(manifest)
+    m = with_lookup_path(manifest, profile)
     return m.where(F.col("is_inline")), m.where(~F.col("is_inline"))
