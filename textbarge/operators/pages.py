@@ -93,18 +93,16 @@ def present_pages(rng: DataFrame, pages: DataFrame, cols: list[str]) -> DataFram
             .where((F.col("page_idx") >= 0) & (F.col("page_idx") < F.col("_m"))).drop("_m"))
 
 
-def missing_pages(rng: DataFrame, present: DataFrame) -> DataFrame:
-    """Expected pages without a result, found on keys only (no text moves).
+def _seen() -> Column:
+    """The distinct page numbers of a document's results, in order (an aggregate)."""
+    return F.array_sort(F.collect_set("page_idx"))
 
-    A document has a gap exactly when it has fewer distinct pages than expected:
-    only those documents are expanded into expected keys and anti-joined, not
-    every page of every document.
-    """
-    counts = present.select("path", "page_idx").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-    gappy = (rng.join(counts, "path", "left")
-             .where(F.coalesce(F.col("_n"), F.lit(0)) < F.col("_m")).select("path", "_m"))
-    expected = gappy.select("path", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("page_idx"))
-    return expected.join(present.select("path", "page_idx"), ["path", "page_idx"], "left_anti")
+
+def _absent(seen: Column) -> Column:
+    """Page numbers below ``_m`` without a result."""
+    none = F.array().cast("array<int>")
+    have = F.coalesce(seen, none)
+    return F.when(F.size(have) < F.col("_m"), F.array_except(F.sequence(F.lit(0), F.col("_m") - 1), have)).otherwise(none)
 
 
 # ----------------------------------------------------------------------- G16/G17
@@ -172,11 +170,26 @@ def _piece(p: Profile) -> Column:
     return F.when(F.col("error").isNull(), text)
 
 
-def _first_failures(rng: DataFrame, present: DataFrame) -> DataFrame:
-    """``path, first_error`` (page_idx, error) of documents with a failed or missing page: keys and short texts."""
-    errs = (present.where(F.col("error").isNotNull()).select("path", "page_idx", "error")
-            .unionByName(missing_pages(rng, present).withColumn("error", F.lit("page missing"))))
-    return errs.groupBy("path").agg(F.min(F.struct("page_idx", "error")).alias("first_error"))
+def _embedded(facts: DataFrame, pages: DataFrame, p: Profile, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """``facts`` behind the PDF gate, and per document with a page range ``path, failure, prose``
+    (and what its text is made of): one aggregate after the join of pages to their document."""
+    gated = pdf_gate(facts, p, "embedded")
+    rng = page_range(gated.where(F.col("pdf_error").isNull()))
+    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"]).withColumn("piece", _piece(p))
+    aggs = [F.max(~is_blank(F.col("piece"))).alias("prose")]
+    if p.name == "strict":
+        aggs += [F.min(F.when(F.col("error").isNotNull(), F.struct("page_idx", "error"))).alias("bad"), _seen().alias("seen")]
+    if with_text:
+        aggs += [F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx, piece)").alias("joined"),
+                 F.min(F.when(F.col("piece") != "", F.struct("page_idx", "piece"))).alias("first")]
+    # Every document with a page range, also those without any page row.
+    st = rng.select("path", "_m").join(present.groupBy("path").agg(*aggs), "path", "left")
+    failure = F.lit(None).cast("struct<page_idx:int,error:string>")
+    if p.name == "strict":
+        gap = F.array_min(_absent(F.col("seen")))
+        missing = F.when(gap.isNotNull(), F.struct(gap.alias("page_idx"), F.lit("page missing").alias("error")))
+        failure = F.least(F.col("bad"), missing)
+    return gated, st.withColumn("failure", failure).withColumn("prose", F.coalesce("prose", F.lit(False)))
 
 
 def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
@@ -193,43 +206,28 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
     ``blank`` marks documents whose text is blank after trimming (G5 decides).
     """
     p = get_profile(profile)
-    gated = pdf_gate(facts, p, "embedded")
-    rng = page_range(gated.where(F.col("pdf_error").isNull()))
-    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"]).withColumn("piece", _piece(p))
-    joined = present.groupBy("path").agg(
-        F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx, piece)").alias("joined"),
-        F.min(F.when(F.col("piece") != "", F.struct(F.col("page_idx"), F.col("piece")))).alias("first"))
-    # Every document with a page range, also those without any page row.
-    st = rng.select("path").join(joined, "path", "left")
+    gated, st = _embedded(facts, pages, p, with_text=True)
     k = _lead_nl(F.col("joined")) - _lead_nl(F.col("first.piece"))
     text = (F.when(F.col("first").isNull(), F.lit(""))
             .otherwise(F.substring(F.col("joined"), k + 1, 2147483647)))
-    err = null_error()
-    if p.name == "strict":
-        st = st.join(_first_failures(rng, present), "path", "left")
-        fe = F.col("first_error")
-        err = F.when(fe.isNotNull(), strict_error("ExtractionError", "path", fmt(
-            STRICT_PAGE_EXTRACT, n=page_no(fe.getField("page_idx")), error=fe.getField("error")))).otherwise(null_error())
-    built = st.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"))
+    bad = F.col("failure")
+    err = F.when(bad.isNotNull(), strict_error("ExtractionError", "path", fmt(
+        STRICT_PAGE_EXTRACT, n=page_no(bad.getField("page_idx")), error=bad.getField("error")))).otherwise(null_error())
+    built = st.select("path", F.when(bad.isNull(), text).alias("text"), err.alias("error"),
+                      (bad.isNull() & ~F.col("prose")).alias("blank"))
     # Documents without a page range: failing the PDF gate, or with no pages.
     others = gated.where(F.col("pdf_error").isNotNull() | (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select(
-        "path", F.when(F.col("pdf_error").isNull(), F.lit("")).alias("text"), F.col("pdf_error").alias("error"))
-    out = built.unionByName(others)
-    return out.withColumn("blank", F.col("error").isNull() & is_blank(F.col("text")))
+        "path", F.when(F.col("pdf_error").isNull(), F.lit("")).alias("text"), F.col("pdf_error").alias("error"),
+        F.col("pdf_error").isNull().alias("blank"))
+    return built.unionByName(others)
 
 
 def blank_documents(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
     """``path`` of the documents whose embedded text is blank and without error (G5), from
     page-level tests alone: a text is blank exactly when all its pieces are."""
-    p = get_profile(profile)
-    gated = pdf_gate(facts, p, "embedded").where(F.col("pdf_error").isNull())
-    rng = page_range(gated)
-    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"]).withColumn(
-        "prose", ~is_blank(_piece(p)))
-    full = present.where("prose").select("path")
-    if p.name == "strict":
-        full = full.unionByName(_first_failures(rng, present).select("path"))
-    return gated.select("path").join(full.distinct(), "path", "left_anti")
+    gated, st = _embedded(facts, pages, get_profile(profile), with_text=False)
+    none = gated.where(F.col("pdf_error").isNull() & (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select("path")
+    return st.where(F.col("failure").isNull() & ~F.col("prose")).select("path").unionByName(none)
 
 
 # ----------------------------------------------------------------- G6-G13 (OCR)
@@ -257,7 +255,7 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     G13: blank result is an error (strict only when no page failed).
 
     One aggregate per document collects its successful pages and its failures;
-    missing pages are joined from keys.
+    pages without a result follow from the page numbers it has.
     """
     p = get_profile(profile)
     gated = pdf_gate(facts, p, "ocr")
@@ -271,13 +269,16 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
     ok = F.col("status") == "ok"
     own = present.groupBy("path").agg(
         F.array_sort(F.collect_list(F.when(ok, F.struct(F.col("page_idx"), lines.alias("lines"))))).alias("good"),
-        F.collect_list(F.when(~ok, F.struct(F.col("page_idx"), listed.alias("listed")))).alias("bad"))
-    absent = (missing_pages(rng, present)
-              .select("path", "page_idx", F.lit("access").alias("status"), F.lit(None).cast("string").alias("error"))
-              .groupBy("path").agg(F.collect_list(F.struct(F.col("page_idx"), listed.alias("listed"))).alias("absent")))
-    res = rng.join(own, "path", "left").join(absent, "path", "left")
+        F.collect_list(F.when(~ok, F.struct(F.col("page_idx"), listed.alias("listed")))).alias("bad"),
+        _seen().alias("seen"))
+    res = rng.join(own, "path", "left")
+
+    def listed_absent(i: Column) -> Column:
+        line = fmt(STRICT_WARN_ACCESS, n=page_no(i)) if p.name == "strict" else _s(page_no(i))
+        return F.struct(i.alias("page_idx"), line.alias("listed"))
+
     none = F.array().cast("array<struct<page_idx:int,listed:string>>")
-    failed = F.array_sort(F.concat(F.coalesce(F.col("bad"), none), F.coalesce(F.col("absent"), none)))
+    failed = F.array_sort(F.concat(F.coalesce(F.col("bad"), none), F.transform(_absent(F.col("seen")), listed_absent)))
     first = F.array_min(F.transform(F.filter(F.col("good"), lambda g: F.size(g["lines"]) > 0), lambda g: g["page_idx"]))
     res = (res.withColumn("failed", failed).withColumn("n_failed", F.size("failed").cast("bigint"))
            .withColumn("failed_list", F.when(F.col("n_failed") > 0, F.array_join(
