@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import fresh_dir, ship_package
 
 #: Bytes of text that a Python task works on at a time (a longer single text is taken whole).
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
+#: Rows in an Arrow batch at most: rows carry whole texts, and each batch is held by the JVM and by Python.
+BATCH_ROWS, _BATCH_ROWS = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +30,11 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
 
 def ready(df: DataFrame) -> SparkSession:
-    """The session, with this package importable by the Python workers."""
+    """The session, with this package importable by the Python workers and Arrow batches of at most BATCH_ROWS rows."""
     spark = df.sparkSession
     ship_package(spark)
+    if not 0 < int(spark.conf.get(_BATCH_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, BATCH_ROWS)
     return spark
 
 
