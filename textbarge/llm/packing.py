@@ -84,6 +84,7 @@ def _tokenize(tokenizer: str, end_id: int):
                 raw = [x + end for x in encoder.ids(texts[a:b])]
                 ids = [np.frombuffer(x, "<u2") for x in raw]
                 yield pa.RecordBatch.from_arrays([names.slice(a, b - a), pa.array(_keys(ids)), pa.array([len(x) for x in ids], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "key", "n", "ids"])
+        encoder.rest()
     return run
 
 

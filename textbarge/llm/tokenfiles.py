@@ -121,6 +121,7 @@ def _write(path: str, tokenizer: str, end_id: int, block: int, file_ids: int):
                     held += len(ids[-1])
                     if held >= file_ids:
                         yield flush()
+        encoder.rest()
         if names:
             yield flush()
     return run

@@ -1,16 +1,16 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of pieces.
 
 A text is cut only where the tokenizer's own splitting must cut: between a character that
-is not white space, one space, and another such character. Each piece is encoded by the
-tokenizers library once and its ids are kept, up to twice ``KEPT`` pieces a worker; joining the
-pieces' ids gives the ids of the whole text (tests compare with whole-text encoding).
+is not white space, one space or line feed, and another such character, or between a word
+and the marks after it. Each piece is encoded by the tokenizers library once and its ids are
+kept, up to twice ``KEPT`` pieces a worker; joining the pieces' ids gives the ids of the
+whole text (tests compare with whole-text encoding).
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -22,37 +22,54 @@ LONG = 200
 #: Pieces sent to the tokenizer as one text.
 GROUP = 500
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s \S|\S \s|^ | $|  ")
+_SPACE = re.compile(r"\s")
+#: Marks that end words, and the last of the letters (Latin ones) before which they are split off.
+_TAIL, _LAST_LETTER = ".,;:!?%$&*#", "\u024f"
+#: Marks of pieces; a text that has them is encoded whole.
+FEED, LINE = "\x00", "\x01"
+#: White space other than a space and a line feed (fixed values).
+_RARE_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class _Kept(dict):
     """Ids by piece, in two generations: when the younger is full it becomes the older, and what is used again moves back.
 
-    A look-up of an unknown piece notes it and gives nothing; ``learn`` encodes what was noted."""
+    A look-up of an unknown piece gives an empty array, which ``learn`` fills: from two known
+    pieces if ``split`` gives them, or else from the tokenizer."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode, split):
         super().__init__()
-        self.encode, self.prefix, self.older, self.noted = encode, prefix, {}, []
+        self.encode, self.split, self.older, self.noted, self.composed = encode, split, {}, [], []
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.older.get(piece)
+    def __missing__(self, piece: str) -> bytearray:
+        ids = self.older.get(piece)
         if ids is None:
-            self.noted.append(piece)
+            ids = bytearray()
+            parts = self.split(piece)
+            if parts is None:
+                self.noted.append(piece)
+            else:
+                self.composed.append((ids, self[parts[0]], self[parts[1]]))
+        self[piece] = ids
         return ids
 
-    def learn(self, cut: list[list[str]]) -> None:
-        """From now until the next call, holds all of these pieces."""
+    def learn(self) -> None:
+        for piece, ids in zip(self.noted, self.encode(self.noted)):
+            self[piece].extend(ids)
+        for ids, first, second in self.composed:
+            ids.extend(first)
+            ids.extend(second)
+        self.noted, self.composed = [], []
         if len(self) > KEPT:
             self.older = {k: v for k, v in self.items() if len(k) <= LONG}
             self.clear()
-        for pieces in cut:
-            deque(map(self.__getitem__, pieces), maxlen=0)
-        self.update(zip(self.noted, self.encode(self.prefix, self.noted)))
-        self.noted = []
 
 
 class Pieces:
-    """``space``: pieces after the first begin with their space (byte-level), or it is dropped (word-level)."""
+    """``space``: pieces after the first begin with their space (byte-level), or it is dropped (word-level).
+
+    Byte-level pieces come in three kinds: with their space before them, LINE and the first
+    piece of a line, and FEED, the line feed itself."""
 
     kind = "<u2"
 
@@ -61,46 +78,95 @@ class Pieces:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
-        self.space = space
-        self.first, self.later = _Kept(self._alone, ""), _Kept(self._encode, " " if space else "")
+        self.space, self.kept = space, _Kept(self._encode, self._parts)
+        # What tells pieces apart that are encoded together. Byte-level: only the first id of a
+        # piece begins with its space. Word-level: a character of a single id between pieces.
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        if space:
+            self.mark, between = "", [i for x, i in vocabulary.items() if x.startswith("\u0120")]
+        else:
+            self.mark, between = next((c, e) for c in "\u00a7\u00a4\u00b6\u2020#" if len(e := self.tokenizer.encode(f"a {c} b", add_special_tokens=False).ids[1:-1]) == 1)
+        self.begins[between] = True
+        self.feeds = np.zeros(len(self.begins), bool)
+        if space:
+            self.feeds[self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1]] = True
+
+    def _alone(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _together(self, strings: list[str], between: str, begins: np.ndarray, skip: int) -> list[bytes]:
+        """Ids of strings that are encoded GROUP at a time as one text; each begins after ``between``, at an id of ``begins``."""
+        out: list[bytes] = []
+        for a in range(0, len(strings), 64 * GROUP):
+            groups = [strings[b:b + GROUP] for b in range(a, min(a + 64 * GROUP, len(strings)), GROUP)]
+            for e in self.tokenizer.encode_batch_fast([between + between.join(g) for g in groups], add_special_tokens=False):
+                ids = np.array(e.ids, self.kind)
+                raw, cuts = ids.tobytes(), (2 * np.flatnonzero(begins[ids])).tolist()
+                out += [raw[x + skip:y] for x, y in zip(cuts, [*cuts[1:], len(raw)])]
+        return out
 
-    def _encode(self, prefix: str, strings: list[str]) -> list[bytes]:
-        """The ids of each piece. Pieces without white space at their ends are put together into
-        longer texts first, where each must begin anew, and told apart by the ids' places."""
-        out, plain, odd = [b""] * len(strings), [], []
+    def _encode(self, strings: list[str]) -> list[bytes]:
+        plain, lines, odd = [], [], []
         for i, x in enumerate(strings):
-            (plain if x and x == x.strip() else odd).append(i)
-        groups = [plain[i:i + GROUP] for i in range(0, len(plain), GROUP)]
-        for a in range(0, len(groups), 64):
-            some = groups[a:a + 64]
-            for group, e in zip(some, self.tokenizer.encode_batch([" " + " ".join([strings[i] for i in g]) for g in some], add_special_tokens=False)):
-                at = np.array([o[0] for o in e.offsets] if e.ids else [], np.int64)
-                begins = np.cumsum([0] + [len(strings[i]) + 1 for i in group])
-                ids, cuts = np.array(e.ids, self.kind).tobytes(), np.searchsorted(at, begins).tolist()
-                for i, x, y in zip(group, cuts, cuts[1:]):
-                    out[i] = ids[2 * x:2 * y]
-        for a in range(0, len(odd), GROUP):
-            some = odd[a:a + GROUP]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([prefix + strings[i] for i in some], add_special_tokens=False)):
-                out[i] = np.array(e.ids, self.kind).tobytes()
+            if self.space and x[:1] == LINE and len(x) > 1:
+                lines.append(i)
+            elif x and not _SPACE.search(x) and not (self.space and x in (FEED, LINE)) and not (self.mark and self.mark in x):
+                plain.append(i)
+            else:
+                odd.append(i)
+        out = [b""] * len(strings)
+        for at, ids in ((plain, self._together([strings[i] for i in plain], f" {self.mark} " if self.mark else " ", self.begins, 2 * len(self.mark))),
+                        (lines, self._together([strings[i][1:] for i in lines], "\n", self.feeds, 2)),
+                        (odd, self._alone([self._whole(strings[i]) for i in odd]))):
+            for i, x in zip(at, ids):
+                out[i] = x
         return out
 
-    def _alone(self, prefix: str, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast([prefix + x for x in strings], add_special_tokens=False)]
-
-    def _cut(self, text: str) -> list[str]:
+    def _whole(self, piece: str) -> str:
         if not self.space:
-            return text.replace("\n", " ").split(" ")
-        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            return piece
+        return "\n" if piece == FEED else "" if piece == LINE else " " + piece
+
+    def _parts(self, piece: str) -> tuple[str, str] | None:
+        """A word and the marks after it: both tokenizers split between letters and these."""
+        word = piece.rstrip(_TAIL)
+        if len(word) == len(piece) or not word:
+            return None
+        letters = word[1:] if self.space and word[0] == LINE else word
+        if not letters.isalpha() or max(letters) > _LAST_LETTER:
+            return None
+        return word, (LINE if self.space else "") + piece[len(word):]
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Pieces of the text; nothing where it must be encoded whole."""
+        if not self.space:
+            return text.encode().lower().decode().replace("\n", " ").split(" ")     # ASCII letters only
+        if FEED in text or LINE in text or text[:1].isspace() or text[-1:].isspace():
+            return None
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _RARE_SPACE.search(text):
+            pieces = _CUT.split(text)
+            return None if any(_SPACE.search(p) for p in pieces[:1]) else [LINE + pieces[0], *pieces[1:]]
+        return (LINE + text.replace("\n", f" {FEED} {LINE}")).split(" ")
+
+    def rest(self) -> None:
+        """Gives back the older pieces: between tasks a worker keeps one generation."""
+        self.kept.older = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned integers."""
-        cut = [self._cut(t) for t in texts]
-        begins = [[p.pop(0)] for p in cut]
-        self.first.learn(begins)
-        self.later.learn(cut)
-        first, later = self.first.__getitem__, self.later.__getitem__
-        return [first(b) + b"".join(map(later, p)) for (b,), p in zip(begins, cut)]
+        get, whole = self.kept.__getitem__, []
+        found = []
+        for i, t in enumerate(texts):
+            pieces = self._cut(t)
+            if pieces is None:
+                whole.append(i)
+            found.append([] if pieces is None else list(map(get, pieces)))
+        self.kept.learn()
+        out = [b"".join(f) for f in found]
+        for i, ids in zip(whole, self._alone([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
