@@ -218,14 +218,16 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     All columns stay. A repeated id is kept once; rows without an id cannot name a group
     and stay."""
     groups = near_duplicates(docs, doc_id, text, shingle, max_bits)
-    key, copies = own_name(docs, "kept_id"), own_name(docs, "copies")
-    first = spool(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(copies)), "first")
+    key, named, rows = own_name(docs, "kept_id"), own_name(docs, "named"), own_name(docs, "copies")
+    # Only ids that go, or that several rows have, take part in joins with the texts.
+    odd = spool(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias(key))
+                .agg(F.max(F.col("doc_id") == F.col("component_id")).alias(named), F.count("*").alias(rows))
+                .where(~F.col(named) | (F.col(rows) > 1)), "odd_ids")
     ids = column(docs, doc_id).cast("bigint")
-    kept = docs.join(first.where(F.col(copies) == 1), ids == F.col(key), "left_semi")
-    if not first.where(F.col(copies) > 1).isEmpty():
-        again = docs.join(first.where(F.col(copies) > 1), ids == F.col(key), "left_semi")
-        kept = kept.unionByName(again.dropDuplicates([doc_id]))
-    return kept.unionByName(docs.where(ids.isNull()))
+    kept = docs.join(odd, ids == F.col(key), "left_anti")
+    if not odd.where(named).isEmpty():
+        kept = kept.unionByName(docs.join(odd.where(named), ids == F.col(key), "left_semi").dropDuplicates([doc_id]))
+    return kept
 
 
 def op7_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
