@@ -40,8 +40,8 @@ SUFFIX = 3
 #: Learnt tokens in a mini-batch, and its noise samples.
 BATCH, NOISE = 4096, 32
 ROUNDS, RATE = 2, 0.08
-#: Bytes of text in a chunk.
-CHUNK_BYTES = 6 << 20
+#: Bytes of text in a chunk, and chunks that a task trains on at most (about).
+CHUNK_BYTES, TASK_CHUNKS = 6 << 20, 32
 END = 0
 CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, words array<binary>, counts array<bigint>"
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -67,7 +67,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             codes = np.concatenate(parts)
             learnt = np.repeat(~np.array(held[a:b], bool), sizes)
-            row = (chunk, ids[a:b], held[a:b], sizes, codes.tobytes(), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist())
+            row = (chunk, ids[a:b], held[a:b], sizes, zlib.compress(codes.tobytes(), 1), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist())
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
             chunk += 1
@@ -77,6 +77,10 @@ def group_of(word: bytes) -> int:
     return zlib.crc32(word[-SUFFIX:]) % GROUPS
 
 
+def _codes(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed.as_buffer()), np.uint32)
+
+
 class Shape:
     """What the tasks share: counts of all learnt tokens and the class of each frequent word.
 
@@ -183,7 +187,7 @@ def _train(start, shape_of, round_no: int):
                 # words, sizes, held, codes: one chunk at a time
                 words, sizes, held, codes = (batch.column(c)[i] for c in range(4))
                 sizes, held = np.asarray(sizes.values, np.int64), np.asarray(held.values).astype(bool)
-                classes = shape.of(words.as_py())[np.frombuffer(codes.as_buffer(), np.uint32)]
+                classes = shape.of(words.as_py())[_codes(codes)]
                 target, one, two, starts = _events(classes, sizes, shape.begin)
                 learnt = np.flatnonzero(np.repeat(~held, np.diff(starts)))
                 trainer = trainer or Trainer(start.value, shape, 101 * round_no + TaskContext.get().partitionId())
@@ -207,12 +211,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(chunks: DataFrame, shape: Shape) -> dict[str, np.ndarray]:
-    """Parameters after ``ROUNDS`` rounds over all learnt tokens: a row of parameters for each core, added up by Spark."""
+    """Parameters after ``ROUNDS`` rounds over all learnt tokens: a row of parameters for each task, added up by Spark."""
     sc, params = chunks.sparkSession.sparkContext, _initial(shape)
+    tasks = max(sc.defaultParallelism, chunks.select("chunk").count() // TASK_CHUNKS)
     shape_of, kind = sc.broadcast(shape), "tokens double, sums binary"
     for round_no in range(ROUNDS):
-        own = chunks.select("words", "sizes", "held", "codes").coalesce(sc.defaultParallelism).mapInArrow(_train(sc.broadcast(params), shape_of, round_no), kind)
-        row = own.repartition(max(1, round(sc.defaultParallelism ** 0.5))).mapInArrow(_added, kind).repartition(1).mapInArrow(_added, kind).first()
+        own = chunks.select("words", "sizes", "held", "codes").coalesce(tasks).mapInArrow(_train(sc.broadcast(params), shape_of, round_no), kind)
+        row = own.repartition(max(1, round(tasks ** 0.5))).mapInArrow(_added, kind).repartition(1).mapInArrow(_added, kind).first()
         if row is None:
             break
         params = _unflat(np.frombuffer(row["sums"]) / row["tokens"], params)
@@ -240,7 +245,7 @@ def _score(shape_of, tables_of):
                 counts = np.zeros(len(words), np.int64)
                 if found.is_valid and len(found.values):
                     counts[np.asarray(at.values)] = np.asarray(found.values)
-                of, codes = shape.of(words), np.frombuffer(codes.as_buffer(), np.uint32)
+                of, codes = shape.of(words), _codes(codes)
                 target, one, two, starts = _events(of[codes], sizes, shape.begin)
                 ended = starts[1:] - 1
                 inner = np.ones(len(target), bool)
