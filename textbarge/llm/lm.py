@@ -41,7 +41,7 @@ SUFFIX = 3
 BATCH, NOISE = 4096, 32
 ROUNDS, RATE = 2, 0.08
 #: Bytes of text in a chunk, and chunks that a task trains on at most (about).
-CHUNK_BYTES, TASK_CHUNKS = 6 << 20, 32
+CHUNK_BYTES, TASK_CHUNKS = 9 << 20, 24
 END = 0
 CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, words array<binary>, counts array<bigint>"
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -67,7 +67,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
             codes = np.concatenate(parts)
             learnt = np.repeat(~np.array(held[a:b], bool), sizes)
-            row = (chunk, ids[a:b], held[a:b], sizes, zlib.compress(codes.tobytes(), 1), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist())
+            row = (chunk, ids[a:b], held[a:b], sizes, codes.tobytes(), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist())
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
             chunk += 1
@@ -78,7 +78,7 @@ def group_of(word: bytes) -> int:
 
 
 def _codes(packed: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed.as_buffer()), np.uint32)
+    return np.frombuffer(packed.as_buffer(), np.uint32)
 
 
 class Shape:
