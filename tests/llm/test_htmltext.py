@@ -40,3 +40,20 @@ def test_given_pages_hold_their_articles(spark):
         inner = re.search(r"<article>(.*?)(</article>|<footer>|$)", r["html"], re.S)[1]
         blocks = re.sub(r"</?b>", "", re.sub(r"<(br|/?p|/?h1)[^>]*>", "\0", inner)).split("\0")
         assert htmltext.extract(r["html"]) == " ".join(x for x in (re.sub(r"\s+", " ", html.unescape(b)).strip() for b in blocks) if x)
+
+
+def _sections(*counts, between="", n=200):
+    blocks = [[f"Part {i} paragraph {j} ".ljust(n, "x") for j in range(k)] for i, k in enumerate(counts)]
+    return between.join("<section>" + "".join(f"<p>{p}</p>" for p in b) + "</section>" for b in blocks), " ".join(p for b in blocks for p in b)
+
+
+@pytest.mark.parametrize("counts", [(10, 10), (10, 3), (2, 9, 4), (5, 5, 5, 5)])
+@pytest.mark.parametrize("page", ["<div class=post>{}</div>", "<div>{}</div><div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div>", "<div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul><div>{}</div></div>"])
+def test_sibling_sections_without_article(page, counts):
+    blocks, want = _sections(*counts)
+    assert htmltext.extract(f"<html><body>{page.format(blocks)}</body></html>") == want
+
+
+def test_sibling_sections_keep_what_is_between():
+    blocks, want = _sections(4, 4, between="<h2>Between</h2>")
+    assert htmltext.extract(f"<div class=post>{blocks}</div>") == want.replace(" Part 1 paragraph 0", " Between Part 1 paragraph 0")

@@ -6,7 +6,10 @@ link-adjusted density is (C / T) * log_b(C * T / (LC * LT)) with the base
 b = ln(C / (C - LC) * LC + LC_body / C_body * C + e): characters per tag, lowered for links.
 A node's density sum adds up its children's densities. The threshold is the least density
 on the path from the body to the node of the greatest sum; going down from the body, among
-nodes of at least that density the one with the greatest sum is the main subtree.
+nodes of at least that density the one with the greatest sum is the main subtree. An article
+may be spread over sibling blocks: the subtree is widened to every ancestor with another child
+that reaches the threshold, or half of its own characters outside links per tag; only blocks
+that are mostly links are left out there.
 
 Elements that are never prose (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) are left out before: by tag, by role, and by whole words of
@@ -165,6 +168,23 @@ def _measure(nodes: list[Node]) -> None:
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.drop)
 
 
+def _widened(kept: Node, threshold: float) -> Node:
+    """The highest ancestor that holds another block of the article; its blocks of links are marked as dropped."""
+    prose = (kept.chars - kept.link_chars) / max(kept.tags, 1) / 2
+    wide, passed, node = kept, [], kept
+    while node.parent is not None:
+        others = [c for c in node.parent.children if isinstance(c, Node) and c is not node and not c.drop and c.chars]
+        lists = [c for c in others if 2 * c.link_chars > c.chars]
+        passed += lists
+        node = node.parent
+        if any(c.density >= threshold or (c.chars - c.link_chars) / max(c.tags, 1) >= max(prose, 1) for c in others if c not in lists):
+            wide = node
+            for c in passed:
+                c.drop = True
+            passed = []
+    return wide
+
+
 def main_subtree(root: Node) -> Node:
     nodes = _walk(root)
     if _site_headers(nodes):
@@ -179,6 +199,7 @@ def main_subtree(root: Node) -> Node:
         # A whole article is not cut down to its densest part: only a node with at least its sum replaces it.
         if node.density >= threshold and node.total > kept.total:
             kept = node
+    kept = _widened(kept, threshold)
     while kept.parent is not None and kept.tag in _BLOCK - {"article", "main", "div", "section"}:
         kept = kept.parent
     up = kept
