@@ -57,3 +57,16 @@ def test_sibling_sections_without_article(page, counts):
 def test_sibling_sections_keep_what_is_between():
     blocks, want = _sections(4, 4, between="<h2>Between</h2>")
     assert htmltext.extract(f"<div class=post>{blocks}</div>") == want.replace(" Part 1 paragraph 0", " Between Part 1 paragraph 0")
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "page-with-sidebar", "overflow-hidden", "content-with-comments", "share-enabled", "hidden", "widget", "sidebar layout"])
+@pytest.mark.parametrize("page", ["<div class='{}'><h1>Title</h1><p>Some text of the article.</p></div><div class=sidebar><p>Aside text</p></div>", "<div id='{}'><article><p>Title</p><p>Some text of the article.</p></article></div><div class='ad banner'>Buy</div>"])
+def test_wrapper_named_like_boilerplate(page, name):
+    assert htmltext.extract(page.format(name)) == "Title Some text of the article."
+
+
+def test_named_blocks_beside_the_article_go():
+    text = "Some text of the article."
+    for block in ("<div class='cookie-banner'>We use cookies on this site</div>", "<ol class=comments><li><article><p>" + "A reader's long comment. " * 9 + "</p></article></ol>", "<form><p>Mail address</p></form>"):
+        assert htmltext.extract(f"<main><article><p>{text}</p></article>{block}</main>") == text
+    assert htmltext.extract(f"<body><form action=x><div><p>{text}</p></div></form></body>") == text

@@ -12,8 +12,11 @@ that reaches the threshold, or half of its own characters outside links per tag;
 that are mostly links are left out there.
 
 Elements that are never prose (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) are left out before: by tag, by role, and by whole words of
-class and id. A header of an article with a heading in it is prose.
+scripts, styles, comments) are left out before: by tag, by role, and by class and id where a
+whole class token names them (a listed word, or listed words only, joined by hyphens). What a
+role, a class, an id, "hidden" or a form would leave out stays if it holds an article, main or
+h1 or (adverts and consent notices aside) most of the page's text outside links, unless an article or main outside of it, with text,
+is not named so. A header of an article with a heading in it is prose.
 
 Text: character references are decoded; white space inside a block is one space; blocks are
 trimmed and joined in page order by one space. Defined results: null, empty or text-less
@@ -35,7 +38,7 @@ from .common import only, read, ready
 # Names of elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes object canvas audio video".split())
-_DROPPED = frozenset("head nav footer aside form button select option dialog menu menuitem label fieldset datalist".split()) | _RAW
+_DROPPED = frozenset("head nav footer aside button select option dialog menu menuitem label fieldset datalist".split()) | _RAW
 _BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _BLOCK_NOT_P = _BLOCK - {"p"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -47,36 +50,42 @@ _WORDS_DROPPED = frozenset("""ad ads advert adverts advertisement advertising ad
 nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer sidebar aside widget widgets related recommended recommendations
 share sharing social cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login
 comment comments comment-list disqus replies reply respond masthead topbar toolbar copyright disclaimer skip sr-only hidden""".split())
+#: Those of an advert or a consent notice, which is no article however much of the page's text it holds.
+_FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr".split())
 _ROLES_DROPPED = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|\Z)", re.I)
-_NAME = re.compile(r"[A-Za-z]+(?:-only|-list)?")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "drop", "parent", "chars", "tags", "links", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "drop", "named", "parent", "chars", "tags", "links", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
+    def __init__(self, tag: str, parent: Node | None, named: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
-        self.drop = drop or (parent is not None and parent.drop)
+        self.drop, self.named = tag in _DROPPED or (parent is not None and parent.drop), named
 
 
-def _dropped(tag: str, attributes: str) -> bool:
-    if tag in _DROPPED:
-        return True
+def _boilerplate(token: str) -> bool:
+    return token in _WORDS_DROPPED or "-" in token and all(x in _WORDS_DROPPED for x in token.split("-"))
+
+
+def _named(tag: str, attributes: str) -> str:
+    """What tag or attributes name that is not prose, or nothing; _drop_named decides."""
     if attributes and tag not in ("html", "body", "article", "main"):
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.strip() in _ROLES_DROPPED:
-                return True
-            if name in ("class", "id") and not _WORDS_DROPPED.isdisjoint(w for x in _NAME.findall(value) for w in (x, x.split("-")[0])):
-                return True
-    return False
+                return name
+            if name in ("class", "id"):
+                tokens = [t for t in value.split() if _boilerplate(t)]
+                if tokens:
+                    return next((t for t in tokens if not _FOREIGN.isdisjoint(t.split("-"))), tokens[0])
+    return "form" if tag == "form" else ""
 
 
 def parse(page: str) -> Node:
-    root = Node("html", None, False)
+    root = Node("html", None)
     at, raw = root, ""
     for m in _TOKEN.finditer(page):
         token, tag = m[0], (m[2] or "").lower()
@@ -98,7 +107,7 @@ def parse(page: str) -> Node:
             if node is not root:
                 at = node.parent
             elif tag == "p" or tag == "br":
-                at.children.append(Node(tag, at, False))
+                at.children.append(Node(tag, at))
             continue
         closes = _CLOSES.get(tag)
         if closes:
@@ -113,13 +122,14 @@ def parse(page: str) -> Node:
             if tag == "body":
                 at = root
             continue
-        node = Node(tag, at, _dropped(tag, m[3] or ""))
+        node = Node(tag, at, _named(tag, m[3] or ""))
         at.children.append(node)
         if tag in _VOID or (m[3] or "").rstrip().endswith("/") and tag not in _RAW and tag not in _BLOCK:
             continue
         at = node
         if tag in _RAW:
             raw = tag
+    _drop_named(root)
     return root
 
 
@@ -133,6 +143,32 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _drop_named(root: Node) -> None:
+    """Drops named elements, but not what holds the article."""
+    nodes = _walk(root)
+    if not any(n.named for n in nodes):
+        return
+    prose, linked, under, holds, free = {}, {}, {}, {}, []
+    for n in nodes:
+        linked[n] = n.tag == "a" or n.parent is not None and linked[n.parent]
+        under[n] = bool(n.named) or n.parent is not None and under[n.parent]
+    own = {n: 0 if linked[n] else sum(len(_SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str)) for n in nodes}
+    outside = dict.fromkeys(nodes, 0)
+    for n in reversed(nodes):
+        below = [c for c in n.children if isinstance(c, Node) and not c.drop]
+        prose[n] = own[n] + sum(prose[c] for c in below)
+        outside[n] = 0 if under[n] else own[n] + sum(outside[c] for c in below)
+        holds[n] = n.tag in ("article", "main", "h1") or any(holds[c] for c in below)
+        if n.tag in ("article", "main") and outside[n]:
+            free.append(n)
+    # How many free articles are above a node, to tell whether one stands beside it.
+    free, above = set(free), {}
+    for n in nodes:
+        above[n] = (n in free) + (above[n.parent] if n.parent is not None else 0)
+        if n.named and (len(free) > above[n] or not (holds[n] or _FOREIGN.isdisjoint(n.named.split("-")) and 2 * prose[n] > prose[root])):
+            n.drop = True
+
+
 def _site_headers(nodes: list[Node]) -> bool:
     """Marks headers of the page: those outside any article or main, and those without a heading."""
     found = False
