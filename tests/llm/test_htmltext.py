@@ -70,3 +70,24 @@ def test_named_blocks_beside_the_article_go():
     for block in ("<div class='cookie-banner'>We use cookies on this site</div>", "<ol class=comments><li><article><p>" + "A reader's long comment. " * 9 + "</p></article></ol>", "<form><p>Mail address</p></form>"):
         assert htmltext.extract(f"<main><article><p>{text}</p></article>{block}</main>") == text
     assert htmltext.extract(f"<body><form action=x><div><p>{text}</p></div></form></body>") == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>a</p><script>if (i<n) x(); // don't</script><p>b</p><p>it's c</p>", "a b it's c"),
+    ("<p>a</p><script>x = '<!--'; y(\"</p>\")</SCRIPT ><p>b</p><style>a<b \"</style\n><p>c", "a b c"),
+    ("<p title=5\" class=x>a</p><p>b</p><p class=\"y\">c</p>", "a b c"),
+    ("<p>a<img alt=\"a\"b\">b</p><p>c</p>", "ab c"),
+    ("<p>a<a href=foo?x=\"1>b</a></p><p>it's c</p>", "ab it's c"),
+    ("<p>a<a href=\"x.html>b</a></p><p>c</p>", "ab c"),
+    ("<p title = 'x > y'>a</p><p data-a=\"<p>\">b</p>", "a b"),
+    ("<div title='the hidden class=ad truth'><p>a</p></div><p>b</p>", "a b"),
+    ("<p>a</p><svg/><p>b</p><svg><svg><text>t</text></svg></svg><p>c</p>", "a b c"),
+    ("<p>a</p><script>cut off <p>b", "a"),
+])
+def test_raw_elements_and_stray_quotes(page, text):
+    assert htmltext.extract(f"<body>{page}") == text
+
+
+def test_many_stray_quotes_are_read_in_one_pass():
+    assert htmltext.extract("<p title=5\" b=c'>x</p>" * 20_000) == " ".join(["x"] * 20_000)
+    assert htmltext.extract("<script>a<b '</script><p a=\"x>y</p>" * 2 + "z").endswith("z")

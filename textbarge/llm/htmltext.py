@@ -37,8 +37,8 @@ from .common import only, read, ready
 
 # Names of elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes object canvas audio video".split())
-_DROPPED = frozenset("head nav footer aside button select option dialog menu menuitem label fieldset datalist".split()) | _RAW
+_RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+_DROPPED = frozenset("head nav footer aside button select option dialog menu menuitem label fieldset datalist noscript template svg math object canvas audio video".split()) | _RAW
 _BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _BLOCK_NOT_P = _BLOCK - {"p"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -53,8 +53,10 @@ comment comments comment-list disqus replies reply respond masthead topbar toolb
 #: Those of an advert or a consent notice, which is no article however much of the page's text it holds.
 _FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr".split())
 _ROLES_DROPPED = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>\"']|\Z)", re.I)
+# A quote delimits only directly after "=", and only if it is closed.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|=)*+)(?:>|\Z)|[^<]+|<", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in _RAW}
 _SPACE = re.compile(r"\s+")
 
 
@@ -86,14 +88,9 @@ def _named(tag: str, attributes: str) -> str:
 
 def parse(page: str) -> Node:
     root = Node("html", None)
-    at, raw = root, ""
-    for m in _TOKEN.finditer(page):
-        token, tag = m[0], (m[2] or "").lower()
-        if raw:
-            # Inside a raw element only its own end counts.
-            if tag == raw and m[1]:
-                raw, at = "", at.parent or root
-            continue
+    at, place = root, 0
+    while m := _TOKEN.match(page, place):
+        token, tag, place = m[0], (m[2] or "").lower(), m.end()
         if not tag:
             if token[0] != "<" or token == "<":
                 at.children.append(token)
@@ -126,9 +123,11 @@ def parse(page: str) -> Node:
         at.children.append(node)
         if tag in _VOID or (m[3] or "").rstrip().endswith("/") and tag not in _RAW and tag not in _BLOCK:
             continue
-        at = node
         if tag in _RAW:
-            raw = tag
+            # Inside a raw element only its own end counts.
+            end = _RAW_END[tag].search(page, place)
+            place = end.start() if end else len(page)
+        at = node
     _drop_named(root)
     return root
 
