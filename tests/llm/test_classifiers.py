@@ -93,3 +93,18 @@ def test_ngrams_stay_inside_a_text():
                 got.setdefault(d, []).append(h)
         alone = {i: [h for _, hs in toxicity._ngrams([t]) for h in hs.tolist()] for i, t in enumerate(texts)}
         assert got == {i: h for i, h in alone.items() if h}
+
+
+def test_rare_toxic_words_count(spark):
+    # Four hundred toxic words, each in three toxic texts of which half of all are: too rare to stand out one by one.
+    rng, docs, labels = random.Random(5), [], []
+    words = ["".join(rng.choice("qxzjkvw") for _ in range(9)) for _ in range(400)]
+    for i in range(2400):
+        w = prose(i, 40).split()
+        if i % 2:
+            w.insert(rng.randrange(len(w)), words[i // 2 % 400])
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, i % 2))
+    rows = toxicity.classify(documents(spark, docs), table(spark, labels)).collect()
+    share, _ = accuracy(rows, {i: t for i, _, t in labels}, lambda d: zlib.crc32(str(d).encode()) % 5 == 0)
+    assert share > 0.9

@@ -3,7 +3,9 @@
 The lower-cased UTF-8 bytes of a whole text give hashed n-grams of ``ORDERS`` bytes, each
 counted once a text. From labelled texts every n-gram gets its log-count ratio
 r = log((p + a) / |p|) - log((q + a) / |q|); an L2-regularised logistic regression is
-trained on the n-grams of the most significant ratios, with features r instead of 1.
+trained on all hashed n-grams of the labelled texts, with features r instead of 1: the ratios
+and the penalty hold rare ones small. Counts and gradients are sums over the texts, taken in
+tasks; the L-BFGS steps between them are taken in the driver.
 
 The fit takes at most ``max_labelled`` labelled documents, those of the smallest id hashes
 (a documented bound); scoring covers every whole text. Only text is an input of a score.
@@ -16,6 +18,8 @@ if there are none); other columns are untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,9 +31,10 @@ from .common import bounded, column, held_out, only, own_name, read, ready, rows
 ORDERS = (4, 6, 8)
 HASH_BITS = 20
 MAX_LABELLED = 12_000
-#: N-grams that the linear model uses: those whose counts in toxic texts lie this many standard
-#: deviations from their share of all texts, the FEATURES furthest of them at most.
-LEAST_Z, FEATURES = 4.5, 4096
+#: Labelled texts that a task of the fit takes (about): each gives back a number for every hashed n-gram.
+TASK_LABELLED = 2000
+#: Steps of the fit at most, and the last ones that shape the next.
+STEPS, MEMORY = 60, 6
 SMOOTHING = 1.0
 L2 = 1.0
 #: Bytes of text whose n-grams are worked on at a time.
@@ -76,45 +81,71 @@ def _grams_udf():
     return arrow_udf(run, "array<int>")
 
 
-def _fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression by Newton steps with conjugate gradients; sparse binary features times ``ratio``."""
-    d = len(ratio)
-
-    def forward(w):
-        return np.bincount(rows, (ratio * w[:d])[cols], n) + w[d]
-
-    def backward(g):
-        return np.append(ratio * np.bincount(cols, g[rows], d), g.sum())
-
-    reg = np.append(np.full(d, L2), 1e-6)
-
-    def loss(w, z):
-        return np.logaddexp(0, z).sum() - z @ y + 0.5 * (reg * w) @ w
-
-    w = np.zeros(d + 1)
-    z = forward(w)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        g, h = backward(p - y) + reg * w, np.maximum(p * (1 - p), 1e-9)
-        step, r = np.zeros(d + 1), -g
-        v, rr = r.copy(), r @ r
-        for _ in range(50):
-            hv = backward(h * forward(v)) + reg * v
-            a = rr / max(v @ hv, 1e-300)
-            step += a * v
-            r -= a * hv
-            new = r @ r
-            if new <= 1e-8 * max(g @ g, 1e-300):
+def _sums(model):
+    """Of the texts of a task: without a model, how many toxic and other ones hold each n-gram; with one, loss and gradient."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, totals, sums = 0.0, 0, 0
+        for batch in batches:
+            y, lists = batch.column(0).to_numpy(zero_copy_only=False).astype(float), batch.column(1)
+            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            flat, offsets = flat[offsets[0]:offsets[-1]], offsets - offsets[0]
+            if model is None:
+                rows = np.stack([y, 1 - y])
+            else:
+                weights, intercept = model.value
+                z = rows_sum(weights[flat], offsets, np.float64) + intercept
+                loss += float(np.logaddexp(0, z).sum() - z @ y)
+                rows = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)[None]
+            totals = totals + rows.sum(1)
+            sums = sums + np.stack([np.bincount(flat, np.repeat(r, np.diff(offsets)), 1 << HASH_BITS) for r in rows])
+        if np.ndim(sums):
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([totals.tolist()]), pa.array([sums.tobytes()], pa.binary())], names=["loss", "totals", "sums"])
+    return run
+
+
+def _added(grams: DataFrame, tasks: int, model=None) -> tuple[float, np.ndarray, np.ndarray]:
+    of = grams.sparkSession.sparkContext.broadcast(model) if model is not None else None
+    kinds = 2 if model is None else 1
+    loss, totals, sums = 0.0, np.zeros(kinds), np.zeros((kinds, 1 << HASH_BITS))
+    for row in grams.select("y", "grams").coalesce(tasks).mapInArrow(_sums(of), "loss double, totals array<double>, sums binary").collect():   # a row a task
+        loss, totals = loss + row["loss"], totals + np.array(row["totals"])
+        sums += np.frombuffer(row["sums"]).reshape(kinds, -1)
+    if of is not None:
+        of.destroy()
+    return loss, totals, sums
+
+
+def _fit_linear(value, start: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The least point of a convex function by L-BFGS; ``value`` gives it and its gradient, ``scale`` its second derivatives, roughly."""
+    w, past = start, []
+    now, g = value(w)
+    for _ in range(STEPS):
+        step, kept = g.copy(), []
+        for s, t, rho in reversed(past):
+            kept.append(rho * (s @ step))
+            step -= kept[-1] * t
+        step /= scale
+        if past:
+            s, t, rho = past[-1]
+            step *= 1 / (rho * (t @ (t / scale)))
+        for (s, t, rho), a in zip(past, reversed(kept)):
+            step += (a - rho * (t @ step)) * s
+        size, slope = 1.0, -(g @ step)
+        while True:
+            new, new_g = value(w - size * step)
+            if new <= now + 1e-4 * size * slope or size < 1e-4:
                 break
-            v, rr = r + new / rr * v, new
-        size, now = 1.0, loss(w, z)
-        while size > 1e-4 and loss(w + size * step, forward(w + size * step)) > now + 1e-4 * size * (g @ step):
             size /= 2
-        w = w + size * step
-        z = forward(w)
-        if now - loss(w, z) < 1e-6 * max(1.0, now):
+        if new >= now:
             break
-    return w[:d], float(w[d])
+        s, t = -size * step, new_g - g
+        done = now - new < 1e-6 * max(1.0, now)
+        w, g, now = w + s, new_g, new
+        if done:
+            break
+        if s @ t > 0:
+            past = [*past, (s, t, 1 / (s @ t))][-MEMORY:]
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id: str = "doc_id", text: str = "text",
@@ -126,41 +157,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
     # At most max_labelled ids: bounded, so they can be broadcast.
     sample = F.broadcast(known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled))
     rows = only(docs, id=column(docs, doc_id).cast("bigint"), text=column(docs, text).cast("string")).join(sample, "id")
-    grams = spool(rows.select(F.xxhash64("id", "text").alias("key"), "y", _grams_udf()("text").alias("grams")), "grams")
-    n, n_pos = grams.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    weights = np.zeros(1 << HASH_BITS, np.float32)
-    if n_pos in (0, n):
+    tasks = -(-max_labelled // TASK_LABELLED)
+    rows = rows.select(F.xxhash64("id", "text").alias("key"), "y", "text").repartition(tasks, "key")
+    grams = spool(rows.select("y", _grams_udf()("text").alias("grams")), "grams")
+    _, (n_pos, n_neg), (p, q) = _added(grams, tasks)
+    n = n_pos + n_neg
+    if n_pos == 0 or n_neg == 0:
         share = n_pos / n if n else 0.5
-        return weights, float(np.clip(np.log(max(share, 1e-3) / max(1 - share, 1e-3)), -7, 7))
-    counts = spool(grams.select("y", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")), "counts")
-    size = counts.agg(F.sum(F.col("p") + SMOOTHING), F.sum(F.col("q") + SMOOTHING)).first()
-    ratio = F.log((F.col("p") + SMOOTHING) / F.lit(size[0])) - F.log((F.col("q") + SMOOTHING) / F.lit(size[1]))
-    seen, share = F.col("p") + F.col("q"), n_pos / n
-    z = F.abs(F.col("p") - seen * share) / F.sqrt(seen * (share * (1 - share)))
-    best = counts.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "gram").limit(FEATURES).select("gram", ratio.alias("ratio")).collect()
-    gram, r = np.array([x["gram"] for x in best], np.int64), np.array([x["ratio"] for x in best], float)
-    of = docs.sparkSession.sparkContext.broadcast(gram)
-    table = grams.select("y", _among_udf(of)("grams").alias("grams")).toArrow()     # max_labelled rows of FEATURES numbers at most
-    lists = table.column("grams").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    sizes, order = np.diff(lists.offsets.to_numpy()), np.argsort(gram)
-    cols = order[np.searchsorted(gram[order], lists.flatten().to_numpy())]
-    w, b = _fit_linear(np.repeat(np.arange(len(sizes)), sizes), cols, len(sizes), r, table.column("y").to_numpy().astype(float))
-    weights[gram] = (w * r).astype(np.float32)
-    return weights, b
-
-
-def _among_udf(shared):
-    def run(grams: pa.Array) -> pa.Array:
-        values, offsets = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
-        table = np.zeros(1 << HASH_BITS, bool)
-        table[shared.value] = True
-        keep = table[values]
-        sums = np.concatenate([[0], np.cumsum(keep)])
-        return pa.ListArray.from_arrays(pa.array((sums[offsets] - sums[offsets[0]]).astype(np.int32)), pa.array(values[offsets[0]:offsets[-1]][keep[offsets[0]:offsets[-1]]].astype(np.int32)))
-
-    run.__annotations__ = {"grams": pa.Array, "return": pa.Array}
-    return arrow_udf(run, "array<int>")
+        return np.zeros(1 << HASH_BITS, np.float32), float(np.clip(np.log(max(share, 1e-3) / max(1 - share, 1e-3)), -7, 7))
+    seen = p + q
+    there = seen > 0
+    ratio = np.where(there, np.log((p + SMOOTHING) / (p + SMOOTHING)[there].sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING)[there].sum()), 0.0)
+    reg = np.append(np.full(len(ratio), L2), 1e-6)
+
+    def value(w):
+        loss, total, sums = _added(grams, tasks, (ratio * w[:-1], w[-1]))
+        return loss + 0.5 * (reg * w) @ w, np.append(ratio * sums[0], total) + reg * w
+
+    share = n_pos / n
+    start = np.append(np.zeros(len(ratio)), np.log(n_pos / n_neg))
+    w = _fit_linear(value, start, reg + share * (1 - share) * np.append(ratio * ratio * seen, n))
+    return (ratio * w[:-1]).astype(np.float32), float(w[-1])
 
 
 def score_texts(items: list[bytes], weights: np.ndarray, intercept: float) -> np.ndarray:
