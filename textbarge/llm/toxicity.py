@@ -32,7 +32,7 @@ ORDERS = (4, 6, 8)
 HASH_BITS = 20
 MAX_LABELLED = 12_000
 #: Labelled texts that a task of the fit takes (about): each gives back a number for every hashed n-gram.
-TASK_LABELLED = 2000
+TASK_LABELLED = 3000
 #: Steps of the fit at most, and the last ones that shape the next.
 STEPS, MEMORY = 60, 6
 SMOOTHING = 1.0
@@ -107,9 +107,10 @@ def _added(grams: DataFrame, tasks: int, model=None) -> tuple[float, np.ndarray,
     of = grams.sparkSession.sparkContext.broadcast(model) if model is not None else None
     kinds = 2 if model is None else 1
     loss, totals, sums = 0.0, np.zeros(kinds), np.zeros((kinds, 1 << HASH_BITS))
-    for row in grams.select("y", "grams").coalesce(tasks).mapInArrow(_sums(of), "loss double, totals array<double>, sums binary").collect():   # a row a task
-        loss, totals = loss + row["loss"], totals + np.array(row["totals"])
-        sums += np.frombuffer(row["sums"]).reshape(kinds, -1)
+    table = grams.select("y", "grams").coalesce(tasks).mapInArrow(_sums(of), "loss double, totals array<double>, sums binary").toArrow()   # a row a task
+    for more, total, part in zip(*(table.column(c) for c in ("loss", "totals", "sums"))):
+        loss, totals = loss + more.as_py(), totals + np.array(total.as_py())
+        sums += np.frombuffer(part.as_buffer()).reshape(kinds, -1)
     if of is not None:
         of.destroy()
     return loss, totals, sums
@@ -135,11 +136,12 @@ def _fit_linear(value, start: np.ndarray, scale: np.ndarray) -> np.ndarray:
             new, new_g = value(w - size * step)
             if new <= now + 1e-4 * size * slope or size < 1e-4:
                 break
-            size /= 2
+            # The least point of the parabola through what is known, not too far from the last.
+            size = float(np.clip(slope * size * size / (2 * max(new - now + size * slope, 1e-300)), 0.1 * size, 0.5 * size))
         if new >= now:
             break
         s, t = -size * step, new_g - g
-        done = now - new < 1e-6 * max(1.0, now)
+        done = now - new < 1e-4 * max(1.0, now)
         w, g, now = w + s, new_g, new
         if done:
             break
