@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from textbarge.llm import quality, toxicity
 
@@ -108,3 +109,17 @@ def test_rare_toxic_words_count(spark):
     rows = toxicity.classify(documents(spark, docs), table(spark, labels)).collect()
     share, _ = accuracy(rows, {i: t for i, _, t in labels}, lambda d: zlib.crc32(str(d).encode()) % 5 == 0)
     assert share > 0.9
+
+
+def test_sums_of_a_task(monkeypatch):
+    monkeypatch.setattr(toxicity, "TASK_GRAMS", 3)
+    grams, y = [[1, 2], [], [2, 5, 7, 9], [1], [1, 9]], [1, 0, 0, 1, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(grams, pa.list_(pa.int32()))], names=["y", "grams"])
+    want = np.zeros((2, 1 << toxicity.HASH_BITS))
+    for label, g in zip(y, grams):
+        want[1 - label, g] += 1
+    for part in (batch, batch.slice(1)):
+        out, = toxicity._sums(None)([part])
+        assert out.column("totals")[0].as_py() == [sum(y[-len(part):]), len(part) - sum(y[-len(part):])]
+    out, = toxicity._sums(None)([batch])
+    assert np.array_equal(np.frombuffer(out.column("sums")[0].as_py()).reshape(2, -1), want)

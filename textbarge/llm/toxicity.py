@@ -33,6 +33,8 @@ HASH_BITS = 20
 MAX_LABELLED = 12_000
 #: Labelled texts that a task of the fit takes (about): each gives back a number for every hashed n-gram.
 TASK_LABELLED = 3000
+#: N-grams that a task of the fit works on at a time (a longer single text is taken whole).
+TASK_GRAMS = 1 << 20
 #: Steps of the fit at most, and the last ones that shape the next.
 STEPS, MEMORY = 60, 6
 SMOOTHING = 1.0
@@ -86,18 +88,22 @@ def _sums(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, totals, sums = 0.0, 0, 0
         for batch in batches:
-            y, lists = batch.column(0).to_numpy(zero_copy_only=False).astype(float), batch.column(1)
-            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-            flat, offsets = flat[offsets[0]:offsets[-1]], offsets - offsets[0]
-            if model is None:
-                rows = np.stack([y, 1 - y])
-            else:
-                weights, intercept = model.value
-                z = rows_sum(weights[flat], offsets, np.float64) + intercept
-                loss += float(np.logaddexp(0, z).sum() - z @ y)
-                rows = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)[None]
-            totals = totals + rows.sum(1)
-            sums = sums + np.stack([np.bincount(flat, np.repeat(r, np.diff(offsets)), 1 << HASH_BITS) for r in rows])
+            label, lists = batch.column(0).to_numpy(zero_copy_only=False).astype(float), batch.column(1)
+            places, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            a = 0
+            while a < len(label):
+                b = max(a + 1, int(np.searchsorted(places, places[a] + TASK_GRAMS, "right")) - 1)
+                y, flat, offsets = label[a:b], values[places[a]:places[b]], places[a:b + 1] - places[a]
+                if model is None:
+                    rows = np.stack([y, 1 - y])
+                else:
+                    weights, intercept = model.value
+                    z = rows_sum(weights[flat], offsets, np.float64) + intercept
+                    loss += float(np.logaddexp(0, z).sum() - z @ y)
+                    rows = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)[None]
+                totals = totals + rows.sum(1)
+                sums = sums + np.stack([np.bincount(flat, np.repeat(r, np.diff(offsets)), 1 << HASH_BITS) for r in rows])
+                a = b
         if np.ndim(sums):
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([totals.tolist()]), pa.array([sums.tobytes()], pa.binary())], names=["loss", "totals", "sums"])
     return run
