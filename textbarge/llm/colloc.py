@@ -37,7 +37,9 @@ from .common import column, only, read, ready, spool, texts
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text in a shard (one text at least), and entries of all shards in a bucket (about).
-SHARD_BYTES, BUCKET = 16 << 20, 1 << 20
+SHARD_BYTES, BUCKET = 8 << 20, 1 << 20
+#: Bytes of rows in an Arrow batch at most: a row is as large as a shard.
+BATCH_BYTES, _BATCH_BYTES = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Parts into which a language's candidates are dealt for the first choice of its best.
 DEALT = 64
 #: Passes of the permutation over the words of an n-gram.
@@ -329,7 +331,9 @@ def _numbered(frequent: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, n) of every language; (id, lang, word, f) of every frequent word; (ids, f) of every frequent phrase of 1 to LONGEST words."""
-    ready(docs)
+    spark = ready(docs)
+    if not 0 < int(spark.conf.get(_BATCH_BYTES).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     rows = only(docs, lang=F.coalesce(column(docs, lang).cast("string"), F.lit("und")), text=column(docs, text).cast("string"))
     shards = spool(rows.mapInArrow(_shards, SHARD), "shards")
     sizes = shards.select(F.explode(F.arrays_zip("langs", "tokens")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.tokens").alias("n"))
