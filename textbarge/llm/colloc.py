@@ -80,7 +80,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(codes)
         counts = np.bincount(flat, minlength=len(words) + 1)[1:]
         tokens = np.bincount(np.array(kinds, np.int64), counts, len(langs)).astype(np.int64)
-        return _row(SHARD, kinds_, (shard, flat.tobytes(), [w.decode() for w in words], kinds, counts, list(langs), tokens))
+        return _row(SHARD, kinds_, (shard, _stored(flat), [w.decode() for w in words], kinds, counts, list(langs), tokens))
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
@@ -208,8 +208,19 @@ def decoded(data: bytes, width: list[int], deal: int, bucket: int) -> tuple[list
 _STATE_KINDS = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
 
-def _array(packed_: pa.Scalar, dtype) -> np.ndarray:
-    return np.frombuffer(packed_.as_buffer(), dtype)
+def _stored(values: np.ndarray) -> bytes:
+    """An array as it is shuffled and stored: its numbers' bytes by place (the high ones are mostly 0), compressed."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return struct.pack("<Q", raw.nbytes) + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw.nbytes else b"")
+
+
+def _array(stored: pa.Scalar, dtype) -> np.ndarray:
+    buffer = stored.as_buffer()
+    size = struct.unpack_from("<Q", buffer)[0]
+    if not size:
+        return np.empty(0, dtype)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(buffer.slice(8), size), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def _collapsed(seq: np.ndarray, cur: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +243,7 @@ def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             local[at + 1] = np.arange(1, len(at) + 1)
             seq = local[codes]
             seq, cur = _collapsed(seq, seq - 1, seq > 0)
-            yield _row(STATE, _STATE_KINDS, (shard.as_py(), seq.tobytes(), ids.tobytes(), cur.tobytes(), None, None, None))
+            yield _row(STATE, _STATE_KINDS, (shard.as_py(), _stored(seq), _stored(ids), _stored(cur), None, None, None))
 
 
 def _counted(n: int, bits: int, deal: int):
@@ -268,7 +279,7 @@ def _counted(n: int, bits: int, deal: int):
                     live[at + j] = True
                 if n < LONGEST:
                     seq, new = _collapsed(seq, new, live)
-                    yield _row(STATE, _STATE_KINDS, (shard.as_py(), seq.tobytes(), ids.tobytes(), new.tobytes(), None, None, None))
+                    yield _row(STATE, _STATE_KINDS, (shard.as_py(), _stored(seq), _stored(ids), _stored(new), None, None, None))
                 quotient = min(width[0], max(deal, len(counts).bit_length()))
                 buckets = _shift(limbs[0], width[0] - deal)
                 edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
