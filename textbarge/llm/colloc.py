@@ -6,8 +6,9 @@ Texts, A-Z lower-cased, are cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and these
 floor(1000 * a * n / (l * r)) in whole numbers, where l and r count both sides of the cut.
 Candidates that lie in a longer candidate with the same count are dropped.
 
-The corpus goes through in shards of bounded bytes, each with a dictionary of its own words. Words
-with ``least`` occurrences get dense ids (a language's words are its own). For each length from 2,
+The corpus goes through in shards of bounded bytes, each with a dictionary of its own words, in
+tables bucketed by shard, so that no join moves a shard's text. The id of a word with ``least``
+occurrences is its number in the first shard that has it (a language's words are its own). For each length from 2,
 every shard counts the n-grams whose both shorter parts are frequent (no other can be) in a
 counting quotient filter: the word ids, ``bits`` bits each, are permuted invertibly; the top bits of
 the result are the quotient, which only a slot's place holds, the rest is the full remainder, kept
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import fresh_dir
 from .common import column, only, read, ready, spool, texts
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -231,32 +233,30 @@ def _collapsed(seq: np.ndarray, cur: np.ndarray, live: np.ndarray) -> tuple[np.n
     return seq[stay].astype(np.int32), cur[stay].astype(np.int32)
 
 
-def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From a shard's codes and the ids of its frequent words: the sequence of those words (0: break), their ids, the 1-gram at each place."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            shard, codes, found = (batch.column(c)[i] for c in range(3))
-            at = np.asarray(found.values.field("at"), np.int64)
-            ids = np.asarray(found.values.field("id"), np.uint64)
-            codes = _array(codes, np.int32)
-            local = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
-            local[at + 1] = np.arange(1, len(at) + 1)
-            seq = local[codes]
-            seq, cur = _collapsed(seq, seq - 1, seq > 0)
-            yield _row(STATE, _STATE_KINDS, (shard.as_py(), _stored(seq), _stored(ids), _stored(cur), None, None, None))
+def _begun(codes: pa.Scalar, found: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """From a shard's codes and the ids of its frequent words: the sequence of those words (0: break), and their ids."""
+    at, codes = np.asarray(found.values.field("at"), np.int64), _array(codes, np.int32)
+    local = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
+    local[at + 1] = np.arange(1, len(at) + 1)
+    seq = local[codes]
+    return _collapsed(seq, seq, seq > 0)[0], np.asarray(found.values.field("id"), np.int64).astype(np.uint64)
 
 
 def _counted(n: int, bits: int, deal: int):
-    """From a shard's state of length n - 1 and its frequent entries: the state of length n, and the filter of its n-grams by bucket."""
+    """From a shard's codes and frequent words, or its state of length n - 1 and its frequent entries: the state of length n, and the filter of its n-grams by bucket."""
     width = widths(bits, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, seq, ids, cur, found = (batch.column(c)[i] for c in range(5))
-                seq, ids, cur = _array(seq, np.int32), _array(ids, np.uint64), _array(cur, np.int32)
-                ok = np.full(int(cur.max(initial=-1)) + 2, n == 2)
-                if n > 2:
+                if n == 2:
+                    shard, codes, found = (batch.column(c)[i] for c in range(3))
+                    seq, ids = _begun(codes, found)
+                    cur, ok = seq - 1, np.ones(len(ids) + 1, bool)
+                else:
+                    shard, seq, ids, cur, found = (batch.column(c)[i] for c in range(5))
+                    seq, ids, cur = _array(seq, np.int32), _array(ids, np.uint64), _array(cur, np.int32)
+                    ok = np.zeros(int(cur.max(initial=-1)) + 2, bool)
                     for row in found:
                         ok[np.asarray(row.values, np.int64)] = True
                 ok[-1] = False      # place -1: no gram
@@ -329,15 +329,14 @@ def _merged(n: int, bits: int, deal: int, least: int):
     return run
 
 
-def _numbered(frequent: DataFrame) -> DataFrame:
-    """Dense ids from 1, by partition: the parts' sizes (a row a partition) give their first ids."""
-    rows = spool(frequent.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "frequent_words")
-    sizes, first, starts = sorted(map(tuple, rows.groupBy("part").count().collect())), 1, []
-    for part, size in sizes:
-        starts.append((part, first))
-        first += size
-    table = rows.sparkSession.createDataFrame(starts, "part int, start bigint")
-    return rows.join(F.broadcast(table), "part").select("lang", "word", "f", (F.col("start") + F.col("pos")).alias("id"))
+def _bucketed(df: DataFrame, name: str, tables: list[str]) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by shard."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    tables.append(path.rsplit("/", 1)[-1].replace("-", "_"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(tables[-1])
+    return spark.table(tables[-1])
 
 
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -346,24 +345,30 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
     if not 0 < int(spark.conf.get(_BATCH_BYTES).rstrip("b")) <= BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     rows = only(docs, lang=F.coalesce(column(docs, lang).cast("string"), F.lit("und")), text=column(docs, text).cast("string"))
-    shards = spool(rows.mapInArrow(_shards, SHARD), "shards")
-    sizes = shards.select(F.explode(F.arrays_zip("langs", "tokens")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.tokens").alias("n"))
+    tables: list[str] = []
+    shards = _bucketed(rows.mapInArrow(_shards, SHARD), "shards", tables)
+    sizes = spool(shards.select(F.explode(F.arrays_zip("langs", "tokens")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.tokens").alias("n")), "sizes")
+    part, turn = F.shiftright("shard", 32), F.col("shard").bitwiseAND((1 << 32) - 1)
+    most = shards.agg(F.max(part), F.max(turn), F.max(F.size("words"))).first()
+    part_bits, turn_bits, word_bits = (int(m or 0).bit_length() for m in most)
+    bits = max(1, part_bits + turn_bits + word_bits)
     entries = shards.select("shard", "langs", F.posexplode(F.arrays_zip("words", "kinds", "counts")).alias("at", "x"))
     entries = entries.select("shard", "at", F.col("langs")[F.col("x.kinds")].alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     # A word is there once a shard, so a window over it holds as many light rows as there are shards.
-    kept = spool(entries.withColumn("f", F.sum("c").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least).drop("c"), "shard_words")
-    words = spool(_numbered(kept.groupBy("lang", "word").agg(F.max("f").alias("f"))), "words")
-    many, alive = words.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
-    bits = max(1, int(many).bit_length())
-    found = kept.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
-    state = spool(shards.select("shard", "codes").join(found, "shard").select("shard", "codes", "found").mapInArrow(_begin, STATE), "grams_1")
-    phrases, found = words.select(F.array("id").alias("ids"), "f"), None
+    whole = Window.partitionBy("lang", "word")
+    kept = entries.withColumns({"f": F.sum("c").over(whole), "first": F.min(F.struct("shard", "at")).over(whole)}).where(F.col("f") >= least)
+    first = F.shiftleft(F.shiftright("first.shard", 32), turn_bits + word_bits) + F.shiftleft(F.col("first.shard").bitwiseAND((1 << 32) - 1), word_bits) + F.col("first.at")
+    kept = spool(kept.select("shard", "at", "lang", "word", "f", first.alias("id"), ((F.col("first.shard") == F.col("shard")) & (F.col("first.at") == F.col("at"))).alias("here")), "shard_words")
+    words = kept.where("here").select("id", "lang", "word", "f")
+    alive = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    found = kept.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
+    state, phrases = shards.select("shard", "codes"), words.select(F.array("id").alias("ids"), "f")
     for n in range(2, LONGEST + 1):
         # No length has more entries than the one before it has occurrences.
         deal = min(widths(bits, n)[0], max(0, (int(alive) // BUCKET).bit_length()))
-        rows = state.where("seq is not null").select("shard", "seq", "ids", "cur")
-        rows = rows.withColumn("found", F.lit(None).cast("array<array<bigint>>")) if found is None else rows.join(found, "shard")
-        state = spool(rows.mapInArrow(_counted(n, bits, deal), STATE), f"grams_{n}")
+        if n > 2:
+            state = state.where("seq is not null").select("shard", "seq", "ids", "cur")
+        state = _bucketed(state.join(found, "shard").mapInArrow(_counted(n, bits, deal), STATE), f"grams_{n}", tables)
         parts = state.where("payload is not null").select("bucket", "shard", "first", "payload").repartition("bucket").sortWithinPartitions("bucket")
         result = spool(parts.mapInArrow(_merged(n, bits, deal, least), MERGED), f"counts_{n}")
         grams = (result.where("shard is null").select("at", F.posexplode("total").alias("i", "f"))
@@ -373,6 +378,8 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
         alive = grams.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         if not alive:
             break
+    for name in tables:
+        spark.sql(f"drop table {name}")
     return sizes, words, phrases
 
 
