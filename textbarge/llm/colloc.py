@@ -8,7 +8,8 @@ Candidates that lie in a longer candidate with the same count are dropped.
 
 The corpus goes through in shards of bounded bytes, each with a dictionary of its own words, in
 tables bucketed by shard, so that no join moves a shard's text. The id of a word with ``least``
-occurrences is its number in the first shard that has it (a language's words are its own). For each length from 2,
+occurrences is its least number in a shard's dictionary, by falling counts, and that shard (a
+language's words are its own). For each length from 2,
 every shard counts the n-grams whose both shorter parts are frequent (no other can be) in a
 counting quotient filter: the word ids, ``bits`` bits each, are permuted invertibly; the top bits of
 the result are the quotient, which only a slot's place holds, the rest is the full remainder, kept
@@ -80,9 +81,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row():
         flat = np.concatenate(codes)
-        counts = np.bincount(flat, minlength=len(words) + 1)[1:]
-        tokens = np.bincount(np.array(kinds, np.int64), counts, len(langs)).astype(np.int64)
-        return _row(SHARD, kinds_, (shard, _stored(flat), [w.decode() for w in words], kinds, counts, list(langs), tokens))
+        counts, of = np.bincount(flat, minlength=len(words) + 1)[1:], np.array(kinds, np.int64)
+        tokens = np.bincount(of, counts, len(langs)).astype(np.int64)
+        # Frequent words first: their numbers are small, here and as ids.
+        order = np.argsort(-counts, kind="stable")
+        rank = np.zeros(len(words) + 1, np.int32)
+        rank[order + 1] = np.arange(1, len(words) + 1, dtype=np.int32)
+        return _row(SHARD, kinds_, (shard, _stored(rank[flat]), [words[i].decode() for i in order], of[order], counts[order], list(langs), tokens))
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
@@ -160,11 +165,20 @@ def _small(values: np.ndarray) -> bytes:
     return np.where(big, 255, values).astype(np.uint8).tobytes() + values[big].astype("<u8").tobytes()
 
 
-def _large(data: memoryview, n: int) -> tuple[np.ndarray, memoryview]:
+def _large(data: bytes, n: int) -> np.ndarray:
     out = np.frombuffer(data[:n], np.uint8).astype(np.int64)
     big = np.flatnonzero(out == 255)
     out[big] = np.frombuffer(data[n:n + 8 * len(big)], "<u8").astype(np.int64)
-    return out, data[n + 8 * len(big):]
+    return out
+
+
+def _squeezed(data: bytes) -> bytes:
+    return struct.pack("<I", len(data)) + (pa.Codec("zstd", 1).compress(data, asbytes=True) if data else b"")
+
+
+def _spread(data: memoryview) -> bytes:
+    size = struct.unpack_from("<I", data)[0]
+    return pa.Codec("zstd").decompress(data[4:], size, asbytes=True) if size else b""
 
 
 def _bytes(limb: np.ndarray, bits: int) -> bytes:
@@ -188,21 +202,21 @@ def encoded(limbs: list[np.ndarray], counts: np.ndarray, width: list[int], quoti
     rest = width[0] - quotient
     slots = (_shift(limbs[0], rest) - np.uint64(bucket << (quotient - deal))).astype(np.int64)
     remainder = limbs[0] & np.uint64((1 << rest) - 1)
-    return b"".join([struct.pack("<IB", len(counts), quotient), _small(np.bincount(slots, minlength=1 << (quotient - deal))), _bytes(remainder, rest),
-                     *[_bytes(limb, w) for limb, w in zip(limbs[1:], width[1:])], _small(counts)])
+    runs, counters = (_squeezed(_small(x)) for x in (np.bincount(slots, minlength=1 << (quotient - deal)), counts))
+    return b"".join([struct.pack("<IBI", len(counts), quotient, len(runs)), runs, _bytes(remainder, rest), *[_bytes(limb, w) for limb, w in zip(limbs[1:], width[1:])], counters])
 
 
 def decoded(data: bytes, width: list[int], deal: int, bucket: int) -> tuple[list[np.ndarray], np.ndarray]:
-    n, quotient = struct.unpack_from("<IB", data)
-    rest, view = width[0] - quotient, memoryview(data)[5:]
-    runs, view = _large(view, 1 << (quotient - deal))
+    n, quotient, size = struct.unpack_from("<IBI", data)
+    rest, view = width[0] - quotient, memoryview(data)[9:]
+    runs, view = _large(_spread(view[:size]), 1 << (quotient - deal)), view[size:]
     slots = np.repeat(np.arange(len(runs), dtype=np.uint64), runs) + np.uint64(bucket << (quotient - deal))
     first, view = _limb(view, n, rest)
     limbs = [(slots << np.uint64(rest) if rest < 64 else np.zeros_like(slots)) | first]
     for w in width[1:]:
         limb, view = _limb(view, n, w)
         limbs.append(limb)
-    return limbs, _large(view, n)[0]
+    return limbs, _large(_spread(view), n)
 
 
 # --- counting ---------------------------------------------------------------------------------
@@ -349,19 +363,22 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
     shards = _bucketed(rows.mapInArrow(_shards, SHARD), "shards", tables)
     sizes = spool(shards.select(F.explode(F.arrays_zip("langs", "tokens")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.tokens").alias("n")), "sizes")
     part, turn = F.shiftright("shard", 32), F.col("shard").bitwiseAND((1 << 32) - 1)
-    most = shards.agg(F.max(part), F.max(turn), F.max(F.size("words"))).first()
-    part_bits, turn_bits, word_bits = (int(m or 0).bit_length() for m in most)
-    bits = max(1, part_bits + turn_bits + word_bits)
+    turns, most = shards.agg(F.max(turn), F.max(part)).first()
+    turns = int(turns or 0).bit_length()
+    low = turns + int(most or 0).bit_length()
+    # One number for a word's place: its number in the shard's dictionary, and the shard.
+    place = F.shiftleft(F.col("at").cast("bigint"), low) + F.shiftleft(part, turns) + turn
     entries = shards.select("shard", "langs", F.posexplode(F.arrays_zip("words", "kinds", "counts")).alias("at", "x"))
-    entries = entries.select("shard", "at", F.col("langs")[F.col("x.kinds")].alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
+    entries = entries.select(place.alias("place"), F.col("langs")[F.col("x.kinds")].alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     # A word is there once a shard, so a window over it holds as many light rows as there are shards.
     whole = Window.partitionBy("lang", "word")
-    kept = entries.withColumns({"f": F.sum("c").over(whole), "first": F.min(F.struct("shard", "at")).over(whole)}).where(F.col("f") >= least)
-    first = F.shiftleft(F.shiftright("first.shard", 32), turn_bits + word_bits) + F.shiftleft(F.col("first.shard").bitwiseAND((1 << 32) - 1), word_bits) + F.col("first.at")
-    kept = spool(kept.select("shard", "at", "lang", "word", "f", first.alias("id"), ((F.col("first.shard") == F.col("shard")) & (F.col("first.at") == F.col("at"))).alias("here")), "shard_words")
-    words = kept.where("here").select("id", "lang", "word", "f")
+    kept = spool(entries.withColumns({"f": F.sum("c").over(whole), "id": F.min("place").over(whole)}).where(F.col("f") >= least).drop("c"), "shard_words")
+    words = kept.where("place = id").select("id", "lang", "word", "f")
+    bits = max(1, int(words.agg(F.max("id")).first()[0] or 0).bit_length())
     alive = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    found = kept.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
+    code = F.col("place").bitwiseAND((1 << low) - 1)
+    shard = F.shiftleft(F.shiftright(code, turns), 32) + code.bitwiseAND((1 << turns) - 1)
+    found = kept.select(shard.alias("shard"), F.shiftright("place", low).alias("at"), "id").groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
     state, phrases = shards.select("shard", "codes"), words.select(F.array("id").alias("ids"), "f")
     for n in range(2, LONGEST + 1):
         # No length has more entries than the one before it has occurrences.
