@@ -114,12 +114,45 @@ def test_rare_toxic_words_count(spark):
 def test_sums_of_a_task(monkeypatch):
     monkeypatch.setattr(toxicity, "TASK_GRAMS", 3)
     grams, y = [[1, 2], [], [2, 5, 7, 9], [1], [1, 9]], [1, 0, 0, 1, 0]
-    batch = pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(grams, pa.list_(pa.int32()))], names=["y", "grams"])
+    batch = pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(grams, pa.list_(pa.int32())), pa.array(range(5))], names=["y", "grams", "number"])
     want = np.zeros((2, 1 << toxicity.HASH_BITS))
     for label, g in zip(y, grams):
         want[1 - label, g] += 1
     for part in (batch, batch.slice(1)):
-        out, = toxicity._sums(None)([part])
+        out, = toxicity._counts([part])
         assert out.column("totals")[0].as_py() == [sum(y[-len(part):]), len(part) - sum(y[-len(part):])]
-    out, = toxicity._sums(None)([batch])
+    out, = toxicity._counts([batch])
     assert np.array_equal(np.frombuffer(out.column("sums")[0].as_py()).reshape(2, -1), want)
+    assert not list(toxicity._counts([batch.slice(0, 0)]))
+
+
+def test_fit_reaches_the_optimum_of_all_texts(spark, monkeypatch):
+    """The averaged fit of several tasks against the exact optimum of the loss of all texts, found with Newton's steps in the span of the texts."""
+    monkeypatch.setattr(toxicity, "TASK_LABELLED", 60)
+    docs, labels = labelled(300)
+    weights, intercept = toxicity.fit(documents(spark, docs), table(spark, labels), max_labelled=300)
+    y, size = np.array([t for _, _, t in labels], float), 1 << toxicity.HASH_BITS
+    grams = [np.unique(np.concatenate([h for _, h in toxicity._ngrams([text.encode()])])) for _, text in docs]
+    p, q = (sum(np.bincount(g, minlength=size) * w for g, w in zip(grams, part)) for part in (y, 1 - y))
+    there = p + q > 0
+    ratio = np.where(there, np.log((p + 1) / (p + 1)[there].sum()) - np.log((q + 1) / (q + 1)[there].sum()), 0.0)
+    kernel = np.array([[(ratio[np.intersect1d(a, b, assume_unique=True)] ** 2).sum() for b in grams] for a in grams])
+
+    def loss(z, penalty):
+        return np.logaddexp(0, z).sum() - z @ y + 0.5 * toxicity.L2 * penalty
+
+    n = len(y)
+    beta, bias = np.zeros(n), np.log(y.sum() / (1 - y).sum())
+    start = loss(kernel @ beta + bias, 0)
+    for _ in range(30):
+        z = kernel @ beta + bias
+        s = 1 / (1 + np.exp(-z))
+        h = np.block([[s[:, None] * (1 - s)[:, None] * kernel + np.eye(n), (s * (1 - s))[:, None]], [np.ones((1, n)) @ ((s * (1 - s))[:, None] * kernel), np.array([[(s * (1 - s)).sum()]])]])
+        step = np.linalg.solve(h, np.append(s - y + beta, (s - y).sum()))
+        beta, bias = beta - step[:-1], bias - step[-1]
+    best = loss(kernel @ beta + bias, beta @ kernel @ beta)
+    w = np.divide(weights, ratio, out=np.zeros(size), where=there & (ratio != 0))
+    z = np.array([weights[g].sum() for g in grams]) + intercept
+    got = loss(z, w @ w)
+    assert best <= got + 1e-6 and got - best < 0.05 * (start - best), (start, got, best)
+    assert np.mean((z > 0) == (kernel @ beta + bias > 0)) > 0.99

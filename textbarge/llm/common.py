@@ -20,12 +20,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+def spool(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back: lineage is
-    cut in storage that every executor sees, and later readers prune columns."""
+    cut in storage that every executor sees, and later readers prune columns. A reader holds
+    some thousand rows of a file at a time: ``file_rows`` bounds the rows of a file, if they are large."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

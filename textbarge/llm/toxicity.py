@@ -4,8 +4,10 @@ The lower-cased UTF-8 bytes of a whole text give hashed n-grams of ``ORDERS`` by
 counted once a text. From labelled texts every n-gram gets its log-count ratio
 r = log((p + a) / |p|) - log((q + a) / |q|); an L2-regularised logistic regression is
 trained on all hashed n-grams of the labelled texts, with features r instead of 1: the ratios
-and the penalty hold rare ones small. Counts and gradients are sums over the texts, taken in
-tasks; the L-BFGS steps between them are taken in the driver.
+and the penalty hold rare ones small. The fit is dual coordinate ascent inside the tasks: each
+goes ``PASSES`` times over its own texts and moves the weights for one text after the other, as if
+all tasks did the same; the moves of all tasks are added up, and that is done ``ROUNDS`` times (one
+small job a round, which converges to the optimum of all texts).
 
 The fit takes at most ``max_labelled`` labelled documents, those of the smallest id hashes
 (a documented bound); scoring covers every whole text. Only text is an input of a score.
@@ -19,6 +21,7 @@ if there are none); other columns are untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,15 @@ ORDERS = (4, 6, 8)
 HASH_BITS = 20
 MAX_LABELLED = 12_000
 #: Labelled texts that a task of the fit takes (about): each gives back a number for every hashed n-gram.
-TASK_LABELLED = 3000
+TASK_LABELLED = 2000
+#: Labelled texts in a file of their n-grams.
+FILE_TEXTS = 100
 #: N-grams that a task of the fit works on at a time (a longer single text is taken whole).
 TASK_GRAMS = 1 << 20
-#: Steps of the fit at most, and the last ones that shape the next.
-STEPS, MEMORY = 60, 6
+#: Rounds of the fit, and passes of a task over its texts in a round.
+ROUNDS, PASSES = 8, 4
+#: Value of the intercept's feature: large, so its penalty is small.
+CONSTANT = 4.0
 SMOOTHING = 1.0
 L2 = 1.0
 #: Bytes of text whose n-grams are worked on at a time.
@@ -83,76 +90,101 @@ def _grams_udf():
     return arrow_udf(run, "array<int>")
 
 
-def _sums(model):
-    """Of the texts of a task: without a model, how many toxic and other ones hold each n-gram; with one, loss and gradient."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, totals, sums = 0.0, 0, 0
+class _Texts:
+    """The labelled texts of a task: labels, and the n-grams of all texts with their places."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        labels, flats, sizes, numbers = [np.empty(0)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for batch in batches:
-            label, lists = batch.column(0).to_numpy(zero_copy_only=False).astype(float), batch.column(1)
-            places, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-            a = 0
-            while a < len(label):
-                b = max(a + 1, int(np.searchsorted(places, places[a] + TASK_GRAMS, "right")) - 1)
-                y, flat, offsets = label[a:b], values[places[a]:places[b]], places[a:b + 1] - places[a]
-                if model is None:
-                    rows = np.stack([y, 1 - y])
-                else:
-                    weights, intercept = model.value
-                    z = rows_sum(weights[flat], offsets, np.float64) + intercept
-                    loss += float(np.logaddexp(0, z).sum() - z @ y)
-                    rows = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)[None]
-                totals = totals + rows.sum(1)
-                sums = sums + np.stack([np.bincount(flat, np.repeat(r, np.diff(offsets)), 1 << HASH_BITS) for r in rows])
-                a = b
-        if np.ndim(sums):
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([totals.tolist()]), pa.array([sums.tobytes()], pa.binary())], names=["loss", "totals", "sums"])
+            lists = batch.column(1)
+            places = lists.offsets.to_numpy().astype(np.int64)
+            labels.append(batch.column(0).to_numpy(zero_copy_only=False).astype(float))
+            flats.append(lists.values.to_numpy()[places[0]:places[-1]])
+            sizes.append(np.diff(places))
+            numbers.append(batch.column(2).to_numpy(zero_copy_only=False))
+        self.y, self.flat, self.places, self.number = np.concatenate(labels), np.concatenate(flats), starts_of(np.concatenate(sizes)), np.concatenate(numbers)
+
+    def parts(self):
+        """(labels, n-grams, places) of some texts at a time: the arrays that a step needs stay small."""
+        a = 0
+        while a < len(self.y):
+            b = max(a + 1, int(np.searchsorted(self.places, self.places[a] + TASK_GRAMS, "right")) - 1)
+            yield self.y[a:b], self.flat[self.places[a]:self.places[b]], self.places[a:b + 1] - self.places[a]
+            a = b
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many toxic and other texts there are, and how many of them hold each n-gram."""
+        sums = np.zeros((2, 1 << HASH_BITS))
+        for y, flat, places in self.parts():
+            for i, r in enumerate((y, 1 - y)):
+                sums[i] += np.bincount(flat, np.repeat(r, np.diff(places)), 1 << HASH_BITS)
+        return np.array([self.y.sum(), (1 - self.y).sum()]), sums
+
+    def ascended(self, w: np.ndarray, ratio: np.ndarray, off: np.ndarray, tasks: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals (label less probability) of the texts after ``PASSES`` over them from ``off``, and the move of the weights (the intercept's last) that they make."""
+        start, w, off = w, w.copy(), off.copy()
+        rng, reach = np.random.default_rng(seed), tasks / L2
+        for _ in range(PASSES):
+            for i in rng.permutation(len(self.y)):
+                grams = self.flat[self.places[i]:self.places[i + 1]]
+                r = ratio[grams]
+                z, norm = w[grams] @ r + w[-1] * CONSTANT, r @ r + CONSTANT * CONSTANT
+                new = self.y[i] - _settled(z, reach * norm, self.y[i] - off[i])
+                step = reach * (new - off[i])
+                w[grams] += step * r
+                w[-1] += step * CONSTANT
+                off[i] = new
+        return off, (w - start) / tasks
+
+
+def _settled(z: float, pull: float, p: float) -> float:
+    """The probability q at which logit(q) = z + pull * (p - q): where a text's weight stops moving."""
+    goal = z + pull * p
+    low, high = goal - pull, goal
+    u = min(max(z, low), high)
+    for _ in range(60):
+        q = 1 / (1 + exp(-u)) if u > -700 else 0.0
+        miss = u + pull * q - goal
+        if miss > 0:
+            high = u
+        else:
+            low = u
+        step = miss / (1 + pull * q * (1 - q))
+        u = u - step if low < u - step < high else (low + high) / 2
+        if abs(step) < 1e-9:
+            break
+    return 1 / (1 + exp(-u)) if u > -700 else 0.0
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some = _Texts(batches)
+    if len(some.y):
+        totals, sums = some.counts()
+        yield pa.RecordBatch.from_arrays([pa.array([totals.tolist()]), pa.array([sums.tobytes()], pa.binary())], names=["totals", "sums"])
+
+
+def _moves(model, tasks: int, seed: int):
+    """A row a task: the numbers of its texts, their residuals, and the move of the weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, (w, ratio, off) = _Texts(batches), model.value
+        if len(some.y):
+            before = np.array([off.get(n, 0.0) for n in some.number.tolist()])
+            after, move = some.ascended(w, ratio, before, tasks, seed)
+            yield pa.RecordBatch.from_arrays([pa.array([some.number.tolist()]), pa.array([after.tolist()]), pa.array([move.tobytes()], pa.binary())], names=["numbers", "off", "move"])
     return run
 
 
-def _added(grams: DataFrame, tasks: int, model=None) -> tuple[float, np.ndarray, np.ndarray]:
-    of = grams.sparkSession.sparkContext.broadcast(model) if model is not None else None
-    kinds = 2 if model is None else 1
-    loss, totals, sums = 0.0, np.zeros(kinds), np.zeros((kinds, 1 << HASH_BITS))
-    table = grams.select("y", "grams").coalesce(tasks).mapInArrow(_sums(of), "loss double, totals array<double>, sums binary").toArrow()   # a row a task
-    for more, total, part in zip(*(table.column(c) for c in ("loss", "totals", "sums"))):
-        loss, totals = loss + more.as_py(), totals + np.array(total.as_py())
-        sums += np.frombuffer(part.as_buffer()).reshape(kinds, -1)
-    if of is not None:
-        of.destroy()
-    return loss, totals, sums
-
-
-def _fit_linear(value, start: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """The least point of a convex function by L-BFGS; ``value`` gives it and its gradient, ``scale`` its second derivatives, roughly."""
-    w, past = start, []
-    now, g = value(w)
-    for _ in range(STEPS):
-        step, kept = g.copy(), []
-        for s, t, rho in reversed(past):
-            kept.append(rho * (s @ step))
-            step -= kept[-1] * t
-        step /= scale
-        if past:
-            s, t, rho = past[-1]
-            step *= 1 / (rho * (t @ (t / scale)))
-        for (s, t, rho), a in zip(past, reversed(kept)):
-            step += (a - rho * (t @ step)) * s
-        size, slope = 1.0, -(g @ step)
-        while True:
-            new, new_g = value(w - size * step)
-            if new <= now + 1e-4 * size * slope or size < 1e-4:
-                break
-            # The least point of the parabola through what is known, not too far from the last.
-            size = float(np.clip(slope * size * size / (2 * max(new - now + size * slope, 1e-300)), 0.1 * size, 0.5 * size))
-        if new >= now:
-            break
-        s, t = -size * step, new_g - g
-        done = now - new < 1e-4 * max(1.0, now)
-        w, g, now = w + s, new_g, new
-        if done:
-            break
-        if s @ t > 0:
-            past = [*past, (s, t, 1 / (s @ t))][-MEMORY:]
+def _fit_linear(grams: DataFrame, tasks: int, ratio: np.ndarray) -> np.ndarray:
+    """Weights of ratio-scaled n-grams, the intercept's last. The driver holds them and a residual a labelled text (``max_labelled`` at most)."""
+    sc, w, off = grams.sparkSession.sparkContext, np.zeros(len(ratio) + 1), {}
+    for round_no in range(ROUNDS):
+        model = sc.broadcast((w, ratio, off))
+        table = grams.mapInArrow(_moves(model, tasks, round_no), "numbers array<bigint>, off array<double>, move binary").toArrow()
+        # A task's share is its weights' move over the number of tasks; all of them together are the step.
+        for numbers, after, move in zip(*(table.column(c) for c in ("numbers", "off", "move"))):
+            off.update(zip(numbers.as_py(), after.as_py()))
+            w = w + np.frombuffer(move.as_buffer())
+        model.destroy()
     return w
 
 
@@ -167,25 +199,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
     rows = only(docs, id=column(docs, doc_id).cast("bigint"), text=column(docs, text).cast("string")).join(sample, "id")
     tasks = -(-max_labelled // TASK_LABELLED)
     rows = rows.select(F.xxhash64("id", "text").alias("key"), "y", "text").repartition(tasks, "key")
-    grams = spool(rows.select("y", _grams_udf()("text").alias("grams")), "grams")
-    _, (n_pos, n_neg), (p, q) = _added(grams, tasks)
-    n = n_pos + n_neg
+    grams = spool(rows.select("y", _grams_udf()("text").alias("grams"), F.monotonically_increasing_id().alias("number")), "grams", FILE_TEXTS)
+    grams = grams.select("y", "grams", "number").coalesce(tasks)
+    totals, sums = np.zeros(2), np.zeros((2, 1 << HASH_BITS))
+    table = grams.mapInArrow(_counts, "totals array<double>, sums binary").toArrow()     # a row a task
+    for total, part in zip(table.column("totals"), table.column("sums")):
+        totals, sums = totals + np.array(total.as_py()), sums + np.frombuffer(part.as_buffer()).reshape(2, -1)
+    n_pos, n_neg = totals
     if n_pos == 0 or n_neg == 0:
-        share = n_pos / n if n else 0.5
+        share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5
         return np.zeros(1 << HASH_BITS, np.float32), float(np.clip(np.log(max(share, 1e-3) / max(1 - share, 1e-3)), -7, 7))
-    seen = p + q
-    there = seen > 0
+    p, q = sums
+    there = p + q > 0
     ratio = np.where(there, np.log((p + SMOOTHING) / (p + SMOOTHING)[there].sum()) - np.log((q + SMOOTHING) / (q + SMOOTHING)[there].sum()), 0.0)
-    reg = np.append(np.full(len(ratio), L2), 1e-6)
-
-    def value(w):
-        loss, total, sums = _added(grams, tasks, (ratio * w[:-1], w[-1]))
-        return loss + 0.5 * (reg * w) @ w, np.append(ratio * sums[0], total) + reg * w
-
-    share = n_pos / n
-    start = np.append(np.zeros(len(ratio)), np.log(n_pos / n_neg))
-    w = _fit_linear(value, start, reg + share * (1 - share) * np.append(ratio * ratio * seen, n))
-    return (ratio * w[:-1]).astype(np.float32), float(w[-1])
+    w = _fit_linear(grams, table.num_rows, ratio)
+    return (ratio * w[:-1]).astype(np.float32), float(w[-1]) * CONSTANT
 
 
 def score_texts(items: list[bytes], weights: np.ndarray, intercept: float) -> np.ndarray:
