@@ -82,6 +82,12 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, in whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def local_path(uri: str) -> str:
     """Strip a ``file:`` scheme so Python file APIs can use the path."""
     if uri.startswith("file://"):
