@@ -122,7 +122,7 @@ def test_sums_of_a_task(monkeypatch):
         out, = toxicity._counts([part])
         assert out.column("totals")[0].as_py() == [sum(y[-len(part):]), len(part) - sum(y[-len(part):])]
     out, = toxicity._counts([batch])
-    assert np.array_equal(np.frombuffer(out.column("sums")[0].as_py()).reshape(2, -1), want)
+    assert np.array_equal(np.frombuffer(out.column("sums")[0].as_py(), np.int32).reshape(2, -1), want)
     assert not list(toxicity._counts([batch.slice(0, 0)]))
 
 

@@ -35,13 +35,13 @@ ORDERS = (4, 6, 8)
 HASH_BITS = 20
 MAX_LABELLED = 12_000
 #: Labelled texts that a task of the fit takes (about): each gives back a number for every hashed n-gram.
-TASK_LABELLED = 2000
+TASK_LABELLED = 3000
 #: Labelled texts in a file of their n-grams.
 FILE_TEXTS = 100
 #: N-grams that a task of the fit works on at a time (a longer single text is taken whole).
 TASK_GRAMS = 1 << 20
 #: Rounds of the fit, and passes of a task over its texts in a round.
-ROUNDS, PASSES = 8, 4
+ROUNDS, PASSES = 6, 3
 #: Value of the intercept's feature: large, so its penalty is small.
 CONSTANT = 4.0
 SMOOTHING = 1.0
@@ -71,19 +71,24 @@ def _ngrams(items: list[bytes]):
         yield np.repeat(np.arange(len(items)), counts), hashed[inside]
 
 
-def _distinct(doc: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((doc.astype(np.int64) << HASH_BITS) | hashed)
-    return both >> HASH_BITS, both & ((1 << HASH_BITS) - 1)
+def _text_grams(items: list[bytes]) -> Iterator[np.ndarray]:
+    """The distinct hashed n-grams of each text, in order of their last places."""
+    found = [(starts_of(np.bincount(doc, minlength=len(items))), hashed) for doc, hashed in _ngrams(items)]
+    place = np.empty(1 << HASH_BITS, np.int32)
+    for i in range(len(items)):
+        grams = np.concatenate([hashed[at[i]:at[i + 1]] for at, hashed in found]) if found else np.empty(0, np.int64)
+        every = np.arange(len(grams), dtype=np.int32)
+        place[grams] = every        # the last place of each stands
+        yield grams[place[grams] == every]
 
 
 def _grams_udf():
     def run(text: pa.Array) -> pa.Array:
         items, values, sizes = texts(text), [np.empty(0, np.int32)], []
         for a, b in bounded(items, STEP):
-            found = list(_ngrams(items[a:b]))
-            doc, hashed = _distinct(*[np.concatenate(x) for x in zip(*found)]) if found else (np.empty(0, int),) * 2
-            values.append(hashed.astype(np.int32))
-            sizes.extend(np.bincount(doc.astype(np.int64), minlength=b - a).tolist())
+            for grams in _text_grams(items[a:b]):
+                values.append(grams.astype(np.int32))
+                sizes.append(len(grams))
         return pa.ListArray.from_arrays(pa.array(starts_of(sizes).astype(np.int32)), pa.array(np.concatenate(values)))
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
@@ -160,7 +165,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     some = _Texts(batches)
     if len(some.y):
         totals, sums = some.counts()
-        yield pa.RecordBatch.from_arrays([pa.array([totals.tolist()]), pa.array([sums.tobytes()], pa.binary())], names=["totals", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([totals.tolist()]), pa.array([sums.astype(np.int32).tobytes()], pa.binary())], names=["totals", "sums"])
 
 
 def _moves(model, tasks: int, seed: int):
@@ -170,7 +175,7 @@ def _moves(model, tasks: int, seed: int):
         if len(some.y):
             before = np.array([off.get(n, 0.0) for n in some.number.tolist()])
             after, move = some.ascended(w, ratio, before, tasks, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([some.number.tolist()]), pa.array([after.tolist()]), pa.array([move.tobytes()], pa.binary())], names=["numbers", "off", "move"])
+            yield pa.RecordBatch.from_arrays([pa.array([some.number.tolist()]), pa.array([after.tolist()]), pa.array([move.astype(np.float32).tobytes()], pa.binary())], names=["numbers", "off", "move"])
     return run
 
 
@@ -183,7 +188,7 @@ def _fit_linear(grams: DataFrame, tasks: int, ratio: np.ndarray) -> np.ndarray:
         # A task's share is its weights' move over the number of tasks; all of them together are the step.
         for numbers, after, move in zip(*(table.column(c) for c in ("numbers", "off", "move"))):
             off.update(zip(numbers.as_py(), after.as_py()))
-            w = w + np.frombuffer(move.as_buffer())
+            w = w + np.frombuffer(move.as_buffer(), np.float32)
         model.destroy()
     return w
 
@@ -204,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
     totals, sums = np.zeros(2), np.zeros((2, 1 << HASH_BITS))
     table = grams.mapInArrow(_counts, "totals array<double>, sums binary").toArrow()     # a row a task
     for total, part in zip(table.column("totals"), table.column("sums")):
-        totals, sums = totals + np.array(total.as_py()), sums + np.frombuffer(part.as_buffer()).reshape(2, -1)
+        totals, sums = totals + np.array(total.as_py()), sums + np.frombuffer(part.as_buffer(), np.int32).reshape(2, -1)
     n_pos, n_neg = totals
     if n_pos == 0 or n_neg == 0:
         share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5
@@ -219,14 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, doc_id:
 def score_texts(items: list[bytes], weights: np.ndarray, intercept: float) -> np.ndarray:
     out = np.full(len(items), intercept)
     for a, b in bounded(items, STEP):
-        docs, grams = [], []
-        for doc, hashed in _ngrams(items[a:b]):
-            known = weights[hashed] != 0
-            docs.append(doc[known])
-            grams.append(hashed[known])
-        if docs:
-            doc, hashed = _distinct(np.concatenate(docs), np.concatenate(grams))
-            out[a:b] += np.bincount(doc, weights[hashed].astype(float), b - a)
+        out[a:b] += [weights[grams].sum(dtype=float) for grams in _text_grams(items[a:b])]
     return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
