@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import fresh_dir
+from ..session import fresh_dir, remove_dir
 from .common import column, only, read, ready, spool, texts
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -256,6 +256,20 @@ def _begun(codes: pa.Scalar, found: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     return _collapsed(seq, seq, seq > 0)[0], np.asarray(found.values.field("id"), np.int64).astype(np.uint64)
 
 
+def _grams(n: int, bits: int, seq: np.ndarray, ids: np.ndarray, cur: np.ndarray, ok: np.ndarray):
+    """Places of the n-grams whose two parts, at ``cur`` by place, are frequent (``ok``), the entry at each, and the sorted entries with their counts."""
+    frequent = ok[cur]
+    at = np.flatnonzero(frequent[:-1] & frequent[1:])
+    at = at[at + n - 1 < len(seq)]
+    key = cur[at].astype(np.int64) * (len(ids) + 1) + seq[at + n - 1]
+    _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    limbs = packed(permuted([ids[seq[at[first] + j] - 1] for j in range(n)], bits), bits)
+    order = _order(limbs)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return at, place[inverse], [limb[order] for limb in limbs], counts[order]
+
+
 def _counted(n: int, bits: int, deal: int):
     """From a shard's codes and frequent words, or its state of length n - 1 and its frequent entries: the state of length n, and the filter of its n-grams by bucket."""
     width = widths(bits, n)
@@ -270,30 +284,24 @@ def _counted(n: int, bits: int, deal: int):
                 else:
                     shard, seq, ids, cur, found = (batch.column(c)[i] for c in range(5))
                     seq, ids, cur = _array(seq, np.int32), _array(ids, np.uint64), _array(cur, np.int32)
+                    if n == 3:      # the places of 2-grams are most of the text: counted again, not stored
+                        at, entry, _, _ = _grams(2, bits, seq, ids, seq - 1, np.arange(len(ids) + 1) < len(ids))
+                        cur = np.full(len(seq), -1, np.int32)
+                        cur[at] = entry
                     ok = np.zeros(int(cur.max(initial=-1)) + 2, bool)
                     for row in found:
                         ok[np.asarray(row.values, np.int64)] = True
                 ok[-1] = False      # place -1: no gram
-                frequent = ok[cur]
-                at = np.flatnonzero(frequent[:-1] & frequent[1:])
-                if n > 2:           # the last word of the second part: within the sequence
-                    at = at[at + n - 1 < len(seq)]
+                at, entry, limbs, counts = _grams(n, bits, seq, ids, cur, ok)
                 if not len(at):
                     continue
-                key = cur[at].astype(np.int64) * (len(ids) + 1) + seq[at + n - 1]
-                _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                limbs = packed(permuted([ids[seq[at[first] + j] - 1] for j in range(n)], bits), bits)
-                order = _order(limbs)
-                limbs, counts = [limb[order] for limb in limbs], counts[order]
-                place = np.empty(len(order), np.int32)
-                place[order] = np.arange(len(order), dtype=np.int32)
-                new, live = np.full(len(seq), -1, np.int32), np.zeros(len(seq), bool)
-                new[at] = place[inverse]
-                for j in range(n):
-                    live[at + j] = True
                 if n < LONGEST:
+                    new, live = np.full(len(seq), -1, np.int32), np.zeros(len(seq), bool)
+                    new[at] = entry
+                    for j in range(n):
+                        live[at + j] = True
                     seq, new = _collapsed(seq, new, live)
-                    yield _row(STATE, _STATE_KINDS, (shard.as_py(), _stored(seq), _stored(ids), _stored(new), None, None, None))
+                    yield _row(STATE, _STATE_KINDS, (shard.as_py(), _stored(seq), _stored(ids), _stored(new[:0] if n == 2 else new), None, None, None))
                 quotient = min(width[0], max(deal, len(counts).bit_length()))
                 buckets = _shift(limbs[0], width[0] - deal)
                 edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]]))
@@ -343,14 +351,23 @@ def _merged(n: int, bits: int, deal: int, least: int):
     return run
 
 
-def _bucketed(df: DataFrame, name: str, tables: list[str]) -> DataFrame:
-    """``df`` as a table in the shared folder, bucketed by shard."""
+def _bucketed(df: DataFrame, name: str, tables: list[tuple[str, str]]) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by shard; noted in ``tables``."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    tables.append(path.rsplit("/", 1)[-1].replace("-", "_"))
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(tables[-1])
-    return spark.table(tables[-1])
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(table)
+    tables.append((table, path))
+    return spark.table(table)
+
+
+def _done(spark, tables: list[tuple[str, str]], but: int = 0) -> None:
+    """Removes the tables, all but the last ones, that no later step reads."""
+    while len(tables) > but:
+        table, path = tables.pop(0)
+        spark.sql(f"drop table {table}")
+        remove_dir(spark, path)
 
 
 def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -359,7 +376,7 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
     if not 0 < int(spark.conf.get(_BATCH_BYTES).rstrip("b")) <= BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     rows = only(docs, lang=F.coalesce(column(docs, lang).cast("string"), F.lit("und")), text=column(docs, text).cast("string"))
-    tables: list[str] = []
+    tables: list[tuple[str, str]] = []
     shards = _bucketed(rows.mapInArrow(_shards, SHARD), "shards", tables)
     sizes = spool(shards.select(F.explode(F.arrays_zip("langs", "tokens")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.tokens").alias("n")), "sizes")
     part, turn = F.shiftright("shard", 32), F.col("shard").bitwiseAND((1 << 32) - 1)
@@ -388,6 +405,7 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
         state = _bucketed(state.join(found, "shard").mapInArrow(_counted(n, bits, deal), STATE), f"grams_{n}", tables)
         parts = state.where("payload is not null").select("bucket", "shard", "first", "payload").repartition("bucket").sortWithinPartitions("bucket")
         result = spool(parts.mapInArrow(_merged(n, bits, deal, least), MERGED), f"counts_{n}")
+        _done(spark, tables, 1)     # what this length was counted from
         grams = (result.where("shard is null").select("at", F.posexplode("total").alias("i", "f"))
                  .select(F.slice("at", F.col("i") * n + 1, n).alias("ids"), "f"))
         phrases = phrases.unionByName(grams)
@@ -395,8 +413,7 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
         alive = grams.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         if not alive:
             break
-    for name in tables:
-        spark.sql(f"drop table {name}")
+    _done(spark, tables)
     return sizes, words, phrases
 
 
