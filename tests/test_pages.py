@@ -1,6 +1,7 @@
 """Page assembly (G1-G17) against a sequential accumulator model, both profiles."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,27 +209,73 @@ def test_output_limit_applies_to_final_text_not_estimate(spark):
 
 @pytest.mark.parametrize("which", ["embedded", "ocr"])
 @pytest.mark.parametrize("profile", [STRICT, LENIENT], ids=["strict", "lenient"])
-def test_page_text_shuffled_once(spark, which, profile):
-    """With no broadcast anywhere (the large-scale path), page text crosses exactly one
-    exchange: the join of pages to their document's range; later joins and aggregates
-    reuse that partitioning."""
-    import re
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
-    old = {k: spark.conf.get(k) for k in conf}
+def test_no_page_text_moves_by_path_alone(spark, which, profile):
+    """With no broadcast anywhere (the large-scale path) and documents of many segments, page text
+    crosses exchanges by (path, page) and (path, seg) only."""
+    from plan_tools import exchanges_by
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
         docs = _random_docs(5, 30)
         facts, pages = _frames(spark, docs, "emb" if which == "embedded" else "ocr")
-        df = (assemble_embedded if which == "embedded" else assemble_ocr)(facts, pages, profile)
-        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        df = (assemble_embedded if which == "embedded" else assemble_ocr)(facts, pages, profile.with_(segment_bytes=100))
+        assert df.agg({"seg": "max"}).first()[0] > 0
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     finally:
         for k, v in old.items():
-            spark.conf.set(k, v)
-    blocks = re.split(r"\n\(\d+\) ", plan)
-    text = [b for b in blocks if b.startswith("Exchange")
-            and re.search(r"Input \[\d+\]: \[[^\]]*\b(embedded|piece|lines|_t)#", b)]
-    assert len(text) == 1, [b.split("\n")[0] for b in text]
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    below = exchanges_by(plan, "path")
+    assert below and not any(re.search(r"listagg|\b(embedded|piece|lines|_t)#", x) for x in below)
+    assert sum(1 for x in plan.splitlines() if "listagg" in x) > 0
+
+
+def _joined(rows):
+    """Each document's rows by path, with its text put together from the segments."""
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.seg)):
+        if r.path in out:
+            first, text = out[r.path]
+            assert r.error is None and first.seg == 0 and text is not None
+            out[r.path] = (first, text + r.text)
+        else:
+            out[r.path] = (r, r.text)
+    return out
+
+
+@pytest.mark.parametrize("segment", [1, 90, 200])
+@pytest.mark.parametrize("profile", [STRICT, LENIENT, LENIENT.with_(page_cap=3)], ids=["strict", "lenient", "cap3"])
+def test_documents_in_segments_match_the_model(spark, profile, segment):
+    docs = _random_docs(31, 40)
+    # Blank pages first and last, of several segments; a page that is there twice, once empty.
+    docs["/lead.pdf"] = (4, {0: (["  "] * 60, None, " " * 130), 1: (["\u2003"], None, ""), 2: (["x "], None, "x "), 3: ([" "] * 90, None, "\n" * 150)})
+    docs["/blank.pdf"] = (1, {0: ([" "] * 200, None, "\n" * 300)})
+    for kind in ("ocr", "emb"):
+        facts, pages = _frames(spark, docs, kind)
+        run = assemble_ocr if kind == "ocr" else assemble_embedded
+        got = _joined(run(facts, pages, profile.with_(segment_bytes=segment)).collect())
+        assert got.keys() == docs.keys()
+        for path, (n, pg) in docs.items():
+            first, text = got[path]
+            if n == 0:
+                continue
+            if kind == "ocr":
+                want, err = model_ocr(n, {i: (lines, e) for i, (lines, e, _) in pg.items()}, profile)
+            else:
+                want, err = model_embedded(n, {i: (emb, e) for i, (_, e, emb) in pg.items()}, profile.name == "strict")
+            assert (first.error is None) == (err is None) and text == (want if err is None else None), (path, n, pg)
+
+
+@pytest.mark.parametrize("profile", [STRICT, LENIENT], ids=["strict", "lenient"])
+def test_a_repeated_first_page_may_be_empty(spark, profile):
+    facts = spark.createDataFrame([("/d.pdf", None, False, 2)], FACTS_T)
+    pages = spark.createDataFrame([("/d.pdf", i, t, t.split(), None, 1, 1.0, 1.0) for i, t in ((0, ""), (0, "x"), (1, "z"))], PAGES_T)
+    for segment in (1, 1 << 20):
+        prof = profile.with_(segment_bytes=segment)
+        assert _joined(assemble_embedded(facts, pages, prof).collect())["/d.pdf"][1] == "x\nz"
+        assert _joined(assemble_ocr(facts, pages, prof).collect())["/d.pdf"][1].startswith("x\n\n")
 
 
 def test_embedded_or_ocr_without_ocr_table(spark):

@@ -1,11 +1,15 @@
 """Payload policies (A1-A5, P9, P12, F7) and payloads as segments."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from textbarge.operators.concat import ordered_segments
 from textbarge.operators.payload import build_payload
 from textbarge.profiles import LENIENT, STRICT
 
+from plan_tools import exchanges_by
+
 ERR_T = "struct<kind:string,path:string,message:string>"
 ROW_T = f"run_id string, ord int, path string, text string, error {ERR_T}"
 
@@ -112,14 +116,39 @@ def test_hot_run_is_spread_over_tasks(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         out = build_payload(df, STRICT.with_(segment_bytes=20_000), "fail_fast")
-        plan = out._jdf.queryExecution().executedPlan().toString()
         rows = [r for r in out.collect() if r.run_id == "hot"]
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]     # the final one
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert len(rows) > 30
     assert "".join(r.payload for r in sorted(rows, key=lambda r: r.seg)) == "\n".join(f"t{i}" for i in range(20000) if i % 10 < 6)
     assert any("run_id" in x and "ord" in x for x in plan.splitlines() if "hashpartitioning" in x)
     assert any("run_id" in x and "seg" in x for x in plan.splitlines() if "hashpartitioning" in x)
+    below = exchanges_by(plan, "run_id")
+    assert below and not any("listagg" in x for x in below)
+
+
+@pytest.mark.parametrize("policy", ["fail_fast", "last_wins", "single"])
+def test_entries_in_parts(spark, policy):
+    """An entry's text in several parts gives the payload of the whole text."""
+    t = "run_id string, ord int, path string, text string, error struct<kind:string,path:string,message:string>"
+    whole = [("a", 0, "/a0", "one two three", None), ("b", 0, "/b0", "x" * 50, None), ("b", 1, "/b1", "", None), ("b", 2, "/b2", "yz", None),
+             ("c", 0, "/c0", "ok", None), ("c", 1, "/c1", None, ("notFound", "/c1", "gone")), ("d", 0, "/d", None, ("notFound", "/d", "gone"))]
+    parts = []
+    for run, o, path, text, err in whole:
+        cut = [text] if text is None or len(text) < 5 else [text[i:i + 5] for i in range(0, len(text), 5)]
+        parts += [(run, o, path, c, err, i) for i, c in enumerate(cut)]
+    for segment in (10, 1 << 20):
+        profile = LENIENT.with_(segment_bytes=segment, max_output_bytes=60)
+        got = {}
+        for rows, schema in ((whole, t), (parts, t + ", part bigint")):
+            out = build_payload(spark.createDataFrame(rows, schema), profile, policy).collect()
+            every = {}
+            for r in sorted(out, key=lambda r: r.seg):
+                text, _ = every.get(r.run_id, (None, None))
+                every[r.run_id] = (r.payload if text is None else text + r.payload, (r.n_bytes, r.n_files, r.n_failed, r.summary, r.error))
+            got[schema] = every
+        assert got[t] == got[t + ", part bigint"]
 
 
 def test_single_notices(spark):

@@ -17,6 +17,14 @@ def utrim(c) -> Column:
     return F.trim(col(c), F.lit(WHITESPACE_CHARS))
 
 
+def utrim_start(c) -> Column:
+    return F.ltrim(col(c), F.lit(WHITESPACE_CHARS))
+
+
+def utrim_end(c) -> Column:
+    return F.rtrim(col(c), F.lit(WHITESPACE_CHARS))
+
+
 def is_blank(c) -> Column:
     """True when nothing but Unicode White_Space remains; null stays null."""
     return utrim(c) == F.lit("")

@@ -2,10 +2,13 @@
 
 The source tools walk pages with an accumulator. Every accumulator test
 reduces to "is there an earlier page with text?", i.e. ``page_idx > f`` with
-``f`` the first such page. One aggregate per document takes the statistics and
-the text together; pages expected but missing are found on keys. A document's
-text is one value, so its pages meet in one task by definition (Spark holds
-values up to 2 GiB); there is no smaller limit.
+``f`` the first such page. Light rows (path, page, bytes, tests) give a document's
+statistics, ``f`` among them, and the pages whose text is wanted; pages expected but
+missing are found on keys. A document may hold any share of all pages, so its text
+comes as segments (operators/concat.py): rows ``path, seg, text`` with ``seg`` from 0
+and the document's other columns repeated; joined in ``seg`` order they are its text.
+Page texts move by (path, page) and by (path, seg), never by their path alone; a
+document up to ``Profile.segment_bytes`` is one row.
 
 Inputs
   facts: ``path, open_error, locked, page_count`` (+ ``width_px, height_px`` for images)
@@ -21,8 +24,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.errors import lenient_error, make_error, null_error, strict_error
 from ..functions.raster import raster_px, too_many_pixels
 from ..functions.route import ocr_route
-from ..functions.text import fmt, is_blank, page_no, utrim
+from ..functions.text import fmt, is_blank, page_no, utrim, utrim_end, utrim_start
 from ..profiles import Profile, get_profile
+from ..session import spool
+from .concat import put_together, segment_plan
 
 # Texts of the PDF / image extraction steps.
 STRICT_NO_EXTRACTABLE_TEXT = "PDF contains no extractable text"
@@ -160,64 +165,71 @@ def pdf_gate(facts: DataFrame, profile: Profile | str, stage: str = "embedded")
 
 
 # ------------------------------------------------------------------ G2-G4 (embedded)
-def _lead_nl(c: Column) -> Column:
-    return F.char_length(c) - F.char_length(F.ltrim(c, F.lit("\n")))
-
-
 def _piece(p: Profile) -> Column:
     """What a page adds: strict takes a page without text as empty, lenient skips it."""
     text = F.coalesce(F.col("embedded"), F.lit("")) if p.name == "strict" else F.col("embedded")
     return F.when(F.col("error").isNull(), text)
 
 
-def _embedded(facts: DataFrame, pages: DataFrame, p: Profile, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """``facts`` behind the PDF gate, and per document with a page range ``path, failure, prose``
-    (and what its text is made of): one aggregate after the join of pages to their document."""
+def _embedded(facts: DataFrame, pages: DataFrame, p: Profile, stored: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``facts`` behind the PDF gate; its pages as light rows; per document with a page range
+    ``path, failure, prose, f`` (``f``: the first page with text)."""
     gated = pdf_gate(facts, p, "embedded")
     rng = page_range(gated.where(F.col("pdf_error").isNull()))
-    present = present_pages(rng, pages, ["path", "page_idx", "embedded", "error"]).withColumn("piece", _piece(p))
-    aggs = [F.max(~is_blank(F.col("piece"))).alias("prose")]
+    piece = _piece(p)
+    light = present_pages(rng, pages.select("path", "page_idx", "error", F.octet_length(piece).cast("bigint").alias("n_bytes"), (~is_blank(piece)).alias("prose")),
+                          ["path", "page_idx", "error", "n_bytes", "prose"])
+    if stored:
+        light = spool(light, "page_sizes")
+    aggs = [F.max("prose").alias("prose"), F.min(F.when(F.col("n_bytes") > 0, F.col("page_idx"))).alias("f")]
     if p.name == "strict":
         aggs += [F.min(F.when(F.col("error").isNotNull(), F.struct("page_idx", "error"))).alias("bad"), _seen().alias("seen")]
-    if with_text:
-        aggs += [F.expr("listagg(piece, '\\n') WITHIN GROUP (ORDER BY page_idx, piece)").alias("joined"),
-                 F.min(F.when(F.col("piece") != "", F.struct("page_idx", "piece"))).alias("first")]
     # Every document with a page range, also those without any page row.
-    st = rng.select("path", "_m").join(present.groupBy("path").agg(*aggs), "path", "left")
+    st = rng.select("path", "_m").join(light.groupBy("path").agg(*aggs), "path", "left")
     failure = F.lit(None).cast("struct<page_idx:int,error:string>")
     if p.name == "strict":
         gap = F.array_min(_absent(F.col("seen")))
         missing = F.when(gap.isNotNull(), F.struct(gap.alias("page_idx"), F.lit("page missing").alias("error")))
         failure = F.least(F.col("bad"), missing)
-    return gated, st.withColumn("failure", failure).withColumn("prose", F.coalesce("prose", F.lit(False)))
+    return gated, light, st.select("path", failure.alias("failure"), F.coalesce("prose", F.lit(False)).alias("prose"), "f")
+
+
+def _heads(st: DataFrame, slots: DataFrame) -> DataFrame:
+    """The documents' columns for each of their segments, and for segment 0 of those without any."""
+    return st.join(slots, "path", "left").withColumn("seg", F.coalesce("seg", F.lit(0).cast("bigint")))
 
 
 def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
-    """Embedded-text pass. Returns ``path, text, error, blank``.
+    """Embedded-text pass. Returns ``path, seg, text, error, blank``.
 
-    G2: '\\n' goes before a page only when something non-empty came before, so
-    the joined text is ``listagg(embedded, '\\n')`` over pages from the first
-    non-empty one on. It is built as the full ordered join ``L`` minus its
-    ``k`` leading separators, where ``k`` = leading '\\n' of ``L`` minus those
-    of the first non-empty page.
+    G2: '\n' goes before a page only when something non-empty came before, so
+    the text is the pages from the first non-empty one on, joined with '\n'.
     G3 (strict): the first failing page (a missing page included) fails the
     document; its error comes from keys and short texts only.
     G4 (lenient): a page without text, failed or missing, is skipped.
     ``blank`` marks documents whose text is blank after trimming (G5 decides).
     """
     p = get_profile(profile)
-    gated, st = _embedded(facts, pages, p, with_text=True)
-    k = _lead_nl(F.col("joined")) - _lead_nl(F.col("first.piece"))
-    text = (F.when(F.col("first").isNull(), F.lit(""))
-            .otherwise(F.substring(F.col("joined"), k + 1, 2147483647)))
+    gated, light, st = _embedded(facts, pages, p, stored=True)
+    st = spool(st, "documents")
+    begun = st.where(F.col("failure").isNull() & F.col("f").isNotNull()).select("path", "f")
+    wanted = light.where(F.col("n_bytes").isNotNull()).join(begun, "path").where(
+        (F.col("page_idx") > F.col("f")) | ((F.col("page_idx") == F.col("f")) & (F.col("n_bytes") > 0)))
+    numbers, slots = segment_plan(wanted.select("path", "page_idx", "n_bytes"), ["path"], "page_idx", p.segment_bytes)
+    numbers = numbers.join(begun, "path").select("path", "page_idx", "seg", (F.col("page_idx") == F.col("f")).alias("opening"))
+    body = pages.select("path", "page_idx", _piece(p).alias("piece")).join(numbers, ["path", "page_idx"])
+    # An empty row of the first page with text is before it.
+    body = body.select("path", "page_idx", "seg", F.when(~(F.col("opening") & (F.col("piece") == "")), F.col("piece")).alias("_t"), F.lit(True).alias("_lead"))
+    texts = put_together(body, ["path"], "page_idx", "\n")
     bad = F.col("failure")
     err = F.when(bad.isNotNull(), strict_error("ExtractionError", "path", fmt(
         STRICT_PAGE_EXTRACT, n=page_no(bad.getField("page_idx")), error=bad.getField("error")))).otherwise(null_error())
-    built = st.select("path", F.when(bad.isNull(), text).alias("text"), err.alias("error"),
-                      (bad.isNull() & ~F.col("prose")).alias("blank"))
+    built = _heads(st, slots).join(texts, ["path", "seg"], "left").select(
+        "path", "seg", F.when(bad.isNull(), F.coalesce("text", F.lit(""))).alias("text"), err.alias("error"),
+        (bad.isNull() & ~F.col("prose")).alias("blank"))
     # Documents without a page range: failing the PDF gate, or with no pages.
     others = gated.where(F.col("pdf_error").isNotNull() | (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select(
-        "path", F.when(F.col("pdf_error").isNull(), F.lit("")).alias("text"), F.col("pdf_error").alias("error"),
+        "path", F.lit(0).cast("bigint").alias("seg"), F.when(F.col("pdf_error").isNull(), F.lit("")).alias("text"), F.col("pdf_error").alias("error"),
         F.col("pdf_error").isNull().alias("blank"))
     return built.unionByName(others)
 
@@ -225,7 +237,7 @@ def assemble_embedded(facts: DataFrame, pages: DataFrame, profile: Profile | str
 def blank_documents(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
     """``path`` of the documents whose embedded text is blank and without error (G5), from
     page-level tests alone: a text is blank exactly when all its pieces are."""
-    gated, st = _embedded(facts, pages, get_profile(profile), with_text=False)
+    gated, _, st = _embedded(facts, pages, get_profile(profile), stored=False)
     none = gated.where(F.col("pdf_error").isNull() & (F.coalesce(F.col("page_count"), F.lit(0)) <= 0)).select("path")
     return st.where(F.col("failure").isNull() & ~F.col("prose")).select("path").unionByName(none)
 
@@ -245,33 +257,36 @@ def classify_pages(facts: DataFrame, pages: DataFrame, profile: Profile | str) -
 
 
 def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) -> DataFrame:
-    """OCR pass over PDF pages. Returns ``path, text, error, n_pages, n_failed, failed_list``.
+    """OCR pass over PDF pages. Returns ``path, seg, text, error, n_pages, n_failed, failed_list``.
 
     G6/G7: before page i (i > 0) the lines '', separator(i+1), '' are added when
     an earlier successful page produced a line, i.e. ``i > f`` with ``f`` the
     first successful page with lines; blank later pages still get one.
-    G8: strict prints every line followed by '\\n'; lenient joins with '\\n' and trims.
+    G8: strict prints every line followed by '\n'; lenient joins with '\n' and trims.
     G9 (strict): any failed page fails the document. G10/G12 (lenient): warnings.
-    G13: blank result is an error (strict only when no page failed).
+    G13: blank result is an error (strict only when no page failed). A page behind
+    ``f`` is never blank, for its separator is not; so light rows tell whether a
+    document is, and in which segments the trimmed text starts and ends.
 
-    One aggregate per document collects its successful pages and its failures;
-    pages without a result follow from the page numbers it has.
+    A document's failures are listed in its error or warning, one value; pages without a
+    result follow from the page numbers it has.
     """
     p = get_profile(profile)
     gated = pdf_gate(facts, p, "ocr")
     rng = page_range(gated.where(F.col("pdf_error").isNull()), p.page_cap)
-    cols = ["path", "page_idx", "lines", "error", "elapsed_ms", "width_pt", "height_pt"]
-    present = (present_pages(rng, pages, cols).withColumn("has_result", F.lit(True))
-               .withColumn("status", page_status(p)))
+    lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
+    joined = F.array_join(lines, "\n")
+    tests = ["error", "elapsed_ms", "width_pt", "height_pt"]
+    light = present_pages(rng, pages.select("path", "page_idx", *tests, F.size(lines).alias("n_lines"), F.octet_length(joined).cast("bigint").alias("n_bytes"),
+                                            (~is_blank(joined)).alias("prose")), ["path", "page_idx", *tests, "n_lines", "n_bytes", "prose"])
+    light = light.withColumn("has_result", F.lit(True)).withColumn("status", page_status(p))
     # A failure as it is listed: a warning line (strict) or the page number (lenient).
     listed = strict_warning() if p.name == "strict" else _s(page_no(F.col("page_idx")))
-    lines = F.coalesce(F.col("lines"), F.array().cast("array<string>"))
     ok = F.col("status") == "ok"
-    own = present.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.when(ok, F.struct(F.col("page_idx"), lines.alias("lines"))))).alias("good"),
-        F.collect_list(F.when(~ok, F.struct(F.col("page_idx"), listed.alias("listed")))).alias("bad"),
-        _seen().alias("seen"))
-    res = rng.join(own, "path", "left")
+    light = spool(light.select("path", "page_idx", ok.alias("ok"), F.when(~ok, listed).alias("listed"), "n_lines", "n_bytes", "prose"), "page_sizes")
+    own = light.groupBy("path").agg(
+        F.collect_list(F.when(~F.col("ok"), F.struct("page_idx", "listed"))).alias("bad"), _seen().alias("seen"),
+        F.min(F.when(F.col("ok") & (F.col("n_lines") > 0), F.col("page_idx"))).alias("f"))
 
     def listed_absent(i: Column) -> Column:
         line = fmt(STRICT_WARN_ACCESS, n=page_no(i)) if p.name == "strict" else _s(page_no(i))
@@ -279,44 +294,54 @@ def assemble_ocr(facts: DataFrame, pages: DataFrame, profile: Profile | str) ->
 
     none = F.array().cast("array<struct<page_idx:int,listed:string>>")
     failed = F.array_sort(F.concat(F.coalesce(F.col("bad"), none), F.transform(_absent(F.col("seen")), listed_absent)))
-    first = F.array_min(F.transform(F.filter(F.col("good"), lambda g: F.size(g["lines"]) > 0), lambda g: g["page_idx"]))
-    res = (res.withColumn("failed", failed).withColumn("n_failed", F.size("failed").cast("bigint"))
-           .withColumn("failed_list", F.when(F.col("n_failed") > 0, F.array_join(
-               F.col("failed.listed"), "\n" if p.name == "strict" else ", ")))
-           .withColumn("f", first))
-    empty = F.array().cast("array<string>")
-    pieces = F.transform(F.filter(F.col("good"), lambda g: g["page_idx"] >= F.col("f")), lambda g: F.concat(
-        F.when(g["page_idx"] > F.col("f"), _sep_lines(p, g["page_idx"])).otherwise(empty), g["lines"]))
-    core_c = F.when(F.col("f").isNotNull(), F.array_join(F.flatten(pieces), "\n"))
+    st = (rng.join(own, "path", "left").withColumn("failed", failed).withColumn("n_failed", F.size("failed").cast("bigint"))
+          .withColumn("failed_list", F.when(F.col("n_failed") > 0, F.array_join(
+              F.col("failed.listed"), "\n" if p.name == "strict" else ", "))))
+    st = spool(st.select("path", "page_count", "_m", "n_failed", "failed_list", "f"), "documents")
     n_failed, path = F.col("n_failed"), F.col("path")
+    begun = st.where(F.col("f").isNotNull() & ((n_failed == 0) if p.name == "strict" else F.lit(True))).select("path", "f")
+    wanted = light.where("ok").join(begun, "path").where(
+        (F.col("page_idx") > F.col("f")) | ((F.col("page_idx") == F.col("f")) & (F.col("n_lines") > 0)))
+    # Whether a page's text is not blank: behind f its separator is not.
+    solid = wanted.groupBy("path", "page_idx").agg(F.max((F.col("page_idx") > F.col("f")) | F.col("prose")).alias("solid"), F.first("f").alias("f"))
+    numbers, slots = segment_plan(wanted.select("path", "page_idx", "n_bytes"), ["path"], "page_idx", p.segment_bytes)
+    numbers = numbers.join(solid, ["path", "page_idx"])
+    bounds = numbers.groupBy("path").agg(F.min(F.when(F.col("solid"), F.col("seg"))).alias("start"), F.max("seg").alias("end"))
+    heads = _heads(st.join(bounds, "path", "left"), slots)
+
+    i, opening = F.col("page_idx"), F.col("page_idx") == F.col("f")
+    body = pages.withColumn("has_result", F.lit(True)).where(page_status(p) == "ok").select("path", "page_idx", lines.alias("lines")).join(numbers.select("path", "page_idx", "seg", "f"), ["path", "page_idx"])
+    piece = F.when(~opening, F.array_join(F.concat(_sep_lines(p, i), F.col("lines")), "\n")).when(F.size("lines") > 0, F.array_join("lines", "\n"))
+    texts = put_together(body.select("path", "page_idx", "seg", piece.alias("_t"), F.lit(True).alias("_lead")), ["path"], "page_idx", "\n", out="core")
+    res = heads.join(texts, ["path", "seg"], "left")
+    blank, seg, last = F.col("start").isNull(), F.col("seg"), F.col("seg") == F.col("end")
     if p.name == "strict":
         stderr = (F.when(n_failed > 0, F.concat(F.col("failed_list"), F.lit("\n"),
                                                  fmt(STRICT_PAGES_HAD_ERRORS, k=n_failed, n=F.col("page_count"))))
                   .otherwise(F.lit(STRICT_PDF_BLANK)))
-        res = res.withColumn("core", F.when(n_failed == 0, core_c))
-        blank = F.col("core").isNull() | is_blank(F.col("core"))
         err = (F.when((n_failed > 0) | blank,
                       strict_error("ExtractionError", path, fmt(STRICT_OCR_FAILED, stderr=utrim(stderr))))
                .otherwise(null_error()))
-        text = F.concat(F.col("core"), F.lit("\n"))
+        text = F.when(last, F.concat(F.col("core"), F.lit("\n"))).otherwise(F.col("core"))
     else:
-        res = res.withColumn("core", utrim(F.coalesce(core_c, F.lit(""))))
+        core = F.when(seg < F.col("start"), F.lit("")).when(seg == F.col("start"), utrim_start("core")).otherwise(F.col("core"))
         warn_failed = F.when(n_failed > 0, fmt(LENIENT_FAILED_PAGES, pages=F.col("failed_list"))) \
             .otherwise(F.lit(""))
         warn_trunc = (F.when(F.col("page_count") > F.lit(p.page_cap),
                              fmt(LENIENT_TRUNCATED, cap=str(p.page_cap), n=F.col("page_count")))
                       .otherwise(F.lit("")))
-        err = (F.when(F.col("core") == "", lenient_error("extractionFailed", path, F.lit(LENIENT_PDF_BLANK)))
+        err = (F.when(blank, lenient_error("extractionFailed", path, F.lit(LENIENT_PDF_BLANK)))
                .otherwise(null_error()))
-        text = F.concat(F.col("core"), warn_failed, warn_trunc)
-    built = res.select("path", F.when(err.isNull(), text).alias("text"), err.alias("error"),
+        text = F.when(last, F.concat(utrim_end(core), warn_failed, warn_trunc)).otherwise(core)
+    built = res.select("path", "seg", F.when(err.isNull(), text).alias("text"), err.alias("error"),
                        F.col("_m").cast("bigint").alias("n_pages"), n_failed.alias("n_failed"),
                        F.col("failed_list"))
     refused = gated.where(F.col("pdf_error").isNotNull()).select(
-        "path", F.lit(None).cast("string").alias("text"), F.col("pdf_error").alias("error"),
+        "path", F.lit(0).cast("bigint").alias("seg"), F.lit(None).cast("string").alias("text"), F.col("pdf_error").alias("error"),
         F.lit(0).cast("bigint").alias("n_pages"), F.lit(0).cast("bigint").alias("n_failed"),
         F.lit(None).cast("string").alias("failed_list"))
-    return built.unionByName(refused)
+    # A blank document of several segments (blank lines beyond a segment's size) is one error.
+    return built.where(F.col("error").isNull() | (F.col("seg") == 0)).unionByName(refused)
 
 
 # ------------------------------------------------------------------------ images
@@ -362,7 +387,7 @@ def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: Data
     assembled twice or stored in between. The recognizer goes by the extension:
     a document that only its declared type makes a PDF is recognized as an
     image (facts from ``image_facts``).
-    Returns ``path, text, error, source`` with source 'embedded', 'ocr' or NULL.
+    Returns ``path, seg, text, error, source`` with source 'embedded', 'ocr' or NULL.
     """
     p = get_profile(profile)
     emb = assemble_embedded(facts, embedded_pages, p)
@@ -370,8 +395,10 @@ def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: Data
     if p.name == "strict" and not ocr_available:
         e = F.when(F.col("blank"), strict_error("ExtractionError", path, F.lit(STRICT_NO_EXTRACTABLE_TEXT))) \
             .otherwise(F.col("error"))
-        return emb.select("path", F.when(~F.col("blank"), F.col("text")).alias("text"), e.alias("error"),
-                          F.when(~F.col("blank") & F.col("error").isNull(), F.lit("embedded")).alias("source"))
+        # A blank text of several segments is one error.
+        return emb.where(~F.col("blank") | (F.col("seg") == 0)).select(
+            "path", "seg", F.when(~F.col("blank"), F.col("text")).alias("text"), e.alias("error"),
+            F.when(~F.col("blank") & F.col("error").isNull(), F.lit("embedded")).alias("source"))
     blank = blank_documents(facts, embedded_pages, p)
     if ocr_pages is None:
         # A recognizer without results: every page of a blank document is missing.
@@ -381,19 +408,19 @@ def embedded_or_ocr(facts: DataFrame, embedded_pages: DataFrame, ocr_pages: Data
     if image_facts is not None:
         as_pdf = blank.where(ocr_route("path", p) == "pdf")
         as_image = blank.where(ocr_route("path", p) == "image")
-    o = assemble_ocr(facts.join(as_pdf, "path", "left_semi"), ocr_pages.join(as_pdf, "path", "left_semi"), p) \
-        .select("path", "text", "error")
+    wanted = facts.join(as_pdf, "path", "left_semi")
+    o = assemble_ocr(wanted, ocr_pages.join(as_pdf, "path", "left_semi"), p).select("path", "seg", "text", "error")
+    # Documents that the recognizer has an outcome for, without putting their texts together.
+    reached = pdf_gate(wanted, p, "ocr").where(F.col("pdf_error").isNotNull() | F.col("page_count").isNotNull()).select("path")
     if as_image is not None:
-        o = o.unionByName(assemble_image(image_facts.join(as_image, "path", "left_semi"), ocr_pages, p))
-    if p.name == "strict":
-        # The tool re-checks the helper's text: blank -> error (unreachable when the helper succeeded).
-        o = o.withColumn("error", F.when(F.col("error").isNull() & is_blank(F.col("text")), strict_error(
-            "ExtractionError", path, F.lit(STRICT_OCR_EMPTY)))
-            .otherwise(F.col("error")))
-    j = emb.join(o.select("path", F.col("text").alias("o_text"), F.col("error").alias("o_error")), "path", "left")
-    use_ocr = F.col("blank")
-    return j.select("path",
-                    F.when(use_ocr, F.col("o_text")).otherwise(F.col("text")).alias("text"),
-                    F.when(use_ocr, F.col("o_error")).otherwise(F.col("error")).alias("error"),
-                    F.when(use_ocr & F.col("o_error").isNull(), F.lit("ocr"))
-                    .when(~use_ocr & F.col("error").isNull(), F.lit("embedded")).alias("source"))
+        images = assemble_image(image_facts.join(as_image, "path", "left_semi"), ocr_pages, p)
+        if p.name == "strict":
+            # The tool re-checks the helper's text: blank -> error (unreachable when the helper succeeded).
+            images = images.withColumn("error", F.when(F.col("error").isNull() & is_blank(F.col("text")), strict_error(
+                "ExtractionError", path, F.lit(STRICT_OCR_EMPTY))).otherwise(F.col("error")))
+        o = o.unionByName(images.select("path", F.lit(0).cast("bigint").alias("seg"), "text", "error"))
+        reached = reached.unionByName(image_facts.join(as_image, "path", "left_semi").select("path"))
+    unseen = blank.join(reached, "path", "left_anti").select("path", F.lit(0).cast("bigint").alias("seg"), F.lit(None).cast("string").alias("text"), null_error().alias("error"))
+    by_ocr = o.unionByName(unseen).select("path", "seg", "text", "error", F.when(F.col("error").isNull(), F.lit("ocr")).alias("source"))
+    by_text = emb.where(~F.col("blank")).select("path", "seg", "text", "error", F.when(F.col("error").isNull(), F.lit("embedded")).alias("source"))
+    return by_text.unionByName(by_ocr)

@@ -34,7 +34,7 @@ from ..sources.manifest import with_lookup_path
 _ERR = "struct<kind:string,path:string,message:string>"
 # Engine text for an entry whose bytes or extraction results could not be read.
 CONTENT_UNAVAILABLE = "file content unavailable"
-DECODED_COLS = ["run_id", "ord", "path", "route", "encoding", "text", "error"]
+DECODED_COLS = ["run_id", "ord", "path", "route", "encoding", "text", "error", "part"]
 
 
 @dataclass
@@ -51,7 +51,8 @@ class JobInputs:
 
 def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool = True,
                    helper_missing: tuple[str, str] | None = None) -> DataFrame:
-    """One row per manifest entry: ``run_id, ord, path, route, encoding, text, error``.
+    """One row per manifest entry: ``run_id, ord, path, route, encoding, text, error, part``; the
+    later segments of a large document's text are rows with ``part`` above 0.
 
     ``helper_missing``, the names of the helper and of the tool: the strict tool's
     platform has a recognizer, but its helper program is not installed (P16); ``ocr_available=False``: the platform has none."""
@@ -60,7 +61,7 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
     m = with_lookup_path(inp.manifest, p)
     inline = (m.where(F.col("is_inline"))
               .select("run_id", "ord", "path", F.lit("inline").alias("route"), F.lit("utf-8").alias("encoding"),
-                      F.col("inline_text").alias("text"), F.lit(None).cast(_ERR).alias("error")))
+                      F.col("inline_text").alias("text"), F.lit(None).cast(_ERR).alias("error"), F.lit(0).cast("bigint").alias("part")))
     has_entry = "entry_length" in inp.inventory.columns
     inv = inp.inventory.select(F.col("path").alias("lookup_path"), "exists", "is_dir", "link_target_exists",
                                "readable", "length",
@@ -71,7 +72,7 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
     e = spool(e, "entries")
     bad = e.where(F.col("verr").isNotNull()).select(
         "run_id", "ord", "path", "route", F.lit(None).cast("string").alias("encoding"),
-        F.lit(None).cast("string").alias("text"), F.col("verr").alias("error"))
+        F.lit(None).cast("string").alias("text"), F.col("verr").alias("error"), F.lit(0).cast("bigint").alias("part"))
     ok = e.where(F.col("verr").isNull())
     parts = [inline, bad]
 
@@ -84,7 +85,7 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
                            "error": F.lit(None).cast(_ERR)})
     parts.append(t.select("run_id", "ord", "path", "route", "encoding",
                           F.when(F.col("oerr").isNull(), F.col("text")).alias("text"),
-                          F.coalesce("oerr", "error").alias("error")))
+                          F.coalesce("oerr", "error").alias("error"), F.lit(0).cast("bigint").alias("part")))
 
     # pdf route
     pdf = ok.where(F.col("route") == "pdf").withColumn("oerr", open_error(p, "path", "pdf"))
@@ -92,13 +93,14 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
         want = pdf.where(F.col("oerr").isNull()).select(F.col("lookup_path").alias("path")).distinct()
         facts = inp.pdf_facts.join(want, "path", "left_semi")
         r = embedded_or_ocr(facts, inp.pdf_pages, inp.ocr_pages, p, ocr_available, image_facts=inp.image_facts)
-        r = r.select(F.col("path").alias("lookup_path"), F.col("text").alias("r_text"), F.col("error").alias("r_err"))
+        r = r.select(F.col("path").alias("lookup_path"), F.col("text").alias("r_text"), F.col("error").alias("r_err"), F.col("seg").alias("part"))
         pdf = pdf.join(r, "lookup_path", "left")
     else:
-        pdf = pdf.withColumn("r_text", F.lit(None).cast("string")).withColumn("r_err", F.lit(None).cast(_ERR))
+        pdf = pdf.withColumn("r_text", F.lit(None).cast("string")).withColumn("r_err", F.lit(None).cast(_ERR)).withColumn("part", F.lit(0).cast("bigint"))
     parts.append(pdf.select("run_id", "ord", "path", "route", F.lit(None).cast("string").alias("encoding"),
                             F.when(F.col("oerr").isNull(), F.col("r_text")).alias("text"),
-                            F.coalesce("oerr", "r_err").alias("error")))
+                            F.coalesce("oerr", "r_err").alias("error"), F.coalesce("part", F.lit(0).cast("bigint")).alias("part"))
+                 .where(F.col("text").isNotNull() | (F.col("part") == 0)))
 
     # image route
     img = ok.where(F.col("route") == "image").withColumn("oerr", open_error(p, "path", "image"))
@@ -109,19 +111,20 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
         img = img.withColumn("oerr", F.coalesce(F.col("oerr"), strict_error("ExtractionError", F.col("path"), reason)))
     if inp.image_facts is not None and inp.ocr_pages is not None:
         want = img.where(F.col("oerr").isNull()).select(F.col("lookup_path").alias("path")).distinct()
-        r = assemble_image(inp.image_facts.join(want, "path", "left_semi"), inp.ocr_pages, p)
+        r = assemble_image(inp.image_facts.join(want, "path", "left_semi"), inp.ocr_pages, p).withColumn("seg", F.lit(0).cast("bigint"))
         if p.use_declared_type and inp.pdf_facts is not None:
             # What only its declared type makes an image is recognized as PDF pages if it is named .pdf.
             pdf_named = want.where(ocr_route("path", p) == "pdf")
             o = assemble_ocr(inp.pdf_facts.join(pdf_named, "path", "left_semi"), inp.ocr_pages.join(pdf_named, "path", "left_semi"), p)
-            r = r.join(pdf_named, "path", "left_anti").unionByName(o.select("path", "text", "error"))
-        r = r.select(F.col("path").alias("lookup_path"), F.col("text").alias("r_text"), F.col("error").alias("r_err"))
+            r = r.join(pdf_named, "path", "left_anti").unionByName(o.select("path", "text", "error", "seg"))
+        r = r.select(F.col("path").alias("lookup_path"), F.col("text").alias("r_text"), F.col("error").alias("r_err"), F.col("seg").alias("part"))
         img = img.join(r, "lookup_path", "left")
     else:
-        img = img.withColumn("r_text", F.lit(None).cast("string")).withColumn("r_err", F.lit(None).cast(_ERR))
+        img = img.withColumn("r_text", F.lit(None).cast("string")).withColumn("r_err", F.lit(None).cast(_ERR)).withColumn("part", F.lit(0).cast("bigint"))
     parts.append(img.select("run_id", "ord", "path", "route", F.lit(None).cast("string").alias("encoding"),
                             F.when(F.col("oerr").isNull(), F.col("r_text")).alias("text"),
-                            F.coalesce("oerr", "r_err").alias("error")))
+                            F.coalesce("oerr", "r_err").alias("error"), F.coalesce("part", F.lit(0).cast("bigint")).alias("part"))
+                 .where(F.col("text").isNotNull() | (F.col("part") == 0)))
 
     out = parts[0]
     for x in parts[1:]:
@@ -134,6 +137,11 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
                           .otherwise(F.col("error")))
 
 
+def single_part(decoded: DataFrame) -> DataFrame:
+    """``decoded`` without ``part`` where no document has more than one segment: the plain, cheaper plans do."""
+    return decoded.drop("part") if decoded.where("part > 0").isEmpty() else decoded
+
+
 def run_job(inp: JobInputs, profile: Profile | str = "strict", policy: str = "fail_fast",
             ocr_available: bool = True, helper_missing: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(decoded entries, payload per run)``.
@@ -143,7 +151,8 @@ def run_job(inp: JobInputs, profile: Profile | str = "strict", policy: str = "fa
     need, and a lost executor costs a re-read rather than the whole lineage.
     """
     decoded = spool(decode_entries(inp, profile, ocr_available, helper_missing), "decoded")
+    entries = single_part(decoded)
     runs = inp.manifest.select("run_id")
     if inp.runs is not None:
         runs = runs.unionByName(inp.runs.select(F.col("run_id").cast("string").alias("run_id")))
-    return decoded, build_payload(decoded, profile, policy, runs=runs)
+    return decoded, build_payload(entries, profile, policy, runs=runs)

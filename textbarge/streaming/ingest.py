@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.decode import decode_text
 from ..operators.payload import build_payload
-from ..plans.job import JobInputs, decode_entries
+from ..plans.job import JobInputs, decode_entries, single_part
 from ..profiles import ENGINE_MAX_FILE_BYTES, Profile, get_profile
 from ..session import spool
 from ..sources.files import normalize_path, probe_inventory, read_bytes
@@ -117,9 +117,9 @@ def start_drop_folder(spark: SparkSession, root: str, profile: Profile | str, ou
         decoded = spool(decode_entries(JobInputs(
             manifest, inventory, files=read_bytes(texts), pdf_facts=given.pdf_facts, pdf_pages=given.pdf_pages,
             ocr_pages=given.ocr_pages, image_facts=given.image_facts), p), "decoded")
-        gated = build_payload(decoded, p, "single")
-        rows = decoded.select("path", "route", "encoding").join(
-            gated.select(F.col("run_id").alias("path"), "payload", "n_bytes", "error"), "path")
+        gated = build_payload(single_part(decoded), p, "single")
+        rows = decoded.where("part = 0").select("path", "route", "encoding").join(
+            gated.select(F.col("run_id").alias("path"), "seg", "payload", "n_bytes", "error"), "path")
         _split(spool(rows, "gated"), batch_id, out_dir, quarantine_dir)
 
     stream = file_stream(spark, root, glob, max_files_per_trigger)
