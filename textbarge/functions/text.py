@@ -52,9 +52,14 @@ def megapixels(w, h) -> Column:
     return F.floor((col(w).cast("bigint") * col(h).cast("bigint")) / 1000000).cast("bigint")
 
 
-def notification(message) -> Column:
-    """longer than 100 characters -> first 97 and '...'."""
+def notification(message, graphemes: bool = False) -> Column:
+    """longer than 100 characters -> first 97 and '...'. The desktop front end counts what a
+    reader sees as one character (``graphemes``: extended grapheme clusters), the workflow code points."""
     m = col(message)
+    if graphemes:
+        # A cluster has one code point at least, so most messages are not matched at all.
+        longer = (F.char_length(m) > NOTIFICATION_MAX_CHARS) & m.rlike(rf"^\X{{{NOTIFICATION_MAX_CHARS + 1}}}")
+        return F.when(longer, F.concat(F.regexp_extract(m, rf"^\X{{{NOTIFICATION_KEEP_CHARS}}}", 0), F.lit("..."))).otherwise(m)
     return F.when(F.char_length(m) > NOTIFICATION_MAX_CHARS,
                   F.concat(F.substring(m, 1, NOTIFICATION_KEEP_CHARS), F.lit("..."))).otherwise(m)
 

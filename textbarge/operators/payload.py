@@ -160,7 +160,7 @@ def _single(entries: DataFrame, p: Profile) -> DataFrame:
                 F.when(F.col("error").isNull(), nb).alias("n_bytes"),
                 "n_files", "n_failed",
                 F.when(F.col("error").isNull(), F.lit(COPIED_CONTENTS))
-                .otherwise(notification(F.col("error.message"))).alias("summary"),
+                .otherwise(notification(F.col("error.message"), graphemes=True)).alias("summary"),
                 "error", F.col("e.ord").alias("ord")), later)
 
 

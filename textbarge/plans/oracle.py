@@ -703,3 +703,30 @@ SELECT doc_id, CAST(CASE WHEN doc_id % 10 = 0 THEN 0 ELSE strlen(text) END AS BI
        CASE WHEN doc_id % 10 <> 0 THEN text END AS payload, CASE WHEN doc_id % 10 = 0 THEN 'IoError' END AS error_kind
 FROM documents
 """
+
+ORACLE["pages_segments"] = f"""
+SELECT s.conv_id, s.text AS strict_text, l.text AS lenient_text
+FROM ({ORACLE["pages_ocr_strict"]}) s JOIN ({ORACLE["pages_ocr_lenient"]}) l ON l.conv_id = s.conv_id
+"""
+
+# Which calls fail, and how, is the query's rule on ids.
+ORACLE["extractor_isolation"] = """
+WITH d AS (
+  SELECT doc_id, text, 'Failed to extract text from ''/data/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt'': Failed to extract page ' AS pre,
+         CASE WHEN doc_id % 17 = 3 THEN '3: extractor raised ValueError: cannot read ' || CAST(doc_id AS VARCHAR)
+              WHEN doc_id % 23 = 5 THEN '1: extractor died (exit code 3)'
+              WHEN doc_id % 101 = 7 THEN '1: extractor timed out after 1.5 s' END AS failed
+  FROM documents)
+SELECT doc_id, CASE WHEN failed IS NULL THEN ltrim(text, chr(10)) END AS text, pre || failed AS error_message,
+       coalesce(failed LIKE '%timed out%', false) AS late
+FROM d
+"""
+
+# DuckDB's own grapheme functions, not the engine's expression.
+ORACLE["notification_graphemes"] = """
+WITH m AS (
+  SELECT doc_id, replace(replace(replace(replace(text, 'e', 'e' || chr(769) || chr(803)), 'o', chr(127465) || chr(127466)),
+                 'a', chr(128104) || chr(8205) || chr(128105) || chr(8205) || chr(128103)), 't', chr(128077) || chr(127997)) AS m
+  FROM documents)
+SELECT doc_id, CASE WHEN length_grapheme(m) > 100 THEN left_grapheme(m, 97) || '...' ELSE m END AS notice FROM m
+"""

@@ -672,6 +672,66 @@ def extractor_hook(spark, sf_dir):
             .join(a, "path").select("doc_id", "n_pages", "text"))
 
 
+def _fragile_pages(batch):
+    """An extractor that raises, dies or hangs on some files: raises behind two pages."""
+    import os
+    import re
+    import time
+
+    import pandas as pd
+    path = batch["path"].iloc[0]
+    doc = int(re.search(r"(\d+)\.[a-z]+$", path)[1])
+    text = bytes(batch["content"].iloc[0]).decode("utf-8")
+    if doc % 17 == 3:
+        yield pd.DataFrame([(path, 0, "one"), (path, 1, "two")], columns=["path", "page_idx", "embedded"])
+        raise ValueError(f"cannot read {doc}")
+    if doc % 23 == 5:
+        os._exit(3)
+    if doc % 101 == 7:
+        time.sleep(600)
+    yield pd.DataFrame([(path, i, line) for i, line in enumerate(text.split("\n"))], columns=["path", "page_idx", "embedded"])
+
+
+def extractor_isolation(spark, sf_dir):
+    """An extractor that raises, dies and hangs on chosen files; each of those has its error, all other texts are whole."""
+    files = _docs_as_files(spark, sf_dir)
+    pages = run_extractor(files.select("path", "content"), _fragile_pages, deadline=1.5)
+    facts = pages.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("page_count")).select(
+        "path", F.lit(None).cast("string").alias("open_error"), F.lit(False).alias("locked"), "page_count")
+    a = assemble_embedded(facts, pages, STRICT)
+    late = pages.groupBy("path").agg(F.max(F.coalesce(F.col("elapsed_ms") > 1500, F.lit(False))).alias("late"))
+    return (files.select("doc_id", "path").join(a, "path").join(late, "path")
+            .select("doc_id", "text", F.col("error.message").alias("error_message"), "late"))
+
+
+def _whole_texts(segments, *more):
+    """Documents' segments put together again."""
+    return segments.groupBy("path", *more).agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seg)").alias("text"), F.count(F.lit(1)).alias("n"))
+
+
+def pages_segments(spark, sf_dir):
+    """G2 G6 G7 in segments of 512 bytes: the same texts as pages_ocr_strict and pages_ocr_lenient, put together from their segments."""
+    conv = table(spark, sf_dir, "conversations")
+    facts = _conv_facts(conv)
+    s = _whole_texts(assemble_ocr(facts, _ocr_pages(conv), STRICT.with_(segment_bytes=512)).where("error is null"))
+    l_ = _whole_texts(assemble_ocr(facts, _ocr_pages(conv), LENIENT.with_(page_cap=OCR_PAGE_CAP, segment_bytes=512)).where("error is null"))
+    s, l_ = s.select("path", F.col("text").alias("strict_text")), l_.select("path", F.col("text").alias("lenient_text"))
+    return facts.select("conv_id", "path").join(s, "path", "left").join(l_, "path", "left").drop("path")
+
+
+def notification_graphemes(spark, sf_dir):
+    """the front end's notification of whole texts with combining marks, flags and joined emoji, cut at what a reader sees as characters."""
+    docs = table(spark, sf_dir, "documents")
+    m = F.col("text")
+    for plain, cluster in _CLUSTERS:
+        m = F.replace(m, F.lit(plain), F.lit(cluster))
+    return docs.select("doc_id", notification(m, graphemes=True).alias("notice"))
+
+
+# e with an acute accent and a dot below, a flag, a family, a thumb with a skin tone.
+_CLUSTERS = (("e", "e\u0301\u0323"), ("o", "\U0001F1E9\U0001F1EA"), ("a", "\U0001F468\u200D\U0001F469\u200D\U0001F467"), ("t", "\U0001F44D\U0001F3FD"))
+
+
 # ----------------------------------------------------------------------------
 # End to end: E1 lifecycle over a mixed manifest
 # ----------------------------------------------------------------------------
@@ -924,6 +984,9 @@ QUERIES = {
     "pages_ocr_strict": pages_ocr_strict,
     "pages_ocr_lenient": pages_ocr_lenient,
     "embedded_or_ocr": embedded_or_ocr_q,
+    "pages_segments": pages_segments,
+    "extractor_isolation": extractor_isolation,
+    "notification_graphemes": notification_graphemes,
     "page_failures": page_failures,
     "page_expand": page_expand,
     "page_timeout": page_timeout,

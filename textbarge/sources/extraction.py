@@ -57,8 +57,91 @@ def _frames(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame
             yield b.iloc[first:]
 
 
+# Texts of the rows that stand for a failed call.
+EXTRACTOR_RAISED = "extractor raised {error}"
+EXTRACTOR_DIED = "extractor died (exit code {code})"
+EXTRACTOR_LATE = "extractor timed out after {seconds:g} s"
+
+
+def _serve(extractor, pipe, deadline: float) -> None:
+    """The child: calls the extractor for one frame after the other and sends its frames back."""
+    import signal
+    from math import ceil
+    signal.signal(signal.SIGALRM, signal.SIG_DFL)
+    while True:
+        try:
+            frame = pipe.recv()
+        except EOFError:
+            return
+        # Ends a call that hangs even where the worker that waits for it is gone.
+        signal.alarm(ceil(deadline) + 30)
+        try:
+            out = extractor(frame)
+            for rows in ([out] if isinstance(out, pd.DataFrame) else out):
+                pipe.send(("rows", rows))
+                signal.alarm(ceil(deadline) + 30)
+            pipe.send(("done", None))
+        except Exception as e:  # noqa: BLE001 - whatever a user's extractor raises is that file's error
+            pipe.send(("raised", f"{type(e).__name__}: {e}"))
+        signal.alarm(0)
+
+
+class _Isolated:
+    """Calls an extractor in a child process, a new one after each that died or was too late."""
+
+    def __init__(self, extractor, deadline: float):
+        self.extractor, self.deadline, self.child = extractor, deadline, None
+
+    def _start(self) -> None:
+        import multiprocessing
+        fork = multiprocessing.get_context("fork")
+        self.pipe, far = fork.Pipe()
+        self.child = fork.Process(target=_serve, args=(self.extractor, far, self.deadline), daemon=True)
+        self.child.start()
+        far.close()
+
+    def stop(self) -> int | None:
+        """Ends the child; its exit code."""
+        if self.child is None:
+            return None
+        self.pipe.close()
+        self.child.join(0.2)
+        if self.child.is_alive():
+            self.child.kill()
+            self.child.join()
+        code, self.child = self.child.exitcode, None
+        return code
+
+    def pages(self, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The pages of one file; a call that raises, dies or gives no frame in time ends in a row with its error, behind the pages it gave."""
+        if self.child is None:
+            self._start()
+        path, page, error, elapsed = frame["path"].iloc[0], 0, None, None
+        try:
+            self.pipe.send(frame)
+            while True:
+                if not self.pipe.poll(self.deadline):
+                    error, elapsed = EXTRACTOR_LATE.format(seconds=self.deadline), int(self.deadline * 1000) + 1
+                    self.child.kill()
+                    self.stop()
+                    break
+                kind, value = self.pipe.recv()
+                if kind == "rows":
+                    if len(value):
+                        page = max(page, int(value["page_idx"].max()) + 1)
+                    yield value
+                    continue
+                if kind == "raised":
+                    error = EXTRACTOR_RAISED.format(error=value)
+                break
+        except (EOFError, BrokenPipeError, ConnectionResetError):
+            error = EXTRACTOR_DIED.format(code=self.stop())
+        if error is not None:
+            yield pd.DataFrame([(path, page, error, elapsed)], columns=["path", "page_idx", "error", "elapsed_ms"])
+
+
 def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataFrame | Iterator[pd.DataFrame]],
-                  max_bytes: int = EXTRACT_BYTES, materialize: bool = True) -> DataFrame:
+                  max_bytes: int = EXTRACT_BYTES, materialize: bool = True, deadline: float | None = None) -> DataFrame:
     """Apply ``extractor(frame) -> page rows`` to frames of ``(path, content)``.
 
     A frame holds at most ``max_bytes`` of content (one file at least); the extractor
@@ -67,19 +150,37 @@ def run_extractor(files: DataFrame, extractor: Callable[[pd.DataFrame], pd.DataF
     consumers (page counts, the text itself), so with ``materialize`` they are
     written once in the shared folder: the extractor, typically the expensive
     step, runs once per file, and a lost executor does not re-run it for others.
+
+    With a ``deadline`` (seconds) every call is for one file, in a child process of the
+    worker: a call that raises, dies or gives no frame for that long is that file's error,
+    a row behind the pages it gave (over-time rows with their ``elapsed_ms``, so G15 sees
+    them as time-outs), and all other files are as without it.
     """
     from ..session import ship_package, spool
     ship_package(files.sparkSession)
     cols = [f.name for f in schemas.PAGE_RESULTS.fields]
 
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        for c in cols:
+            if c not in rows.columns:
+                rows[c] = None
+        return rows[cols]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if deadline is not None:
+            calls = _Isolated(extractor, deadline)
+            try:
+                for batch in batches:
+                    for i in range(len(batch)):
+                        for rows in calls.pages(batch.iloc[i:i + 1].reset_index(drop=True)):
+                            yield whole(rows)
+            finally:
+                calls.stop()
+            return
         for frame in _frames(batches, max_bytes):
             out = extractor(frame)
             for rows in ([out] if isinstance(out, pd.DataFrame) else out):
-                for c in cols:
-                    if c not in rows.columns:
-                        rows[c] = None
-                yield rows[cols]
+                yield whole(rows)
 
     out = files.select("path", "content").mapInPandas(run, schemas.PAGE_RESULTS)
     return spool(out, "page_results") if materialize else out
