@@ -18,8 +18,7 @@ def brute(docs, items, window):
         w = WORD.findall(lower(text))
         size = min(window, len(w))
         for i in range(len(w) - size + 1 if w else 0):
-            if name is not None:
-                windows.setdefault(tuple(w[i:i + size]), set()).add(str(name))
+            windows.setdefault(tuple(w[i:i + size]), set()).add("" if name is None else str(name))
     out = []
     for d, t in docs:
         w, hit, found = WORD.findall(lower(t)), set(), set()

@@ -13,7 +13,6 @@ from .helpers import awkward, documents, prose
 
 def whole(name, texts):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -59,7 +58,7 @@ def test_hilbert_visits_all_cells_by_single_steps():
 
 
 def test_pieces_equal_whole_text_encoding():
-    odd = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "I'm  he's 's", "\x1c a \x1f b", "é ́a", "<|endoftext|> x<|endoftext|>",
+    odd = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "I'm  he's 's", "\x1c a \x1f b", "é ́a", "<|endoftext|> x<|endoftext|>", "<|ENDOFTEXT|> <|startoftext|>a <|endoftext|>, b", "EV\u0130. G\u0130! \u0130, \u01C5. \u1E9E? stra\u00DFe.",
            "A\tB C\r\nD  ", "日本 語", "ΑΣ ΣΑΣ İ", "​ a ᠎ b", "x" * 3000 + " y", prose(1, 3000), " ́x ́"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         for texts in (odd, odd[::-1], [t + " " + u for t in odd for u in odd]):

@@ -6,18 +6,12 @@ from textbarge.llm import topk
 
 
 def brute(rows, k, every):
-    seen = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = np.floor(256 * np.array(v, float)).astype(np.int64)
-            packed = (len(q), q.astype("<i4").tobytes())
-            if i not in seen or packed < seen[i][0]:
-                seen[i] = (packed, q)
+    fits = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, (_, q) in seen.items():
+    for n, (i, q) in enumerate(fits):
         if i % every == 0:
-            scores = sorted((-int(q @ v), j) for j, (_, v) in seen.items() if j != i and len(v) == len(q))
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores[:k], 1)]
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(fits) if m != n and len(v) == len(q))
+            out += [(i, r, j, max(-2**63, min(-s, 2**63 - 1))) for r, (s, j) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
@@ -47,13 +41,19 @@ def test_equals_brute_force(spark, monkeypatch, kind):
 def test_awkward_rows(spark):
     same = [0.5, 0.25]
     rows = [(0, same), (5, same), (1, same), (1, same), (1, [0.1, 0.1]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (10, [float("inf"), 1.0]), (None, same),
-            (-5, [-0.5, -0.25]), (15, []), (16, []), (20, [1.0, 2.0, 3.0]), (25, [0.0, 0.0]), (6, [0.0, 0.0]), (7, [1e12, 1.0]), (30, [-1.0, 0.001])]
-    fits = [r for r in rows if r[0] != 7]
-    assert search(spark, rows) == brute(fits, 5, 5)
+            (-5, [-0.5, -0.25]), (15, []), (16, []), (20, [1.0, 2.0, 3.0]), (25, [0.0, 0.0]), (6, [0.0, 0.0]), (7, [1e12, 1.0]), (8, [2e7, 0.0]), (30, [-1.0, 0.001])]
+    assert search(spark, rows) == brute([(i, v and [x if x is None else float(np.float32(x)) for x in v]) for i, v in rows], 5, 5)
     assert search(spark, []) == []
     assert search(spark, [(0, same)]) == []
 
 
+def test_repeated_ids_are_rows(spark):
+    rows = [(1, [0.9, 0.0]), (1, [0.8, 0.0]), (5, [1.0, 0.0]), (5, [0.5, 0.0]), (2, [0.7, 0.0])]
+    got = search(spark, rows)
+    assert got == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5, 5)
+    assert sorted(r[2] for r in got if r[3] > 100 * 256) and len(got) == 8
+
+
 def test_products_beyond_doubles():
     v = np.array([[2**31 - 1] * 8, [2**31 - 2] * 8], np.int64)
     q = np.array([3, 1, 0, 0, 0, 0, 0, 2], np.int64) * 2**20

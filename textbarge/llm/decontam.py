@@ -14,8 +14,8 @@ The benchmark is dealt by hash into chunks of about ``chunk_bytes``; each chunk'
 broadcast and searched for in turn, and the hits of all chunks are united, so a benchmark
 of any size is searched whole while a broadcast stays bounded.
 
-Defined results: null and empty texts have no words; items without words or without an id
-have no window; repeated items (id and text) count once; repeated documents each keep their
+Defined results: null and empty texts have no words; items without words have no window; an
+item without an id is searched like any other, its id the empty string; repeated items (id and text) count once; repeated documents each keep their
 row; an empty benchmark hits nothing; other columns are untouched.
 """
 
@@ -172,8 +172,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, name: str, text: str = "tex
               window: int = 10, chunk_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with a column ``name``: struct(n_words, n_hit, hits, items) of each text."""
     spark = ready(docs)
-    items = only(benchmark, item_id=column(benchmark, item_id).cast("string"), text=column(benchmark, item_text).cast("string"))
-    items = items.where("item_id is not null and text is not null").distinct()
+    items = only(benchmark, item_id=F.coalesce(column(benchmark, item_id).cast("string"), F.lit("")), text=column(benchmark, item_text).cast("string"))
+    items = items.where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
     of = F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks))
@@ -210,7 +210,7 @@ def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH fixed AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper_case, 'abcdefghijklmnopqrstuvwxyz' AS lower_case),
 docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), upper_case, lower_case), word) AS w FROM documents, fixed),
-items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, upper_case, lower_case), word) AS w FROM benchmark, fixed WHERE item_id IS NOT NULL),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(text, upper_case, lower_case), word) AS w FROM benchmark, fixed WHERE text IS NOT NULL),
 sized AS (SELECT item, w, least(10, len(w)) AS m FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win
             FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),

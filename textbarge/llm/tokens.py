@@ -77,7 +77,8 @@ class Pieces:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        #: Their strings in a text are their ids: such a text is encoded whole.
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.space, self.kept = space, _Kept(self._encode, self._parts)
         # What tells pieces apart that are encoded together. Byte-level: only the first id of a
         # piece begins with its space. Word-level: a character of a single id between pieces.
@@ -134,14 +135,18 @@ class Pieces:
         if len(word) == len(piece) or not word:
             return None
         letters = word[1:] if self.space and word[0] == LINE else word
-        if not letters.isalpha() or max(letters) > _LAST_LETTER:
+        # Also in lower case: that of U+0130 has a combining mark, which goes with the marks.
+        if not letters.isalpha() or not letters.lower().isalpha() or max(letters) > _LAST_LETTER:
             return None
         return word, (LINE if self.space else "") + piece[len(word):]
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces of the text; nothing where it must be encoded whole."""
+        lowered = text if self.space else text.encode().lower().decode()     # ASCII letters only
+        if any(x in lowered for x in self.special):
+            return None
         if not self.space:
-            return text.encode().lower().decode().replace("\n", " ").split(" ")     # ASCII letters only
+            return lowered.replace("\n", " ").split(" ")
         if FEED in text or LINE in text or text[:1].isspace() or text[-1:].isspace():
             return None
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _RARE_SPACE.search(text):

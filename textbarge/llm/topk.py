@@ -12,9 +12,11 @@ Candidates are verified by exact products, and the best k of all buckets are mer
 Blocks and buckets are rows of packed vectors; pairs of them are joined by number, so no
 task or driver holds all queries or all vectors.
 
-Defined results: a null vector, one with a null or non-finite component or one beyond
-2^31, and a null id take no part; a repeated id counts once (its smallest vector); vectors
-of different lengths are not compared; other columns are ignored.
+Defined results: a null vector, one with a null or non-finite component, and a null id take
+no part; rows are told apart by a key of their own, so repeated ids are rows like any other (a
+query's own row alone is left out, and a repeated query id has its ranks once a row); vectors of
+different lengths are not compared; components of any size are exact, a score beyond 64 bits is
+given as the nearest one that fits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,13 +43,14 @@ def _quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, col = batch.column(0).to_pylist(), batch.column(1)
         offsets, flat = col.offsets.to_numpy(), col.values
         x = np.floor(SCALE * flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
-        fits = np.concatenate([[0], np.cumsum(~(np.abs(x) < 2**31))])     # NaN and infinities do not fit
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+        wide = np.concatenate([[0], np.cumsum(~(np.abs(x) < 2**31))])
         out = []
         for i, (vec_id, valid) in enumerate(zip(ids, col.is_valid().to_pylist())):
             a, b = offsets[i], offsets[i + 1]
-            if vec_id is not None and valid and fits[a] == fits[b]:
-                v = x[a:b].astype(np.int64)
-                out.append((vec_id, b - a, float(v.astype(float) @ v.astype(float)), v.astype("<i4").tobytes()))
+            if vec_id is not None and valid and bad[a] == bad[b]:
+                v = x[a:b]      # whole numbers: exact as doubles, whatever their size
+                out.append((vec_id, b - a, float(v @ v), v.astype("<i4" if wide[a] == wide[b] else "<f8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.binary()))], names=["vec_id", "dim", "norm2", "v"])
 
 
@@ -58,9 +61,13 @@ def _packed(most: int):
 
         def flush():
             nonlocal number, held
-            row = (task, number, held[0][1], np.sqrt(held[0][2]), len(held), np.array([r[0] for r in held], "<i8").tobytes(), b"".join(r[3] for r in held))
+            dim, vectors = held[0][1], [r[3] for r in held]
+            if any(len(v) > 4 * dim for v in vectors):
+                vectors = [v if len(v) > 4 * dim else np.frombuffer(v, "<i4").astype("<f8").tobytes() for v in vectors]
+            ids, keys = (np.array([r[i] for r in held], "<i8").tobytes() for i in (0, 4))
+            row = (task, number, dim, np.sqrt(held[0][2]), len(held), ids, keys, b"".join(vectors))
             number, held = number + 1, []
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
 
         for batch in batches:
@@ -73,13 +80,13 @@ def _packed(most: int):
     return run
 
 
-PACKED = "task int, number bigint, dim int, longest double, n int, ids binary, vectors binary"
+PACKED = "task int, number bigint, dim int, longest double, n int, ids binary, row_keys binary, vectors binary"
 
 
 def _pack(vectors: DataFrame, most: int, name: str) -> DataFrame:
     """Packs of neighbours in length, numbered from 0 (in ``number``) in that order."""
-    order = [F.col("dim"), F.col("norm2").desc(), F.col("vec_id")]
-    packs = spool(vectors.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "dim", "norm2", "v").mapInArrow(_packed(most), PACKED), name)
+    order = [F.col("dim"), F.col("norm2").desc(), F.col("vec_id"), F.col("row_key")]
+    packs = spool(vectors.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "dim", "norm2", "v", "row_key").mapInArrow(_packed(most), PACKED), name)
     sizes = {r["task"]: r["n"] for r in packs.groupBy("task").agg(F.count("*").alias("n")).collect()}    # one number a task
     at, bases = 0, []
     for task in sorted(sizes):
@@ -89,14 +96,27 @@ def _pack(vectors: DataFrame, most: int, name: str) -> DataFrame:
     return packs.join(bases, "task").withColumn("number", F.col("number") + F.col("before")).drop("task", "before")
 
 
-def _matrix(ids: bytes, vectors: bytes, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i4").reshape(n, dim).astype(np.int64)
+def _matrix(vectors: bytes, n: int, dim: int) -> np.ndarray:
+    """The rows of a pack: 64-bit integers, or doubles where one is beyond 2^31."""
+    wide = len(vectors) > 4 * n * dim
+    return np.frombuffer(vectors, "<f8" if wide else "<i4").reshape(n, dim).astype(float if wide else np.int64)
+
+
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<i8")
+
+
+_exact = np.frompyfunc(int, 1, 1)
 
 
 def _products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer products: by floating point where every sum stays under 2^53."""
-    top = (np.abs(rows).max(initial=0) * np.abs(q).max(initial=0)) * max(rows.shape[-1], 1)
-    return (rows.astype(float) @ q.astype(float)).astype(np.int64) if top < 2**53 else rows @ q
+    """Exact integer products: by floating point where every sum stays under 2^53, by whole numbers of any size beyond 2^62."""
+    top = float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(rows.shape[-1], 1)
+    if top < 2**53:
+        return (rows.astype(float) @ q.astype(float)).astype(np.int64)
+    if top < 2**62 and rows.dtype == np.int64 and q.dtype == np.int64:
+        return rows @ q
+    return np.clip(_exact(rows) @ _exact(q), -2**63, 2**63 - 1).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -113,16 +133,16 @@ def _thresholds(k: int):
         for batch in batches:
             rows, least, packed = batch.to_pylist(), [], []
             for r in rows:
-                (q_ids, q), (ids, v) = _matrix(r["ids"], r["vectors"], r["n"], r["dim"]), _matrix(r["b_ids"], r["b_vectors"], r["b_n"], r["dim"])
+                q, v, q_keys, keys = _matrix(r["vectors"], r["n"], r["dim"]), _matrix(r["b_vectors"], r["b_n"], r["dim"]), _ids(r["row_keys"]), _ids(r["b_keys"])
                 scores = _products(q, v.T).astype(float)
-                scores[q_ids[:, None] == ids[None, :]] = -np.inf
-                bound = np.full(len(q), -np.inf) if len(ids) < k else np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                scores[q_keys[:, None] == keys[None, :]] = -np.inf
+                bound = np.full(len(q), -np.inf) if len(keys) < k else np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k]
                 length = np.sqrt((q.astype(float) ** 2).sum(1))
                 # What a bucket's longest vector must reach for any query of the block.
                 least.append(float(np.min(np.where(bound > 0, bound / np.maximum(length, 1e-12), 0), initial=np.inf)))
                 packed.append(bound.tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("number", "dim", "n", "ids", "vectors")], pa.array(packed, pa.binary()), pa.array(least, pa.float64())],
-                                             names=["number", "dim", "n", "ids", "vectors", "bounds", "needs"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("number", "dim", "n", "ids", "row_keys", "vectors")], pa.array(packed, pa.binary()), pa.array(least, pa.float64())],
+                                             names=["number", "dim", "n", "ids", "row_keys", "vectors", "bounds", "needs"])
     return run
 
 
@@ -152,7 +172,8 @@ def _verify(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                (q_ids, q), (ids, v) = _matrix(r["ids"], r["vectors"], r["n"], r["dim"]), _matrix(r["b_ids"], r["b_vectors"], r["b_n"], r["dim"])
+                q, v = _matrix(r["vectors"], r["n"], r["dim"]), _matrix(r["b_vectors"], r["b_n"], r["dim"])
+                q_ids, q_keys, ids, keys = (_ids(r[c]) for c in ("ids", "row_keys", "b_ids", "b_keys"))
                 lengths = np.sqrt((v.astype(float) ** 2).sum(1))
                 unit, columns, out = v / np.maximum(lengths, 1e-12)[:, None], {}, []
 
@@ -168,10 +189,11 @@ def _verify(k: int):
                     rows = _candidates(ts[i], bounds[i], q[i], q_lengths[i], unit, lengths, sorted_by)
                     names = ids[rows]
                     scores = _products(v[rows], q[i])
-                    some = np.flatnonzero((scores >= bounds[i]) & (names != q_ids[i]))
+                    # A bound is a double: a score as large as its query's bound may round to less.
+                    some = np.flatnonzero((scores.astype(float) >= bounds[i]) & (keys[rows] != q_keys[i]))
                     best = some[_best(scores[some], names[some], k)]
-                    out.extend(zip([int(q_ids[i])] * len(best), names[best].tolist(), scores[best].tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+                    out.extend(zip([int(q_keys[i])] * len(best), [int(q_ids[i])] * len(best), names[best].tolist(), scores[best].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["row_key", "query_id", "vec_id", "score"])
     return run
 
 
@@ -180,17 +202,17 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     spark = ready(table)
     rows = only(table, vec_id=column(table, vec_id).cast("bigint"), v=column(table, vector).cast("array<double>"))
     vectors = rows.mapInArrow(_quantise, "vec_id bigint, dim int, norm2 double, v binary")
-    vectors = spool(vectors.groupBy("vec_id").agg(F.min(F.struct("dim", "v", "norm2")).alias("x")).select("vec_id", "x.dim", "x.norm2", "x.v"), "vectors")
+    vectors = spool(vectors.withColumn("row_key", F.monotonically_increasing_id()), "vectors")
     buckets, blocks = _pack(vectors, BUCKET, "buckets"), _pack(vectors.where(queries), BLOCK, "blocks")
-    other = buckets.select("dim", F.col("number").alias("bucket"), F.col("longest").alias("b_longest"), F.col("n").alias("b_n"), F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors"))
+    other = buckets.select("dim", F.col("number").alias("bucket"), F.col("longest").alias("b_longest"), F.col("n").alias("b_n"), F.col("ids").alias("b_ids"), F.col("row_keys").alias("b_keys"), F.col("vectors").alias("b_vectors"))
     # One bucket of each dimension: the longest vectors.
     firsts = F.broadcast(buckets.groupBy("dim").agg(F.min("number").alias("bucket"), F.max("number").alias("last")))
     first = other.join(firsts.select("dim", "bucket"), ["dim", "bucket"], "left_semi")
-    bounded = spool(blocks.join(first, "dim").mapInArrow(_thresholds(k), "number bigint, dim int, n int, ids binary, vectors binary, bounds binary, needs double"), "bounds")
+    bounded = spool(blocks.join(first, "dim").mapInArrow(_thresholds(k), "number bigint, dim int, n int, ids binary, row_keys binary, vectors binary, bounds binary, needs double"), "bounds")
     pairs = (bounded.join(firsts, "dim").select("number", "needs", F.explode(F.sequence("bucket", "last")).alias("bucket"))
              .join(buckets.select(F.col("number").alias("bucket"), "longest"), "bucket").where(F.col("longest") * _SLACK >= F.col("needs")).select("number", "bucket"))
-    found = pairs.join(bounded.drop("needs"), "number").join(other.drop("dim"), "bucket").mapInArrow(_verify(k), "query_id bigint, vec_id bigint, score bigint")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = pairs.join(bounded.drop("needs"), "number").join(other.drop("dim"), "bucket").mapInArrow(_verify(k), "row_key bigint, query_id bigint, vec_id bigint, score bigint")
+    place = F.row_number().over(Window.partitionBy("row_key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -199,10 +221,10 @@ def op10_exact_top_k(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH rows AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-           FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+scores AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+           FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND c.r <> q.r AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scores)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
