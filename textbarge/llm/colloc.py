@@ -83,8 +83,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(codes)
         counts, of = np.bincount(flat, minlength=len(words) + 1)[1:], np.array(kinds, np.int64)
         tokens = np.bincount(of, counts, len(langs)).astype(np.int64)
-        # Frequent words first: their numbers are small, here and as ids.
-        order = np.argsort(-counts, kind="stable")
+        # Frequent words first: their numbers are small, here and as ids. Equal ones by their letters: they are stored and shuffled smaller.
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = by_word[np.argsort(-counts[by_word], kind="stable")]
         rank = np.zeros(len(words) + 1, np.int32)
         rank[order + 1] = np.arange(1, len(words) + 1, dtype=np.int32)
         return _row(SHARD, kinds_, (shard, _stored(rank[flat]), [words[i].decode() for i in order], of[order], counts[order], list(langs), tokens))
