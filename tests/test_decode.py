@@ -123,3 +123,23 @@ def test_random_utf32_validity_matches_python(spark):
 
     for i, le, be in rows:
         assert got[i] == (ok(bytes(le), "utf-32-le"), ok(bytes(be), "utf-32-be")), (i, bytes(le).hex())
+
+
+def test_utf32_surrogates_beside_question_marks(spark):
+    """A surrogate unit is refused, alone, paired, beside real question marks, late in a long text."""
+    import struct
+
+    def units(order, *points):
+        return struct.pack(f"{order}{len(points)}I", *points)
+
+    pad = [0x3F] + [0x61] * 5000
+    cases = [([0x3F], True), ([0xD800], False), ([0x3F, 0xDFFF], False), ([0xD83D, 0xDE00], False), (pad + [0xDC00], False),
+             (pad, True), ([0x1F600, 0x3F, 0xFFFD], True), ([0x110000], False), ([0xD7FF, 0xE000, 0x3F], True)]
+    rows = [(i, n, bytearray((b"\xff\xfe\x00\x00" if o == "<" else b"\x00\x00\xfe\xff") + units(o, *pts)))
+            for i, (pts, _) in enumerate(cases) for n, o in ((0, "<"), (1, ">"))]
+    df = spark.createDataFrame(rows, "i int, n int, c binary").withColumn("path", F.lit("f"))
+    for r in decode_text(df, "lenient", content="c").collect():
+        pts, good = cases[r.i]
+        assert (r.encoding == ("utf-32le", "utf-32be")[r.n]) == good, (r.i, r.n, r.encoding)
+        if good:
+            assert r.text == "".join(map(chr, pts))

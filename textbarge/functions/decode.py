@@ -1,11 +1,12 @@
 """Byte -> text decoding (P7, D1-D10) as JVM-side column expressions.
 
-Spark's ``decode`` throws on malformed input and has no ``try_`` form, so
-every call is guarded by a validity test evaluated first, inside the same
-``CASE`` (branches are evaluated lazily). UTF-16/32 validity is tested on the
-ISO-8859-1 view of the bytes (one char per byte) with aligned, linear regex
-passes that need no deep recursion; both agree with Python's strict codecs
-on randomized inputs (tests/test_decode.py, tests/test_decode_model.py).
+Spark's ``decode`` throws on malformed input and has no ``try_`` form of its own;
+``try_to_binary`` gives NULL for whatever fails below it, so the UTF-8 bytes of
+``decode`` under it are the text, or NULL where the input is malformed: one linear
+pass, no second look at the bytes. The UTF-32 charset takes surrogates for code
+points, so these are looked for apart, in the files that can hold one. Both agree
+with Python's strict codecs on randomized inputs (tests/test_decode.py,
+tests/test_decode_model.py).
 """
 
 from __future__ import annotations
@@ -30,41 +31,38 @@ def _latin1(content) -> Column:
     return F.decode(col(content), "ISO-8859-1")
 
 
+def _try_decode(content, charset: str) -> Column:
+    """The text, or NULL where the bytes are malformed (an unpaired surrogate, a cut-off unit)."""
+    return F.try_to_binary(F.decode(col(content), charset), F.lit("utf-8")).cast("string")
+
+
+def try_utf16(content, little_endian: bool) -> Column:
+    """UTF-16 text without a byte order mark, or NULL: odd length, an unpaired surrogate."""
+    return _try_decode(content, "UTF-16LE" if little_endian else "UTF-16BE")
+
+
 def utf16_ok(content, little_endian: bool) -> Column:
-    """Even length and no unpaired surrogate in the given byte order.
+    """Even length and no unpaired surrogate in the given byte order."""
+    return try_utf16(content, little_endian).isNotNull()
 
-    Works on the ISO-8859-1 view of the bytes (one char per byte): with no byte
-    in D8-DF at all the input is valid at once (short-circuit); otherwise the
-    high byte of every code unit is kept (a string of half the length) and a
-    high surrogate must be followed, and a low one preceded, by its partner.
-    Searching for one bad unit is linear and needs no deep regex recursion.
-    """
-    c = col(content)
-    s = _latin1(c)
-    hi = F.regexp_replace(s, "(?s)(.)(.)", "$2" if little_endian else "$1")
-    bad = hi.rlike("[\\x{D8}-\\x{DB}](?![\\x{DC}-\\x{DF}])") | hi.rlike("(?<![\\x{D8}-\\x{DB}])[\\x{DC}-\\x{DF}]")
-    return ((F.octet_length(c) % 2) == 0) & (~s.rlike("[\\x{D8}-\\x{DF}]") | ~bad)
+
+def _utf32_text(content) -> Column:
+    """UTF-32 text behind its byte order mark, which tells the order; surrogates are not refused yet."""
+    return _try_decode(content, "UTF-32")
 
 
 def utf32_ok(content, little_endian: bool) -> Column:
-    """Length a multiple of 4; every unit <= U+10FFFF and not a surrogate.
+    """Units of four bytes in the given order, each <= U+10FFFF and no surrogate.
 
-    One pass over the ISO-8859-1 view: each valid 4-byte unit is replaced by
-    nothing, any other aligned 4-byte group is kept (a fallback capture group),
-    so the input is valid exactly when nothing is left.
+    A lone surrogate is decoded to a question mark, and a pair of them to one character, so
+    the text must have one character for each unit, and the bytes are searched for a
+    surrogate only where it has a question mark. The search visits every unit once.
     """
     c = col(content)
-    if little_endian:   # bytes b0 b1 b2 b3, value b3b2b1b0
-        unit = "(?:.(?:[^\\x{D8}-\\x{DF}]\\x{00}|.[\\x{01}-\\x{10}])\\x{00})"
-    else:               # bytes b0 b1 b2 b3, value b0b1b2b3
-        unit = "(?:\\x{00}(?:\\x{00}[^\\x{D8}-\\x{DF}]|[\\x{01}-\\x{10}].).)"
-    rest = F.regexp_replace(_latin1(c), "(?s)" + unit + "|(....)", "$1")
-    return ((F.octet_length(c) % 4) == 0) & (rest == F.lit(""))
-
-
-def _swap32(content) -> Column:
-    """Reverse every 4-byte group: UTF-32LE bytes -> UTF-32BE bytes."""
-    return F.encode(F.regexp_replace(_latin1(content), "(?s)(.)(.)(.)(.)", "$4$3$2$1"), "ISO-8859-1")
+    text = _utf32_text(F.concat(F.unhex(F.lit("FFFE0000" if little_endian else "0000FEFF")), c))
+    surrogate = ".[\\x{D8}-\\x{DF}]\\x00\\x00" if little_endian else "\\x00\\x00[\\x{D8}-\\x{DF}]."
+    found = _latin1(c).rlike("(?s)^(?:....)*?" + surrogate)
+    return F.coalesce((F.octet_length(c) == 4 * F.char_length(text)) & ~(F.contains(text, F.lit("?")) & found), F.lit(False))
 
 
 def _bom(content, n: int) -> Column:
@@ -95,7 +93,7 @@ def lenient_decode(content) -> Column:
     n = F.octet_length(c)
     nul = has_nul_in_window(c)
     utf8 = F.try_validate_utf8(c)
-    body = F.substring(c, 3, 2147483647)
+    body, body32 = F.substring(c, 3, 2147483647), F.substring(c, 5, 2147483647)
 
     def out(text, enc):
         return F.struct(text.cast("string").alias("text"), F.lit(enc).alias("encoding"))
@@ -103,12 +101,12 @@ def lenient_decode(content) -> Column:
     return (F.when(c.isNull(), F.struct(F.lit(None).cast("string").alias("text"),
                                          F.lit(None).cast("string").alias("encoding")))
             .when(n == 0, out(F.lit(""), "utf-8"))
-            .when((b4 == "FFFE0000") & utf32_ok(c, True), out(F.decode(_swap32(c), "UTF-32"), "utf-32le"))
-            .when((b4 == "0000FEFF") & utf32_ok(c, False), out(F.decode(c, "UTF-32"), "utf-32be"))
-            .when((b2 == "FFFE") & utf16_ok(c, True), out(F.decode(body, "UTF-16LE"), "utf-16le"))
-            .when((b2 == "FEFF") & utf16_ok(c, False), out(F.decode(body, "UTF-16BE"), "utf-16be"))
-            .when(nul & utf16_ok(c, True), out(F.decode(c, "UTF-16LE"), "utf-16le"))
-            .when(nul & utf16_ok(c, False), out(F.decode(c, "UTF-16BE"), "utf-16be"))
+            .when((b4 == "FFFE0000") & utf32_ok(body32, True), out(_utf32_text(c), "utf-32le"))
+            .when((b4 == "0000FEFF") & utf32_ok(body32, False), out(_utf32_text(c), "utf-32be"))
+            .when((b2 == "FFFE") & utf16_ok(body, True), out(try_utf16(body, True), "utf-16le"))
+            .when((b2 == "FEFF") & utf16_ok(body, False), out(try_utf16(body, False), "utf-16be"))
+            .when(nul & utf16_ok(c, True), out(try_utf16(c, True), "utf-16le"))
+            .when(nul & utf16_ok(c, False), out(try_utf16(c, False), "utf-16be"))
             .when(nul, out(F.lit(None), "binary"))
             .when(utf8.isNotNull(), out(utf8, "utf-8"))
             .otherwise(out(F.decode(c, "ISO-8859-1"), "iso-8859-1")))

@@ -73,8 +73,9 @@ def _bin(hexstr: str):
 
 
 def _utf32le(text):
-    from ..functions.decode import _swap32
-    return _swap32(F.encode(text, "UTF-32"))
+    """UTF-32LE bytes: the big-endian units of the reversed text, read backwards byte by byte."""
+    units = F.decode(F.encode(F.reverse(text), "UTF-32"), "ISO-8859-1")
+    return F.encode(F.reverse(units), "ISO-8859-1")
 
 
 def _docs_as_files(spark, sf_dir, content=None):
