@@ -325,6 +325,42 @@ def test_drop_folder_reports_empty_files_once(spark, tmpdir_fresh):
     assert [r.error.message for r in spark.read.parquet(bad).collect()] == ["File is empty"]
 
 
+def test_drop_folder_takes_every_name_and_later_writes(spark, tmpdir_fresh):
+    """Names the file source hides, sub-folders, files moved in with an old date, files written again; a restart repeats nothing."""
+    from textbarge.streaming.ingest import start_drop_folder
+    root, out, bad, ck = (os.path.join(tmpdir_fresh, x) for x in ("drop", "out", "bad", "ck"))
+
+    def run():
+        start_drop_folder(spark, root, "lenient", out, bad, ck, glob="*.txt").awaitTermination()
+        return sorted((os.path.relpath(r.path, root), r.payload) for r in spark.read.parquet(out).collect())
+
+    for name in ("_a.txt", ".b.txt", "sub/c.txt", "sub/deep/_er/d.txt", "e.dat"):
+        _write(root, name, name.encode())
+    first = [(n, n) for n in (".b.txt", "_a.txt", "sub/c.txt", "sub/deep/_er/d.txt")]
+    assert run() == first
+    assert run() == first
+    _write(root, "_a.txt", b"again")
+    old = _write(tmpdir_fresh, "old.txt", b"old")
+    os.utime(old, (1, 1))
+    os.rename(old, os.path.join(root, "sub", "old.txt"))
+    assert run() == sorted([*first, ("_a.txt", "again"), ("sub/old.txt", "old")])
+
+
+def test_drop_folder_shares_cover_a_folder_once(tmpdir_fresh):
+    """Whatever the number of shares: every file of the interval once, none outside it, no folder missing."""
+    from textbarge.sources.drop_folder import Reader
+    names = [f"{d}f{i}.txt" for d in ("", "x/", "x/y/", "z/") for i in range(30)]
+    for n in names:
+        _write(tmpdir_fresh, n, b"")
+    for parts in (1, 3, 8):
+        r = Reader({"path": tmpdir_fresh, "parts": str(parts), "settle": "0.1"})
+        end = r.latestOffset()
+        got = [p for share in r.partitions(r.initialOffset(), end) for b in r.read(share) for p in b.column(0).to_pylist()]
+        assert sorted(got) == sorted(os.path.join(tmpdir_fresh, n) for n in names)
+        assert not [b for share in r.partitions(end, r.latestOffset()) for b in r.read(share)]
+    assert Reader({"path": os.path.join(tmpdir_fresh, "none")}).partitions({"until": 0}, {"until": 1})
+
+
 def test_old_versions_are_removed(spark, tmpdir_fresh):
     t = os.path.join(tmpdir_fresh, "payload")
     a = spark.createDataFrame([("r", 0, "v", 1, 1, "s", None)], "run_id string, seg bigint, payload string, n_bytes bigint, n_files bigint, "

@@ -47,6 +47,7 @@ class JobInputs:
     ocr_pages: DataFrame | None = None        # OCR pass: path, page_idx, lines, error, elapsed_ms, width_pt, height_pt
     image_facts: DataFrame | None = None      # path, open_error[, convert_error], width_px, height_px
     runs: DataFrame | None = None             # run_id of all runs, also of those without an entry
+    files_whole: bool = False                 # ``files`` has all there is to read: no file is looked for beside it
 
 
 def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool = True,
@@ -79,7 +80,7 @@ def decode_entries(inp: JobInputs, profile: Profile | str, ocr_available: bool =
     # text route: decoded in the scan, texts joined by path
     t = ok.where(F.col("route") == "text").withColumn("oerr", open_error(p, "path", "text"))
     if inp.files is not None:
-        t = attach_decoded(t, inp.files, p)
+        t = attach_decoded(t, inp.files, p, fallback=not inp.files_whole)
     else:
         t = t.withColumns({"text": F.lit(None).cast("string"), "encoding": F.lit(None).cast("string"),
                            "error": F.lit(None).cast(_ERR)})

@@ -18,7 +18,8 @@ from ..operators.payload import build_payload
 from ..plans.job import JobInputs, decode_entries, single_part
 from ..profiles import ENGINE_MAX_FILE_BYTES, Profile, get_profile
 from ..session import spool
-from ..sources.files import normalize_path, probe_inventory, read_bytes
+from ..sources.drop_folder import SETTLE, arrivals
+from ..sources.files import normalize_path, read_bytes
 from ..sources.sinks import publish
 
 
@@ -70,59 +71,38 @@ def start_ingest(decoded: DataFrame, out_dir: str, quarantine_dir: str, checkpoi
     return _start(decoded.writeStream.foreachBatch(sink), checkpoint, available_now)
 
 
-def _empty_files(spark: SparkSession, root: str, glob: str | None) -> list[str]:
-    """Zero-length files under ``root``: Spark's file sources list them but give no row."""
-    import fnmatch
-    import os
-
-    from pyarrow import fs as pafs
-    fs, inner = pafs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}")
-    found = fs.get_file_info(pafs.FileSelector(inner, recursive=True))
-    return [f.path for f in found if f.type == pafs.FileType.File and f.size == 0
-            and (glob is None or fnmatch.fnmatch(f.base_name, glob))]
-
-
 def start_drop_folder(spark: SparkSession, root: str, profile: Profile | str, out_dir: str, quarantine_dir: str,
                       checkpoint: str, results: JobInputs | None = None, glob: str | None = None,
-                      max_files_per_trigger: int = 10000, available_now: bool = True) -> StreamingQuery:
-    """X1 + X3: every new file under ``root`` is one selection of the desktop front end.
-
-    Each micro-batch stats its files, validates and routes them, decodes the
-    texts (bytes are read only of files that pass), takes page results of PDFs
-    and images from ``results`` (a file without any is a typed error), and
-    applies the blank and output gates: rows ``path, route, encoding, payload,
-    n_bytes`` go to ``out_dir``, failures with ``error`` and its ``kind`` to
-    ``quarantine_dir``. Empty files come with the first micro-batch after them;
-    one is reported in one micro-batch only.
+                      settle: float = SETTLE, available_now: bool = True) -> StreamingQuery:
+    """X1 + X3: every new file under ``root``, whatever its name or size, is one selection of the desktop front end.
+
+    The source gives each micro-batch the inventory of its files (sources/drop_folder.py):
+    they are validated and routed, texts are decoded (bytes are read only of files that
+    pass), page results of PDFs and images are taken from ``results`` (a file without any is
+    a typed error), and the blank and output gates applied: rows ``path, route, encoding,
+    payload, n_bytes`` go to ``out_dir``, failures with ``error`` and its ``kind`` to
+    ``quarantine_dir``. A batch's cost does not depend on earlier batches' results; a file
+    written again is a new selection.
     """
     p = get_profile(profile)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        paths = spool(batch.select("path"), "arrived")
-        empty = _empty_files(spark, root, glob)
-        if empty:
-            seen = spark.createDataFrame([(x,) for x in empty], "path string")
-            for done in (out_dir, quarantine_dir):
-                before = _other_batches(spark, done, batch_id)
-                if before is not None:
-                    seen = seen.join(before.select("path"), "path", "left_anti")
-            paths = paths.unionByName(seen).distinct()
-        manifest = paths.select(F.col("path").alias("run_id"), F.lit(0).alias("ord"), "path",
-                                F.lit(None).cast("string").alias("inline_text"), F.lit(None).cast("string").alias("declared_type"))
-        inventory = spool(probe_inventory(paths, "path"), "inventory")
+        inventory = spool(batch.drop("arrival"), "inventory")
+        manifest = inventory.select(F.col("path").alias("run_id"), F.lit(0).alias("ord"), "path",
+                                    F.lit(None).cast("string").alias("inline_text"), F.lit(None).cast("string").alias("declared_type"))
         most = ENGINE_MAX_FILE_BYTES if p.max_file_bytes is None else min(p.max_file_bytes, ENGINE_MAX_FILE_BYTES)
         from ..functions.route import route
         texts = inventory.where(F.col("length").between(1, most) & (route("path", p) == "text")).select("path")
         given = results or JobInputs(manifest, inventory)
         decoded = spool(decode_entries(JobInputs(
-            manifest, inventory, files=read_bytes(texts), pdf_facts=given.pdf_facts, pdf_pages=given.pdf_pages,
+            manifest, inventory, files=read_bytes(texts), files_whole=True, pdf_facts=given.pdf_facts, pdf_pages=given.pdf_pages,
             ocr_pages=given.ocr_pages, image_facts=given.image_facts), p), "decoded")
         gated = build_payload(single_part(decoded), p, "single")
         rows = decoded.where("part = 0").select("path", "route", "encoding").join(
             gated.select(F.col("run_id").alias("path"), "seg", "payload", "n_bytes", "error"), "path")
         _split(spool(rows, "gated"), batch_id, out_dir, quarantine_dir)
 
-    stream = file_stream(spark, root, glob, max_files_per_trigger)
+    stream = arrivals(spark, root, glob, settle)
     return _start(stream.writeStream.foreachBatch(sink), checkpoint, available_now)
 
 
@@ -136,11 +116,6 @@ def _batches(path: str) -> list[int]:
     return sorted(int(f.base_name[6:]) for f in found if f.base_name.startswith("batch="))
 
 
-def _other_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    numbers = [n for n in _batches(path) if n != batch_id]
-    return spark.read.parquet(*[f"{path}/batch={n}" for n in numbers]) if numbers else None
-
-
 def start_latest(decoded: DataFrame, target: str, seq: str, out_dir: str, checkpoint: str,
                  available_now: bool = True) -> StreamingQuery:
     """Last successful write wins per target.
