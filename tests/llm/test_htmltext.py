@@ -91,3 +91,30 @@ def test_raw_elements_and_stray_quotes(page, text):
 def test_many_stray_quotes_are_read_in_one_pass():
     assert htmltext.extract("<p title=5\" b=c'>x</p>" * 20_000) == " ".join(["x"] * 20_000)
     assert htmltext.extract("<script>a<b '</script><p a=\"x>y</p>" * 2 + "z").endswith("z")
+
+
+ARTICLE = " ".join(f"word{i}" for i in range(40))
+OTHER = "Text of somebody else that goes on and on. " * 30
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-section", "user-comments", "comments__list", "sidebar", "site-sidebar", "left_sidebar", "site-footer", "footer", "related", "reply-list"])
+@pytest.mark.parametrize("page", ["<div class=post><p>{0}</p></div><div class='{2}'><p>{1}</p></div>", "<div id='{2}'><p>{1}</p></div><div class=content><p>{0}</p></div>", "<div class='page has-sidebar'><p>{0}</p><div class='{2}'><p>{1}</p></div></div>"])
+def test_parts_beside_the_article_go_whatever_their_size(page, name):
+    assert htmltext.extract(f"<body>{page.format(ARTICLE, OTHER, name)}</body>") == ARTICLE
+
+
+def test_parts_stay_where_they_are_all_there_is():
+    for name in ("sidebar layout", "site-footer", "comments"):
+        assert htmltext.extract(f"<body><p>Hi</p><div class='{name}'><p>{ARTICLE}</p><p>{ARTICLE}</p></div></body>").endswith(f"{ARTICLE} {ARTICLE}")
+
+
+def test_title_and_lead_beside_the_body_stay():
+    body = f"<div class=body>{f'<p>{ARTICLE}</p>' * 8}</div>"
+    want = " ".join([ARTICLE] * 8)
+    assert htmltext.extract(f"<body><div id=wrap><h1>Title</h1><p class=lead>The lead.</p>{body}<p>The end.</p></div></body>") == f"Title The lead. {want} The end."
+    assert htmltext.extract(f"<body><div><h1>Title</h1><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>{body}</div><div>Small print</div></body>") == f"Title {want}"
+    assert htmltext.extract(f"<body><p>Small print</p>{body}</body>") == want
+
+
+def test_formulas_stay():
+    assert htmltext.extract("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds</p></article>") == "so x=1 holds"

@@ -13,10 +13,13 @@ that are mostly links are left out there.
 
 Elements that are never prose (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) are left out before: by tag, by role, and by class and id where a
-whole class token names them (a listed word, or listed words only, joined by hyphens). What a
-role, a class, an id, "hidden" or a form would leave out stays if it holds an article, main or
-h1 or (adverts and consent notices aside) most of the page's text outside links, unless an article or main outside of it, with text,
-is not named so. A header of an article with a heading in it is prose.
+whole class token names them (listed words, and words of place, joined by hyphens or
+underscores). What a role, a class, an id, "hidden" or a form would leave out stays if it
+holds an article, main or h1 or (adverts and consent notices aside) most of the page's text
+outside links, unless an article or main outside of it, with text, is not named so; menus,
+sidebars, footers and comments stay for their size only on a page without other text. A header
+of an article with a heading in it is prose. A title that stands beside the main subtree is
+kept with the paragraphs there.
 
 Text: character references are decoded; white space inside a block is one space; blocks are
 trimmed and joined in page order by one space. Defined results: null, empty or text-less
@@ -38,7 +41,7 @@ from .common import only, read, ready
 # Names of elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
-_DROPPED = frozenset("head nav footer aside button select option dialog menu menuitem label fieldset datalist noscript template svg math object canvas audio video".split()) | _RAW
+_DROPPED = frozenset("head nav footer aside button select option dialog menu menuitem label fieldset datalist noscript template svg annotation annotation-xml object canvas audio video".split()) | _RAW
 _BLOCK = frozenset("address article aside blockquote body br center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 _BLOCK_NOT_P = _BLOCK - {"p"}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -52,6 +55,12 @@ share sharing social cookie cookies consent gdpr notice notices notification ale
 comment comments comment-list disqus replies reply respond masthead topbar toolbar copyright disclaimer skip sr-only hidden""".split())
 #: Those of an advert or a consent notice, which is no article however much of the page's text it holds.
 _FOREIGN = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr".split())
+#: Those of a part beside the article: no amount of text makes it the article if there is other text.
+_BESIDE = frozenset("nav navbar navigation menu footer sidebar aside related recommended recommendations comment comments disqus replies reply respond".split())
+#: Words that say where or whose a named part is.
+_WHERE = frozenset("site page post article main section user reader left right top bottom list item items box block area wrapper container inner bar links".split())
+#: Characters of text outside named parts from which on the page has other text.
+OTHER_TEXT = 100
 _ROLES_DROPPED = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # A quote delimits only directly after "=", and only if it is closed.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|=)*+)(?:>|\Z)|[^<]+|<", re.S)
@@ -68,8 +77,13 @@ class Node:
         self.drop, self.named = tag in _DROPPED or (parent is not None and parent.drop), named
 
 
+def _parts(token: str) -> list[str]:
+    return [x for x in re.split("[-_]+", token) if x]
+
+
 def _boilerplate(token: str) -> bool:
-    return token in _WORDS_DROPPED or "-" in token and all(x in _WORDS_DROPPED for x in token.split("-"))
+    parts = _parts(token)
+    return token in _WORDS_DROPPED or any(x in _WORDS_DROPPED for x in parts) and all(x in _WORDS_DROPPED or x in _WHERE for x in parts)
 
 
 def _named(tag: str, attributes: str) -> str:
@@ -82,7 +96,7 @@ def _named(tag: str, attributes: str) -> str:
             if name in ("class", "id"):
                 tokens = [t for t in value.split() if _boilerplate(t)]
                 if tokens:
-                    return next((t for t in tokens if not _FOREIGN.isdisjoint(t.split("-"))), tokens[0])
+                    return next((t for t in tokens if not _FOREIGN.isdisjoint(_parts(t))), tokens[0])
     return "form" if tag == "form" else ""
 
 
@@ -164,7 +178,11 @@ def _drop_named(root: Node) -> None:
     free, above = set(free), {}
     for n in nodes:
         above[n] = (n in free) + (above[n.parent] if n.parent is not None else 0)
-        if n.named and (len(free) > above[n] or not (holds[n] or _FOREIGN.isdisjoint(n.named.split("-")) and 2 * prose[n] > prose[root])):
+        if not n.named:
+            continue
+        parts = _parts(n.named)
+        large = _FOREIGN.isdisjoint(parts) and 2 * prose[n] > prose[root] and (_BESIDE.isdisjoint(parts) or outside[root] < OTHER_TEXT)
+        if len(free) > above[n] or not (holds[n] or large):
             n.drop = True
 
 
@@ -220,6 +238,25 @@ def _widened(kept: Node, threshold: float) -> Node:
     return wide
 
 
+def _titled(kept: Node) -> Node:
+    """The parent, if a heading of the first two ranks stands there before the subtree: of the other
+    children only headings and paragraphs (title, lead, closing lines) come with it."""
+    up = kept
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return kept
+        up = up.parent
+    while kept.parent is not None:
+        others = [c for c in kept.parent.children if isinstance(c, Node) and not c.drop]
+        if not any(c.tag in ("h1", "h2") and c.chars for c in others[:others.index(kept)]):
+            break
+        for c in others:
+            if c is not kept and (c.tag not in _HEADINGS and c.tag != "p" or 2 * c.link_chars > c.chars):
+                c.drop = True
+        kept = kept.parent
+    return kept
+
+
 def main_subtree(root: Node) -> Node:
     nodes = _walk(root)
     if _site_headers(nodes):
@@ -237,6 +274,7 @@ def main_subtree(root: Node) -> Node:
     kept = _widened(kept, threshold)
     while kept.parent is not None and kept.tag in _BLOCK - {"article", "main", "div", "section"}:
         kept = kept.parent
+    kept = _titled(kept)
     up = kept
     while up is not None:
         if up.tag in ("article", "main"):
