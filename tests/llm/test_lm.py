@@ -64,3 +64,24 @@ def test_nothing_learnt_and_empty(spark):
     rows = run(spark, only_held)
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and r["n_tokens"] == 3 and math.isfinite(r["score"]) for r in rows)
     assert run(spark, []) == []
+
+
+def test_codes_beyond_two_bytes_come_back():
+    import pyarrow as pa
+    for codes in ([], [0], [65535, 65536, 3, 2 ** 31 + 5, 2 ** 32 - 1]):
+        assert lm._codes(pa.scalar(lm._packed(np.array(codes, np.uint32)), pa.binary())).tolist() == codes
+    few = np.arange(60000, dtype=np.uint32)
+    assert not any(lm._packed(few)[120000:])
+
+
+def test_counts_go_back_as_plain_numbers(spark):
+    # The plan that returns the corpus counts to their chunks gathers no pairs; many chunks share words.
+    docs = [(i, prose(i % 40, 60) + f" own{i}") for i in range(400)]
+    out = lm.score(documents(spark, docs).repartition(8), held_out(F.col("doc_id"), 7, 2))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(" in plan and "collect_list(struct" not in plan and "collect_list(named_struct" not in plan
+    seen = Counter(w for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2 for w in t.lower().split())
+    seen[""] = sum(zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in docs)
+    n, v = sum(seen.values()), len(seen)
+    want = {d: round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in [*t.lower().split(), ""]), 4) for d, t in docs}
+    assert {r["doc_id"]: round(r["base_score"], 4) for r in out.collect()} == want
