@@ -63,3 +63,19 @@ def test_pieces_equal_whole_text_encoding():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         for texts in (odd, odd[::-1], [t + " " + u for t in odd for u in odd]):
             assert [np.frombuffer(b, "<u2").tolist() for b in pieces(name).ids(texts)] == whole(name, texts)
+
+
+def test_words_go_to_the_model_alone():
+    import random
+
+    from textbarge.llm.tokens import pieces
+    encoder, rng = pieces("word_bpe_49k.json"), random.Random(4)
+    assert encoder.direct and not pieces("byte_bpe_50k.json").direct
+    letters = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha()]
+    words = ["".join(rng.choice(letters if i % 2 else letters[:26]) for _ in range(rng.randrange(1, 14))) for i in range(4000)]
+    words += ["\u0130", "\u01c5a", "a\u0301", "\u212a", "\ufb01x", "\u03c2", "\u017fo", "\u0149", "x" * 5000]
+    assert encoder._encode(words) == encoder._alone(words)
+    # Once a worker has seen them, pieces are plain bytes, and texts are as in whole-text encoding.
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ",", "!?", ".%"]) for _ in range(50)) for _ in range(40)]
+    assert encoder.ids(texts) == encoder.ids(texts) == encoder._alone(texts)
+    assert all(type(ids) is bytes for ids in encoder.kept.values())

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,20 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+@lru_cache(maxsize=1)
+def _places() -> tuple[np.ndarray, np.ndarray]:
+    """Where each id under 65,536 counts in the hashed vector, and with which sign."""
+    mixed = np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40)).astype(np.int64) % HASHED, np.where((mixed >> np.uint64(39)) & np.uint64(1), 1.0, -1.0)
+
+
 def _keys(ids: list[np.ndarray]) -> np.ndarray:
     """Curve keys of documents, from their ids."""
-    flat = np.concatenate(ids).astype(np.uint64)
-    mixed = (flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    place = (mixed >> np.uint64(40)).astype(np.int64) % HASHED
-    sign = np.where((mixed >> np.uint64(39)) & np.uint64(1), 1.0, -1.0)
-    doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    vectors = np.bincount(doc * HASHED + place, sign, len(ids) * HASHED).reshape(len(ids), HASHED)
+    place, sign = _places()
+    flat = np.concatenate(ids)
+    at = np.repeat(np.arange(len(ids)) * HASHED, [len(x) for x in ids])
+    at += place[flat]
+    vectors = np.bincount(at, sign[flat], len(ids) * HASHED).reshape(len(ids), HASHED)
     vectors /= np.maximum(np.sqrt((vectors ** 2).sum(1, keepdims=True)), 1e-9)
     projected = vectors @ np.random.default_rng(7).standard_normal((HASHED, DIMENSIONS))
     cells = np.clip((1 << BITS) / (1 + np.exp(-1.702 * projected)), 0, (1 << BITS) - 1)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -25,6 +26,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = re.compile(r"\s")
 #: Marks that end words, and the last of the letters (Latin ones) before which they are split off.
 _TAIL, _LAST_LETTER = ".,;:!?%$&*#", "\u024f"
+#: The letter that stands for each byte in byte-level vocabularies, for bytes that do not stand for themselves (a fixed table).
+_BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7f, 0xa1), 0xad])}
+#: Words that show whether a tokenizer's steps before its model leave words as they are.
+_PROBES = ["a", "the", "zqxjv", "ma\u00f1ana", "\u00fcber", "stra\u00dfe", "na\u00efve", "\u00e0\u00e1\u00e2", "\u0142\u00f3d\u017a", "\u0219i", "\u00aa\u00b5\u00ba"]
 #: Marks of pieces; a text that has them is encoded whole.
 FEED, LINE = "\x00", "\x01"
 #: White space other than a space and a line feed (fixed values).
@@ -41,24 +46,26 @@ class _Kept(dict):
         super().__init__()
         self.encode, self.split, self.older, self.noted, self.composed = encode, split, {}, [], []
 
-    def __missing__(self, piece: str) -> bytearray:
+    def __missing__(self, piece: str) -> bytes | bytearray:
         ids = self.older.get(piece)
         if ids is None:
             ids = bytearray()
-            parts = self.split(piece)
+            parts = self.split(piece) if piece[-1:] in _TAIL else None
             if parts is None:
-                self.noted.append(piece)
+                self.noted.append((piece, ids))
             else:
-                self.composed.append((ids, self[parts[0]], self[parts[1]]))
+                self.composed.append((piece, ids, self[parts[0]], self[parts[1]]))
         self[piece] = ids
         return ids
 
     def learn(self) -> None:
-        for piece, ids in zip(self.noted, self.encode(self.noted)):
-            self[piece].extend(ids)
-        for ids, first, second in self.composed:
+        for (piece, blank), ids in zip(self.noted, self.encode([piece for piece, _ in self.noted])):
+            blank.extend(ids)
+            self[piece] = ids       # later texts join plain bytes, which is faster
+        for piece, ids, first, second in self.composed:
             ids.extend(first)
             ids.extend(second)
+            self[piece] = bytes(ids)
         self.noted, self.composed = [], []
         if len(self) > KEPT:
             self.older = {k: v for k, v in self.items() if len(k) <= LONG}
@@ -92,6 +99,16 @@ class Pieces:
         self.feeds = np.zeros(len(self.begins), bool)
         if space:
             self.feeds[self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1]] = True
+        # Word-level: what is done to a text before the model leaves words of small letters as they are.
+        self.model = self.tokenizer.model
+        self.direct = not space and [self._word(w) for w in _PROBES] == self._alone(_PROBES)
+
+    def _word(self, word: str) -> bytes:
+        """The ids that the tokenizer's model gives to a word, without the steps before it."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return pack(f"<{len(ids)}H", *ids)
 
     def _alone(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -108,15 +125,19 @@ class Pieces:
         return out
 
     def _encode(self, strings: list[str]) -> list[bytes]:
-        plain, lines, odd = [], [], []
+        plain, lines, odd, words = [], [], [], []
         for i, x in enumerate(strings):
-            if self.space and x[:1] == LINE and len(x) > 1:
+            if self.direct and x.isalpha() and (x.isascii() or max(x) <= _LAST_LETTER) and x.lower() == x:
+                words.append(i)
+            elif self.space and x[:1] == LINE and len(x) > 1:
                 lines.append(i)
             elif x and not _SPACE.search(x) and not (self.space and x in (FEED, LINE)) and not (self.mark and self.mark in x):
                 plain.append(i)
             else:
                 odd.append(i)
         out = [b""] * len(strings)
+        for i in words:
+            out[i] = self._word(strings[i])
         for at, ids in ((plain, self._together([strings[i] for i in plain], f" {self.mark} " if self.mark else " ", self.begins, 2 * len(self.mark))),
                         (lines, self._together([strings[i][1:] for i in lines], "\n", self.feeds, 2)),
                         (odd, self._alone([self._whole(strings[i]) for i in odd]))):
@@ -136,7 +157,7 @@ class Pieces:
             return None
         letters = word[1:] if self.space and word[0] == LINE else word
         # Also in lower case: that of U+0130 has a combining mark, which goes with the marks.
-        if not letters.isalpha() or not letters.lower().isalpha() or max(letters) > _LAST_LETTER:
+        if not letters.isalpha() or not letters.isascii() and (not letters.lower().isalpha() or max(letters) > _LAST_LETTER):
             return None
         return word, (LINE if self.space else "") + piece[len(word):]
 
