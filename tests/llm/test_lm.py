@@ -85,3 +85,42 @@ def test_counts_go_back_as_plain_numbers(spark):
     n, v = sum(seen.values()), len(seen)
     want = {d: round(sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in [*t.lower().split(), ""]), 4) for d, t in docs}
     assert {r["doc_id"]: round(r["base_score"], 4) for r in out.collect()} == want
+
+
+def test_a_chunk_goes_on_over_batches(spark):
+    # Batches end after 1,000 rows at most; few bytes make one chunk, many still several.
+    for rows, chunks in ((2500, 1), (2 * lm.CHUNK_BYTES // 10_000, 2)):
+        wide = 1 if chunks == 1 else 9_000 // 6
+        docs = spark.range(0, rows, 1, 1).select("id", F.lit(False).alias("held"), F.repeat(F.lit("words "), wide).alias("text"))
+        got = docs.mapInArrow(lm._chunks, lm.CHUNK).select("chunk", F.size("doc_ids").alias("n"), "words", "counts").collect()
+        assert len(got) == chunks and sum(r["n"] for r in got) == rows and len({r["chunk"] for r in got}) == chunks
+        assert sum(r["counts"][0] for r in got) == rows * wide and all([bytes(w) for w in r["words"]] == [b"words"] for r in got)
+
+
+def test_a_step_moves_by_the_gradient():
+    # The trainer's own arrays are written over by each step: a shorter one after a longer one is as if alone.
+    groups = {g: (20, 4) for g in range(lm.GROUPS)}
+    shape = lm.Shape(20 * lm.GROUPS + 10, 100, 10, [], groups)
+    rng = np.random.default_rng(3)
+    events = [rng.integers(0, shape.begin, (3, n)).astype(np.int32) for n in (lm.BATCH, 37)]
+    trainer, p = lm.Trainer(lm._initial(shape), shape, 5), {k: v.astype(float) for k, v in lm._initial(shape).items()}
+    noises, seen = np.random.default_rng(5), {k: np.full(v.shape, 1e-4) for k, v in p.items()}
+    for target, one, two in events:
+        trainer.step(target, one, two)
+        noise = np.minimum(np.searchsorted(np.cumsum(shape.unigram), noises.random(lm.NOISE)), len(shape.unigram) - 1)
+        q = p["r"][one] * p["c"][0] + p["r"][two] * p["c"][1]
+        log_noise = np.log(lm.NOISE * shape.unigram)
+        g = 1 / (1 + np.exp((q * p["t"][target]).sum(1) + p["b"][target] - log_noise[target])) / len(target)
+        h = -1 / (1 + np.exp(-(q @ p["t"][noise].T + p["b"][noise] - log_noise[noise]))) / len(target)
+        dq, grad = g[:, None] * p["t"][target] + h @ p["t"][noise], {k: np.zeros(v.shape) for k, v in p.items()}
+        np.add.at(grad["t"], target, g[:, None] * q)
+        np.add.at(grad["t"], noise, h.T @ q)
+        np.add.at(grad["b"], target, g)
+        np.add.at(grad["b"], noise, h.sum(0))
+        for i, ctx in enumerate((one, two)):
+            np.add.at(grad["r"], ctx, dq * p["c"][i])
+            grad["c"][i] = (dq * p["r"][ctx]).sum(0)
+        for k in p:
+            seen[k] += grad[k] ** 2
+            p[k] = p[k] + lm.RATE * grad[k] / np.sqrt(seen[k])
+    assert all(np.allclose(trainer.p[k], p[k], atol=1e-3) for k in p)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded, column, held_out, only, read, ready, rows_sum, spool, starts_of, texts
+from .common import column, held_out, only, read, ready, rows_sum, spool, starts_of, texts
 
 #: Outputs of single tokens, the end token among them; outputs of groups; size of a token's vector.
 SHORTLIST, GROUPS, WIDTH = 768, 256, 24
@@ -40,8 +40,8 @@ SUFFIX = 3
 #: Learnt tokens in a mini-batch, and its noise samples.
 BATCH, NOISE = 4096, 32
 ROUNDS, RATE = 2, 0.08
-#: Bytes of text in a chunk, and chunks that a task trains on at most (about).
-CHUNK_BYTES, TASK_CHUNKS = 9 << 20, 24
+#: Bytes of text in a chunk, those that a row counts besides its text, and chunks that a task trains on at most (about).
+CHUNK_BYTES, ROW_BYTES, TASK_CHUNKS = 9 << 20, 64, 8
 END = 0
 CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, words array<binary>, counts array<bigint>"
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -56,21 +56,31 @@ class _Numbers(dict):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
     chunk = TaskContext.get().partitionId() << 32
+    ids, helds, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
+
+    def row() -> pa.RecordBatch:
+        codes = np.concatenate(parts)
+        learnt = np.repeat(~np.array(helds, bool), sizes)
+        values = (chunk, ids, helds, sizes, _packed(codes), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist())
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
+
+    # A chunk goes on over batches: these end after some rows, whatever their bytes.
     for batch in batches:
-        ids, held, items = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))
-        for a, b in bounded(items, CHUNK_BYTES):
-            numbers, sizes, parts = _Numbers(), [], [np.empty(0, np.uint32)]
-            for t in items[a:b]:
-                words = t.lower().split()
-                sizes.append(len(words))
-                parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-            codes = np.concatenate(parts)
-            learnt = np.repeat(~np.array(held[a:b], bool), sizes)
-            row = (chunk, ids[a:b], held[a:b], sizes, _packed(codes), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist())
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
-            chunk += 1
+        for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+            if ids and size + len(text) + ROW_BYTES > CHUNK_BYTES:
+                yield row()
+                chunk += 1
+                ids, helds, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
+            words = text.lower().split()
+            ids.append(doc)
+            helds.append(held)
+            sizes.append(len(words))
+            parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            size += len(text) + ROW_BYTES
+    if ids:
+        yield row()
 
 
 def group_of(word: bytes) -> int:
@@ -133,12 +143,12 @@ def _initial(shape: Shape) -> dict[str, np.ndarray]:
             "t": rng.normal(0, 0.1, (outputs, WIDTH)).astype(np.float32), "b": np.log(shape.unigram).astype(np.float32)}
 
 
-def _gathered(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of ``rows`` with equal keys."""
-    order = np.argsort(keys, kind="stable")
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts ``keys`` (under 65,536: two bytes sort faster), the distinct keys, and where each begins."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(rows[order], first, axis=0)
+    return order, keys[first], first
 
 
 class Trainer:
@@ -147,6 +157,8 @@ class Trainer:
         self.seen = {k: np.full(v.shape, 1e-4, np.float32) for k, v in start.items()}
         self.rng, self.noise_p = np.random.default_rng(seed), np.cumsum(shape.unigram)
         self.log_noise = np.log(NOISE * shape.unigram).astype(np.float32)
+        self.rows, self.wide = np.empty((6, BATCH, WIDTH), np.float32), np.empty((2, 2 * BATCH + NOISE, WIDTH), np.float32)
+        self.false = np.empty((BATCH, NOISE), np.float32)
         self.steps = 0
 
     def _move(self, name: str, at, gradient: np.ndarray) -> None:
@@ -154,21 +166,35 @@ class Trainer:
         self.p[name][at] += RATE * gradient / np.sqrt(self.seen[name][at])
 
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        p, scale = self.p, 1 / len(target)
+        p, n, scale = self.p, len(target), 1 / len(target)
         noise = np.minimum(np.searchsorted(self.noise_p, self.rng.random(NOISE)), len(self.noise_p) - 1)
-        r1, r2, t, tn = p["r"][one], p["r"][two], p["t"][target], p["t"][noise]
-        q = r1 * p["c"][0] + r2 * p["c"][1]
-        true = np.clip((q * t).sum(1) + p["b"][target] - self.log_noise[target], -30, 30)
-        false = np.clip(q @ tn.T + (p["b"][noise] - self.log_noise[noise]), -30, 30)
+        # Arrays of a row a token are the trainer's own, written over by each step: new ones would be fresh memory each time.
+        r1, r2, t, q, dq, some = (x[:n] for x in self.rows)
+        (p["r"].take(one, 0, r1, "clip"), p["r"].take(two, 0, r2, "clip"), p["t"].take(target, 0, t, "clip"))
+        tn, (c1, c2) = p["t"][noise], p["c"]
+        np.add(np.multiply(r1, c1, out=q), np.multiply(r2, c2, out=some), out=q)
+        true = np.clip(np.multiply(q, t, out=some).sum(1) + p["b"][target] - self.log_noise[target], -30, 30)
+        h = np.matmul(q, tn.T, out=self.false[:n])
+        h += p["b"][noise] - self.log_noise[noise]
+        np.exp(np.negative(np.clip(h, -30, 30, out=h), out=h), out=h)
+        h += 1
+        np.divide(-scale, h, out=h)
         g = ((1 / (1 + np.exp(true))) * scale).astype(np.float32)
-        h = (-scale / (1 + np.exp(-false))).astype(np.float32)
-        dq = g[:, None] * t + h @ tn
-        keys, sums = _gathered(np.concatenate([target, noise]), np.concatenate([g[:, None] * q, h.T @ q]))
-        at, biases = _gathered(np.concatenate([target, noise]), np.concatenate([g, h.sum(0)]))
-        moved, contexts = _gathered(np.concatenate([one, two]), np.concatenate([dq * p["c"][0], dq * p["c"][1]]))
-        self._move("c", slice(None), np.stack([(dq * r1).sum(0), (dq * r2).sum(0)]))
+        np.add(np.multiply(g[:, None], t, out=dq), np.matmul(h, tn, out=some), out=dq)
+        order, keys, first = _runs(np.concatenate([target, noise]))
+        wide, ordered = (x[:n + NOISE] for x in self.wide)
+        np.multiply(g[:, None], q, out=wide[:n])
+        np.matmul(h.T, q, out=wide[n:])
+        sums = np.add.reduceat(wide.take(order, 0, ordered, "clip"), first, axis=0)
+        biases = np.add.reduceat(np.concatenate([g, h.sum(0)])[order], first)
+        order, moved, first = _runs(np.concatenate([one, two]))
+        wide, ordered = (x[:2 * n] for x in self.wide)
+        np.multiply(dq, c1, out=wide[:n])
+        np.multiply(dq, c2, out=wide[n:])
+        contexts = np.add.reduceat(wide.take(order, 0, ordered, "clip"), first, axis=0)
+        self._move("c", slice(None), np.stack([np.multiply(dq, r, out=some).sum(0) for r in (r1, r2)]))
         self._move("t", keys, sums)
-        self._move("b", at, biases)
+        self._move("b", keys, biases)
         self._move("r", moved, contexts)
         self.steps += 1
 
