@@ -118,3 +118,14 @@ def test_scores_beyond_64_bits(spark):
     got = spark.createDataFrame([(a, n, l, r)], "a bigint, n bigint, l bigint, r bigint").selectExpr(
         "cast(1000 * cast(a as decimal(16,0)) * cast(n as decimal(18,0)) as decimal(38,0)) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0))) as s").first()[0]
     assert got == 1000 * a * n // (l * r)
+
+
+def test_ids_have_few_bits_however_many_shards(spark):
+    # 500 words, each in every one of 64 shards: an id has no room for a shard.
+    words = [f"w{i}" for i in range(500)]
+    rows = [(" ".join(random.Random(s).sample(words, len(words))), "en") for s in range(64)]
+    _, named, phrases = C.counts(table(spark, rows).repartition(64), least=64)
+    got = named.collect()
+    assert Counter((r["lang"], r["word"], r["f"]) for r in got) == Counter(("en", w, 64) for w in words)
+    assert len({r["id"] for r in got}) == len(words) and max(r["id"] for r in got) < 8 * len(words)
+    assert phrases.where("size(ids) = 1").count() == len(words)

@@ -7,9 +7,10 @@ floor(1000 * a * n / (l * r)) in whole numbers, where l and r count both sides o
 Candidates that lie in a longer candidate with the same count are dropped.
 
 The corpus goes through in shards of bounded bytes, each with a dictionary of its own words, in
-tables bucketed by shard, so that no join moves a shard's text. The id of a word with ``least``
-occurrences is its least number in a shard's dictionary, by falling counts, and that shard (a
-language's words are its own). For each length from 2,
+tables bucketed by shard, so that no join moves a shard's text. The words with ``least``
+occurrences (a language's are its own) are dealt by hash into some times as many deals as there
+are shards, and numbered without gaps in each; a word's id is that number and the
+deal, so ids have few bits, and n-grams few bytes. For each length from 2,
 every shard counts the n-grams whose both shorter parts are frequent (no other can be) in a
 counting quotient filter: the word ids, ``bits`` bits each, are permuted invertibly; the top bits of
 the result are the quotient, which only a slot's place holds, the rest is the full remainder, kept
@@ -388,10 +389,14 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
     place = F.shiftleft(F.col("at").cast("bigint"), low) + F.shiftleft(part, turns) + turn
     entries = shards.select("shard", "langs", F.posexplode(F.arrays_zip("words", "kinds", "counts")).alias("at", "x"))
     entries = entries.select(place.alias("place"), F.col("langs")[F.col("x.kinds")].alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    # A word is there once a shard, so a window over it holds as many light rows as there are shards.
-    whole = Window.partitionBy("lang", "word")
-    kept = spool(entries.withColumns({"f": F.sum("c").over(whole), "id": F.min("place").over(whole)}).where(F.col("f") >= least).drop("c"), "shard_words")
-    words = kept.where("place = id").select("id", "lang", "word", "f")
+    # A word is there once a shard: a window holds as many light rows of it as there are shards, and those of a deal's few words.
+    deals = 8 << low
+    deal_of = F.pmod(F.xxhash64("lang", "word"), F.lit(deals))
+    one, all_of = Window.partitionBy("deal", "lang", "word"), Window.partitionBy("deal").orderBy("lang", "word")
+    kept = entries.repartition(deal_of).withColumn("deal", deal_of).withColumns({"f": F.sum("c").over(one), "first": F.min("place").over(one)}).where(F.col("f") >= least)
+    number = (F.dense_rank().over(all_of) - 1).cast("bigint") * deals + F.col("deal")
+    kept = spool(kept.select("place", "lang", "word", "f", (F.col("place") == F.col("first")).alias("leads"), number.alias("id")), "shard_words")
+    words = kept.where("leads").select("id", "lang", "word", "f")
     bits = max(1, int(words.agg(F.max("id")).first()[0] or 0).bit_length())
     alive = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     code = F.col("place").bitwiseAND((1 << low) - 1)
