@@ -89,11 +89,13 @@ def test_counts_go_back_as_plain_numbers(spark):
 
 def test_a_chunk_goes_on_over_batches(spark):
     # Batches end after 1,000 rows at most; few bytes make one chunk, many still several.
-    for rows, chunks in ((2500, 1), (2 * lm.CHUNK_BYTES // 10_000, 2)):
+    for rows, chunks in ((2500, 1), (2 * lm.CHUNK_BYTES // 10_000, 3)):
         wide = 1 if chunks == 1 else 9_000 // 6
         docs = spark.range(0, rows, 1, 1).select("id", F.lit(False).alias("held"), F.repeat(F.lit("words "), wide).alias("text"))
-        got = docs.mapInArrow(lm._chunks, lm.CHUNK).select("chunk", F.size("doc_ids").alias("n"), "words", "counts").collect()
+        got = docs.mapInArrow(lm._chunks, lm.CHUNK).select("chunk", F.size("doc_ids").alias("n"), "words", "counts", "pieces").collect()
         assert len(got) == chunks and sum(r["n"] for r in got) == rows and len({r["chunk"] for r in got}) == chunks
+        # Mini-batches still end with each batch.
+        assert [p for r in got for p in r["pieces"]] == ([0, 1000, 2000] if chunks == 1 else [0] * chunks)
         assert sum(r["counts"][0] for r in got) == rows * wide and all([bytes(w) for w in r["words"]] == [b"words"] for r in got)
 
 

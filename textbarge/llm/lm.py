@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, held_out, only, read, ready, rows_sum, spool, starts_of, texts
+from .common import bounded, column, held_out, only, read, ready, rows_sum, spool, starts_of, texts
 
 #: Outputs of single tokens, the end token among them; outputs of groups; size of a token's vector.
 SHORTLIST, GROUPS, WIDTH = 768, 256, 24
@@ -40,10 +40,10 @@ SUFFIX = 3
 #: Learnt tokens in a mini-batch, and its noise samples.
 BATCH, NOISE = 4096, 32
 ROUNDS, RATE = 2, 0.08
-#: Bytes of text in a chunk, those that a row counts besides its text, and chunks that a task trains on at most (about).
-CHUNK_BYTES, ROW_BYTES, TASK_CHUNKS = 9 << 20, 64, 8
+#: Bytes of text in a chunk and in a piece of it (mini-batches end with a piece), those that a row counts besides its text, and chunks that a task trains on at most (about).
+CHUNK_BYTES, PIECE_BYTES, ROW_BYTES, TASK_CHUNKS = 12 << 20, 9 << 20, 64, 8
 END = 0
-CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, words array<binary>, counts array<bigint>"
+CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, codes binary, words array<binary>, counts array<bigint>, pieces array<bigint>"
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -56,29 +56,33 @@ class _Numbers(dict):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()))
     chunk = TaskContext.get().partitionId() << 32
-    ids, helds, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
+    ids, helds, sizes, parts, numbers, pieces, size = [], [], [], [], _Numbers(), [], 0
 
     def row() -> pa.RecordBatch:
         codes = np.concatenate(parts)
         learnt = np.repeat(~np.array(helds, bool), sizes)
-        values = (chunk, ids, helds, sizes, _packed(codes), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist())
+        values = (chunk, ids, helds, sizes, _packed(codes), list(numbers), np.bincount(codes[learnt], minlength=len(numbers)).tolist(), pieces)
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
-    # A chunk goes on over batches: these end after some rows, whatever their bytes.
+    # A chunk has pieces of some batches: a batch ends after some rows, whatever their bytes.
     for batch in batches:
-        for doc, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
-            if ids and size + len(text) + ROW_BYTES > CHUNK_BYTES:
+        docs, held, items = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))
+        for a, b in bounded(items, PIECE_BYTES):
+            more = sum(map(len, items[a:b])) + ROW_BYTES * (b - a)
+            if ids and size + more > CHUNK_BYTES:
                 yield row()
                 chunk += 1
-                ids, helds, sizes, parts, numbers, size = [], [], [], [], _Numbers(), 0
-            words = text.lower().split()
-            ids.append(doc)
-            helds.append(held)
-            sizes.append(len(words))
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-            size += len(text) + ROW_BYTES
+                ids, helds, sizes, parts, numbers, pieces, size = [], [], [], [], _Numbers(), [], 0
+            pieces.append(len(ids))
+            for t in items[a:b]:
+                words = t.lower().split()
+                sizes.append(len(words))
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            ids += docs[a:b]
+            helds += held[a:b]
+            size += more
     if ids:
         yield row()
 
@@ -216,16 +220,15 @@ def _train(start, shape_of, round_no: int):
         shape, trainer, tokens = shape_of.value, None, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                # words, sizes, held, codes: one chunk at a time
-                words, sizes, held, codes = (batch.column(c)[i] for c in range(4))
+                # words, sizes, held, codes, pieces: one chunk at a time
+                words, sizes, held, codes, pieces = (batch.column(c)[i] for c in range(5))
                 sizes, held = np.asarray(sizes.values, np.int64), np.asarray(held.values).astype(bool)
                 classes = shape.of(words.as_py())[_codes(codes)]
                 target, one, two, starts = _events(classes, sizes, shape.begin)
                 learnt = np.flatnonzero(np.repeat(~held, np.diff(starts)))
                 trainer = trainer or Trainer(start.value, shape, 101 * round_no + TaskContext.get().partitionId())
-                for n, a in enumerate(range(0, len(learnt), BATCH)):
-                    if n % ROUNDS == round_no:
-                        some = learnt[a:a + BATCH]
+                for own in np.split(learnt, np.searchsorted(learnt, starts[np.asarray(pieces.values)[1:]])):
+                    for some in (own[a:a + BATCH] for a in range(BATCH * round_no, len(own), BATCH * ROUNDS)):
                         trainer.step(target[some], one[some], two[some])
                         tokens += len(some)
         if tokens:
@@ -248,7 +251,7 @@ def train(chunks: DataFrame, shape: Shape) -> dict[str, np.ndarray]:
     tasks = max(sc.defaultParallelism, chunks.select("chunk").count() // TASK_CHUNKS)
     shape_of, kind = sc.broadcast(shape), "tokens double, sums binary"
     for round_no in range(ROUNDS):
-        own = chunks.select("words", "sizes", "held", "codes").coalesce(tasks).mapInArrow(_train(sc.broadcast(params), shape_of, round_no), kind)
+        own = chunks.select("words", "sizes", "held", "codes", "pieces").coalesce(tasks).mapInArrow(_train(sc.broadcast(params), shape_of, round_no), kind)
         row = own.repartition(max(1, round(tasks ** 0.5))).mapInArrow(_added, kind).repartition(1).mapInArrow(_added, kind).first()
         if row is None:
             break
