@@ -1,9 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from textbarge.llm import tokenfiles
+from textbarge.llm import tokenfiles, tokens
 from textbarge.llm.coder import decode, encode
 from textbarge.session import fresh_dir
 
@@ -69,3 +70,41 @@ def test_damage_is_noticed():
             tokenfiles.unpack_file(bytes(broken))
     with pytest.raises(ValueError):
         tokenfiles.unpack_file(data[:-1])
+
+
+def test_new_words_go_to_the_model_alone():
+    encoder, texts = tokens.BytePieces(tokens.pieces(tokenfiles.TOKENIZER).path), [prose(8, 300) + ".\nThe naïve ȿ über: water, light!! stone\nend.", "", "One"]
+    want = whole(tokenfiles.TOKENIZER, texts)
+    given = []
+
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, strings, **options):
+            given.extend(strings)
+            return self.tokenizer.encode_batch_fast(strings, **options)
+
+    encoder.tokenizer = Watched(encoder.tokenizer)
+    for _ in range(2):      # the tokenizer's splitting sees the line feed, once, and no word
+        assert [np.frombuffer(b, "<u2").tolist() for b in encoder.ids(texts)] == want
+        assert given == ["\n"]
+
+
+def test_white_space_marks_and_dropped_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 60)
+    encoder, rng = tokens.BytePieces(tokens.pieces(tokenfiles.TOKENIZER).path), random.Random(3)
+    encoder.rest()
+    some = [" ", "  ", "\n", "\n\n", "a", "Word", "don't", "é", "×", "÷", "ȿ", "ɀ", "İ", "日本", "42", ".", ",", "%%%", "'s", "-", "\u0301", "\x00", "\x01", "ª", "ñ", "😀", "Ġ", "Ċ", "x" * 300]
+    rare = [*some, "\t", "\r\n", "\xa0", "\u2009", "\u3000", "\x1c", "\x85", "<|endoftext|>"]
+    for parts in (some, rare) * 4:
+        texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(150)]
+        assert [np.frombuffer(b, "<u2").tolist() for b in encoder.ids(texts)] == whole(tokenfiles.TOKENIZER, texts)
+    encoder.rest()
+    assert len(encoder.kept) == len(encoder.counts) == len(encoder.used) == 60 and encoder.counts.sum() == len(encoder.flat)
+    assert not any(len(x) > tokens.LONG for x in encoder.kept.to_pylist())
+
+
+def test_files_of_before_can_be_read():
+    ids = (np.arange(6000, dtype=np.int64) ** 2 % 977 * 61 % 50257).astype(np.int32).reshape(6, 1000)
+    assert [zlib.crc32(c) for c in encode(ids, np.array([1000, 1000, 1000, 1000, 1000, 9]))] == [1588085492, 1767213594, 2260185037, 1222872983, 137943151, 2811556070]

@@ -28,6 +28,17 @@ _WINDOW = (1 << WINDOW) - 1
 _LEAST, _MOST = 32, 4032
 #: Probabilities (of 4096) for weights -2047..2047, in steps of 1/256: a fixed table made by this rule.
 SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256.0))), _LEAST, _MOST).astype(np.int32)
+#: What is added to an entry whose confidence is c: at c if its id did not come, at c + 8 if it did; and whether it is replaced then.
+_CHANGE = np.array([*(-((c + 1) >> 1) for c in range(8)), *(int(c < 7) for c in range(8))], np.int32)
+_REPLACED = np.array([1, 1, *[0] * 14], np.int32)
+
+
+def _either(mask: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """``first`` where the mask is 1, ``second`` where it is 0, by arithmetic: masks are as good as random, which makes np.where slow."""
+    out = first - second
+    out *= mask
+    out += second
+    return out
 
 
 class Model:
@@ -65,11 +76,11 @@ class Model:
         self.i2 = (mixed >> np.uint32(32 - CONTEXT_BITS)) + self.context
         self.e1, self.e2 = self.one.take(self.i1, mode="clip"), self.two.take(self.i2, mode="clip")
         self.c1, self.c2 = self.e1 & 7, self.e2 & 7
-        e = np.where(self.c2 >= self.c1, self.e2, self.e1)
-        candidate = e >> 3
+        candidate = _either((self.c2 >= self.c1).astype(np.int32), self.e2, self.e1)
+        candidate >>= 3
         self.im = (self.c2 << 4) + (self.c1 << 1) + ((self.e1 ^ self.e2) < 8) + self.mix_at
         kept = self.seen.take(self.place(candidate) + self.seen_at, mode="clip")
-        self.i0 = np.where((kept >> 3) == candidate, (kept & 7) + 8, 0) + self.order0_at
+        self.i0 = ((kept & 7) + 8) * ((kept >> 3) == candidate) + self.order0_at
         self.wm, self.w0 = self.mix.take(self.im, mode="clip"), self.order0.take(self.i0, mode="clip")
         self.p = SQUASH.take(self.wm + self.w0 + 2047, mode="clip")
         size = self.p << (TOTAL - 12)
@@ -78,16 +89,26 @@ class Model:
         return candidate, size, self.inside >> SEEN_BITS, (rest - self.inside) >> 16
 
     def update(self, ids: np.ndarray, hit: np.ndarray, place: np.ndarray, kept: np.ndarray, known: np.ndarray) -> None:
-        """After coding ``ids``: ``hit`` the candidate was right; ``kept`` is the order-0 entry at ``place``, ``known`` that it is the id's."""
-        error = (hit.astype(np.int32) << 12) - self.p
+        """After coding ``ids``: ``hit`` the candidate was right; ``kept`` is the order-0 entry at ``place``, ``known`` that it is the id's (both 0 or 1)."""
+        error = (hit << 12) - self.p
         error >>= 4
         self.mix[self.im] = self.wm + error
         self.order0[self.i0] = self.w0 + (error >> 1)
-        self.share += np.where(hit, 0, (np.where(known, 4032, 64) - self.share) >> 5)
+        move = known * np.int32(4032 - 64)
+        move += np.int32(64)
+        move -= self.share
+        move >>= 5
+        move *= hit ^ 1
+        self.share += move
         fresh = (ids << 3) + 1
         for table, at, e, c in ((self.one, self.i1, self.e1, self.c1), (self.two, self.i2, self.e2, self.c2)):
-            table[at] = np.where((e >> 3) == ids, e + (c < 7), np.where(c < 2, fresh, e - ((c + 1) >> 1)))
-        self.seen[place] = np.where(known, kept + ((kept & 7) < 7), fresh)
+            case = ((e >> 3) == ids).astype(np.int32)
+            case <<= 3
+            case += c
+            changed = _CHANGE.take(case, mode="clip")
+            changed += e
+            table[at] = _either(_REPLACED.take(case, mode="clip"), fresh, changed)
+        self.seen[place] = _either(known, kept + ((kept & 7) < 7), fresh)
         self.before, self.last = self.last, ids.view(np.uint32)
 
 
@@ -110,13 +131,15 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
             low, span, at = low[:n], span[:n], at[:n]
         x = columns[step, :n]
         candidate, size, by_place, by_id = model.predict()
-        hit = candidate == x
+        hit = (candidate == x).astype(np.int32)
         place = model.place(x)
         seen_at = place + model.seen_at
         kept = model.seen.take(seen_at, mode="clip")
-        known = (kept >> 3) == x
-        freq = np.where(hit, size, np.where(known, by_place, by_id))
-        cum = np.where(hit, 0, size + np.where(known, place.view(np.int32) * by_place, model.inside + x * by_id))
+        known = ((kept >> 3) == x).astype(np.int32)
+        freq = _either(hit, size, _either(known, by_place, by_id))
+        cum = _either(known, place.view(np.int32) * by_place, model.inside + x * by_id)
+        cum += size
+        cum *= hit ^ 1
         model.update(x, hit, seen_at, kept, known)
         span >>= TOTAL
         low += span * cum
@@ -130,8 +153,8 @@ def encode(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
                 back = back[words[back] == 0] - 1
         # Up to two words are due; those written without being due are overwritten by the next.
         due = (span < _LEAST_SPAN).view(np.int8) + (span < _LEAST_SPAN >> WORD)
-        words[at] = low >> _LOW
-        words[at + 1] = low >> (_LOW - WORD)
+        words[at] = (low >> _LOW).astype(np.uint16)
+        words[at + 1] = (low >> (_LOW - WORD)).astype(np.uint16)
         shift = due.astype(np.int64) * WORD
         low = (low << shift) & _WINDOW
         span <<= shift
@@ -168,17 +191,21 @@ def decode(codes: list[bytes], sizes: np.ndarray) -> np.ndarray:
         span >>= TOTAL
         # Exact: the quotient is further from the next integer than a double's rounding.
         target = (code / span).astype(np.int32)
-        hit, target = target < size, target - size
-        within = target < model.inside
-        value = (np.where(within, target, target - model.inside) / np.where(within, by_place, by_id)).astype(np.int32)
-        x = np.where(hit, candidate, np.where(within, model.seen.take(value + model.seen_at, mode="clip") >> 3, value))
+        hit = (target < size).astype(np.int32)
+        target -= size
+        within = (target < model.inside).astype(np.int32)
+        target -= model.inside * (within ^ 1)
+        value = (target / _either(within, by_place, by_id)).astype(np.int32)
+        x = _either(hit, candidate, _either(within, model.seen.take(value + model.seen_at, mode="clip") >> 3, value))
         out[step, :n] = x
         place = model.place(x)
         seen_at = place + model.seen_at
         kept = model.seen.take(seen_at, mode="clip")
-        known = (kept >> 3) == x
-        freq = np.where(hit, size, np.where(known, by_place, by_id))
-        cum = np.where(hit, 0, size + np.where(known, place.view(np.int32) * by_place, model.inside + x * by_id))
+        known = ((kept >> 3) == x).astype(np.int32)
+        freq = _either(hit, size, _either(known, by_place, by_id))
+        cum = _either(known, place.view(np.int32) * by_place, model.inside + x * by_id)
+        cum += size
+        cum *= hit ^ 1
         model.update(x, hit, seen_at, kept, known)
         code -= span * cum
         span *= freq

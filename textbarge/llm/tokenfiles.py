@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fresh_dir
 from .coder import decode, encode
-from .common import TEXT_BYTES, bounded, column, only, read, ready, spool, starts_of
+from .common import TEXT_BYTES, column, only, read, ready, spool, starts_of
 from .tokens import pieces
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 #: Ids in a block, and in a file (a longer document is whole in one file).
 BLOCK, FILE_IDS = 1024, 4_000_000
+#: Characters tokenised at a time.
+CHUNK = 2 * TEXT_BYTES
 MAGIC = b"TBTOK001"
 _HEAD = struct.Struct("<IQQII")
 WRITTEN = "task int, file string, n_docs bigint, n_ids bigint"
@@ -97,6 +99,24 @@ def _store(path: str, data: bytes) -> None:
     store.move(temporary, inner)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of documents that are tokenised together: about ``CHUNK`` characters, over several batches, a longer single text whole."""
+    doc_ids: list = []
+    strings: list = []
+    held = 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text or ""
+            if held and held + len(text) > CHUNK:
+                yield doc_ids, strings
+                doc_ids, strings, held = [], [], 0
+            doc_ids.append(doc)
+            strings.append(text)
+            held += len(text) + 1
+    if doc_ids:
+        yield doc_ids, strings
+
+
 def _write(path: str, tokenizer: str, end_id: int, block: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, task = pieces(tokenizer), np.array([end_id], "<u2").tobytes(), TaskContext.get().partitionId()
@@ -112,15 +132,13 @@ def _write(path: str, tokenizer: str, end_id: int, block: int, file_ids: int):
             names, ids, held, before, number = [], [], 0, before + held, number + 1
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=[c.split()[0] for c in WRITTEN.split(", ")])
 
-        for batch in batches:
-            doc_ids, strings = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in bounded(strings, TEXT_BYTES // 4):
-                for doc, raw in zip(doc_ids[a:b], encoder.ids(strings[a:b])):
-                    names.append(doc)
-                    ids.append(np.frombuffer(raw + end, "<u2"))
-                    held += len(ids[-1])
-                    if held >= file_ids:
-                        yield flush()
+        for doc_ids, strings in _chunks(batches):
+            for doc, raw in zip(doc_ids, encoder.ids(strings)):
+                names.append(doc)
+                ids.append(np.frombuffer(raw + end, "<u2"))
+                held += len(ids[-1])
+                if held >= file_ids:
+                    yield flush()
         encoder.rest()
         if names:
             yield flush()
