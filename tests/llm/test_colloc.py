@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textbarge.llm import colloc as C
 
@@ -129,3 +130,23 @@ def test_ids_have_few_bits_however_many_shards(spark):
     assert Counter((r["lang"], r["word"], r["f"]) for r in got) == Counter(("en", w, 64) for w in words)
     assert len({r["id"] for r in got}) == len(words) and max(r["id"] for r in got) < 8 * len(words)
     assert phrases.where("size(ids) = 1").count() == len(words)
+
+
+def test_a_task_holds_few_shards_however_few_partitions(spark, monkeypatch):
+    """A table's files are those of single tasks, each with the shards of a bucket: more text has more buckets, not more shards in each."""
+    monkeypatch.setattr(C, "SHARD_BYTES", 1000)     # in the driver; tasks take partitions whole
+    rng, most, bucketed = random.Random(3), {}, C._bucketed
+    rows = [(" ".join(rng.choice("abcd") for _ in range(501)), "en") for _ in range(128)]
+
+    def kept(df, name, *rest):
+        out = bucketed(df, name, *rest)
+        files = Counter(r[0] for r in out.select(F.input_file_name(), "shard").distinct().collect())
+        assert sum(files.values()) > 64
+        most[name] = max(files.values())
+        return out
+
+    monkeypatch.setattr(C, "_bucketed", kept)
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 4
+    got = C.collocations(table(spark, rows).repartition(128), least=40)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 40, 2000)
+    assert set(most) == {"shards", *(f"grams_{n}" for n in range(2, 6))} and max(most.values()) <= 3 * C.HELD

@@ -7,7 +7,9 @@ floor(1000 * a * n / (l * r)) in whole numbers, where l and r count both sides o
 Candidates that lie in a longer candidate with the same count are dropped.
 
 The corpus goes through in shards of bounded bytes, each with a dictionary of its own words, in
-tables bucketed by shard, so that no join moves a shard's text. The words with ``least``
+tables bucketed by shard, so that no join moves a shard's text. The number of a table's buckets
+grows with the text, whatever the shuffle partitions, so a task holds about ``HELD`` shards and
+the lists of their frequent words and entries. The words with ``least``
 occurrences (a language's are its own) are dealt by hash into some times as many deals as there
 are shards, and numbered without gaps in each; a word's id is that number and the
 deal, so ids have few bits, and n-grams few bytes. For each length from 2,
@@ -42,6 +44,8 @@ from .common import column, only, read, ready, spool, texts
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text in a shard (one text at least), and entries of all shards in a bucket (about).
 SHARD_BYTES, BUCKET = 8 << 20, 1 << 20
+#: Shards in a bucket of a table (about, at most).
+HELD = 4
 #: Bytes of rows in an Arrow batch at most: a row is as large as a shard.
 BATCH_BYTES, _BATCH_BYTES = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Parts into which a language's candidates are dealt for the first choice of its best.
@@ -353,13 +357,28 @@ def _merged(n: int, bits: int, deal: int, least: int):
     return run
 
 
-def _bucketed(df: DataFrame, name: str, tables: list[tuple[str, str]]) -> DataFrame:
+def _buckets(rows: DataFrame) -> tuple[int, list[int]]:
+    """Buckets of the tables: as many as shuffle partitions, or more if the text's shards need them. Then this number also for exchanges, else nothing: theirs may be coalesced."""
+    conf = rows.sparkSession.conf
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    need = min(-(-size // (HELD * SHARD_BYTES)), int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    partitions = int(conf.get("spark.sql.shuffle.partitions"))
+    return max(need, partitions), [need] * (need > partitions)
+
+
+def _listed(df: DataFrame, value: str, more: list[int]) -> DataFrame:
+    """Of each shard, all its values in one row, dealt as the tables are."""
+    df = df.select("shard", value)
+    return (df.repartition(*more, "shard") if more else df).groupBy("shard").agg(F.collect_list(value).alias("found"))
+
+
+def _bucketed(df: DataFrame, name: str, tables: list[tuple[str, str]], buckets: int) -> DataFrame:
     """``df`` as a table in the shared folder, bucketed by shard; noted in ``tables``."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     table = path.rsplit("/", 1)[-1].replace("-", "_")
     writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
-    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(table)
+    writer.bucketBy(buckets, "shard").saveAsTable(table)
     tables.append((table, path))
     return spark.table(table)
 
@@ -379,7 +398,8 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
         spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     rows = only(docs, lang=F.coalesce(column(docs, lang).cast("string"), F.lit("und")), text=column(docs, text).cast("string"))
     tables: list[tuple[str, str]] = []
-    shards = _bucketed(rows.mapInArrow(_shards, SHARD), "shards", tables)
+    buckets, more = _buckets(rows)
+    shards = _bucketed(rows.mapInArrow(_shards, SHARD), "shards", tables, buckets)
     sizes = spool(shards.select(F.explode(F.arrays_zip("langs", "tokens")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.tokens").alias("n")), "sizes")
     part, turn = F.shiftright("shard", 32), F.col("shard").bitwiseAND((1 << 32) - 1)
     turns, most = shards.agg(F.max(turn), F.max(part)).first()
@@ -393,7 +413,7 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
     deals = 8 << low
     deal_of = F.pmod(F.xxhash64("lang", "word"), F.lit(deals))
     one, all_of = Window.partitionBy("deal", "lang", "word"), Window.partitionBy("deal").orderBy("lang", "word")
-    kept = entries.repartition(deal_of).withColumn("deal", deal_of).withColumns({"f": F.sum("c").over(one), "first": F.min("place").over(one)}).where(F.col("f") >= least)
+    kept = entries.repartition(*more, deal_of).withColumn("deal", deal_of).withColumns({"f": F.sum("c").over(one), "first": F.min("place").over(one)}).where(F.col("f") >= least)
     number = (F.dense_rank().over(all_of) - 1).cast("bigint") * deals + F.col("deal")
     kept = spool(kept.select("place", "lang", "word", "f", (F.col("place") == F.col("first")).alias("leads"), number.alias("id")), "shard_words")
     words = kept.where("leads").select("id", "lang", "word", "f")
@@ -401,21 +421,22 @@ def counts(docs: DataFrame, lang: str = "lang", text: str = "text", least: int =
     alive = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     code = F.col("place").bitwiseAND((1 << low) - 1)
     shard = F.shiftleft(F.shiftright(code, turns), 32) + code.bitwiseAND((1 << turns) - 1)
-    found = kept.select(shard.alias("shard"), F.shiftright("place", low).alias("at"), "id").groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("found"))
+    found = _listed(kept.select(shard.alias("shard"), F.struct(F.shiftright("place", low).alias("at"), "id").alias("x")), "x", more)
     state, phrases = shards.select("shard", "codes"), words.select(F.array("id").alias("ids"), "f")
     for n in range(2, LONGEST + 1):
         # No length has more entries than the one before it has occurrences.
         deal = min(widths(bits, n)[0], max(0, (int(alive) // BUCKET).bit_length()))
+        # Found entries grow with the text: never a broadcast, which the driver would hold.
         if n > 2:
             state = state.where("seq is not null").select("shard", "seq", "ids", "cur")
-        state = _bucketed(state.join(found, "shard").mapInArrow(_counted(n, bits, deal), STATE), f"grams_{n}", tables)
-        parts = state.where("payload is not null").select("bucket", "shard", "first", "payload").repartition("bucket").sortWithinPartitions("bucket")
+        state = _bucketed(state.join(found.hint("merge"), "shard").mapInArrow(_counted(n, bits, deal), STATE), f"grams_{n}", tables, buckets)
+        parts = state.where("payload is not null").select("bucket", "shard", "first", "payload").repartition(*more, "bucket").sortWithinPartitions("bucket")
         result = spool(parts.mapInArrow(_merged(n, bits, deal, least), MERGED), f"counts_{n}")
         _done(spark, tables, 1)     # what this length was counted from
         grams = (result.where("shard is null").select("at", F.posexplode("total").alias("i", "f"))
                  .select(F.slice("at", F.col("i") * n + 1, n).alias("ids"), "f"))
         phrases = phrases.unionByName(grams)
-        found = result.where("shard is not null").groupBy("shard").agg(F.collect_list("at").alias("found"))
+        found = _listed(result.where("shard is not null"), "at", more)
         alive = grams.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
         if not alive:
             break
